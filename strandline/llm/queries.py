@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
+from .decontaminate import benchmark_leaks
+from .line_chunks import line_dedup
 from .near_dups import near_dup_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,8 +24,30 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes every text, and digests both results."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe_decode(bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op6_line_dedup": op6_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -43,5 +70,24 @@ WITH RECURSIVE w AS (
   SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
+""",
+    "op6_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
+    len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents
+), h AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+), e AS (
+  SELECT *, i = n OR (31 * coalesce(lag(h) OVER d, 0) + h) % 2 = 0 OR words >= 50 OR coalesce(lead(words) OVER d, 0) >= 50 AS is_end FROM h
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), p AS (
+  SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e
+), c AS (
+  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, sum(words) AS words FROM p GROUP BY doc_id, place
+), r AS (
+  SELECT *, (lines > 1 OR words >= 50) AND words > 0 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM c
+)
+SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+  count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines FROM r GROUP BY doc_id
 """,
 }
