@@ -7,7 +7,7 @@ a pair is missed with probability 3.3e-6.
 
 Nothing is capped.  Texts with equal sets form one class.  In each table's bucket every class is compared with a hub.  The
 Jaccard distance is a metric, so two classes within 0.15 of each other are both within 0.45 of the hub, or both beyond 0.30:
-the first are compared with each other in blocks, the second stay in the bucket for another hub.  Buckets left after
+the first are compared with each other in blocks (hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after
 ``ROUNDS`` hubs are compared in blocks as they are.
 """
 
@@ -168,18 +168,20 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     # Half keys that two classes share, then tables over those: a class with none in either collection meets nobody.
     halves = classes.select("cls", F.posexplode("halves").alias("at", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     halves = halves.join(shared, "half").groupBy("cls").agg(
+        F.sum("n").alias("met"),
         F.collect_set(F.when(F.col("at") < HALVES, F.col("half"))).alias("a"), F.collect_set(F.when(F.col("at") >= HALVES, F.col("half"))).alias("b")
     )
-    tables = halves.where("size(a) > 0 AND size(b) > 0").select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "cls")
+    tables = halves.where("size(a) > 0 AND size(b) > 0").select("met", "cls", "b", F.explode("a").alias("a")).select("met", "cls", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "met", "cls")
     tables = space.keep(tables)
 
     def met(rows: DataFrame) -> DataFrame:
-        hubs = rows.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+        # The class with the most common half keys is the hub: near copies then share few hubs.
+        hubs = rows.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub.cls").withColumnRenamed("cls", "hub")
         return rows.join(hubs, "key").where("cls <> hub")
 
-    buckets = space.keep(met(tables))  # (key, cls, hub), without the hub's own row
+    buckets = space.keep(met(tables))  # (key, met, cls, hub), without the hub's own row
     space.drop(tables)
     ids = buckets.select("cls").unionByName(buckets.select(F.col("hub").alias("cls"))).distinct()
     texts = classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id"), "cls")
@@ -193,7 +195,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         seen = space.keep(_compare_with_hubs(edges, sets))
         compared.append(seen)
         far = seen.where("100 * common < 70 * whole").select("hub", "cls")
-        rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "cls")))
+        rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls")))
         space.drop(buckets)
         buckets = rest
         if buckets.isEmpty():
@@ -204,8 +206,10 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     links = every.where(f"100 * common >= {LINK} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
     roots = space.keep(connected_components(links, space))
 
-    groups = every.where("100 * common >= 55 * whole").select(F.col("hub").alias("gid"), "cls").distinct()
-    left = buckets.unionByName(buckets.select("key", F.col("hub").alias("cls"), "hub").distinct()).select("key", "cls")
+    # Balls around hubs of one component overlap much, so they are one group.
+    root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
+    groups = every.where("100 * common >= 55 * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
+    left = buckets.select("key", "cls").unionByName(buckets.select("key", F.col("hub").alias("cls")).distinct())
     same = left.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum")).groupBy("n", "sum").agg(F.min("key").alias("key"))
     left = left.join(same.select("key"), "key").select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
     groups = groups.unionByName(left).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
