@@ -12,8 +12,11 @@ from .bpe import bpe_decode, bpe_encode
 from .decontaminate import benchmark_leaks
 from .line_chunks import line_dedup
 from .near_dups import near_dup_components
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from .oracles import LOWER, UPPER, secrets_sql, url_sql
+from .quality_rules import RULES, STOP_WORDS, compiled, quality_rules
+from .quality_votes import quality_scores
+from .secret_ledger import scan_secrets, secret_digests
+from .url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every text, and digests both results."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,6 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality_votes": op9_quality_votes,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +114,27 @@ WITH l AS (
 SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
   count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines FROM r GROUP BY doc_id
 """,
+    "op7_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) AS tri FROM d
+), c AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g
+), r AS (
+  SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM c WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+    len(list_intersect(w, {STOP_WORDS!r})) AS n_stop_words,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations
+  FROM d LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {compiled(RULES)} AS kept FROM b
+""",
+    "op8_url_filter": url_sql(),
+    "op10_secret_ledger": secrets_sql(),
 }
