@@ -157,7 +157,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     with open(ranks_path, "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n_buckets = max(8, min(1_000_000, size // BUCKET_BYTES))
     cut = space.keep(source.mapInArrow(_cutter(pattern, n_buckets), CUT))
     words = cut.where("bucket IS NOT NULL").select("block", "bucket", "words").groupBy("bucket").applyInArrow(_word_encoder(ranks_file), "block string, bucket int, ids binary")

@@ -16,6 +16,7 @@ from .oracles import LOWER, UPPER, secrets_sql, url_sql
 from .quality_rules import RULES, STOP_WORDS, compiled, quality_rules
 from .quality_votes import quality_scores
 from .secret_ledger import scan_secrets, secret_digests
+from .token_counts import token_counts, vocabulary_of
 from .url_filter import url_verdicts
 
 
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_of(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_components(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_benchmark_leaks": op4_benchmark_leaks,

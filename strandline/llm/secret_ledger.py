@@ -109,6 +109,10 @@ def _read_ledger(spark, path: str | None) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def secret_digests(scanned: DataFrame, base: tuple[SecretRule, ...] = BASE_RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans, the last two over ``kind:start:end`` joined by commas."""
 
@@ -116,6 +120,6 @@ def secret_digests(scanned: DataFrame, base: tuple[SecretRule, ...] = BASE_RULES
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     kinds = [r.kind for r in base]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
     base_spans = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return scanned.select("doc_id", *counts, F.sha2(joined(base_spans), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
