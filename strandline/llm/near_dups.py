@@ -178,7 +178,10 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     def met(rows: DataFrame) -> DataFrame:
         # The class with the most common half keys is the hub: near copies then share few hubs.
-        hubs = rows.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub.cls").withColumnRenamed("cls", "hub")
+        # Of tables whose buckets hold the same classes one is enough.
+        marks = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")]
+        hubs = rows.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("hub"), F.count("*").alias("n"), *marks).where("n > 1")
+        hubs = hubs.groupBy("n", "x", "y").agg(F.min(F.struct("key", F.col("hub.cls").alias("hub"))).alias("one")).select("one.key", "one.hub")
         return rows.join(hubs, "key").where("cls <> hub")
 
     buckets = space.keep(met(tables))  # (key, met, cls, hub), without the hub's own row
@@ -210,8 +213,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
     groups = every.where("100 * common >= 55 * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
     left = buckets.select("key", "cls").unionByName(buckets.select("key", F.col("hub").alias("cls")).distinct())
-    same = left.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum")).groupBy("n", "sum").agg(F.min("key").alias("key"))
-    left = left.join(same.select("key"), "key").select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
+    left = left.select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
     groups = groups.unionByName(left).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     groups = space.keep(groups.join(sets.select("cls", "n"), "cls"))
     spread = groups.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.sum("n") / BLOCK_SHINGLES).cast("int").alias("more")).where("low <> high")
@@ -232,3 +234,13 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept")
     )
+
+
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are kept; of rows that repeat an id one stays, rows without id that
+    are kept stay once for each text.
+    """
+    verdicts = near_dup_components(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(verdicts, doc_id, "left_semi").dropDuplicates([doc_id])
+    nameless = docs.where(F.col(doc_id).isNull()).dropDuplicates([text]).join(verdicts, docs[doc_id].eqNullSafe(verdicts[doc_id]), "left_semi")
+    return named.unionByName(nameless)
