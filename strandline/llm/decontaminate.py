@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import WIDTH, word_lists
@@ -31,7 +31,7 @@ MIN_SHINGLES, MIN_PART = 0.8, 0.6
 BLOCK_ITEMS = 16
 #: Items of one index; a larger benchmark is searched by several indexes.
 INDEX_ITEMS = 2048
-LEAKS = "doc_id long, item_id long, score double, overlap double"
+LEAKS = "array<struct<item_id:bigint,score:double,overlap:double>>"
 
 
 def normal(word: str) -> str:
@@ -152,37 +152,54 @@ def _leaks_of(index: Index, terms: np.ndarray, doc_of: np.ndarray, begins: np.nd
                     yield doc, item, float(scores[k]), overlap
 
 
-def _searcher(shared):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+def leak_column(index: Index, text: Column, spark: SparkSession) -> Column:
+    """For each text an array of (item_id, score, overlap); the other columns of its rows do not pass through Python."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf(LEAKS)
+    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code: dict[bytes, int] = {}
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
-        for batch in batches:
-            lists = word_lists(batch.column(1))
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-            coded = flat.dictionary_encode()
-            if len(code) > 1_000_000:
-                code.clear()
-            table = []
-            for w in coded.dictionary.cast(pa.large_binary()).to_pylist():
-                got = code.get(w)
-                if got is None:
-                    n = normal(w.decode())
-                    got = code[w] = index.vocabulary.get(n, -1) if n else -2
-                table.append(got)
-            terms = np.array(table, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-            real = terms > -2  # strings without a word character are no words
-            begins = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-            terms = terms[real]
-            doc_of = np.repeat(np.arange(len(batch)), np.diff(begins))
-            best: dict[tuple[int, int], tuple[float, float]] = {}
-            for doc, item, score, overlap in _leaks_of(index, terms, doc_of, begins[:-1]):
-                best[doc, item] = max(best.get((doc, item), (0.0, 0.0)), (score, overlap))
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[d], index.items[i], *v) for (d, i), v in sorted(best.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, schema.types)], schema=schema)
-
-    return search
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
+        for some in texts:
+            yield pa.array(_search(shared.value, some, code), kind)
+
+    return search(text)
+
+
+def _search(index: Index, texts: pa.Array, code: dict[bytes, int]) -> list[list[dict]]:
+    """code: what is known of words so far: their number in the vocabulary, -1 if in no item, -2 if no word."""
+    lists = word_lists(texts)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    coded = flat.dictionary_encode()
+    if len(code) > 1_000_000:
+        code.clear()
+    table = []
+    for w in coded.dictionary.cast(pa.large_binary()).to_pylist():
+        got = code.get(w)
+        if got is None:
+            n = normal(w.decode())
+            got = code[w] = index.vocabulary.get(n, -1) if n else -2
+        table.append(got)
+    terms = np.array(table, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+    real = terms > -2
+    begins = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    terms = terms[real]
+    doc_of = np.repeat(np.arange(len(texts)), np.diff(begins))
+    best: list[dict[int, tuple[float, float]]] = [{} for _ in range(len(texts))]
+    for doc, item, score, overlap in _leaks_of(index, terms, doc_of, begins[:-1]):
+        best[doc][item] = max(best[doc].get(item, (0.0, 0.0)), (score, overlap))
+    return [[{"item_id": index.items[i], "score": s, "overlap": o} for i, (s, o) in sorted(found.items())] for found in best]
+
+
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """Indexes over slices of about ``INDEX_ITEMS`` items each, which come to the driver one at a time."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    n_slices = -(-items.count() // INDEX_ITEMS)
+    for k in range(n_slices):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == k).collect()
+        index = build_index([(r.item_id, r.text) for r in rows])
+        if index:
+            yield index
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -190,18 +207,20 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     of the best window), overlap (share of the item's shingles in that window).
 
     Null and empty texts hold nothing; items without id or words match nothing; equal items are each reported; repeated rows
-    of ``docs`` each give theirs.  Empty tables give no rows; other columns are not read.  Items come to the driver in slices
-    of about ``INDEX_ITEMS``, one index for each.
+    of ``docs`` each give theirs.  Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    n_slices = -(-items.count() // INDEX_ITEMS)
-    found = spark.createDataFrame([], LEAKS)
-    for k in range(n_slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == k).collect()
-        index = build_index([(r.item_id, r.text) for r in rows])
-        if index:
-            found = found.unionByName(source.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), LEAKS))
+    found = spark.createDataFrame([], "doc_id long, item_id long, score double, overlap double")
+    for index in indexes(benchmark, item_id, item_text):
+        found = found.unionByName(source.select("doc_id", leak_column(index, F.col("text"), spark).alias("found")).select("doc_id", F.inline("found")))
     return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item."""
+    small_batches(docs.sparkSession)
+    for index in indexes(benchmark, item_id, item_text):
+        docs = docs.where(F.size(leak_column(index, F.col(text), docs.sparkSession)) == 0)
+    return docs

@@ -54,17 +54,15 @@ def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WOR
     return F.flatten(F.transform(bound, cut))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, text (without repeated chunks), n_removed (chunks), removed_lines, row_key.
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
 
-    A null text is an empty one.  Rows that repeat both doc_id and text are one document here and get the same result; null
-    ids come last.  A repeated chunk stays where it occurs first, within a document too.  An empty table gives no rows;
-    other columns are not read.  ``row_key`` names the (doc_id, text) pair.
-    """
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """row_key, places (array of chunk numbers to remove) and removed_lines, for the rows of ``docs`` that lose chunks."""
     space = Workspace(docs.sparkSession, "line-chunks")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
-    rows = rows.withColumn("row_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
     chunks = rows.select("doc_id", "row_key", F.posexplode(chunk_lists(F.col("text"), divisor, long_words)).alias("place", "c"))
     chunks = chunks.where((F.col("c.lines") > 1) | (F.col("c.words") >= long_words)).where("c.words > 0")
     # Grouping by the chunk itself compares bytes; its digest then names it in rows without text.
@@ -76,13 +74,25 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divi
     later = found.where("own").join(first, ["digest", "size"]).where("NOT (row_key = first.row_key AND place = first.place)")
     gone = found.where("NOT own").unionByName(later.drop("first")).select("row_key", "place", "lines").distinct()
     gone = gone.groupBy("row_key").agg(F.collect_list("place").alias("places"), F.sum("lines").alias("removed_lines"))
-    joined = rows.join(gone, "row_key", "left")
+    return space.keep(gone)
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """The rows of ``docs`` as columns ``row`` (struct of all their columns), doc_id, text (without repeated chunks), n_removed
+    (chunks) and removed_lines.
+
+    A null text is an empty one.  Rows that repeat both doc_id and text are one document here and get the same result; null
+    ids come last.  A repeated chunk stays where it occurs first, within a document too.  An empty table gives no rows.
+    """
+    gone = removals(docs, doc_id, text, divisor, long_words)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone, "row_key", "left")
     every = F.transform(chunk_lists(F.col("text"), divisor, long_words), lambda c: c["chunk"])
     left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("places", i)), "\n")
     return joined.select(
+        "row",
         "doc_id",
         F.when(F.col("places").isNotNull(), left).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_removed"),
         F.coalesce("removed_lines", F.lit(0).cast("long")).alias("removed_lines"),
-        "row_key",
     )

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import word_lists
@@ -26,7 +26,6 @@ TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 15, 4
 #: Bounds of the sample of labelled rows, and of those that the decomposition is computed from.
 LABELLED, DECOMPOSED = 6000, 2048
 BLOCK_ROWS = 500
-SCORES = "doc_id long, score double"
 _REPEATS = 3
 
 
@@ -128,15 +127,17 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters: Voters = shared.value
+def score_column(voters: Voters, text: Column, spark: SparkSession) -> Column:
+    """Scores of a text column; the other columns of its rows do not pass through Python."""
+    shared = spark.sparkContext.broadcast(voters)
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[bytes, int] = {}
-        for batch in batches:
-            scores = voters.score(list(term_rows(batch.column(1), cache)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        for some in texts:
+            yield pa.array(shared.value.score(list(term_rows(some, cache))), pa.float64())
 
-    return score
+    return score(text)
 
 
 def learn_voters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Voters:
@@ -164,6 +165,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(learn_voters(docs, labels, doc_id, text, label))
-    scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scorer(shared), SCORES)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scored = rows.select("doc_id", score_column(learn_voters(docs, labels, doc_id, text, label), F.col("text"), spark).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    small_batches(docs.sparkSession)
+    return docs.where(score_column(learn_voters(docs, labels, doc_id, text, label), F.col(text), docs.sparkSession) >= threshold)

@@ -13,6 +13,7 @@ from .decontaminate import benchmark_leaks
 from .line_chunks import line_dedup
 from .near_dups import near_dup_components
 from .oracles import LOWER, UPPER, secrets_sql, url_sql
+from .pseudonyms import pseudonymise
 from .quality_rules import RULES, STOP_WORDS, compiled, quality_rules
 from .quality_votes import quality_scores
 from .secret_ledger import scan_secrets, secret_digests
@@ -64,6 +65,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
