@@ -38,6 +38,11 @@ _PATTERNS = dict(zip(KINDS, (EMAIL, ADDRESS, DATE, SOCIAL, PHONE, ACCOUNT, CARD)
 _ANY = "|".join(f"(?:{p})" for p in (EMAIL, ADDRESS, DATE.replace(r"(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}", "(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}"), SOCIAL, PHONE, ACCOUNT, CARD))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(key: str, *parts: Column) -> Column:
     """A keyed number below 2^32 from the parts."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 8), 16, 10).cast("long")
@@ -58,6 +63,10 @@ def _shifted(half: Column, other: Column, key: str, kind: str, turn: Column) ->
 
 def permute_text(value: Column, key: str, kind: str) -> Column:
     """Permutes strings of one length and pattern of alphabets; a single character is shifted by a keyed constant."""
+    return bound(value, lambda v: _permuted(v, key, kind))
+
+
+def _permuted(value: Column, key: str, kind: str) -> Column:
     left = F.floor(F.length(value) / 2).cast("int")
     begin = F.struct(F.substring(value, F.lit(1), left).alias("a"), F.substring(value, left + 1, F.length(value)).alias("b"))
 
@@ -71,68 +80,80 @@ def permute_text(value: Column, key: str, kind: str) -> Column:
 
 def permute_number(value: Column, a: int, b: int, key: str, kind: str) -> Column:
     """Permutes whole numbers from 0 to a * b - 1."""
-    begin = F.struct(F.floor(value / b).cast("long").alias("x"), (value % b).cast("long").alias("y"))
-
     def turn(s: Column, r: Column) -> Column:
         even = F.struct(((s["x"] + _number(key, F.lit(kind), r.cast("string"), s["y"].cast("string"))) % a).alias("x"), s["y"].alias("y"))
         odd = F.struct(s["x"].alias("x"), ((s["y"] + _number(key, F.lit(kind), r.cast("string"), s["x"].cast("string"))) % b).alias("y"))
         return F.when(r % 2 == 0, even).otherwise(odd)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: s["x"] * b + s["y"])
+    def run(v: Column) -> Column:
+        begin = F.struct(F.floor(v / b).cast("long").alias("x"), (v % b).cast("long").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: s["x"] * b + s["y"])
+
+    return bound(value, run)
 
 
 def _filled(shape: Column, symbols: Column, pattern: str) -> Column:
     """The shape with its characters of ``pattern``, in order, replaced by those of ``symbols``."""
 
-    def step(s: Column, i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        takes = c.rlike(pattern)
-        return F.struct(F.concat(s["out"], F.when(takes, F.substring(symbols, s["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["k"] + takes.cast("int")).alias("k"))
+    def fill(both: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            c = F.substring(both["shape"], i, F.lit(1))
+            takes = c.rlike(pattern)
+            return F.struct(F.concat(s["out"], F.when(takes, F.substring(both["symbols"], s["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["k"] + takes.cast("int")).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(shape)), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda s: s["out"])
+        return F.aggregate(F.sequence(F.lit(1), F.length(both["shape"])), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda s: s["out"])
+
+    return bound(F.struct(shape.alias("shape"), symbols.alias("symbols")), fill)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Sum by Luhn's rule; the digits are valid if 10 divides it."""
 
-    def one(a: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") * (i % 2 + 1)
-        return a + d - F.when(d > 9, 9).otherwise(0)
+    def total(v: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            d = F.substring(v, F.length(v) - i, F.lit(1)).cast("int") * (i % 2 + 1)
+            return a + d - F.when(d > 9, 9).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(v) - 1), F.lit(0), one)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), one)
+    return bound(digits, total)
 
 
 def mod97(text: Column) -> Column:
     """Remainder by 97 of the number that digits and letters (A is 10) spell."""
 
-    def one(a: Column, i: Column) -> Column:
-        v = F.conv(F.substring(text, i, F.lit(1)), 36, 10).cast("int")
-        return (a * F.when(v > 9, 100).otherwise(10) + v) % 97
+    def total(t: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            v = F.conv(F.substring(t, i, F.lit(1)), 36, 10).cast("int")
+            return (a * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), one)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), one)
+    return bound(text, total)
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
     fresh = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (10 - luhn_sum(F.concat(fresh, F.lit("0"))) % 10) % 10
-    return luhn_sum(digits) % 10 == 0, _filled(m, F.concat(fresh, check.cast("string")), "[0-9]")
+    whole = bound(fresh, lambda f: F.concat(f, ((10 - luhn_sum(F.concat(f, F.lit("0"))) % 10) % 10).cast("string")))
+    return luhn_sum(digits) % 10 == 0, _filled(m, whole, "[0-9]")
 
 
 def _account(m: Column, key: str) -> tuple[Column, Column]:
     plain = F.regexp_replace(m, " ", "")
     country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     fresh = permute_text(body, key, "account")
-    check = F.lpad((98 - mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-    return mod97(F.concat(body, F.substring(plain, 1, 4))) == 1, _filled(m, F.concat(country, check, fresh), "[A-Z0-9]")
+    whole = bound(fresh, lambda f: F.concat(country, F.lpad((98 - mod97(F.concat(f, country, F.lit("00")))).cast("string"), 2, "0"), f))
+    return mod97(F.concat(body, F.substring(plain, 1, 4))) == 1, _filled(m, whole, "[A-Z0-9]")
 
 
 def _address(m: Column, key: str) -> tuple[Column, Column]:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    fresh = permute_number(number, 65536, 65536, key, "address")
-    parts = [F.floor(fresh / F.lit(256**k)).cast("long") % 256 for k in (3, 2, 1, 0)]
-    return F.forall(octets, lambda x: x < 256), F.concat_ws(".", *(p.cast("string") for p in parts))
+    def dotted(fresh: Column) -> Column:
+        return F.concat_ws(".", *((F.shiftright(fresh, 8 * k) % 256).cast("string") for k in (3, 2, 1, 0)))
+
+    return F.forall(octets, lambda x: x < 256), bound(permute_number(number, 65536, 65536, key, "address"), dotted)
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
@@ -140,8 +161,11 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     iso = F.when(dotted, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(F.translate(m, "/", "-"))
     number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY)))
     fresh = F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), permute_number(number, DAYS_A, DAYS_B, key, "date").cast("int")), "yyyy-MM-dd")
-    shaped = F.when(dotted, F.concat_ws(".", F.substring(fresh, 9, 2), F.substring(fresh, 6, 2), F.substring(fresh, 1, 4))).when(m.contains("/"), F.translate(fresh, "-", "/")).otherwise(fresh)
-    return F.coalesce(number.between(0, DAYS_A * DAYS_B - 1), F.lit(False)), shaped
+
+    def shaped(f: Column) -> Column:
+        return F.when(dotted, F.concat_ws(".", F.substring(f, 9, 2), F.substring(f, 6, 2), F.substring(f, 1, 4))).when(m.contains("/"), F.translate(f, "-", "/")).otherwise(f)
+
+    return F.coalesce(number.between(0, DAYS_A * DAYS_B - 1), F.lit(False)), bound(fresh, shaped)
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
