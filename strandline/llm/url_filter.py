@@ -109,8 +109,13 @@ def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", r
         fits = ((F.col("host") == rule_host) | F.endswith("host", F.lit("." + rule_host))) & F.startswith("path", F.lit(rule_path))
         rule, verdict = F.when(fits, rule_host + rule_path).otherwise(rule), F.when(fits, says).otherwise(verdict)
     weights, intercept = train(tuple(labelled))
-    table = F.transform(F.split(F.lit(",".join(map(repr, weights))), ","), lambda x: x.cast("double"))
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("buckets", gram_buckets(F.col("host"), F.col("path")))
-    total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    score = F.lit(intercept) + total / F.sqrt(F.greatest(F.size("buckets"), F.lit(1)))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"))
+    table = F.array(*map(F.lit, weights))  # literals only, so the optimizer makes it one constant
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
+
+    def score(buckets: Column) -> Column:
+        total = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
+        return F.lit(intercept) + total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)))
+
+    # Only pages without a rule are scored; the one-element array binds their buckets once.
+    judged = F.transform(F.array(gram_buckets(F.col("host"), F.col("path"))), lambda b: F.when(score(b) > 0, "block").otherwise("allow"))[0]
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("ruled").isNotNull(), F.col("ruled")).otherwise(judged).alias("verdict"))
