@@ -86,7 +86,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divi
     """
     gone = removals(docs, doc_id, text, divisor, long_words)
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone, "row_key", "left")
+    joined = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone.hint("shuffle_hash"), "row_key", "left")
     every = F.transform(chunk_lists(F.col("text"), divisor, long_words), lambda c: c["chunk"])
     left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("places", i)), "\n")
     return joined.select(
