@@ -1,7 +1,8 @@
 """Byte-level BPE: distinct pre-tokens are encoded once for the whole corpus, then joined back by position.
 
 1. Texts are cut into pre-tokens.  A block (the texts of one task, up to ``BLOCK_TOKENS`` pre-tokens) becomes one row that
-   holds each pre-token's position as an index into the block's list of distinct pre-tokens.
+   holds each pre-token's position as an index into the block's list of distinct pre-tokens.  Blocks are named by their
+   content, so a task that runs again makes the same ones, and both steps below read one shuffle of them.
 2. These lists are shuffled by a hash of the pre-token: all blocks' occurrences of a pre-token meet in one bucket, which
    encodes each distinct one once.
 3. The ids go back to their blocks, and texts are put together by position.
@@ -18,17 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace, small_batches
+from .storage import small_batches
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Bytes of input for each bucket of distinct pre-tokens.
 BUCKET_BYTES = 8_000_000
 
-CUT = "block string, doc_ids array<long>, lengths array<long>, codes binary, buckets binary, bucket int, words binary"
+CUT = "block binary, doc_ids array<long>, lengths array<long>, codes binary, buckets binary, lists array<struct<bucket:int,words:binary>>"
 
 
 def rank_table(raw: bytes) -> dict[bytes, int]:
@@ -60,25 +62,23 @@ def _numbers(data: bytes) -> np.ndarray:
 
 def _cutter(pattern: str, n_buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         import regex
 
-        # White space here is what Unicode calls so, without the ASCII separators 1C to 1F.
         find = regex.compile(pattern).findall
-        schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
+        lists = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
+        schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.binary()), ("lists", lists)])
         known: dict[str, int] = {}
         ids, lengths, codes, total = [], [], [], 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            block, words = uuid.uuid4().hex, [w.encode() for w in known]
+        def row() -> pa.RecordBatch:
+            words = [w.encode() for w in known]
             bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": ids, "lengths": lengths, "codes": _planes(flat), "buckets": _planes(bucket)}], schema=schema)
             bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(words)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                yield pa.RecordBatch.from_pylist([{"block": block, "bucket": int(bucket[order[a]]), "words": pack([words[k] for k in order[a:b].tolist()])}], schema=schema)
+            parts = [{"bucket": int(bucket[order[a]]), "words": pack([words[k] for k in order[a:b].tolist()])} for a, b in zip(bounds[:-1], bounds[1:])]
+            flat = _planes(np.concatenate(codes))
+            name = xxhash.xxh3_128_digest(repr(ids).encode() + flat + b"".join(words))
+            return pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "lengths": lengths, "codes": flat, "buckets": _planes(bucket), "lists": parts}], schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -88,15 +88,21 @@ def _cutter(pattern: str, n_buckets: int):
                 codes.append(np.array(found, np.uint32))
                 total += len(found)
                 if total >= BLOCK_TOKENS or len(ids) >= BLOCK_TOKENS:
-                    yield from rows()
+                    yield row()
                     known.clear()
                     ids, lengths, codes, total = [], [], [], 0
         if ids:
-            yield from rows()
+            yield row()
 
     return cut
 
 
+def _lists(blocks: pa.Table) -> pa.Table:
+    """The lists of a block as rows.  Equal blocks give equal lists, which are needed once."""
+    rows = [(name, x["bucket"], x["words"]) for name, lists in zip(blocks["block"].to_pylist()[:1], blocks["lists"].to_pylist()[:1]) for x in lists]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, (pa.binary(), pa.int32(), pa.binary()))], names=["block", "bucket", "words"])
+
+
 def _word_encoder(ranks_file):
     """Encodes every distinct pre-token of a bucket once, for all blocks that have it."""
 
@@ -153,16 +159,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     """
     spark = docs.sparkSession
     small_batches(spark)
-    space = Workspace(spark, "bpe")
     with open(ranks_path, "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n_buckets = max(8, min(1_000_000, size // BUCKET_BYTES))
-    cut = space.keep(source.mapInArrow(_cutter(pattern, n_buckets), CUT))
-    words = cut.where("bucket IS NOT NULL").select("block", "bucket", "words").groupBy("bucket").applyInArrow(_word_encoder(ranks_file), "block string, bucket int, ids binary")
-    texts = cut.where("bucket IS NULL").select("block", "doc_ids", "lengths", "codes", "buckets")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    # Plans over files know their size, others give the largest number there is.
+    n_buckets = max(8, size // BUCKET_BYTES) if size < 2**53 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = source.mapInArrow(_cutter(pattern, n_buckets), CUT).repartition("block")
+    words = blocks.groupBy("block").applyInArrow(_lists, "block binary, bucket int, words binary")
+    ids = words.groupBy("bucket").applyInArrow(_word_encoder(ranks_file), "block binary, bucket int, ids binary")
+    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
 
 def _decoder(ranks_file):
