@@ -6,7 +6,7 @@ need 1,176 minhashes where 84 are computed.  A pair of similarity s meets in a t
 a pair is missed with probability 3.3e-6.
 
 Nothing is capped.  Texts with equal sets form one class.  In each table's bucket every class is compared with a hub.  The
-Jaccard distance is a metric, so two classes within 0.15 of each other are both within 0.45 of the hub, or both beyond 0.30:
+Jaccard distance is a metric, so two classes within 0.15 of each other are both within 0.60 of the hub, or both beyond 0.45:
 the first are compared with each other in blocks (hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after
 ``ROUNDS`` hubs are compared in blocks as they are.
 """
@@ -197,7 +197,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         edges = buckets.select("hub", "cls").distinct()
         seen = space.keep(_compare_with_hubs(edges, sets))
         compared.append(seen)
-        far = seen.where("100 * common < 70 * whole").select("hub", "cls")
+        far = seen.where("100 * common < 55 * whole").select("hub", "cls")
         rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls")))
         space.drop(buckets)
         buckets = rest
@@ -211,7 +211,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     # Balls around hubs of one component overlap much, so they are one group.
     root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
-    groups = every.where("100 * common >= 55 * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
+    groups = every.where("100 * common >= 40 * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
     left = buckets.select("key", "cls").unionByName(buckets.select("key", F.col("hub").alias("cls")).distinct())
     left = left.select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
     groups = groups.unionByName(left).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -237,10 +237,12 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are kept; of rows that repeat an id one stays, rows without id that
-    are kept stay once for each text.
+    """The rows of ``docs``, with all their columns, that are kept; of rows that repeat an id one stays.
+
+    Rows without id are named by a hash of their text, above 2^62, so a row with an id of the same group goes before them.
     """
-    verdicts = near_dup_components(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(verdicts, doc_id, "left_semi").dropDuplicates([doc_id])
-    nameless = docs.where(F.col(doc_id).isNull()).dropDuplicates([text]).join(verdicts, docs[doc_id].eqNullSafe(verdicts[doc_id]), "left_semi")
-    return named.unionByName(nameless)
+    key = "_near_dup_key"
+    nameless = F.lit(2**62) + F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1))
+    rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), nameless))
+    verdicts = near_dup_components(rows, key, text).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(verdicts, key, "left_semi").dropDuplicates([key]).drop(key)
