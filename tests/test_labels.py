@@ -193,7 +193,7 @@ def test_decoding_against_all_paths():
 
 
 def test_a_planted_gene_is_found_on_both_strands(spark):
-    gene = "ATG" + "GCC" * 40 + "TAA"
+    gene = "ATG" + "CCA" * 40 + "TAA"
     text = "CCTTCA" * 20 + gene + "CCTTCA" * 20
     model = replace(hmm.GeneModel.usual(ir=20, intron=100, exon=60), start=np.eye(15)[0])
     path = hmm.viterbi(model, text)
