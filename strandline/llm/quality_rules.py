@@ -37,7 +37,7 @@ RULES = (
     Rule("word_length_high", "word_chars - 14 * n_words", high=0),
     Rule("symbols", "10 * n_symbols - n_words", high=0),
     Rule("stop_words", "n_stop_words", low=2),
-    Rule("repeated_lines", "10 * n_dup_lines - 3 * n_lines", high=0),
+    Rule("repeated_lines", "10 * (n_dup_lines - 1) - 3 * n_lines", high=0),  # one repeated title line is nothing odd
     Rule("capitals", "10 * n_capitals - 3 * word_chars", high=0),
     Rule("shouted_words", "10 * n_exclamations - 3 * n_words", high=0),
 )
@@ -47,53 +47,82 @@ BLANK = r"[\x20\x09-\x0D]+"
 _PLACE = 26
 
 
-def _repeat_words() -> Column:
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeat_words(w: Column) -> Column:
     """Words in 3-word windows that occur twice or more.
 
     Windows are packed as hash and place in one long and sorted, so equal windows are neighbours; neighbours are compared word
     by word.  Should two different windows share hash bits, or the text have too many words to pack, whole windows are sorted.
     """
-    same_words = "(w[p] = w[q] AND w[p + 1] = w[q + 1] AND w[p + 2] = w[q + 2])"
-    place = f"(1L << {_PLACE}) - 1"
-    covered = "cast(size(array_distinct(flatten(transform({0}, p -> array(p, p + 1, p + 2))))) as bigint)"
-    pairs = f"transform(near, k -> struct(cast(packed[k - 1] & ({place}) as int) as p, cast(packed[k] & ({place}) as int) as q))"
-    plain = "flatten(transform(pairs, x -> array(x.p, x.q)))"
-    slow_sorted = "array_sort(transform(sequence(0, size(w) - 3), p -> struct(w[p] as a, w[p + 1] as b, w[p + 2] as c, p as p)))"
-    slow = (
-        f"transform(array({slow_sorted}), s -> flatten(transform(filter(sequence(1, size(s) - 1), k -> s[k].a = s[k - 1].a AND s[k].b = s[k - 1].b AND s[k].c = s[k - 1].c),"
-        " k -> array(s[k].p, s[k - 1].p))))[0]"
-    )
-    mixed = "exists(pairs, x -> w[x.p] <> w[x.q] OR w[x.p + 1] <> w[x.q + 1] OR w[x.p + 2] <> w[x.q + 2])"
-    return F.expr(
-        f"CASE WHEN size(w) < 4 THEN 0L WHEN size(w) >= (1L << {_PLACE}) THEN {covered.format(slow)} WHEN size(near) = 0 THEN 0L "
-        f"ELSE transform(array({pairs}), pairs -> CASE WHEN {mixed} THEN {covered.format(slow)} ELSE {covered.format(plain)} END)[0] END"
-    )
+    last, mask = F.size(w) - 3, F.lit((1 << _PLACE) - 1)
+    few = F.size(w) < min(1 << _PLACE, 2**31 - 1)
+
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2))))).cast("long")
+
+    def word(p: Column) -> Column:
+        return F.get(w, p)
+
+    def window(p: Column) -> Column:
+        return F.shiftleft(F.xxhash64(word(p), word(p + 1), word(p + 2)), _PLACE).bitwiseOR(p.cast("long"))
+
+    def by_sorting() -> Column:
+        whole = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(word(p).alias("a"), word(p + 1).alias("b"), word(p + 2).alias("c"), p.alias("p"))))
+
+        def same(s: Column) -> Column:
+            def equal(k: Column) -> Column:
+                x, y = F.get(s, k), F.get(s, k - 1)
+                return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+            near = F.filter(F.sequence(F.lit(1), F.size(s) - 1), equal)
+            return covered(F.flatten(F.transform(near, lambda k: F.array(F.get(s, k)["p"], F.get(s, k - 1)["p"]))))
+
+        return bound(whole, same)
+
+    def by_hash(packed: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(1), F.size(packed) - 1), lambda k: F.shiftright(F.get(packed, k), _PLACE) == F.shiftright(F.get(packed, k - 1), _PLACE))
+        place = lambda k: F.get(packed, k).bitwiseAND(mask).cast("int")
+        pairs = F.transform(near, lambda k: F.struct(place(k - 1).alias("p"), place(k).alias("q")))
+
+        def judged(pairs: Column) -> Column:
+            mixed = F.exists(pairs, lambda x: (word(x["p"]) != word(x["q"])) | (word(x["p"] + 1) != word(x["q"] + 1)) | (word(x["p"] + 2) != word(x["q"] + 2)))
+            plain = covered(F.flatten(F.transform(pairs, lambda x: F.array(x["p"], x["q"]))))
+            return F.when(F.size(pairs) == 0, F.lit(0).cast("long")).when(mixed, by_sorting()).otherwise(plain)
+
+        return bound(pairs, judged)
+
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), last), window))
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).when(few, bound(packed, by_hash)).otherwise(by_sorting())
 
 
 def text_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the metrics that rules use, one row per row of ``docs``.  A null text is an empty one."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.withColumn("w", F.array_remove(F.split("t", BLANK, -1), "")).withColumn("l", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    windows = f"transform(sequence(0, size(w) - 3), p -> shiftleft(xxhash64(w[p], w[p + 1], w[p + 2]), {_PLACE}) | p)"
-    rows = rows.withColumn("packed", F.expr(f"CASE WHEN size(w) >= 4 AND size(w) < (1L << {_PLACE}) THEN sort_array({windows}) ELSE array(0L) END"))
-    near = f"filter(sequence(1, size(packed) - 1), k -> shiftright(packed[k], {_PLACE}) = shiftright(packed[k - 1], {_PLACE}))"
-    rows = rows.withColumn("near", F.expr(f"CASE WHEN size(packed) > 1 THEN {near} ELSE array() END"))
+    words = F.array_remove(F.split("t", BLANK, -1), "")
+    lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _repeat_words(w).alias("n_repeat_words"),
+            F.size(F.array_intersect(w, F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        )
+
+    def of_lines(x: Column) -> Column:
+        return F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines"))
 
     def count(kind: str) -> Column:
         return F.length(F.regexp_replace("t", f"[^{kind}]+", "")).cast("long")
 
-    return rows.select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        count("#*$%&|<>").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words().alias("n_repeat_words"),
-        F.size("l").cast("long").alias("n_lines"),
-        F.size(F.array_intersect("w", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
-        count("A-Z").alias("n_capitals"),
-        count("!").alias("n_exclamations"),
+    rows = rows.select(
+        "doc_id", bound(words, of_words).alias("w"), bound(lines, of_lines).alias("l"), count("#*$%&|<>").alias("n_symbols"), count("A-Z").alias("n_capitals"), count("!").alias("n_exclamations")
     )
+    return rows.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_stop_words", "n_capitals", "n_exclamations")
 
 
 def compiled(rules: tuple[Rule, ...]) -> str:
