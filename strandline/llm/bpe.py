@@ -24,9 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import lean_memory, small_batches
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Bytes of input for each bucket of distinct pre-tokens.
 BUCKET_BYTES = 8_000_000
 
@@ -64,6 +64,7 @@ def _cutter(pattern: str, n_buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        lean_memory()
         find = regex.compile(pattern).findall
         lists = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
         schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.binary()), ("lists", lists)])
@@ -109,6 +110,7 @@ def _word_encoder(ranks_file):
     def encode(table: pa.Table) -> pa.Table:
         import tiktoken
 
+        lean_memory()
         piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(ranks_file.value), special_tokens={})._core_bpe.encode_single_piece
         done: dict[bytes, bytes] = {}
         out = []
@@ -127,6 +129,7 @@ def _word_encoder(ranks_file):
 
 def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of each text of a block, by the positions of its pre-tokens."""
+    lean_memory()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
     out = []
     for row in texts.to_pylist():
@@ -173,6 +176,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
 
 def _decoder(ranks_file):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         tokens = sorted((rank, token) for token, rank in rank_table(ranks_file.value).items())
         sizes = np.zeros(tokens[-1][0] + 1, np.int64)
         sizes[[r for r, _ in tokens]] = [len(t) for _, t in tokens]

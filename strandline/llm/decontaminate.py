@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shingles import WIDTH, word_lists
-from .storage import small_batches
+from .shingles import WIDTH, WORDS_KEPT, word_lists
+from .storage import lean_memory, small_batches
 
 K1, B = 1.2, 0.75
 MIN_SHINGLES, MIN_PART = 0.8, 0.6
@@ -158,6 +158,7 @@ def leak_column(index: Index, text: Column, spark: SparkSession) -> Column:
 
     @F.arrow_udf(LEAKS)
     def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_memory()
         code: dict[bytes, int] = {}
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
         for some in texts:
@@ -171,7 +172,7 @@ def _search(index: Index, texts: pa.Array, code: dict[bytes, int]) -> list[list[
     lists = word_lists(texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy()
     coded = flat.dictionary_encode()
-    if len(code) > 1_000_000:
+    if len(code) > WORDS_KEPT:
         code.clear()
     table = []
     for w in coded.dictionary.cast(pa.large_binary()).to_pylist():

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shingles import word_lists
-from .storage import small_batches
+from .shingles import WORDS_KEPT, word_lists
+from .storage import lean_memory, small_batches
 
 TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 15, 4
 #: Bounds of the sample of labelled rows, and of those that the decomposition is computed from.
@@ -45,7 +45,7 @@ def term_rows(texts: pa.Array, cache: dict[bytes, int]) -> Iterator[tuple[np.nda
     flat, offsets = lists.flatten(), lists.offsets.to_numpy()
     offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
-    if len(cache) > 1_000_000:
+    if len(cache) > WORDS_KEPT:
         cache.clear()
     shapes = []
     for w in coded.dictionary.cast(pa.large_binary()).to_pylist():
@@ -133,6 +133,7 @@ def score_column(voters: Voters, text: Column, spark: SparkSession) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_memory()
         cache: dict[bytes, int] = {}
         for some in texts:
             yield pa.array(shared.value.score(list(term_rows(some, cache))), pa.float64())

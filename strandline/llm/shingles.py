@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import xxhash
 
 WIDTH = 5
+#: Words that a task remembers what it has computed of.
+WORDS_KEPT = 100_000
 _U = np.uint64
 #: Odd multiplier of the polynomial that combines the word fingerprints of a shingle.
 _STEP = _U(0x9E3779B97F4A7C15)

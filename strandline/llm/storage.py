@@ -27,22 +27,28 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._workspace_path = path
+        self.paths.add(path)
         return back
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._workspace_path)
+        self._delete({t._workspace_path for t in tables})
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self._delete(self.paths - {t._workspace_path for t in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        for name in paths & self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths -= paths
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -51,3 +57,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def lean_memory() -> None:
+    """For Python workers, which stay between tasks: Arrow then gives memory back instead of keeping it for later."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
