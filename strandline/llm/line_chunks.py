@@ -74,7 +74,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", diviso
     later = found.where("own").join(first, ["digest", "size"]).where("NOT (row_key = first.row_key AND place = first.place)")
     gone = found.where("NOT own").unionByName(later.drop("first")).select("row_key", "place", "lines").distinct()
     gone = gone.groupBy("row_key").agg(F.collect_list("place").alias("places"), F.sum("lines").alias("removed_lines"))
-    return space.keep(gone)
+    gone = space.keep(gone)
+    space.drop_all_but(gone)
+    return gone
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:

@@ -1,9 +1,9 @@
 """MinHash near-duplicate detection with tensored banding and verification on whole shingle sets.
 
 Each text gets two collections of ``HALVES`` half keys, each made of ``ROWS`` minhashes.  Table key (i, j) joins half key i of
-the first with half key j of the second collection, so 28 half keys of 3 minhashes make 196 tables of 6: a plain banding would
-need 1,176 minhashes where 84 are computed.  A pair of similarity s meets in a table with probability (1-(1-s^3)^14)^2; at 0.85
-a pair is missed with probability 3.3e-6.
+the first with half key j of the second collection, so 24 half keys of 3 minhashes make 144 tables of 6: a plain banding would
+need 864 minhashes where 72 are computed.  A pair of similarity s meets in a table with probability (1-(1-s^3)^12)^2; a pair of
+just 0.85 is missed with probability 2.2e-5, one of 0.9 with 3.1e-7.
 
 Nothing is capped.  Texts with equal sets form one class.  In each table's bucket every class is compared with a hub.  The
 Jaccard distance is a metric, so two classes within 0.15 of each other are both within 0.60 of the hub, or both beyond 0.45:
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingle_sets
-from .storage import Workspace, small_batches
+from .storage import Workspace, lean_memory, small_batches
 
-ROWS, HALVES, ROUNDS = 3, 14, 3
+ROWS, HALVES, ROUNDS = 3, 12, 3
 #: Per cent of the union that linked sets share.
 LINK = 85
 #: Shingles of all the sets in one block of a group.
@@ -56,6 +56,7 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean_memory()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
         sizes, classes, halves = [], [], []
@@ -67,6 +68,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean_memory()
     schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
         data = [s.tobytes() for s in shingle_sets(batch.column(0))]
@@ -84,6 +86,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub and salt, the hub's own row (no cls) first; gives the overlap of each member with its hub."""
+    lean_memory()
     schema = pa.schema([("hub", pa.binary()), ("cls", pa.binary()), ("common", pa.int64()), ("whole", pa.int64())])
     hub, own = None, np.zeros(0, _U)
     for batch in batches:
@@ -230,6 +233,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = named.join(least, "root", "left").where("root IS NOT NULL OR n_docs > 1").select("cls", F.coalesce("least_id", "first_id").alias("component_id"))
     named = space.keep(named)
+    space.drop_all_but(signed, named)
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept")
