@@ -127,34 +127,65 @@ def _word_encoder(ranks_file):
     return encode
 
 
-def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of each text of a block, by the positions of its pre-tokens."""
-    lean_memory()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
-    out = []
-    for row in texts.to_pylist():
-        codes, buckets = _numbers(row["codes"]), _numbers(row["buckets"])
-        parts: list[bytes] = [b""] * len(buckets)
-        for bucket, data in zip(words["bucket"].to_pylist(), words["ids"].to_pylist()):
-            for k, ids in zip(np.flatnonzero(buckets == bucket).tolist(), unpack(data)):
-                parts[k] = ids
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        bounds = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))]).tolist()
-        blobs, counts = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            n = sizes[codes[a:b]]
-            shift = starts[codes[a:b]] - (np.cumsum(n) - n)
-            ids = flat[np.repeat(shift, n) + np.arange(n.sum())]
-            counts.append(len(ids))
-            blobs.append(ids.tobytes())
-        out.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.large_binary())], schema=schema))
-    return (pa.concat_tables(out) if out else schema.empty_table()).cast(pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
-
-
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), without special tokens.
+class TokenBytes:
+    """The table of token bytes, joined to ids by position."""
+
+    def __init__(self, raw: bytes):
+        tokens = sorted((rank, token) for token, rank in rank_table(raw).items())
+        self.sizes = np.zeros(tokens[-1][0] + 1, np.int64)
+        self.sizes[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return gathered(self.flat, self.starts[ids], self.sizes[ids]).tobytes()
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces of ``flat`` put together."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+DECODED = ENCODED.append(pa.field("decoded", pa.binary()))
+
+
+def _reassembler(ranks_file=None):
+    """Ids of each text of a block, by the positions of its pre-tokens; with a rank file their bytes too."""
+
+    def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        lean_memory()
+        table = TokenBytes(ranks_file.value) if ranks_file else None
+        schema = DECODED if table else ENCODED
+        out = []
+        for row in texts.to_pylist():
+            codes, buckets = _numbers(row["codes"]), _numbers(row["buckets"])
+            parts: list[bytes] = [b""] * len(buckets)
+            for bucket, data in zip(words["bucket"].to_pylist(), words["ids"].to_pylist()):
+                for k, ids in zip(np.flatnonzero(buckets == bucket).tolist(), unpack(data)):
+                    parts[k] = ids
+            flat = np.frombuffer(b"".join(parts), "<u4")
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            starts = np.cumsum(sizes) - sizes
+            bounds = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))]).tolist()
+            columns = [row["doc_ids"], [], [], []]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                ids = gathered(flat, starts[codes[a:b]], sizes[codes[a:b]])
+                columns[1].append(len(ids))
+                columns[2].append(ids.tobytes())
+                if table:
+                    columns[3].append(table.decode(ids))
+            out.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return reassemble
+
+
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), without special tokens; if asked also
+    decoded, the bytes of the ids, which spares handing the ids to Python once more.
 
     Each match of ``pattern`` is encoded by itself.  Null and empty texts have no tokens.  Repeated rows and rows without
     doc_id are encoded each; an empty table gives none; other columns are not read.  ``ranks_path`` is read on the driver
@@ -171,25 +202,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     blocks = source.mapInArrow(_cutter(pattern, n_buckets), CUT).repartition("block")
     words = blocks.groupBy("block").applyInArrow(_lists, "block binary, bucket int, words binary")
     ids = words.groupBy("bucket").applyInArrow(_word_encoder(ranks_file), "block binary, bucket int, ids binary")
-    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    columns = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode
+    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembler(ranks_file if decode else None), columns)
 
 
 def _decoder(ranks_file):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        tokens = sorted((rank, token) for token, rank in rank_table(ranks_file.value).items())
-        sizes = np.zeros(tokens[-1][0] + 1, np.int64)
-        sizes[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
-        starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+        table = TokenBytes(ranks_file.value)
         for batch in batches:
-            texts = []
-            for data in batch.column("ids").to_pylist():
-                ids = np.frombuffer(data or b"", "<u4")
-                if len(ids) and (ids.max() >= len(sizes) or not sizes[ids].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                n = sizes[ids]
-                texts.append(flat[np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+            texts = [table.decode(np.frombuffer(data or b"", "<u4")) for data in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "n_tokens", "ids")), pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return decode

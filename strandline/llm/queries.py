@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .decontaminate import benchmark_leaks
 from .line_chunks import line_dedup
 from .near_dups import near_dup_components
@@ -57,7 +57,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every text, and digests both results."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe_decode(bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe_encode(docs, ranks, public_tokenizers.PATTERN, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -151,7 +151,8 @@ def encoding():
 def test_bpe_matches_the_public_library_and_decodes_to_the_text(spark):
     texts = ODD + ["it's we'll <|endoftext|> I'M", "  leading   and trailing  "]
     decoded = bpe_decode(bpe_encode(table(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS).collect()
-    assert len(decoded) == len(texts)
+    both = bpe_encode(table(spark, texts), RANKS, public_tokenizers.PATTERN, decode=True).collect()
+    assert len(decoded) == len(texts) and sorted(both, key=lambda r: r.doc_id) == sorted(decoded, key=lambda r: r.doc_id)
     reference = encoding()
     for row in decoded:
         text = texts[row.doc_id] or ""
