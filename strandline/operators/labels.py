@@ -56,7 +56,7 @@ def merged_strands(transcripts: DataFrame, first_id: int = 1) -> DataFrame:
     own = Window.partitionBy("seq").orderBy("tx_start", "strand")
     counts = transcripts.groupBy("seq").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = transcripts.withColumn("_k", F.row_number().over(own)).join(F.broadcast(before.select("seq", "before")), "seq")
+    placed = transcripts.withColumn("_k", F.row_number().over(own)).join(before.select("seq", "before"), "seq")
     return placed.withColumn("tx", (F.col("_k") + F.col("before") + (first_id - 1)).cast("long")).drop("_k", "before")
 
 

@@ -112,7 +112,7 @@ def numbered(transcripts: DataFrame, first_gene_id: int = 1, order: tuple[str, .
     within = Window.partitionBy("seq").orderBy(*order[1:])
     sizes = genes.groupBy("seq").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = genes.withColumn("place", F.row_number().over(within)).join(F.broadcast(offsets.select("seq", "before")), "seq")
+    ids = genes.withColumn("place", F.row_number().over(within)).join(offsets.select("seq", "before"), "seq")
     ids = ids.select("seq", "strand", "gene", (F.col("place") + F.col("before") + (first_gene_id - 1)).cast("long").alias("gene_id"))
     own = Window.partitionBy("seq", "strand", "gene").orderBy("tx")
     return rows.join(ids, ["seq", "strand", "gene"]).withColumn("transcript_id", F.row_number().over(own).cast("long"))
