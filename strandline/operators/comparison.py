@@ -14,20 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .histograms import f1
-from .intervals import interval_overlap_join
+from .intervals import interval_overlap_join, merged
 from .transcripts import end, exploded, introns, non_empty, start
 
 PLACE = ["seq", "strand"]
 
 
-def merged(blocks: DataFrame, keys: list[str], low: str = "low", high: str = "high") -> DataFrame:
-    """Unions of overlapping or touching intervals."""
-    order = Window.partitionBy(*keys).orderBy(low, high)
-    reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = blocks.withColumn("_new", F.coalesce((F.col(low) > reach).cast("int"), F.lit(1))).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_k").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_k")
-
-
 def _tally(ref_total: DataFrame, query_total: DataFrame, ref_hit: DataFrame, query_hit: DataFrame, level: str) -> DataFrame:
     """One row an annotation: counts as sensitivity and precision, rounded to three places."""
     rows = query_total.join(query_hit, "annotation", "left").join(ref_hit, "annotation", "left").crossJoin(F.broadcast(ref_total))

@@ -35,13 +35,22 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[s
     return pairs.where(F.col("_bin") == F.floor(F.greatest(F.col(a), F.col(c)) / width)).drop("_bin")
 
 
-def gene_segments(transcripts: DataFrame) -> DataFrame:
-    """(seq, strand, gene, gene_start, low, high, is_cds): coding blocks and introns of all isoforms, with their gene's start."""
-    rows = non_empty(transcripts)
-    starts = rows.groupBy("seq", "strand", "gene").agg(F.min(start(F.col("cds"))).alias("gene_start"))
-    spans = rows.select("seq", "strand", "gene", start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high"), F.lit(0).alias("is_cds"))
-    blocks = exploded(rows).select("seq", "strand", "gene", F.col("cds_start").alias("low"), F.col("cds_end").alias("high"), F.lit(1).alias("is_cds"))
-    return spans.unionByName(blocks).distinct().join(starts, ["seq", "strand", "gene"])
+def merged(blocks: DataFrame, keys: list[str], low: str = "low", high: str = "high") -> DataFrame:
+    """Unions of overlapping or touching intervals."""
+    order = Window.partitionBy(*keys).orderBy(low, high)
+    reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = blocks.withColumn("_new", F.coalesce((F.col(low) > reach).cast("int"), F.lit(1))).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_k").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_k")
+
+
+GENE = ["seq", "strand", "gene"]
+
+
+def gene_spans(transcripts: DataFrame) -> DataFrame:
+    """(seq, strand, gene, gene_start, low, high): where a gene has an isoform, with the gene's start."""
+    rows = non_empty(transcripts).select(*GENE, start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high"))
+    starts = F.min("low").over(Window.partitionBy(*GENE))
+    return merged(rows, GENE).withColumn("gene_start", starts)
 
 
 def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos", width: int = BIN) -> DataFrame:
@@ -51,11 +60,13 @@ def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str
     position the one that starts first decides, ties by gene; without any it is intergenic.  Every row of ``positions`` gives
     one row, so pos_id must be unique.
     """
-    hits = point_interval_join(positions.select(pos_id, "seq", pos), gene_segments(transcripts), pos, "low", "high", width=width)
-    per_gene = hits.groupBy(pos_id, "strand", "gene", "gene_start").agg(F.max("is_cds").alias("is_cds"))
-    first = per_gene.groupBy(pos_id).agg(
-        *(F.min_by("is_cds", F.when(F.col("strand") == s, F.struct("gene_start", "gene"))).alias(name) for s, name in (("+", "fwd"), ("-", "rev")))
-    )
+    hits = point_interval_join(positions.select(pos_id, "seq", pos), gene_spans(transcripts), pos, "low", "high", width=width)
+    first = hits.groupBy(pos_id, "seq", pos, "strand").agg(F.min(F.struct("gene_start", "gene")).alias("first")).select(pos_id, "seq", pos, "strand", "first.gene")
+    # Only the deciding gene's blocks are looked at, by an equi-join on the gene.
+    blocks = exploded(non_empty(transcripts)).select(*GENE, F.col("cds_start").alias("low"), F.col("cds_end").alias("high"))
+    coding = first.join(merged(blocks, GENE), GENE).where((F.col(pos) >= F.col("low")) & (F.col(pos) < F.col("high"))).select(pos_id, "strand", F.lit(1).alias("_coding"))
+    decided = first.select(pos_id, "strand").join(coding, [pos_id, "strand"], "left").withColumn("is_cds", F.coalesce("_coding", F.lit(0)))
+    first = decided.groupBy(pos_id).agg(*(F.max(F.when(F.col("strand") == s, F.col("is_cds"))).alias(name) for s, name in (("+", "fwd"), ("-", "rev"))))
 
     def label(c: str) -> Column:
         return F.when(F.col(c) == 1, CDS).when(F.col(c) == 0, INTRON).otherwise(INTERGENIC).alias(c)
