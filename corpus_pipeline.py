@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import without_leaks
-from strandline.llm.line_chunks import line_dedup
+from strandline.llm.line_chunks import passage_dedup
 from strandline.llm.near_dups import keep_one_each
 from strandline.llm.quality_votes import keep_good
 from strandline.llm.queries import bpe_digests
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks that an earlier one has; a document of which nothing is left goes."""
-    done = line_dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    """Documents without chunks and passages that an earlier one has; a document of which nothing is left goes."""
+    done = passage_dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
     kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     return done.select(*kept, F.col("text"), F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 

@@ -4,11 +4,15 @@ A rolling hash over the hashes of two successive lines ends a chunk wherever it
 ``LONG_WORDS`` words or more stand alone.  Both depend on nearby lines alone, so text inserted elsewhere in a document shifts
 no boundary.  Chunks of several lines, and long lines, that occur more than once in the corpus are grouped by their bytes; all
 occurrences but the first (least doc_id, then place) are removed.
+
+``passage_dedup`` also removes later copies of any run of lines that has ``LONG_WORDS`` words in all, wherever it lies between the
+boundaries.  Such a run is covered by the shortest runs of so many words that begin or end at one of its lines, and each of those
+occurs again with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace
@@ -45,7 +49,7 @@ def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WOR
             begin = F.when(k > 0, F.element_at(stops, F.greatest(k, F.lit(1)))).otherwise(F.lit(0)) + 1
             part = F.slice(xs, begin, stop - begin + 1)
             total = F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x["words"])
-            return F.struct(F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("chunk"), F.size(part).cast("long").alias("lines"), total.alias("words"))
+            return F.struct(F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("chunk"), F.size(part).cast("long").alias("lines"), total.alias("words"), begin.cast("long").alias("begin"))
 
         return F.transform(stops, piece)
 
@@ -58,21 +62,29 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """row_key, places (array of chunk numbers to remove) and removed_lines, for the rows of ``docs`` that lose chunks."""
-    space = Workspace(docs.sparkSession, "line-chunks")
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
+    return rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
+
+
+def _repeated_chunks(space: Workspace, rows: DataFrame, divisor: int, long_words: int) -> DataFrame:
+    """row_key, place, begin (number of its first line) and lines of each chunk to remove."""
     chunks = rows.select("doc_id", "row_key", F.posexplode(chunk_lists(F.col("text"), divisor, long_words)).alias("place", "c"))
     chunks = chunks.where((F.col("c.lines") > 1) | (F.col("c.words") >= long_words)).where("c.words > 0")
     # Grouping by the chunk itself compares bytes; its digest then names it in rows without text.
     same = chunks.groupBy("c.chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
     same = same.where("n > 1").select(F.unhex(F.md5("chunk")).alias("digest"), F.length("chunk").alias("size"), "first_id")
-    found = chunks.select("doc_id", "row_key", "place", F.col("c.lines").alias("lines"), F.unhex(F.md5(F.col("c.chunk"))).alias("digest"), F.length("c.chunk").alias("size"))
-    found = space.keep(found.join(same, ["digest", "size"]).select("row_key", "place", "lines", "digest", "size", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("own")))
+    found = chunks.select("doc_id", "row_key", "place", F.col("c.begin").alias("begin"), F.col("c.lines").alias("lines"), F.unhex(F.md5(F.col("c.chunk"))).alias("digest"), F.length("c.chunk").alias("size"))
+    found = space.keep(found.join(same, ["digest", "size"]).select("row_key", "place", "begin", "lines", "digest", "size", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("own")))
     first = found.where("own").groupBy("digest", "size").agg(F.min(F.struct("row_key", "place")).alias("first"))
     later = found.where("own").join(first, ["digest", "size"]).where("NOT (row_key = first.row_key AND place = first.place)")
-    gone = found.where("NOT own").unionByName(later.drop("first")).select("row_key", "place", "lines").distinct()
+    return found.where("NOT own").unionByName(later.drop("first")).select("row_key", "place", "begin", "lines").distinct()
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """row_key, places (array of chunk numbers to remove) and removed_lines, for the rows of ``docs`` that lose chunks."""
+    space = Workspace(docs.sparkSession, "line-chunks")
+    gone = _repeated_chunks(space, _rows(docs, doc_id, text), divisor, long_words)
     gone = gone.groupBy("row_key").agg(F.collect_list("place").alias("places"), F.sum("lines").alias("removed_lines"))
     gone = space.keep(gone)
     space.drop_all_but(gone)
@@ -98,3 +110,92 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divi
         F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_removed"),
         F.coalesce("removed_lines", F.lit(0).cast("long")).alias("removed_lines"),
     )
+
+
+def _worded_lines(text: Column) -> Column:
+    """Lines with words in order: number in the text, words, digest, and digest of the lines without words before it (or null)."""
+    lines = F.split(text, "\n", -1)
+
+    def entries(b: Column) -> Column:
+        xs, at = b["xs"], b["at"]
+
+        def entry(p: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.element_at(at, F.greatest(k, F.lit(1)))).otherwise(F.lit(0))
+            blank = F.when((k > 0) & (p > before + 1), F.md5(F.array_join(F.slice(xs, before + 1, p - before - 1), "\n")))
+            line = F.element_at(xs, p)
+            return F.struct(p.cast("long").alias("line"), n_words(line).cast("long").alias("words"), F.unhex(F.md5(line)).alias("digest"), F.unhex(blank).alias("blank"))
+
+        return F.transform(at, entry)
+
+    bound = F.transform(F.array(lines), lambda xs: F.struct(xs.alias("xs"), F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: F.element_at(xs, i).rlike(r"[^\x20\x09-\x0D]")).alias("at")))
+    return F.flatten(F.transform(bound, entries))
+
+
+def _repeated_passages(space: Workspace, rows: DataFrame, long_words: int) -> DataFrame:
+    """row_key, low and high (numbers of lines) of the later copies of the shortest runs with ``long_words`` words."""
+    lines = rows.select("doc_id", "row_key", F.posexplode(_worded_lines(F.col("text"))).alias("k", "l")).select("doc_id", "row_key", "k", "l.*")
+    # A run occurs again only if each line of it does, so few lines go on.  Identical rows are one document.
+    same = lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    lines = lines.join(same, "digest").dropDuplicates(["row_key", "k"])
+    by_row = Window.partitionBy("row_key").orderBy("k")
+    lines = lines.withColumn("island", F.col("k") - F.row_number().over(by_row))
+    lines = lines.withColumn("end", F.sum("words").over(Window.partitionBy("row_key", "island").orderBy("k")))
+    # Whole words before and after, made unique by the line's place: a range of them is exactly the shortest run.
+    unit = 2**31
+    lines = lines.withColumns({"start_key": (F.col("end") - F.col("words")) * unit + F.col("k"), "end_key": F.col("end") * unit + F.col("k")})
+    ahead = Window.partitionBy("row_key", "island").orderBy("start_key").rangeBetween(0, long_words * unit - 1)
+    back = Window.partitionBy("row_key", "island").orderBy("end_key").rangeBetween(1 - long_words * unit, 0)
+    part = F.struct("line", "words", "digest", "blank")
+    runs = lines.select("doc_id", "row_key", F.collect_list(part).over(ahead).alias("ahead"), F.collect_list(part).over(back).alias("back"))
+    runs = runs.select("doc_id", "row_key", F.explode(F.array("ahead", "back")).alias("run"))
+    runs = runs.where(F.aggregate("run", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= long_words)
+    bytes_of = F.transform("run", lambda x, i: F.concat(F.when((i > 0) & x["blank"].isNotNull(), F.concat(F.lit("+"), F.hex(x["blank"]))).otherwise(F.lit("-")), F.hex(x["digest"])))
+    low, high = F.element_at("run", 1)["line"], F.element_at("run", -1)["line"]
+    runs = runs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", low.alias("low")).alias("at"), high.alias("high"), F.unhex(F.md5(F.array_join(bytes_of, ""))).alias("digest"))
+    runs = space.keep(runs.distinct())
+    first = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("at", "high")).alias("first")).where("n > 1").drop("n")
+    later = runs.join(first, "digest").where("at <> first.at")
+    # A copy that begins within the first occurrence takes only what follows that.
+    within = F.col("at.row_key") == F.col("first.at.row_key")
+    return later.select("at.row_key", F.when(within, F.greatest(F.col("at.low"), F.col("first.high") + 1)).otherwise(F.col("at.low")).alias("low"), "high")
+
+
+def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """The rows of ``docs`` as in ``line_dedup``, also without later copies of runs of lines with ``long_words`` words or more.
+
+    n_removed counts the stretches of lines that are removed.  Of runs that overlap in one document the first stays whole.
+    """
+    space = Workspace(docs.sparkSession, "passages")
+    rows = _rows(docs, doc_id, text)
+    gone = _repeated_chunks(space, rows, divisor, long_words).select("row_key", F.col("begin").alias("low"), (F.col("begin") + F.col("lines") - 1).alias("high"))
+    gone = gone.unionByName(_repeated_passages(space, rows, long_words)).groupBy("row_key", "low").agg(F.max("high").alias("high"))
+    by_row = Window.partitionBy("row_key").orderBy("low")
+    gone = gone.withColumn("reach", F.max("high").over(by_row.rowsBetween(Window.unboundedPreceding, -1)))
+    gone = gone.withColumn("k", F.sum((F.col("reach").isNull() | (F.col("low") > F.col("reach") + 1)).cast("long")).over(by_row))
+    gone = gone.groupBy("row_key", "k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    gone = gone.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges"))
+    gone = space.keep(gone)
+    space.drop_all_but(gone)
+
+    given = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = given.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone.hint("shuffle_hash"), "row_key", "left")
+
+    def left(b: Column) -> Column:
+        lines, ranges = b["lines"], b["ranges"]
+
+        def before(r: Column, k: Column) -> Column:
+            begin = F.when(k > 0, F.element_at(ranges, F.greatest(k, F.lit(1)))["high"] + 1).otherwise(F.lit(1)).cast("int")
+            return F.slice(lines, begin, (r["low"] - begin).cast("int"))
+
+        last = (F.element_at(ranges, -1)["high"] + 1).cast("int")
+        rest = F.slice(lines, last, F.size(lines) - last + 1)
+        return F.array_join(F.concat(F.flatten(F.transform(ranges, before)), rest), "\n")
+
+    bound = F.transform(F.array(F.struct(F.split("text", "\n", -1).alias("lines"), "ranges")), left)
+    return joined.select(
+        "row",
+        "doc_id",
+        F.when(F.col("ranges").isNotNull(), F.element_at(bound, 1)).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("ranges").isNull(), 0).otherwise(F.size("ranges")).cast("long").alias("n_removed"),
+        F.when(F.col("ranges").isNull(), 0).otherwise(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"] + 1)).cast("long").alias("removed_lines"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_leaks
-from .line_chunks import line_dedup
+from .line_chunks import line_dedup, passage_dedup
 from .near_dups import near_dup_components
 from .oracles import LOWER, UPPER, secrets_sql, url_sql
 from .pseudonyms import pseudonymise
@@ -73,6 +73,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_quality_votes": op9_quality_votes,
