@@ -12,6 +12,8 @@ from strandline.llm.quality_votes import keep_good
 from strandline.llm.queries import bpe_digests
 from strandline.llm.storage import Workspace
 
+NEAR = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours vote them good."""
@@ -26,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return keep_one_each(docs)
+    """One document of each near-duplicate group; sets link that share NEAR per cent of their union."""
+    return keep_one_each(docs, link=NEAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

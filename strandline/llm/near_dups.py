@@ -1,19 +1,22 @@
 """MinHash near-duplicate detection with tensored banding and verification on whole shingle sets.
 
-Each text gets two collections of ``HALVES`` half keys, each made of ``ROWS`` minhashes.  Table key (i, j) joins half key i of
+Each text gets two collections of half keys, each made of ``ROWS`` minhashes.  Table key (i, j) joins half key i of
 the first with half key j of the second collection, so 24 half keys of 3 minhashes make 144 tables of 6: a plain banding would
 need 864 minhashes where 72 are computed.  A pair of similarity s meets in a table with probability (1-(1-s^3)^12)^2; a pair of
-just 0.85 is missed with probability 2.2e-5, one of 0.9 with 3.1e-7.
+just 0.85 is missed with probability 2.2e-5, one of 0.9 with 3.1e-7.  The threshold is a parameter and sets the number of half
+keys: for 0.8 there are 16 in each collection, 256 tables, and a pair of just 0.8 is missed with probability 2.1e-5.
 
 Nothing is capped.  Texts with equal sets form one class.  In each table's bucket every class is compared with a hub.  The
-Jaccard distance is a metric, so two classes within 0.15 of each other are both within 0.60 of the hub, or both beyond 0.45:
+Jaccard distance is a metric, so two classes within d of each other are both within 0.45 + d of the hub, or both beyond 0.45:
 the first are compared with each other in blocks (hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after
 ``ROUNDS`` hubs are compared in blocks as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,37 +28,52 @@ from .components import connected_components
 from .shingles import shingle_sets
 from .storage import Workspace, lean_memory, small_batches
 
-ROWS, HALVES, ROUNDS = 3, 12, 3
-#: Per cent of the union that linked sets share.
+ROWS, ROUNDS = 3, 3
+#: Per cent of the union that linked sets share, unless given.
 LINK = 85
+#: A pair at the threshold has no common half key in one collection with this probability at most.
+MISSED = 1.1e-5
+#: Per cent of the union that a class shares with its hub, or else it stays in the bucket for another hub.
+FAR = 55
 #: Shingles of all the sets in one block of a group.
 BLOCK_SHINGLES = 400_000
 #: Members of a hub that one task compares with it.
 HUB_SHARE = 500
 _U = np.uint64
-_RNG = np.random.default_rng(20_240_607)
-_XOR = _RNG.integers(0, 2**64, 2 * HALVES * ROWS, dtype=_U)
-_ODD = _RNG.integers(0, 2**64, 2 * HALVES * ROWS, dtype=_U) | _U(1)
-_SALT = _RNG.integers(0, 2**64, 2 * HALVES, dtype=_U)
+
+
+def halves_for(link: int) -> int:
+    """Half keys of each collection."""
+    return math.ceil(math.log(MISSED) / math.log(1 - (link / 100) ** ROWS))
+
+
+@lru_cache
+def _seeds(halves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_607)
+    xor = rng.integers(0, 2**64, 2 * halves * ROWS, dtype=_U)
+    odd = rng.integers(0, 2**64, 2 * halves * ROWS, dtype=_U) | _U(1)
+    return xor, odd, rng.integers(0, 2**64, 2 * halves, dtype=_U)
+
 
 SIGNED = "doc_id long, n_shingles long, cls binary, halves array<long>"
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2 * HALVES half keys of a non-empty set."""
-    least = np.full(len(_XOR), 2**64 - 1, _U)
+def half_keys(shingles: np.ndarray, halves: int) -> np.ndarray:
+    """The 2 * ``halves`` half keys of a non-empty set."""
+    xor, odd, salt = _seeds(halves)
+    least = np.full(len(xor), 2**64 - 1, _U)
     for at in range(0, len(shingles), 512):
-        block = (shingles[at : at + 512, None] ^ _XOR) * _ODD
+        block = (shingles[at : at + 512, None] ^ xor) * odd
         np.minimum(least, block.min(axis=0), out=least)
     least = (least >> _U(16)).reshape(-1, ROWS)
-    key = _SALT.copy()
+    key = salt.copy()
     for k in range(ROWS):
         key = (key ^ least[:, k]) * _U(0x9E3779B97F4A7C15)
         key ^= key >> _U(29)
     return key.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n_halves: int) -> Iterator[pa.RecordBatch]:
     lean_memory()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
@@ -63,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            halves.append(half_keys(s) if len(s) else None)
+            halves.append(half_keys(s, n_halves) if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=schema)
 
 
@@ -137,10 +155,10 @@ def block_links(sets: list[np.ndarray], roots: list[bytes], sides: list[int], li
     return links
 
 
-def _in_block(table: pa.Table) -> pa.Table:
+def _in_block(table: pa.Table, link: int) -> pa.Table:
     sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
     names = table["cls"].to_pylist()
-    pairs = block_links(sets, table["root"].to_pylist(), table["side"].to_pylist())
+    pairs = block_links(sets, table["root"].to_pylist(), table["side"].to_pylist(), link)
     return pa.table({"u": pa.array([names[i] for i, _ in pairs], pa.binary()), "v": pa.array([names[j] for _, j in pairs], pa.binary())})
 
 
@@ -154,10 +172,10 @@ def _compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("hub", "cls", "shingles").mapInArrow(_against_hub, "hub binary, cls binary, common long, whole long")
 
 
-def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
 
-    Null and word-free texts have the empty set and link with nothing: their component is their own doc_id.  Rows that
+    Sets link that share ``link`` per cent of their union.  Null and word-free texts have the empty set and link with nothing: their component is their own doc_id.  Rows that
     repeat a doc_id are documents of their own and share the verdict of that id.  A row without doc_id links like any
     other, takes the least id of its component, and is kept only if no row of it has an id.  An empty table gives no rows.
     Other columns of ``docs`` are not read.
@@ -166,7 +184,8 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     small_batches(spark)
     space = Workspace(spark, "near-dups")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = space.keep(source.mapInArrow(_sign, SIGNED))
+    n_halves = halves_for(link)
+    signed = space.keep(source.mapInArrow(lambda batches: _sign(batches, n_halves), SIGNED))
     classes = space.keep(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.first("halves").alias("halves")))
 
     # Half keys that two classes share, then tables over those: a class with none in either collection meets nobody.
@@ -174,7 +193,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     halves = halves.join(shared, "half").groupBy("cls").agg(
         F.sum("n").alias("met"),
-        F.collect_set(F.when(F.col("at") < HALVES, F.col("half"))).alias("a"), F.collect_set(F.when(F.col("at") >= HALVES, F.col("half"))).alias("b")
+        F.collect_set(F.when(F.col("at") < n_halves, F.col("half"))).alias("a"), F.collect_set(F.when(F.col("at") >= n_halves, F.col("half"))).alias("b")
     )
     tables = halves.where("size(a) > 0 AND size(b) > 0").select("met", "cls", "b", F.explode("a").alias("a")).select("met", "cls", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "met", "cls")
     tables = space.keep(tables)
@@ -200,7 +219,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         edges = buckets.select("hub", "cls").distinct()
         seen = space.keep(_compare_with_hubs(edges, sets))
         compared.append(seen)
-        far = seen.where("100 * common < 55 * whole").select("hub", "cls")
+        far = seen.where(f"100 * common < {FAR} * whole").select("hub", "cls")
         rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls")))
         space.drop(buckets)
         buckets = rest
@@ -209,12 +228,12 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     every = compared[0]
     for more in compared[1:]:
         every = every.unionByName(more)
-    links = every.where(f"100 * common >= {LINK} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    links = every.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
     roots = space.keep(connected_components(links, space))
 
     # Balls around hubs of one component overlap much, so they are one group.
     root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
-    groups = every.where("100 * common >= 40 * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
+    groups = every.where(f"100 * common >= {FAR - (100 - link)} * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
     left = buckets.select("key", "cls").unionByName(buckets.select("key", F.col("hub").alias("cls")).distinct())
     left = left.select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
     groups = groups.unionByName(left).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -225,7 +244,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         "gid", "cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
     blocks = placed.join(sets.select("cls", "shingles"), "cls")
-    more = space.keep(blocks.groupBy("gid", "i", "j").applyInArrow(_in_block, "u binary, v binary"))
+    more = space.keep(blocks.groupBy("gid", "i", "j").applyInArrow(lambda table: _in_block(table, link), "u binary, v binary"))
     linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
     roots = connected_components(linked, space)
 
@@ -240,7 +259,7 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     )
 
 
-def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept; of rows that repeat an id one stays.
 
     Rows without id are named by a hash of their text, above 2^62, so a row with an id of the same group goes before them.
@@ -248,5 +267,5 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     key = "_near_dup_key"
     nameless = F.lit(2**62) + F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1))
     rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), nameless))
-    verdicts = near_dup_components(rows, key, text).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    verdicts = near_dup_components(rows, key, text, link).where("kept").select(F.col("doc_id").alias(key)).distinct()
     return rows.join(verdicts, key, "left_semi").dropDuplicates([key]).drop(key)
