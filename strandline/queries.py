@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .fixtures import with_views
 from .functions import nucleotides as nt
-from .functions.codons import codon_frame, is_codon_distribution
+from .functions.codons import AMINO_ACIDS, codon_frame, codon_map, is_codon_distribution
 from .operators import checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
 from .plans import hmm
 from .plans.annotate import annotate
@@ -204,6 +204,18 @@ def fetch_ranges(spark, d):
     return sequences.fetch(fx.genome(spark), parts).select("fetch_id", "name", F.md5("sequence").alias("digest"))
 
 
+@query(
+    f"{with_views('genome', 'cds')}, f AS (SELECT tx, c.seq, cds_start, substr(sequence, cds_start + 1, cds_end - cds_start) AS piece, cds_end FROM cds c JOIN genome ON name = c.seq WHERE cds_end <= length(sequence)) "
+    "SELECT tx AS fetch_id, concat(seq, ':', string_agg(concat(cds_start + 1, '-', cds_end), ',' ORDER BY cds_start)) AS name, md5(string_agg(piece, '' ORDER BY cds_start)) AS digest FROM f GROUP BY tx, seq"
+)
+def fetch_ranges_whole(spark, d):
+    """All transcripts; blocks that run past their own contig are left out."""
+    genome = fx.genome(spark)
+    inside = fx.blocks(spark, d).join(genome.select(F.col("name").alias("seq"), F.length("sequence").alias("size")), "seq").where("cds_end <= size")
+    parts = inside.select(F.col("tx").alias("fetch_id"), "seq", F.col("cds_start").alias("part"), F.col("cds_start").alias("start"), F.col("cds_end").alias("end"))
+    return sequences.fetch(genome, parts).select("fetch_id", "name", F.md5("sequence").alias("digest"))
+
+
 @query(f"{with_views('docs')} SELECT name, md5(translate(sequence, 'ACGTacgt', 'TGCAtgca')) AS complement, md5(reverse(translate(sequence, 'ACGTacgt', 'TGCAtgca'))) AS reverse_complement FROM docs")
 def complements(spark, d):
     s = F.col("sequence")
@@ -603,6 +615,18 @@ def codon_distributions_valid(spark, d):
     return is_codon_distribution(stops)
 
 
+@query("SELECT translation_table, codon, aa FROM (VALUES " + ", ".join(f"({t}, '{c}', '{a}')" for t in AMINO_ACIDS for c, a in codon_map(t).items()) + ") v(translation_table, codon, aa)")
+def codon_table_whole(spark, d):
+    return codon_frame(spark).select("translation_table", "codon", "aa")
+
+
+@query("SELECT translation_table, kind, true AS valid FROM (VALUES " + ", ".join(f"({t})" for t in AMINO_ACIDS) + ") v(translation_table) CROSS JOIN (VALUES ('start'), ('stop')) k(kind)")
+def codon_distributions_valid_whole(spark, d):
+    codons = codon_frame(spark)
+    both = [codons.where(f"{kind}_prob > 0").select("translation_table", F.lit(kind).alias("kind"), "codon", F.col(f"{kind}_prob").alias("prob")) for kind in ("start", "stop")]
+    return is_codon_distribution(both[0].unionByName(both[1]), by=("translation_table", "kind"))
+
+
 @query()
 def viterbi_path(spark, d):
     """Decoding is a recurrence along each chunk; tests hold it against enumeration of all paths."""
