@@ -1,13 +1,13 @@
-"""Line deduplication on content-defined chunks, in Spark SQL functions only.
+"""Line deduplication on content-defined line chunks, in Spark SQL functions only.
 
 A rolling hash over the hashes of two successive lines ends a chunk wherever it is divisible by ``DIVISOR``; lines of
 ``LONG_WORDS`` words or more stand alone.  Both depend on nearby lines alone, so text inserted elsewhere in a document shifts
-no boundary.  Chunks of several lines, and long lines, that occur more than once in the corpus are grouped by their bytes; all
+no boundary.  Chunks of several lines, and long lines, that occur more than once in the corpus are compared by their bytes; all
 occurrences but the first (least doc_id, then place) are removed.
 
-``passage_dedup`` also removes later copies of any run of lines that has ``LONG_WORDS`` words in all, wherever it lies between the
-boundaries.  Such a run is covered by the shortest runs of so many words that begin or end at one of its lines, and each of those
-occurs again with it.
+Boundaries alone leave the ends of a passage of short lines, which share their chunks with other lines.  So later copies of any
+run of lines with ``LONG_WORDS`` words in all go too, wherever it lies between the boundaries.  Such a run is covered by the
+shortest runs of so many words that begin or end at one of its lines, and each of those occurs again with it.
 """
 
 from __future__ import annotations
@@ -26,21 +26,21 @@ def n_words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+", -1), lambda w: w != F.lit("")))
 
 
-def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
-    """Chunks of a text in order, each an array of lines with its number of words; joined by newlines they give the text."""
+def _pieces(text: Column, divisor: int, long_words: int) -> Column:
+    """Chunks of a text in order: begin (number of the first line), words, and part, an array of lines with md5, hash and words."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    seen = F.transform(lines, lambda x: F.struct(x.alias("line"), F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long").alias("hash"), n_words(x).alias("words")))
+    seen = F.transform(lines, lambda x: F.struct(x.alias("line"), F.md5(x).alias("md5"), n_words(x).alias("words")))
+    seen = F.transform(seen, lambda x: F.struct(x["line"].alias("line"), x["md5"].alias("md5"), F.conv(F.substring(x["md5"], 1, 8), 16, 10).cast("long").alias("hash"), x["words"].alias("words")))
 
     def ends(xs: Column) -> Column:
         last = F.size(xs)
-        places = F.sequence(F.lit(1), last)
 
         def is_end(i: Column) -> Column:
             here, after = F.element_at(xs, i), F.element_at(xs, F.least(i + 1, last))
             before = F.when(i > 1, F.element_at(xs, F.greatest(i - 1, F.lit(1)))["hash"]).otherwise(F.lit(0))
             return (i == last) | ((before * 31 + here["hash"]) % divisor == 0) | (here["words"] >= long_words) | (after["words"] >= long_words)
 
-        return F.filter(places, is_end)
+        return F.filter(F.sequence(F.lit(1), last), is_end)
 
     def cut(pair: Column) -> Column:
         xs, stops = pair["xs"], pair["stops"]
@@ -49,7 +49,7 @@ def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WOR
             begin = F.when(k > 0, F.element_at(stops, F.greatest(k, F.lit(1)))).otherwise(F.lit(0)) + 1
             part = F.slice(xs, begin, stop - begin + 1)
             total = F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x["words"])
-            return F.struct(F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("chunk"), F.size(part).cast("long").alias("lines"), total.alias("words"), begin.cast("long").alias("begin"))
+            return F.struct(begin.cast("long").alias("begin"), total.alias("words"), part.alias("part"))
 
         return F.transform(stops, piece)
 
@@ -58,85 +58,83 @@ def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WOR
     return F.flatten(F.transform(bound, cut))
 
 
-def _key(doc_id: Column, text: Column) -> Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
+def _text_of(part: Column) -> Column:
+    return F.array_join(F.transform(part, lambda x: x["line"]), "\n")
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
+def _removable(piece: Column, long_words: int) -> Column:
+    return ((F.size(piece["part"]) > 1) | (piece["words"] >= long_words)) & (piece["words"] > 0)
 
 
-def _repeated_chunks(space: Workspace, rows: DataFrame, divisor: int, long_words: int) -> DataFrame:
-    """row_key, place, begin (number of its first line) and lines of each chunk to remove."""
-    chunks = rows.select("doc_id", "row_key", F.posexplode(chunk_lists(F.col("text"), divisor, long_words)).alias("place", "c"))
-    chunks = chunks.where((F.col("c.lines") > 1) | (F.col("c.words") >= long_words)).where("c.words > 0")
-    # Grouping by the chunk itself compares bytes; its digest then names it in rows without text.
-    same = chunks.groupBy("c.chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    same = same.where("n > 1").select(F.unhex(F.md5("chunk")).alias("digest"), F.length("chunk").alias("size"), "first_id")
-    found = chunks.select("doc_id", "row_key", "place", F.col("c.begin").alias("begin"), F.col("c.lines").alias("lines"), F.unhex(F.md5(F.col("c.chunk"))).alias("digest"), F.length("c.chunk").alias("size"))
-    found = space.keep(found.join(same, ["digest", "size"]).select("row_key", "place", "begin", "lines", "digest", "size", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("own")))
-    first = found.where("own").groupBy("digest", "size").agg(F.min(F.struct("row_key", "place")).alias("first"))
-    later = found.where("own").join(first, ["digest", "size"]).where("NOT (row_key = first.row_key AND place = first.place)")
-    return found.where("NOT own").unionByName(later.drop("first")).select("row_key", "place", "begin", "lines").distinct()
+def chunk_lists(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
+    """Chunks of a text in order; joined by newlines they give the text."""
+    return F.transform(_pieces(text, divisor, long_words), lambda c: _text_of(c["part"]))
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """row_key, places (array of chunk numbers to remove) and removed_lines, for the rows of ``docs`` that lose chunks."""
-    space = Workspace(docs.sparkSession, "line-chunks")
-    gone = _repeated_chunks(space, _rows(docs, doc_id, text), divisor, long_words)
-    gone = gone.groupBy("row_key").agg(F.collect_list("place").alias("places"), F.sum("lines").alias("removed_lines"))
-    gone = space.keep(gone)
-    space.drop_all_but(gone)
-    return gone
+#: A key with more than this share of all rows is joined by broadcast: there are at most 1 / ``HOT`` of them.
+HOT = 1e-3
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """The rows of ``docs`` as columns ``row`` (struct of all their columns), doc_id, text (without repeated chunks), n_removed
-    (chunks) and removed_lines.
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
+
+
+def _spread_join(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows.join(keys, on)`` for distinct keys with their number ``n`` of ``total`` rows; very frequent keys make no large task."""
+    hot = F.broadcast(keys.where(F.col("n") > HOT * total))
+    rest = rows.join(hot, on, "left_anti").join(keys.where(F.col("n") <= HOT * total), on)
+    return rows.join(hot, on).unionByName(rest)
 
-    A null text is an empty one.  Rows that repeat both doc_id and text are one document here and get the same result; null
-    ids come last.  A repeated chunk stays where it occurs first, within a document too.  An empty table gives no rows.
-    """
-    gone = removals(docs, doc_id, text, divisor, long_words)
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = rows.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone.hint("shuffle_hash"), "row_key", "left")
-    every = F.transform(chunk_lists(F.col("text"), divisor, long_words), lambda c: c["chunk"])
-    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("places", i)), "\n")
-    return joined.select(
-        "row",
-        "doc_id",
-        F.when(F.col("places").isNotNull(), left).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_removed"),
-        F.coalesce("removed_lines", F.lit(0).cast("long")).alias("removed_lines"),
-    )
 
+def _line_entries(text: Column, divisor: int, long_words: int) -> Column:
+    """Lines with words, in order: number in the text, words, digest, digest of the lines without words before it (or null), and
+    for the first such line of a removable chunk the chunk's first line, number of lines and digest."""
 
-def _worded_lines(text: Column) -> Column:
-    """Lines with words in order: number in the text, words, digest, and digest of the lines without words before it (or null)."""
-    lines = F.split(text, "\n", -1)
+    def of_piece(c: Column) -> Column:
+        name = F.when(_removable(c, long_words), F.struct(c["begin"].alias("begin"), F.size(c["part"]).cast("long").alias("lines")))
+        return F.transform(c["part"], lambda x, i: F.struct(x["line"].alias("line"), x["md5"].alias("md5"), x["words"].alias("words"), name.alias("chunk")))
+
+    every = F.flatten(F.transform(_pieces(text, divisor, long_words), of_piece))
 
     def entries(b: Column) -> Column:
         xs, at = b["xs"], b["at"]
 
         def entry(p: Column, k: Column) -> Column:
             before = F.when(k > 0, F.element_at(at, F.greatest(k, F.lit(1)))).otherwise(F.lit(0))
-            blank = F.when((k > 0) & (p > before + 1), F.md5(F.array_join(F.slice(xs, before + 1, p - before - 1), "\n")))
-            line = F.element_at(xs, p)
-            return F.struct(p.cast("long").alias("line"), n_words(line).cast("long").alias("words"), F.unhex(F.md5(line)).alias("digest"), F.unhex(blank).alias("blank"))
+            blank = F.when((k > 0) & (p > before + 1), F.md5(_text_of(F.slice(xs, before + 1, p - before - 1))))
+            own = F.element_at(xs, p)
+            chunk = own["chunk"]
+            whole = F.slice(xs, chunk["begin"].cast("int"), chunk["lines"].cast("int"))
+            # A chunk is named by its first line with words.
+            named = F.when(before < chunk["begin"], F.struct(chunk["begin"].alias("begin"), chunk["lines"].alias("lines"), F.unhex(F.sha2(_text_of(whole), 256)).alias("digest")))
+            return F.struct(p.cast("long").alias("line"), own["words"].cast("long").alias("words"), F.unhex(own["md5"]).alias("digest"), F.unhex(blank).alias("blank"), named.alias("chunk"))
 
         return F.transform(at, entry)
 
-    bound = F.transform(F.array(lines), lambda xs: F.struct(xs.alias("xs"), F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: F.element_at(xs, i).rlike(r"[^\x20\x09-\x0D]")).alias("at")))
+    bound = F.transform(F.array(every), lambda xs: F.struct(xs.alias("xs"), F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: F.element_at(xs, i)["words"] > 0).alias("at")))
     return F.flatten(F.transform(bound, entries))
 
 
-def _repeated_passages(space: Workspace, rows: DataFrame, long_words: int) -> DataFrame:
+def _repeated_chunks(space: Workspace, rows: DataFrame, lines: DataFrame, divisor: int, long_words: int) -> DataFrame:
+    """row_key, low and high (numbers of lines) of each chunk to remove."""
+    wanted = F.filter(_pieces(F.col("text"), divisor, long_words), lambda c: _removable(c, long_words))
+    chunks = rows.select(F.explode(F.transform(wanted, lambda c: _text_of(c["part"]))).alias("chunk"))
+    # Grouping by the chunk itself compares bytes; its digest then names it in rows without text.
+    same = space.keep(chunks.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select(F.unhex(F.sha2("chunk", 256)).alias("digest"), "n"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", F.col("chunk.begin").alias("low"))
+    found = lines.where("chunk IS NOT NULL").select(F.col("chunk.digest").alias("digest"), at.alias("at"), (F.col("chunk.begin") + F.col("chunk.lines") - 1).alias("high"))
+    total = found.count()
+    found = space.keep(_spread_join(found, same, "digest", total))
+    first = found.groupBy("digest").agg(F.min("at").alias("first"), F.max("n").alias("n"))
+    return _spread_join(found.drop("n"), first, "digest", total).where("at <> first").select("at.row_key", "at.low", "high")
+
+
+def _repeated_runs(space: Workspace, lines: DataFrame, long_words: int) -> DataFrame:
     """row_key, low and high (numbers of lines) of the later copies of the shortest runs with ``long_words`` words."""
-    lines = rows.select("doc_id", "row_key", F.posexplode(_worded_lines(F.col("text"))).alias("k", "l")).select("doc_id", "row_key", "k", "l.*")
+    lines = lines.select("doc_id", "row_key", "k", "line", "words", "digest", "blank")
     # A run occurs again only if each line of it does, so few lines go on.  Identical rows are one document.
-    same = lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    lines = lines.join(same, "digest").dropDuplicates(["row_key", "k"])
+    same = space.keep(lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+    lines = _spread_join(lines, same, "digest", lines.count()).dropDuplicates(["row_key", "k"])
     by_row = Window.partitionBy("row_key").orderBy("k")
     lines = lines.withColumn("island", F.col("k") - F.row_number().over(by_row))
     lines = lines.withColumn("end", F.sum("words").over(Window.partitionBy("row_key", "island").orderBy("k")))
@@ -151,32 +149,41 @@ def _repeated_passages(space: Workspace, rows: DataFrame, long_words: int) -> Da
     runs = runs.where(F.aggregate("run", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= long_words)
     bytes_of = F.transform("run", lambda x, i: F.concat(F.when((i > 0) & x["blank"].isNotNull(), F.concat(F.lit("+"), F.hex(x["blank"]))).otherwise(F.lit("-")), F.hex(x["digest"])))
     low, high = F.element_at("run", 1)["line"], F.element_at("run", -1)["line"]
-    runs = runs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", low.alias("low")).alias("at"), high.alias("high"), F.unhex(F.md5(F.array_join(bytes_of, ""))).alias("digest"))
-    runs = space.keep(runs.distinct())
-    first = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("at", "high")).alias("first")).where("n > 1").drop("n")
-    later = runs.join(first, "digest").where("at <> first.at")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", low.alias("low"))
+    runs = space.keep(runs.select(at.alias("at"), high.alias("high"), F.unhex(F.sha2(F.array_join(bytes_of, ""), 256)).alias("digest")).distinct())
+    first = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("at", "high")).alias("first")).where("n > 1")
+    later = _spread_join(runs, first, "digest", runs.count()).where("at <> first.at")
     # A copy that begins within the first occurrence takes only what follows that.
     within = F.col("at.row_key") == F.col("first.at.row_key")
     return later.select("at.row_key", F.when(within, F.greatest(F.col("at.low"), F.col("first.high") + 1)).otherwise(F.col("at.low")).alias("low"), "high")
 
 
-def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """The rows of ``docs`` as in ``line_dedup``, also without later copies of runs of lines with ``long_words`` words or more.
-
-    n_removed counts the stretches of lines that are removed.  Of runs that overlap in one document the first stays whole.
-    """
-    space = Workspace(docs.sparkSession, "passages")
-    rows = _rows(docs, doc_id, text)
-    gone = _repeated_chunks(space, rows, divisor, long_words).select("row_key", F.col("begin").alias("low"), (F.col("begin") + F.col("lines") - 1).alias("high"))
-    gone = gone.unionByName(_repeated_passages(space, rows, long_words)).groupBy("row_key", "low").agg(F.max("high").alias("high"))
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """row_key and ranges (sorted array of low and high, numbers of lines from 1) for the rows of ``docs`` that lose lines."""
+    space = Workspace(docs.sparkSession, "line-chunks")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row_key", _key(F.col("doc_id"), F.col("text")))
+    lines = rows.select("doc_id", "row_key", F.posexplode(_line_entries(F.col("text"), divisor, long_words)).alias("k", "l"))
+    lines = space.keep(lines.select("doc_id", "row_key", "k", "l.*"))
+    gone = _repeated_chunks(space, rows, lines, divisor, long_words).unionByName(_repeated_runs(space, lines, long_words))
+    gone = gone.groupBy("row_key", "low").agg(F.max("high").alias("high"))
     by_row = Window.partitionBy("row_key").orderBy("low")
     gone = gone.withColumn("reach", F.max("high").over(by_row.rowsBetween(Window.unboundedPreceding, -1)))
     gone = gone.withColumn("k", F.sum((F.col("reach").isNull() | (F.col("low") > F.col("reach") + 1)).cast("long")).over(by_row))
     gone = gone.groupBy("row_key", "k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    gone = gone.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges"))
-    gone = space.keep(gone)
+    gone = space.keep(gone.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges")))
     space.drop_all_but(gone)
+    return gone
 
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """The rows of ``docs`` as columns ``row`` (struct of all their columns), doc_id, text (without repeated lines), n_removed
+    (stretches of lines that are removed) and removed_lines.
+
+    A null text is an empty one.  Rows that repeat both doc_id and text are one document here and get the same result; null
+    ids come last.  What is repeated stays where it occurs first, within a document too; of runs that overlap in one document
+    the first stays whole.  An empty table gives no rows.
+    """
+    gone = removals(docs, doc_id, text, divisor, long_words)
     given = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     joined = given.withColumn("row_key", _key(F.col("doc_id"), F.col("text"))).join(gone.hint("shuffle_hash"), "row_key", "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_leaks
-from .line_chunks import line_dedup, passage_dedup
+from .line_chunks import line_dedup
 from .near_dups import near_dup_components
 from .oracles import LOWER, UPPER, secrets_sql, url_sql
 from .pseudonyms import pseudonymise
@@ -73,10 +73,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -84,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_line_dedup": op6_line_dedup,
-    "op6_passage_dedup": op6_passage_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_quality_votes": op9_quality_votes,
@@ -124,12 +119,31 @@ WITH l AS (
 ), p AS (
   SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e
 ), c AS (
-  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, sum(words) AS words FROM p GROUP BY doc_id, place
-), r AS (
-  SELECT *, (lines > 1 OR words >= 50) AND words > 0 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM c
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS chunk, min(i) AS low, max(i) AS high, sum(words) AS words FROM p GROUP BY doc_id, place
+), later_chunks AS (
+  SELECT doc_id, low, high FROM c WHERE (high > low OR words >= 50) AND words > 0 QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, low) > 1
+), w AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS after, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+    lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before_i FROM h WHERE words > 0 AND line IN (SELECT line FROM h GROUP BY line HAVING count(*) > 1)
+), ends AS (
+  SELECT a.doc_id, a.i AS low, (SELECT min(b.i) FROM w b WHERE b.doc_id = a.doc_id AND b.i >= a.i AND b.after >= a.after - a.words + 50) AS high FROM w a
+  UNION
+  SELECT b.doc_id, (SELECT max(a.i) FROM w a WHERE a.doc_id = b.doc_id AND a.i <= b.i AND a.after - a.words <= b.after - 50), b.i FROM w b
+), runs AS (
+  SELECT e.doc_id, e.low, e.high, string_agg(h.line, chr(10) ORDER BY h.i) AS run FROM ends e JOIN h ON h.doc_id = e.doc_id AND h.i BETWEEN e.low AND e.high
+  WHERE e.low IS NOT NULL AND e.high IS NOT NULL GROUP BY ALL
+), firsts AS (
+  SELECT *, first_value(doc_id) OVER f AS first_doc, first_value(low) OVER f AS first_low, first_value(high) OVER f AS first_high FROM runs WINDOW f AS (PARTITION BY run ORDER BY doc_id, low)
+), gone AS (
+  SELECT doc_id, low, high FROM later_chunks UNION
+  SELECT doc_id, CASE WHEN doc_id = first_doc THEN greatest(low, first_high + 1) ELSE low END, high FROM firsts WHERE (doc_id, low) <> (first_doc, first_low)
+), g AS (
+  SELECT h.doc_id, h.i, h.line, EXISTS (SELECT 1 FROM gone x WHERE x.doc_id = h.doc_id AND h.i BETWEEN x.low AND x.high) AS gone FROM h
+), s AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM g
 )
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
-  count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines FROM r GROUP BY doc_id
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+  count(*) FILTER (starts) AS n_removed, count(*) FILTER (gone) AS removed_lines FROM s GROUP BY doc_id
 """,
     "op7_quality_rules": rf"""
 WITH d AS (

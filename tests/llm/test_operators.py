@@ -247,40 +247,63 @@ def test_pseudonyms_are_a_permutation(spark):
 
 
 def brute_lines(texts):
+    """(text, number of stretches removed): later copies of chunks, and of runs of 50 words by looking at every run."""
+
     def words(line):
         return len(WORD.findall(line))
 
-    first, out = {}, {}
+    chunk_at, run_at, gone = {}, {}, set()
     for k, text in enumerate(texts):
         lines = (text or "").split("\n")
-        chunks, part, before = [], [], 0
+        begin, before = 0, 0
         for i, line in enumerate(lines):
-            part.append(line)
             h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
             after = lines[i + 1] if i + 1 < len(lines) else ""
             if i == len(lines) - 1 or (31 * before + h) % 2 == 0 or words(line) >= 50 or words(after) >= 50:
-                chunks.append("\n".join(part))
-                part = []
+                chunk = "\n".join(lines[begin : i + 1])
+                if (i > begin or words(chunk) >= 50) and words(chunk) and chunk_at.setdefault(chunk, (k, begin)) != (k, begin):
+                    gone |= {(k, x) for x in range(begin, i + 1)}
+                begin = i + 1
             before = h
-        kept = []
-        for c in chunks:
-            eligible = ("\n" in c or words(c) >= 50) and words(c) > 0
-            if not eligible or first.setdefault(c, (k, len(kept))) == (k, len(kept)):
-                kept.append(c)
-            else:
-                kept.append(None)
-        out[k] = ("\n".join(c for c in kept if c is not None), sum(c is None for c in kept))
+        n = [words(x) for x in lines]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if n[i] and n[j] and sum(n[i : j + 1]) >= 50:
+                    at, last = run_at.setdefault("\n".join(lines[i : j + 1]), ((k, i), j))
+                    if at != (k, i):
+                        gone |= {(k, x) for x in range(max(i, last + 1) if at[0] == k else i, j + 1)}
+    out = {}
+    for k, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        kept = "\n".join(x for i, x in enumerate(lines) if (k, i) not in gone)
+        out[k] = (kept, sum((k, i) in gone and (k, i - 1) not in gone for i in range(len(lines))), sum((k, i) in gone for i in range(len(lines))))
     return out
 
 
-def test_line_chunks_match_brute_force(spark):
-    rng = random.Random(8)
-    lines = [prose(rng, rng.choice([0, 3, 8, 60])) for _ in range(40)]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(80)] + [None, "", "\n\n"]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(table(spark, texts)).collect()}
+@pytest.mark.parametrize("seed", [8, 9])
+def test_line_chunks_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    lines = [prose(rng, rng.choice([0, 3, 8, 30, 60])) for _ in range(60)] + ["", " "]
+    shared = [[rng.choice(lines) for _ in range(rng.randrange(2, 9))] for _ in range(10)]
+    texts = []
+    for _ in range(80):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else [rng.choice(lines), prose(rng, 4, 10**6)] for _ in range(rng.randrange(1, 8))]
+        texts.append("\n".join(x for p in parts for x in p))
+    texts += [None, "", "\n\n", "\n".join(["five words in one line"] * 40), "\n".join(["two words", "and three words", ""] * 30)]
+    got = {r.doc_id: (r.text, r.n_removed, r.removed_lines) for r in line_dedup(table(spark, texts)).collect()}
     assert got == brute_lines(texts)
 
 
+def test_very_frequent_lines_are_joined_alike(spark, monkeypatch):
+    """With each key counted as a very frequent one, and with none."""
+    rng = random.Random(12)
+    texts = ["\n".join([prose(rng, 9, 10**6), "the same line of a few words", prose(rng, 30, 3), prose(rng, 30, 2)]) for _ in range(60)]
+    for share in (0.0, 2.0):
+        monkeypatch.setattr("strandline.llm.line_chunks.HOT", share)
+        got = {r.doc_id: (r.text, r.n_removed, r.removed_lines) for r in line_dedup(table(spark, texts)).collect()}
+        assert got == brute_lines(texts)
+
+
 def test_passages_of_over_fifty_words_stay_once(spark):
     rng = random.Random(9)
     passage = prose(rng, 55)
