@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max bounds, then overlap checks.
 
-Every training text is cut into windows of 2 S words that begin every S words, S being the length of the longest item, so any
-passage as long as an item lies whole in one.  Windows query the index of test items.  Weights are divided by each item's own
+Every training text is cut into windows of 2 S words that begin every S words, S being the length of the longest of all items,
+so any passage as long as an item lies whole in one.  Document frequencies, mean length and S are counted in Spark over the
+whole benchmark; the postings are then dealt to indexes of bounded size, so scores and windows do not depend on their number.  Windows query the index of test items.  Weights are divided by each item's own
 threshold, the least score that a window passing the overlap check can reach, so 1 is the threshold of all items and
 retrieval loses nothing.  Items lie in blocks; a window's sum of block maxima below 1 skips the block, as in block-max WAND,
 whose test is taken here for all windows of a batch at once instead of by a cursor for each.
@@ -22,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .shingles import WIDTH, WORDS_KEPT, word_lists
-from .storage import lean_memory, small_batches
+from .storage import Workspace, lean_memory, small_batches
 
 K1, B = 1.2, 0.75
 MIN_SHINGLES, MIN_PART = 0.8, 0.6
 BLOCK_ITEMS = 16
-#: Items of one index; a larger benchmark is searched by several indexes.
+#: Items of one index; the postings of a larger benchmark are dealt to several.
 INDEX_ITEMS = 2048
 LEAKS = "array<struct<item_id:bigint,score:double,overlap:double>>"
 
@@ -70,16 +72,18 @@ class Index:
     stride: int
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index | None:
-    """Items without words, or without an id, are left out; None if no item is left."""
-    rows = sorted((i, t) for i, t in rows if i is not None and words_of(t))
+def build_index(rows: list[tuple[int, str, dict[str, int]]], n_items: int, mean: float, stride: int) -> Index | None:
+    """rows: (item_id, text, document frequencies of its words); the other values are those of all items.
+
+    Items without words, or without an id, are left out; None if no item is left.
+    """
+    rows = sorted(((i, t, f) for i, t, f in rows if i is not None and words_of(t)), key=lambda r: r[:2])
     if not rows:
         return None
-    texts = [words_of(t) for _, t in rows]
+    texts = [words_of(t) for _, t, _ in rows]
     vocabulary: dict[str, int] = {}
     coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in ws] for ws in texts]
-    frequency = Counter(t for ws in coded for t in set(ws))
-    mean = sum(map(len, coded)) / len(coded)
+    frequency = {vocabulary[w]: n for _, _, f in rows for w, n in f.items()}
     n_blocks = -(-len(rows) // BLOCK_ITEMS)
     bounds = np.zeros((len(vocabulary), n_blocks), np.float32)
     postings = []
@@ -87,7 +91,7 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     for k, ws in enumerate(coded):
         weights = {}
         for t, n in Counter(ws).items():
-            idf = math.log(1 + (len(rows) - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            idf = math.log(1 + (n_items - frequency[t] + 0.5) / (frequency[t] + 0.5))
             weights[t] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean))
         whole = shingles(ws)
         # A missing distinct word breaks a shingle at least: so many of the heaviest may be missing.
@@ -102,7 +106,7 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     terms = np.array([p[0] for p in postings], np.int64)
     at = np.array([p[1] for p in postings], np.int64)
     pointers = np.searchsorted(terms * (n_blocks * BLOCK_ITEMS) + at, np.arange(len(vocabulary) * n_blocks + 1) * BLOCK_ITEMS)
-    return Index([i for i, _ in rows], vocabulary, bounds, pointers, at, np.array([p[2] for p in postings]), checks, max(map(len, coded)))
+    return Index([r[0] for r in rows], vocabulary, bounds, pointers, at, np.array([p[2] for p in postings]), checks, stride)
 
 
 def _leaks_of(index: Index, terms: np.ndarray, doc_of: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
@@ -192,15 +196,30 @@ def _search(index: Index, texts: pa.Array, code: dict[bytes, int]) -> list[list[
     return [[{"item_id": index.items[i], "score": s, "overlap": o} for i, (s, o) in sorted(found.items())] for found in best]
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _item_words(texts: pa.Array) -> pa.Array:
+    return pa.array([words_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
     """Indexes over slices of about ``INDEX_ITEMS`` items each, which come to the driver one at a time."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    n_slices = -(-items.count() // INDEX_ITEMS)
+    space = Workspace(benchmark.sparkSession, "items")
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.withColumn("words", _item_words(F.col("text"))).where("size(words) > 0")
+    items = space.keep(items.withColumn("row", F.monotonically_increasing_id()))
+    n_items, mean, stride = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    if not n_items:
+        return
+    terms = items.select("row", F.explode(F.array_distinct("words")).alias("word"))
+    frequent = terms.groupBy("word").agg(F.count("*").alias("n"))
+    counted = terms.join(frequent, "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("frequency"))
+    n_slices = -(-n_items // INDEX_ITEMS)
+    dealt = space.keep(items.join(counted, "row").select("item_id", "text", "frequency", F.pmod(F.xxhash64("item_id"), F.lit(n_slices)).alias("slice")))
     for k in range(n_slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == k).collect()
-        index = build_index([(r.item_id, r.text) for r in rows])
+        index = build_index([(r.item_id, r.text, r.frequency) for r in dealt.where(F.col("slice") == k).collect()], n_items, mean, stride)
         if index:
             yield index
+    space.drop_all_but()
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -220,7 +239,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no test item."""
+    """The rows of ``docs``, with all their columns, that hold no test item.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged alike; items without id or words match nothing.
+    """
     small_batches(docs.sparkSession)
     for index in indexes(benchmark, item_id, item_text):
         docs = docs.where(F.size(leak_column(index, F.col(text), docs.sparkSession)) == 0)
