@@ -1,10 +1,11 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-Terms are word shapes (runs of upper case, lower case, digits; punctuation as it is), pairs of successive shapes, and words
-that repeat one of the three before them, hashed to ``TERMS`` columns.  Rows of square roots of term shares, weighted by
-inverse document frequency, are reduced to ``DIMENSIONS`` by a singular value decomposition of labelled rows.  The labelled
-vectors are broadcast: there are ``LABELLED`` at most.  Every document is compared with all of them by blocked cosine products;
-its ``NEIGHBOURS`` nearest vote with the power ``SHARPNESS`` of their similarity.
+Terms are words and word shapes (runs of upper case, lower case, digits; punctuation as it is), pairs of successive shapes, and
+words that repeat one of the three before them; words are hashed to ``WORD_TERMS`` columns, the others to ``SHAPE_TERMS``.  Rows
+of square roots of term shares, weighted by inverse document frequency, are reduced to ``DIMENSIONS`` by a singular value
+decomposition of labelled rows.  The labelled vectors are broadcast: there are ``LABELLED`` at most.  Every document is compared
+with all of them by blocked cosine products; its ``NEIGHBOURS`` nearest vote with the power ``SHARPNESS`` of their similarity.
+Cosines are rounded to six digits; of equal ones the voter that comes first in the broadcast table is the nearer.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .shingles import WORDS_KEPT, word_lists
 from .storage import lean_memory, small_batches
 
-TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 15, 4
+SHAPE_TERMS, WORD_TERMS = 4096, 4096
+TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = SHAPE_TERMS + WORD_TERMS, 64, 15, 4
 #: Bounds of the sample of labelled rows, and of those that the decomposition is computed from.
 LABELLED, DECOMPOSED = 6000, 2048
 BLOCK_ROWS = 500
@@ -36,10 +38,10 @@ def held_out(doc_id: Column) -> Column:
 
 def shape(word: str) -> str:
     word = re.sub(r"[^\W\d_]+", lambda m: "X" if len(m[0]) > 1 and m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word)
-    return re.sub(r"\d+", "9", word)[:12]
+    return re.sub(r"\d+", "9", word)
 
 
-def term_rows(texts: pa.Array, cache: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def term_rows(texts: pa.Array, cache: dict[bytes, tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its hashed terms, sorted, and the square roots of their shares; none for a text without words."""
     lists = word_lists(texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy()
@@ -47,21 +49,23 @@ def term_rows(texts: pa.Array, cache: dict[bytes, int]) -> Iterator[tuple[np.nda
     coded = flat.dictionary_encode()
     if len(cache) > WORDS_KEPT:
         cache.clear()
-    shapes = []
+    known = []
     for w in coded.dictionary.cast(pa.large_binary()).to_pylist():
         got = cache.get(w)
         if got is None:
-            got = cache[w] = xxhash.xxh32_intdigest(shape(w.decode())) if w else -1
-        shapes.append(got)
+            got = (xxhash.xxh32_intdigest(shape(w.decode())), SHAPE_TERMS + xxhash.xxh32_intdigest(w.lower()) % WORD_TERMS) if w else (-1, -1)
+            if len(w) < 100:
+                cache[w] = got
+        known.append(got)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    table = np.array(shapes, np.int64)
+    table = np.array(known, np.int64).reshape(-1, 2)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         c = codes[a:b]
-        s = table[c] if len(c) else np.zeros(0, np.int64)
-        c, s = c[s >= 0], s[s >= 0]
+        s, w = (table[c, 0], table[c, 1]) if len(c) else (np.zeros(0, np.int64),) * 2
+        c, w, s = c[s >= 0], w[s >= 0], s[s >= 0]
         pairs = (s[:-1] * 31 + s[1:]) % 2**32
         again = [np.full(int((c[k:] == c[:-k]).sum()), 7 * k, np.int64) for k in range(1, _REPEATS + 1)]
-        terms, counts = np.unique(np.concatenate([s % TERMS, (pairs * 2_654_435_761 >> 7) % TERMS, *again]), return_counts=True)
+        terms, counts = np.unique(np.concatenate([s % SHAPE_TERMS, (pairs * 2_654_435_761 >> 7) % SHAPE_TERMS, *again, w]), return_counts=True)
         yield terms, np.sqrt(counts / max(1, len(s))).astype(np.float32)
 
 
@@ -88,9 +92,12 @@ class Voters:
         k = min(NEIGHBOURS, len(self.vectors))
         for at in range(0, len(rows), BLOCK_ROWS):
             block = rows[at : at + BLOCK_ROWS]
-            cosines = self.embed(block) @ self.vectors.T
-            nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weights = np.clip(np.take_along_axis(cosines, nearest, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
+            # Whole numbers that hold the rounded cosine and the place, so no two are equal.
+            n = len(self.vectors)
+            ranked = np.rint((self.embed(block) @ self.vectors.T) * 1e6).astype(np.int64) * n - np.arange(n)
+            best = -np.partition(-ranked, k - 1, axis=1)[:, :k]
+            nearest = -best % n
+            weights = np.clip((best + nearest) // n / 1e6, 0, 1) ** SHARPNESS
             total = weights.sum(axis=1)
             voted = (np.array([len(t) > 0 for t, _ in block])) & (total > 0)
             out[at : at + len(block)][voted] = ((weights * self.labels[nearest]).sum(axis=1) / np.maximum(total, 1e-300))[voted]
@@ -144,14 +151,16 @@ def score_column(voters: Voters, text: Column, spark: SparkSession) -> Column:
 def learn_voters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Voters:
     """Voters from at most ``LABELLED`` labelled documents that are not held out, chosen by a hash of their ids.
 
-    Null labels and ids are left out; an id with several labels has their mean; a label without document is left out.
+    Null labels and ids are left out; an id with several labels has their mean; a label without document is left out.  Of
+    documents that repeat an id the text that sorts first is learnt from.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = rows.select("label", "text").mapInArrow(_terms, "label double, terms array<int>, shares array<float>")
-    got = rows.limit(2 * LABELLED).toArrow()  # ids that repeat in docs give a row each
+    got = rows.toArrow()  # a row for each id, so ``LABELLED`` at most
     pairs = [(np.array(t, np.int64), np.array(s, np.float32)) for t, s in zip(got["terms"].to_pylist(), got["shares"].to_pylist())]
     order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), got["label"][k].as_py()))
     order = [order[k] for k in np.random.default_rng(7).permutation(len(order))]  # independent of the order of rows
@@ -172,6 +181,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    Scores are those of ``quality_scores``: null, empty and word-free texts are judged by the mean of the labels; repeated rows
+    are judged alike; without labels every score is 0.5.
+    """
     small_batches(docs.sparkSession)
     return docs.where(score_column(learn_voters(docs, labels, doc_id, text, label), F.col(text), docs.sparkSession) >= threshold)
