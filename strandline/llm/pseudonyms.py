@@ -5,10 +5,13 @@ alphabet, by a keyed hash of the other half.  That permutes the values of one fo
 documents and different ones stay different; without the key they cannot be undone.
 
 * payment card numbers (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit is computed anew;
-* bank account numbers (IBAN, mod 97): the characters after the check digits are permuted, the check digits computed anew;
-* telephone numbers: the digits after the country code; social security numbers: all digits;
+* bank account numbers (IBAN of the country's length, mod 97): the characters after the check digits are permuted, the check
+  digits computed anew;
+* telephone numbers: the digits after the country code;
+* social security numbers: permuted among the valid ones (no area 000, 666 or 900 to 999, no group 00, no serial 0000);
 * IPv4 addresses: permuted among all 2^32;
-* dates (year first with - or /, or day first with .): permuted among the 73,170 days from 1900-01-01;
+* dates (year first with - or /, or day first with .), years 1 to 9999: permuted among the days of one of three ranges, which
+  meet at the ends of 1899 and of January 2100, so that dates of today stay dates of today;
 * e-mail addresses: the part before @.
 
 Separators stay in place and do not enter the permutation, so differently written equal numbers stay linked.
@@ -20,18 +23,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "change this key"
 
 # Formats, and the alphabets within which characters are shifted.
-EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?[0-9]){8,12}(?![0-9])"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+# Characters of an account number by country.
+ACCOUNT_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 MT31 SC31 LC32"
+).split()
+
+
+def _account_pattern() -> str:
+    """Countries of the table by their length; others by groups of four."""
+    by_length: dict[int, list[str]] = {}
+    for entry in ACCOUNT_LENGTHS:
+        by_length.setdefault(int(entry[2:]), []).append(entry[:2])
+    known = "|".join(f"(?:{'|'.join(names)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in by_length.items())
+    others = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return f"(?<![A-Za-z0-9])(?:{known}|{others})(?![A-Za-z0-9])"
+
+
+ACCOUNT = _account_pattern()
+CARD = (
+    r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3} [0-9]{1,3}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){3}-[0-9]{1,3}"
+    r"|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+)
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 270, 271
+#: Days from 0001-01-01 in three ranges, each a product of the sizes of its two halves.
+DAY_RANGES = ((682, 1017), (235, 311), (1621, 1780))
+#: Valid social numbers: areas, and groups times serials.
+AREAS, IN_AREA = 898, 99 * 9999
 KINDS = ("email", "address", "date", "social", "phone", "account", "card")
 _PATTERNS = dict(zip(KINDS, (EMAIL, ADDRESS, DATE, SOCIAL, PHONE, ACCOUNT, CARD)))
 #: In the alternation the date's separator is written out, for group numbers would shift.
@@ -49,16 +75,19 @@ def _number(key: str, *parts: Column) -> Column:
 
 
 def _shifted(half: Column, other: Column, key: str, kind: str, turn: Column) -> Column:
-    def one(i: Column) -> Column:
-        c = F.substring(half, i, F.lit(1))
-        amount = _number(key, F.lit(kind), turn.cast("string"), i.cast("string"), other)
-        out = c
-        for alphabet in ALPHABETS:
-            place = F.instr(F.lit(alphabet), c)
-            out = F.when(place > 0, F.substring(F.lit(alphabet), ((place - 1 + amount) % len(alphabet) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+    def all_of(digest: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            amount = F.conv(F.substring(F.sha2(F.concat_ws("|", digest, i.cast("string")), 256), 1, 8), 16, 10).cast("long")
+            out = c
+            for alphabet in ALPHABETS:
+                place = F.instr(F.lit(alphabet), c)
+                out = F.when(place > 0, F.substring(F.lit(alphabet), ((place - 1 + amount) % len(alphabet) + 1).cast("int"), F.lit(1))).otherwise(out)
+            return out
 
-    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise(half)
+        return F.array_join(F.transform(F.split(half, ""), one), "")
+
+    # The other half is hashed once, not for each character.
+    return F.when(F.length(half) > 0, bound(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other), 256), all_of)).otherwise(half)
 
 
 def permute_text(value: Column, key: str, kind: str) -> Column:
@@ -133,10 +162,18 @@ def mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
+    """Of a number of 17 digits or more in groups, which is not valid as a whole, the first 16 digits are tried."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    fresh = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    whole = bound(fresh, lambda f: F.concat(f, ((10 - luhn_sum(F.concat(f, F.lit("0"))) % 10) % 10).cast("string")))
-    return luhn_sum(digits) % 10 == 0, _filled(m, whole, "[0-9]")
+    whole = luhn_sum(digits) % 10 == 0
+    size = F.when(whole | ~m.rlike("[ -]"), F.length(digits)).otherwise(F.least(F.length(digits), F.lit(16)))
+
+    def fresh(d: Column) -> Column:
+        body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+        return bound(body, lambda f: F.concat(f, ((10 - luhn_sum(F.concat(f, F.lit("0"))) % 10) % 10).cast("string")))
+
+    number = F.substring(digits, F.lit(1), size)
+    rest = F.substring(digits, size + 1, F.length(digits))
+    return luhn_sum(number) % 10 == 0, _filled(m, F.concat(bound(number, fresh), rest), "[0-9]")
 
 
 def _account(m: Column, key: str) -> tuple[Column, Column]:
@@ -159,13 +196,21 @@ def _address(m: Column, key: str) -> tuple[Column, Column]:
 def _date(m: Column, key: str) -> tuple[Column, Column]:
     dotted = m.contains(".")
     iso = F.when(dotted, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(F.translate(m, "/", "-"))
-    number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY)))
-    fresh = F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), permute_number(number, DAYS_A, DAYS_B, key, "date").cast("int")), "yyyy-MM-dd")
+    first = F.to_date(F.lit("0001-01-01"))
+    number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), first)
+
+    def moved(n: Column) -> Column:
+        out, begin = F.lit(None).cast("long"), 0
+        for k, (a, b) in enumerate(DAY_RANGES):
+            out = F.when((n >= begin) & (n < begin + a * b), permute_number(n - begin, a, b, key, f"date{k}") + begin).otherwise(out)
+            begin += a * b
+        return F.date_format(F.date_add(first, out.cast("int")), "yyyy-MM-dd")
 
     def shaped(f: Column) -> Column:
         return F.when(dotted, F.concat_ws(".", F.substring(f, 9, 2), F.substring(f, 6, 2), F.substring(f, 1, 4))).when(m.contains("/"), F.translate(f, "-", "/")).otherwise(f)
 
-    return F.coalesce(number.between(0, DAYS_A * DAYS_B - 1), F.lit(False)), bound(fresh, shaped)
+    days = sum(a * b for a, b in DAY_RANGES)
+    return F.coalesce(number.between(0, days - 1), F.lit(False)), bound(bound(number, moved), shaped)
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
@@ -177,22 +222,34 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _social(m: Column, key: str) -> tuple[Column, Column]:
-    return ~m.rlike("^(000|666|9)|-00-|-0000$"), _filled(m, permute_text(F.regexp_replace(m, "-", ""), key, "social"), "[0-9]")
+    area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = (area - 1 - (area > 666).cast("long")) * IN_AREA + (group - 1) * 9999 + serial - 1
+
+    def written(n: Column) -> Column:
+        a = F.floor(n / IN_AREA) + 1
+        parts = ((a + (a > 665).cast("long"), 3), (F.floor(n / 9999) % 99 + 1, 2), (n % 9999 + 1, 4))
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), size, "0") for x, size in parts))
+
+    return ~m.rlike("^(000|666|9)|-00-|-0000$"), bound(permute_number(place, AREAS, IN_AREA, key, "social"), written)
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
-    return F.lit(True), F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    host = F.substring_index(m, "@", -1)
+    return host.rlike(r"\.[A-Za-z]{2}"), F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), host)
 
 
 _MAKERS = {"email": _email, "address": _address, "date": _date, "social": _social, "phone": _phone, "account": _account, "card": _card}
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, text with pseudonyms, and n_<kind> for each of ``KINDS``.
 
-    Null and empty texts become empty texts.  Strings that look like a format but are not valid stay as they are.  Repeated
-    rows are treated alike; an empty table gives no rows; other columns are not read.
+    ``key`` is the secret that the permutations depend on; an empty one is refused.  Null and empty texts become empty texts.
+    Strings that look like a format but are not valid stay as they are.  Repeated rows are treated alike; an empty table gives
+    no rows; other columns are not read.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     pieces = F.arrays_zip(F.split("t", _ANY, -1).alias("gap"), F.regexp_extract_all("t", F.lit(_ANY), F.lit(0)).alias("m"))
 

@@ -40,7 +40,7 @@ OPERATORS = {
     "token_counts": lambda s, d: token_counts(d, vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))),
     "near_dups": lambda s, d: near_dup_components(d),
     "bpe": lambda s, d: bpe_encode(d, RANKS, public_tokenizers.PATTERN),
-    "pseudonyms": lambda s, d: pseudonymise(d),
+    "pseudonyms": lambda s, d: pseudonymise(d, "k"),
     "line_dedup": lambda s, d: line_dedup(d),
     "quality_rules": lambda s, d: quality_rules(d),
     "urls": lambda s, d: url_verdicts(d, "doc_id", "text"),
