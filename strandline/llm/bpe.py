@@ -1,36 +1,35 @@
-"""Byte-level BPE: distinct pre-tokens are encoded once for the whole corpus, then joined back by position.
+"""Byte-level BPE: distinct pre-tokens of the whole corpus are encoded once, then joined back by word and position.
 
-1. Texts are cut into pre-tokens.  A block (the texts of one task, up to ``BLOCK_TOKENS`` pre-tokens) becomes one row that
-   holds each pre-token's position as an index into the block's list of distinct pre-tokens.  Blocks are named by their
-   content, so a task that runs again makes the same ones, and both steps below read one shuffle of them.
-2. These lists are shuffled by a hash of the pre-token: all blocks' occurrences of a pre-token meet in one bucket, which
-   encodes each distinct one once.
-3. The ids go back to their blocks, and texts are put together by position.
+1. Texts are cut into pre-tokens, as the public library cuts them.  A block (the texts of one task, up to ``BLOCK_TOKENS``
+   pre-tokens) becomes one row with the list of its distinct words and, for each pre-token in order, the place of its word in
+   that list.  Blocks are named by their content, so a task that runs again makes the same ones.
+2. The lists are exploded to rows of (block, place, word).  The distinct words of all blocks are shuffled, each is encoded once,
+   and a join by word gives the ids back to their blocks and places.
+3. Blocks meet their ids, and texts are put together by position.
 
-A pre-token crosses the network once a block however often it occurs, so very frequent ones make no hot keys.  Decoding joins
-ids with the table of token bytes, which is as small as the vocabulary.
+A word crosses the network once a block however often it occurs; the join by word is a plain Spark join, whose frequent keys
+Spark splits.  Decoding joins ids with the table of token bytes, which is as small as the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import lean_memory, small_batches
 
 BLOCK_TOKENS = 1_000_000
-#: Bytes of input for each bucket of distinct pre-tokens.
-BUCKET_BYTES = 8_000_000
 
-CUT = "block binary, doc_ids array<long>, lengths array<long>, codes binary, buckets binary, lists array<struct<bucket:int,words:binary>>"
+CUT = "block binary, doc_ids array<long>, lengths array<long>, codes binary, words array<binary>"
+_CUT_SCHEMA = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
 
 
 def rank_table(raw: bytes) -> dict[bytes, int]:
@@ -38,18 +37,6 @@ def rank_table(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def pack(items: list[bytes]) -> bytes:
-    return zstandard.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 3)
-
-
-def unpack(data: bytes) -> list[bytes]:
-    data = zstandard.decompress(data)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(data, "<u4", n + 1).astype(np.int64)[1:]) + 4 * (n + 1)
-    begins = [4 * (n + 1), *ends[:-1].tolist()]
-    return [data[a:b] for a, b in zip(begins, ends.tolist())]
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes of 32-bit numbers, which compress better than the numbers."""
     return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
@@ -60,30 +47,70 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _cutter(pattern: str, n_buckets: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+@lru_cache
+def stand_ins(pattern: str) -> dict[int, str]:
+    """Code points that the library takes for other than the regular expressions here do (their tables of letters and numbers are
+    of different ages), each with a character that both take for what the library does.
 
+    A code point is a letter to the library if it stays in one piece with an ``a`` before it, which a vocabulary of single bytes
+    and of pairs with ``a`` shows: only inside a piece are the two put together.  Likewise numbers after ``1``, and signs after
+    ``!``; what is none of these is white space.
+    """
+    import regex
+    import tiktoken
+
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    chars = [chr(c) for c in points.tolist()]
+    together = "".join(chars)
+    sizes = np.array([len(c.encode()) for c in chars]) + 2
+    places = np.cumsum(sizes) - sizes
+    out = {}
+    settled = np.zeros(len(chars), bool)
+    for lead, kind, stand_in in (("a", r"\p{L}", "é"), ("1", r"\p{N}", "½"), ("!", r"[^\s\p{L}\p{N}]", "¤"), ("", r"\s", "\u2003")):
+        ours = np.zeros(len(chars), bool)
+        ours[[m.start() for m in regex.finditer(kind, together)]] = True
+        theirs = ~settled
+        if lead:
+            ranks = {bytes([b]): b for b in range(256)} | {lead.encode() + bytes([b]): 256 + b for b in range(256)}
+            ids = np.array(tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary("\n".join(lead + c for c in chars)))
+            lengths = np.where(ids >= 256, 2, 1)
+            theirs = ids[np.searchsorted(np.cumsum(lengths) - lengths, places)] >= 256
+        settled |= theirs
+        out |= {int(c): stand_in for c in points[theirs & ~ours]}
+    return out
+
+
+def splitter(pattern: str, unlike: dict[int, str]):
+    """A function from a text to its pre-tokens; ``unlike`` is ``stand_ins(pattern)``."""
+    import regex
+
+    compiled = regex.compile(pattern)
+    odd = {chr(c) for c in unlike}
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or odd.isdisjoint(text):
+            return compiled.findall(text)
+        return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(unlike))]
+
+    return split
+
+
+def _cutter(pattern: str, unlike):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        find = regex.compile(pattern).findall
-        lists = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
-        schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.binary()), ("lists", lists)])
+        split = splitter(pattern, unlike.value)
         known: dict[str, int] = {}
         ids, lengths, codes, total = [], [], [], 0
 
         def row() -> pa.RecordBatch:
             words = [w.encode() for w in known]
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(words)]
-            parts = [{"bucket": int(bucket[order[a]]), "words": pack([words[k] for k in order[a:b].tolist()])} for a, b in zip(bounds[:-1], bounds[1:])]
             flat = _planes(np.concatenate(codes))
             name = xxhash.xxh3_128_digest(repr(ids).encode() + flat + b"".join(words))
-            return pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "lengths": lengths, "codes": flat, "buckets": _planes(bucket), "lists": parts}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "lengths": lengths, "codes": flat, "words": words}], schema=_CUT_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [known.setdefault(w, len(known)) for w in find(text or "")]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = [known.setdefault(w, len(known)) for w in split(text.as_py() or "")]
                 ids.append(doc_id)
                 lengths.append(len(found))
                 codes.append(np.array(found, np.uint32))
@@ -98,33 +125,20 @@ def _cutter(pattern: str, n_buckets: int):
     return cut
 
 
-def _lists(blocks: pa.Table) -> pa.Table:
-    """The lists of a block as rows.  Equal blocks give equal lists, which are needed once."""
-    rows = [(name, x["bucket"], x["words"]) for name, lists in zip(blocks["block"].to_pylist()[:1], blocks["lists"].to_pylist()[:1]) for x in lists]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, (pa.binary(), pa.int32(), pa.binary()))], names=["block", "bucket", "words"])
-
+def _encoded(word: Column, ranks_file) -> Column:
+    """Ids of a word (bytes), little-endian unsigned 32-bit."""
 
-def _word_encoder(ranks_file):
-    """Encodes every distinct pre-token of a bucket once, for all blocks that have it."""
-
-    def encode(table: pa.Table) -> pa.Table:
+    @F.arrow_udf("binary")
+    def encode(words: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import tiktoken
 
         lean_memory()
-        piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(ranks_file.value), special_tokens={})._core_bpe.encode_single_piece
-        done: dict[bytes, bytes] = {}
-        out = []
-        for data in table["words"].to_pylist():
-            ids = []
-            for word in unpack(data):
-                got = done.get(word)
-                if got is None:
-                    got = done[word] = np.array(piece(word), "<u4").tobytes()
-                ids.append(got)
-            out.append(pack(ids))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(out, pa.binary())})
+        # The word is one piece, so the library does not cut it again.
+        ids_of = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(ranks_file.value), special_tokens={}).encode_ordinary
+        for some in words:
+            yield pa.array([np.array(ids_of(w.decode()), "<u4").tobytes() for w in some.to_pylist()], pa.binary())
 
-    return encode
+    return encode(word)
 
 
 class TokenBytes:
@@ -153,30 +167,28 @@ DECODED = ENCODED.append(pa.field("decoded", pa.binary()))
 
 
 def _reassembler(ranks_file=None):
-    """Ids of each text of a block, by the positions of its pre-tokens; with a rank file their bytes too."""
+    """Ids of each text of a block, by the positions of its words; with a rank file their bytes too."""
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         lean_memory()
         table = TokenBytes(ranks_file.value) if ranks_file else None
         schema = DECODED if table else ENCODED
+        places, ids = words["place"].to_numpy(), words["ids"].to_pylist()
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, sizes = np.zeros((2, int(places.max(initial=-1)) + 1), np.int64)
+        starts[places], sizes[places] = np.cumsum(lengths) - lengths, lengths
         out = []
-        for row in texts.to_pylist():
-            codes, buckets = _numbers(row["codes"]), _numbers(row["buckets"])
-            parts: list[bytes] = [b""] * len(buckets)
-            for bucket, data in zip(words["bucket"].to_pylist(), words["ids"].to_pylist()):
-                for k, ids in zip(np.flatnonzero(buckets == bucket).tolist(), unpack(data)):
-                    parts[k] = ids
-            flat = np.frombuffer(b"".join(parts), "<u4")
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            starts = np.cumsum(sizes) - sizes
+        for row in texts.select(["doc_ids", "lengths", "codes"]).to_pylist():
+            codes = _numbers(row["codes"])
             bounds = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))]).tolist()
             columns = [row["doc_ids"], [], [], []]
             for a, b in zip(bounds[:-1], bounds[1:]):
-                ids = gathered(flat, starts[codes[a:b]], sizes[codes[a:b]])
-                columns[1].append(len(ids))
-                columns[2].append(ids.tobytes())
+                own = gathered(flat, starts[codes[a:b]], sizes[codes[a:b]])
+                columns[1].append(len(own))
+                columns[2].append(own.tobytes())
                 if table:
-                    columns[3].append(table.decode(ids))
+                    columns[3].append(table.decode(own))
             out.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -196,14 +208,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     with open(ranks_path, "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # Plans over files know their size, others give the largest number there is.
-    n_buckets = max(8, size // BUCKET_BYTES) if size < 2**53 else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = source.mapInArrow(_cutter(pattern, n_buckets), CUT).repartition("block")
-    words = blocks.groupBy("block").applyInArrow(_lists, "block binary, bucket int, words binary")
-    ids = words.groupBy("bucket").applyInArrow(_word_encoder(ranks_file), "block binary, bucket int, ids binary")
+    blocks = source.mapInArrow(_cutter(pattern, spark.sparkContext.broadcast(stand_ins(pattern))), CUT).repartition("block")
+    # All columns are read, so that the words and the texts below come from one shuffle of the blocks.
+    whole = F.length("codes") + F.size("doc_ids") + F.size("lengths") >= 0
+    words = blocks.select(F.col("block").alias("of_block"), F.posexplode(F.when(whole, F.col("words"))).alias("place", "word"))
+    pieces = words.select("word").distinct().select("word", _encoded(F.col("word"), ranks_file).alias("ids"))
+    ids = words.join(pieces, "word").select("of_block", "place", "ids")
     columns = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode
-    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembler(ranks_file if decode else None), columns)
+    return blocks.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_reassembler(ranks_file if decode else None), columns)
 
 
 def _decoder(ranks_file):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandline.llm import quality_votes
-from strandline.llm.bpe import bpe_decode, bpe_encode
+from strandline.llm.bpe import bpe_decode, bpe_encode, splitter, stand_ins
 from strandline.llm.decontaminate import benchmark_leaks, normal, question_and_answer, shingles, words_of
 from strandline.llm.line_chunks import line_dedup
 from strandline.llm.near_dups import block_links, keep_one_each, near_dup_components
@@ -171,6 +171,31 @@ def test_bpe_with_several_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(k, len(reference.encode_ordinary(t))) for k, t in enumerate(texts)]
 
 
+def test_pre_tokens_are_those_of_the_library_over_all_code_points():
+    """A piece of one word gives the ids that the library gives for it within the text."""
+    reference = encoding()
+    split = splitter(public_tokenizers.PATTERN, stand_ins(public_tokenizers.PATTERN))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        text = "".join(f"{c}'s a{c}1 {c}{c}x" for c in points[at : at + 4000])
+        assert [i for w in split(text) for i in reference.encode_ordinary(w)] == reference.encode_ordinary(text)
+
+
+def test_bpe_of_letters_that_tables_disagree_on(spark):
+    odd = sorted(stand_ins(public_tokenizers.PATTERN))
+    texts = [f"a{chr(c)}'s {chr(c)}1{chr(c)}b" for c in odd[:: max(1, len(odd) // 300)]]
+    rows = bpe_encode(table(spark, texts), RANKS, public_tokenizers.PATTERN).collect()
+    reference = encoding()
+    assert len(rows) == len(texts) and all(np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(texts[r.doc_id]) for r in rows)
+
+
+def test_blocks_and_words_come_from_one_shuffle(spark):
+    plan = bpe_encode(table(spark, ["a b"]), RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    rows = bpe_encode(table(spark, ["a b"]), RANKS, public_tokenizers.PATTERN)
+    rows.collect()
+    assert "MapInArrow" in plan and rows._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+
+
 def test_bpe_refuses_unknown_ids(spark):
     bad = spark.createDataFrame([(1, 1, bytearray(b"\xff\xff\xff\xff"))], "doc_id long, n_tokens long, ids binary")
     with pytest.raises(Exception, match="vocabulary"):
