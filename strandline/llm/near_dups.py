@@ -55,9 +55,6 @@ def _seeds(halves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return xor, odd, rng.integers(0, 2**64, 2 * halves, dtype=_U)
 
 
-SIGNED = "doc_id long, n_shingles long, cls binary, halves array<long>"
-
-
 def half_keys(shingles: np.ndarray, halves: int) -> np.ndarray:
     """The 2 * ``halves`` half keys of a non-empty set."""
     xor, odd, salt = _seeds(halves)
@@ -75,8 +72,8 @@ def half_keys(shingles: np.ndarray, halves: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], n_halves: int) -> Iterator[pa.RecordBatch]:
     lean_memory()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
+        schema = pa.schema([("doc_id", batch.column(0).type), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("halves", pa.list_(pa.int64()))])
         sizes, classes, halves = [], [], []
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
@@ -175,17 +172,21 @@ def _compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
 def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
 
-    Sets link that share ``link`` per cent of their union.  Null and word-free texts have the empty set and link with nothing: their component is their own doc_id.  Rows that
-    repeat a doc_id are documents of their own and share the verdict of that id.  A row without doc_id links like any
+    Sets link that share ``link`` per cent of their union.  Null and word-free texts have the empty set and link with nothing:
+    their component is their own doc_id.  Rows that repeat a doc_id are documents of their own and share the verdict of that id.  A row without doc_id links like any
     other, takes the least id of its component, and is kept only if no row of it has an id.  An empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
+    return _components(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "long", link)
+
+
+def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
+    """``near_dup_components`` of (doc_id, text), with ids of any type that has an order."""
+    spark = source.sparkSession
     small_batches(spark)
     space = Workspace(spark, "near-dups")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_halves = halves_for(link)
-    signed = space.keep(source.mapInArrow(lambda batches: _sign(batches, n_halves), SIGNED))
+    signed = space.keep(source.mapInArrow(lambda batches: _sign(batches, n_halves), f"doc_id {id_type}, n_shingles long, cls binary, halves array<long>"))
     classes = space.keep(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.first("halves").alias("halves")))
 
     # Half keys that two classes share, then tables over those: a class with none in either collection meets nobody.
@@ -260,12 +261,18 @@ def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are kept; of rows that repeat an id one stays.
+    """The rows of ``docs``, with all their columns: of each group of linked or equal texts the one that stays.
 
-    Rows without id are named by a hash of their text, above 2^62, so a row with an id of the same group goes before them.
+    That is the one of the least id, rows without id last, and of rows that repeat an id the one whose text has the least
+    digest.  Rows of one id whose texts are not linked are documents of their own and stay.  Null and word-free texts are linked
+    with nothing, so each such row stays.  An empty table gives no rows.
     """
     key = "_near_dup_key"
-    nameless = F.lit(2**62) + F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1))
-    rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), nameless))
-    verdicts = near_dup_components(rows, key, text, link).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(verdicts, key, "left_semi").dropDuplicates([key]).drop(key)
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Binary keys in the order of ids, with the text's digest.
+    place = F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    named = F.coalesce(F.concat(F.lit("00"), place), F.lit("01" + "0" * 16))
+    rows = docs.where(words).withColumn(key, F.unhex(F.concat(named, F.md5(F.col(text)))))
+    kept = _components(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "binary", link).where("kept")
+    stay = rows.join(kept.select(F.col("doc_id").alias(key)).distinct(), key, "left_semi").dropDuplicates([key]).drop(key)
+    return stay.unionByName(docs.where(~words))

@@ -138,9 +138,17 @@ def test_block_links_join_all_that_is_linked():
 
 
 def test_one_of_each_group_stays(spark):
-    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words here"), (3, "other words here"), (None, "a b c d e f g"), (None, "quite alone")]
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words here"), (3, "other words here"), (None, "a b c d e f g"), (None, "quite alone"), (-4, "QUITE alone"), (None, ""), (None, None), (3, " "), (3, " ")]
     kept = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit(7))).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "quite alone"), (1, "a b c d e f g"), (3, "other words here")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(-4, "QUITE alone"), (0, ""), (0, ""), (1, "a b c d e f g"), (3, " "), (3, " "), (3, "other words here")]
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rng = random.Random(13)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(5, one), (5, two), (6, two + " end"), (4, "lone"), (7, one.upper())]
+    kept = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, one), (5, two), (4, "lone")])
 
 
 def encoding():
