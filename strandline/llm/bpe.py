@@ -2,7 +2,7 @@
 
 1. Texts are cut into pre-tokens, as the public library cuts them.  A block (the texts of one task, up to ``BLOCK_TOKENS``
    pre-tokens) becomes one row with the list of its distinct words and, for each pre-token in order, the place of its word in
-   that list.  Blocks are named by their content, so a task that runs again makes the same ones.
+   that list; both are compressed.  Blocks are named by their content, so a task that runs again makes the same ones.
 2. The lists are exploded to rows of (block, place, word).  The distinct words of all blocks are shuffled, each is encoded once,
    and a join by word gives the ids back to their blocks and places.
 3. Blocks meet their ids, and texts are put together by position.
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .storage import lean_memory, small_batches
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 8_000_000
+#: Rows of an Arrow batch of words.
+BATCH_WORDS = 20_000
 
-CUT = "block binary, doc_ids array<long>, lengths array<long>, codes binary, words array<binary>"
-_CUT_SCHEMA = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
+CUT = "block long, doc_ids array<long>, lengths array<long>, codes binary, words binary"
+_CUT_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.binary())])
 
 
 def rank_table(raw: bytes) -> dict[bytes, int]:
@@ -104,8 +106,9 @@ def _cutter(pattern: str, unlike):
 
         def row() -> pa.RecordBatch:
             words = [w.encode() for w in known]
+            words = zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 6)
             flat = _planes(np.concatenate(codes))
-            name = xxhash.xxh3_128_digest(repr(ids).encode() + flat + b"".join(words))
+            name = xxhash.xxh3_64_intdigest(repr(ids).encode() + flat + words) - 2**63
             return pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "lengths": lengths, "codes": flat, "words": words}], schema=_CUT_SCHEMA)
 
         for batch in batches:
@@ -125,18 +128,40 @@ def _cutter(pattern: str, unlike):
     return cut
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of_block, place, word) for each distinct word of a block."""
+    lean_memory()
+    for batch in batches:
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+            data = zstandard.decompress(packed)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            ends = np.cumsum(np.frombuffer(data, "<u4", n + 1)[1:], dtype=np.int64).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[np.int32(0), ends].tobytes()), pa.py_buffer(data[4 * (n + 1) :])])
+            for at in range(0, n, BATCH_WORDS):
+                some = words.slice(at, BATCH_WORDS)
+                columns = [pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), some]
+                yield pa.RecordBatch.from_arrays(columns, names=["of_block", "place", "word"])
+
+
+def _width(ranks: dict[bytes, int]) -> str:
+    """Type of ids between the steps."""
+    return "<u2" if max(ranks.values()) < 2**16 else "<u4"
+
+
 def _encoded(word: Column, ranks_file) -> Column:
-    """Ids of a word (bytes), little-endian unsigned 32-bit."""
+    """Ids of a word (bytes), little-endian."""
 
     @F.arrow_udf("binary")
     def encode(words: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import tiktoken
 
         lean_memory()
+        ranks = rank_table(ranks_file.value)
         # The word is one piece, so the library does not cut it again.
-        ids_of = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(ranks_file.value), special_tokens={}).encode_ordinary
+        ids_of = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        width = _width(ranks)
         for some in words:
-            yield pa.array([np.array(ids_of(w.decode()), "<u4").tobytes() for w in some.to_pylist()], pa.binary())
+            yield pa.array([np.array(ids_of(w.decode()), width).tobytes() for w in some.to_pylist()], pa.binary())
 
     return encode(word)
 
@@ -145,7 +170,9 @@ class TokenBytes:
     """The table of token bytes, joined to ids by position."""
 
     def __init__(self, raw: bytes):
-        tokens = sorted((rank, token) for token, rank in rank_table(raw).items())
+        ranks = rank_table(raw)
+        self.width = _width(ranks)
+        tokens = sorted((rank, token) for token, rank in ranks.items())
         self.sizes = np.zeros(tokens[-1][0] + 1, np.int64)
         self.sizes[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -166,16 +193,18 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", p
 DECODED = ENCODED.append(pa.field("decoded", pa.binary()))
 
 
-def _reassembler(ranks_file=None):
-    """Ids of each text of a block, by the positions of its words; with a rank file their bytes too."""
+def _reassembler(ranks_file, decode: bool):
+    """Ids of each text of a block, by the positions of its words, and if asked their bytes too."""
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         lean_memory()
-        table = TokenBytes(ranks_file.value) if ranks_file else None
-        schema = DECODED if table else ENCODED
-        places, ids = words["place"].to_numpy(), words["ids"].to_pylist()
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = TokenBytes(ranks_file.value)
+        schema = DECODED if decode else ENCODED
+        places, ids = words["place"].to_numpy(), words["ids"].combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) if len(ids) else np.zeros(1, np.int64)
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(table.width).astype("<u4") if len(ids) else np.zeros(0, "<u4")
+        lengths = np.diff(ends) // np.dtype(table.width).itemsize
         starts, sizes = np.zeros((2, int(places.max(initial=-1)) + 1), np.int64)
         starts[places], sizes[places] = np.cumsum(lengths) - lengths, lengths
         out = []
@@ -187,7 +216,7 @@ def _reassembler(ranks_file=None):
                 own = gathered(flat, starts[codes[a:b]], sizes[codes[a:b]])
                 columns[1].append(len(own))
                 columns[2].append(own.tobytes())
-                if table:
+                if decode:
                     columns[3].append(table.decode(own))
             out.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -209,13 +238,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
         ranks_file = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = source.mapInArrow(_cutter(pattern, spark.sparkContext.broadcast(stand_ins(pattern))), CUT).repartition("block")
-    # All columns are read, so that the words and the texts below come from one shuffle of the blocks.
-    whole = F.length("codes") + F.size("doc_ids") + F.size("lengths") >= 0
-    words = blocks.select(F.col("block").alias("of_block"), F.posexplode(F.when(whole, F.col("words"))).alias("place", "word"))
+    words = blocks.mapInArrow(_exploded, "of_block long, place int, word binary")
     pieces = words.select("word").distinct().select("word", _encoded(F.col("word"), ranks_file).alias("ids"))
     ids = words.join(pieces, "word").select("of_block", "place", "ids")
     columns = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode
-    return blocks.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_reassembler(ranks_file if decode else None), columns)
+    return blocks.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_reassembler(ranks_file, decode), columns)
 
 
 def _decoder(ranks_file):
