@@ -37,6 +37,7 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, piece == self.unknown_piece))
         self.automaton.make_automaton()
+        self.longest = max(1, *(len(p) for p, _ in pieces))
         alphabet = {c for p in self.scores for c in p}
         lonely = {c for c in alphabet if c not in self.scores}
         whole = all(float(s).is_integer() for _, s in pieces) and all(MARK not in p.lstrip(MARK) for p in self.scores)
@@ -51,29 +52,34 @@ class UnigramCounter:
         return 1 if text in self.scores or not self.bytes_known else len(text.encode())
 
     def segment(self, text: str) -> int:
-        size = len(text)
-        ends: list[list] = [[] for _ in range(size)]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        single = [any(f[0] == 1 for f in found) for found in ends]
-        best, count, run = [0.0] * (size + 1), [0] * (size + 1), [-1] * (size + 1)  # run: where an open run of unknowns began
-        for end in range(1, size + 1):
+        """Pieces of a segment.  Only the positions that a piece can still begin at are kept, whatever the segment's length."""
+        window = self.longest + 1
+        best, count, run = [0.0] * window, [0] * window, [-1] * window  # run: where an open run of unknowns began
+        matches = self.automaton.iter(text)
+        ahead = next(matches, None)
+        for end in range(1, len(text) + 1):
+            found = []
+            while ahead is not None and ahead[0] < end:
+                found.append(ahead[1])
+                ahead = next(matches, None)
+            found.sort(key=lambda f: -f[0])
             top, chosen = None, None
-            for found in sorted(ends[end - 1], key=lambda f: -f[0]):
-                score = best[end - found[0]] + found[1]
+            for f in found:
+                score = best[(end - f[0]) % window] + f[1]
                 if top is None or score > top:
-                    top, chosen = score, found
-            if not single[end - 1]:
-                score = best[end - 1] + self.unknown_score
+                    top, chosen = score, f
+            if not found or found[-1][0] > 1:
+                score = best[(end - 1) % window] + self.unknown_score
                 if top is None or score > top:
                     top, chosen = score, (1, 0.0, True)
-            start = end - chosen[0]
-            best[end] = top
+            start, here = end - chosen[0], end % window
+            before, began = count[start % window], run[start % window]
             if chosen[2]:
-                count[end], run[end] = count[start], run[start] if run[start] >= 0 else start
+                best[here], count[here], run[here] = top, before, began if began >= 0 else start
             else:
-                count[end] = count[start] + 1 + (self._run(text[run[start] : start]) if run[start] >= 0 else 0)
-        return count[size] + (self._run(text[run[size] :]) if run[size] >= 0 else 0)
+                best[here], count[here], run[here] = top, before + 1 + (self._run(text[began:start]) if began >= 0 else 0), -1
+        last = len(text) % window
+        return count[last] + (self._run(text[run[last] :]) if run[last] >= 0 else 0)
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -64,6 +64,25 @@ def test_token_counts_with_a_small_vocabulary():
         assert counter.count(text) == len(tokenizer.encode("▁" + text.replace(" ", "▁")).ids), text
 
 
+def test_token_counts_of_long_texts_without_blanks():
+    """Memory does not grow with the segment: less than two megabytes for a million characters, beside the text itself."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer, models, normalizers
+
+    pieces = vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+    counter = UnigramCounter(pieces)
+    tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    tokenizer.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    rng = random.Random(3)
+    text = "".join(rng.choice("日本語のテキストabc鱻1") for _ in range(200_000))
+    tracemalloc.start()
+    n = counter.segment("▁" + text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000 and n == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
