@@ -55,9 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents, writing and rereading after each but the last."""
+    """Applies the stages to the documents, writing and rereading after each but the last.
+
+    The tables that a stage works with, and the documents it was given, are removed once its own are written.
+    """
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        begin = Workspace.mark()
         docs = space.keep(stage(spark, docs, sf_dir))
+        Workspace.drop_since(begin)
+        space.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
