@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import chunk_array, composition, is_repeat_masked, rounded_up, slice_of
@@ -96,38 +96,54 @@ def totals(sequences: DataFrame, size: int) -> DataFrame:
     return sequences.agg(F.count("*").alias("n_sequences"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("nucleotides"), F.coalesce(F.sum(F.ceil(length / size)), F.lit(0)).cast("long").alias("n_chunks"))
 
 
+#: Contigs that are numbered at once among those of their length.
+NUMBERED = 100_000
+
+
 def grouped(contigs: DataFrame, chunk_size: int, delta: float = 0.1, factors: list[int] | None = None, limit: int | None = None) -> DataFrame:
     """(name, length, group_id, chunk_size): contigs by falling length, put into groups that share a chunk size.
 
     A group takes contigs while they are at least ``delta`` of its chunk size long, or that size cannot shrink; beyond
     ``limit`` padded nucleotides it closes after the contig that passed it.  A much shorter contig sets a new chunk size, its
-    own length (rounded up to ``factors``), unless that would not be smaller.  Each decision depends on the last, so the
-    contig table, one small row a contig, is folded in order in one task.
+    own length (rounded up to ``factors``), unless that would not be smaller; then it joins its group and closes it.
+
+    Each decision depends on the last, but contigs of one length only on how many there are: the fold sees a row for each
+    length, and the places of contigs within their length are counted in Spark.
     """
     least = 1 if factors is None else rounded_up(1, factors)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "seq_ord"], ascending=[False, True])
-        lengths = rows["length"].tolist()
-        groups, sizes, size, group, used, k = [], [], chunk_size, 0, 0, 0
-        padded = lambda n: -(-n // size) * size
-        members = 0
-        while k < len(lengths):
-            n = lengths[k]
+        size, group, used, members = chunk_size, 0, 0, 0
+        out = []
+        for n, count in rows.sort_values("length", ascending=False)[["length", "n"]].itertuples(index=False):
             fits = n >= delta * size or size <= least
+            smaller = n if factors is None else rounded_up(n, factors)
+            if not fits and smaller < size:
+                size, group, used, members, fits = smaller, group + (members > 0), 0, 0, True
+            padded = -(-n // size) * size
+            # Contigs until the open group closes, and until later ones do.
             if not fits:
-                smaller = n if factors is None else rounded_up(n, factors)
-                if smaller < size:
-                    size, group, used, members = smaller, group + (members > 0), 0, 0
-                    continue
-            groups.append(group)
-            sizes.append(size)
-            used += padded(n)
-            members += 1
-            k += 1
-            # A contig that joins although it is short closes its group, as passing the limit does.
-            if not fits or (limit is not None and used > limit):
-                group, used, members = group + 1, 0, 0
-        return rows.assign(group_id=groups, chunk_size=sizes)[["name", "length", "group_id", "chunk_size"]]
-
-    return contigs.select("name", "seq_ord", "length").groupBy().applyInPandas(fold, "name string, length long, group_id long, chunk_size long")
+                room, each = 1, 1
+            elif limit is None or not padded:
+                room = each = count + 1
+            else:
+                room, each = (limit - used) // padded + 1, limit // padded + 1
+            out.append((n, size, group, room, each))
+            left = count - room
+            if left < 0:
+                used, members = used + count * padded, members + count
+            else:
+                group, members = group + 1 + left // each, left % each
+                used = members * padded
+        return pd.DataFrame(out, columns=["length", "chunk_size", "first", "room", "each"])
+
+    lengths = contigs.groupBy("length").agg(F.count("*").alias("n"))
+    folded = lengths.groupBy().applyInPandas(fold, "length long, chunk_size long, first long, room long, each long")
+    part = F.floor(F.col("seq_ord") / NUMBERED)
+    before = contigs.groupBy("length", part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = contigs.select("name", "seq_ord", "length", part.alias("_part")).join(before.select("length", "_part", "_before"), ["length", "_part"])
+    rows = rows.withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_part").orderBy("seq_ord")) - 1)
+    later = F.col("first") + 1 + F.floor((F.col("_k") - F.col("room")) / F.col("each"))
+    group = F.when(F.col("_k") < F.col("room"), F.col("first")).otherwise(later).cast("long")
+    return rows.join(folded, "length").select("name", "length", group.alias("group_id"), "chunk_size")

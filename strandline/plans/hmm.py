@@ -7,6 +7,7 @@ of introns (EI, IE) and stop.  Decoding (Rabiner 1989) is sequential along a chu
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -102,18 +103,19 @@ def emission_tables(starts=None, stops=None, begins=INTRON_BEGIN, ends=INTRON_EN
 
     Free states take any triplet.  Exon state 2 and border EI1 complete a codon and must not complete a stop.
     """
-    free = 3 + 3 * chain
     any_, start, stop = np.full(64, 1 / 64), triplet_weights(starts or start_codons(table)), triplet_weights(stops or stop_codons(table))
     no_stop = any_ * (stop == 0)
     no_stop /= no_stop.sum()
     begin, end = triplet_weights(begins), triplet_weights(ends)
-    left = np.vstack([any_, start, begin, begin, begin, any_, any_, any_, any_])
-    right = np.vstack([no_stop, any_, any_, no_stop, any_, end, end, end, stop])
+    bound_left = {"START": start, "EI0": begin, "EI1": begin, "EI2": begin}
+    bound_right = {"E2": no_stop, "EI1": no_stop, "IE0": end, "IE1": end, "IE2": end, "STOP": stop}
 
-    def whole(rows: np.ndarray) -> np.ndarray:
-        return np.vstack([np.hstack([np.zeros((free, 64)), np.ones((free, 1))]), np.hstack([rows, np.zeros((9, 1))])])
+    def rows(bound: dict[str, np.ndarray]) -> np.ndarray:
+        free = np.r_[np.zeros(64), 1.0]
+        unbound = {"IR", "E0", "E1", *(n for n in state_names(chain) if re.fullmatch(r"I[0-9]+", n))}
+        return np.array([free if n in unbound else np.r_[bound.get(n, any_), 0.0] for n in state_names(chain)])
 
-    return whole(left), whole(right)
+    return rows(bound_left), rows(bound_right)
 
 
 def repeat_table(factor: float, chain: int = 1) -> np.ndarray:
@@ -122,13 +124,6 @@ def repeat_table(factor: float, chain: int = 1) -> np.ndarray:
     return np.c_[np.ones_like(inside), inside]
 
 
-def border_factors(factor: float, starts=None, stops=None, begins=INTRON_BEGIN, ends=INTRON_END, table: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Factors for triplets in repeats that could be a start or an intron's begin, and a stop or an intron's end."""
-    left = factor * ((triplet_weights(starts or start_codons(table)) > 0).astype(float) + (triplet_weights(begins) > 0))
-    right = factor * ((triplet_weights(stops or stop_codons(table)) > 0).astype(float) + (triplet_weights(ends) > 0))
-    return tuple(np.r_[np.where(x == 0, 1.0, x), 1.0] for x in (left, right))
-
-
 def soft_triplets(seq: str) -> tuple[np.ndarray, np.ndarray]:
     """For each position the distribution of the triplet beginning there and of that ending there; unknown bases are uniform.
 
@@ -151,12 +146,26 @@ class GeneModel:
     right: np.ndarray
     start: np.ndarray
     repeat_factor: float | None = None
+    border_factor: float | None = None
 
     @staticmethod
-    def usual(chain: int = 1, table: int = 1, repeat_factor: float | None = None, **lengths) -> GeneModel:
+    def usual(chain: int = 1, table: int = 1, repeat_factor: float | None = None, border_factor: float | None = None, **lengths) -> GeneModel:
         left, right = emission_tables(chain=chain, table=table)
         n = len(state_names(chain))
-        return GeneModel(matrix(transition_edges(chain, **lengths), chain), left, right, np.full(n, 1 / n), repeat_factor)
+        return GeneModel(matrix(transition_edges(chain, **lengths), chain), left, right, np.full(n, 1 / n), repeat_factor, border_factor)
+
+    def _at_borders(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """By position and state: the share of triplets that fit a border state, scaled by ``border_factor``, the rest as it is.
+
+        A triplet fits the states whose weights single it out, that is start codon and intron begin by the triplet that begins
+        at a position, stop codon and intron end by the one that ends there.
+        """
+        out = np.ones((len(begin), len(self.start)))
+        for triplets, table in ((begin, self.left), (end, self.right)):
+            special = (table[:, :64] > 0).any(axis=1) & ((table[:, :64] > 0).sum(axis=1) < 40)
+            fitting = triplets[:, :64] @ (table[special, :64] > 0).T
+            out[:, special] *= 1 - fitting * (1 - self.border_factor)
+        return out
 
     def emissions(self, seq: str) -> np.ndarray:
         begin, end = soft_triplets(seq)
@@ -164,6 +173,9 @@ class GeneModel:
         if self.repeat_factor is not None:
             masked = np.array([c.islower() for c in seq], int)
             out = out * repeat_table(self.repeat_factor, (len(self.start) - 12) // 3)[:, masked].T
+        if self.border_factor is not None:
+            masked = np.array([c.islower() for c in seq], bool)[:, None]
+            out = out * np.where(masked, self._at_borders(begin, end), 1.0)
         return out
 
 
@@ -223,10 +235,31 @@ def decode(chunks: DataFrame, model: GeneModel, strands: tuple[str, ...] = ("+",
             states = [(x[::-1] if strand == "-" else x).tolist() for x, strand in zip(states, rows["strand"])]
             yield rows.assign(states=states)[["seq", "strand", "chunk_no", "states"]]
 
+    return _oriented(chunks, strands).mapInPandas(run, "seq string, strand string, chunk_no long, states array<int>")
+
+
+def posteriors(chunks: DataFrame, model: GeneModel, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
+    """(seq, strand, chunk_no, idx, p0, p1, ...) of ``chunks(name, chunk_no, chunk)``: the probability of each state at each position.
+
+    Rows are those of the sequence from left to right on both strands; padding is cut off.
+    """
+    names = [f"p{k}" for k in range(len(model.start))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                p = posterior(model, r.oriented)
+                out = pd.DataFrame(p[::-1] if r.strand == "-" else p, columns=names)
+                yield out.assign(seq=r.seq, strand=r.strand, chunk_no=r.chunk_no, idx=range(len(out)))[["seq", "strand", "chunk_no", "idx", *names]]
+
+    return _oriented(chunks, strands).mapInPandas(run, "seq string, strand string, chunk_no long, idx long, " + ", ".join(f"{n} double" for n in names))
+
+
+def _oriented(chunks: DataFrame, strands: tuple[str, ...]) -> DataFrame:
     letters = F.rtrim(F.translate("chunk", "-", " "))
-    rows = chunks.select(F.col("name").alias("seq"), "chunk_no", letters.alias("chunk"), F.explode(F.array(*map(F.lit, strands))).alias("strand"))
+    rows = chunks.select(F.col("name").alias("seq"), F.col("chunk_no").cast("long").alias("chunk_no"), letters.alias("chunk"), F.explode(F.array(*map(F.lit, strands))).alias("strand"))
     oriented = F.when(F.col("strand") == "-", complement(F.col("chunk"), reverse=True)).otherwise(F.col("chunk"))
-    return rows.select("seq", "strand", "chunk_no", oriented.alias("oriented")).mapInPandas(run, "seq string, strand string, chunk_no long, states array<int>")
+    return rows.select("seq", "strand", "chunk_no", oriented.alias("oriented"))
 
 
 def emission_init(chain: int = 1, heads: int = 1, classes: int = 15) -> np.ndarray:

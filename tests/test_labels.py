@@ -166,8 +166,11 @@ def test_emissions():
         hmm.triplet_weights([("ATG", 0.5)])
     assert hmm.repeat_table(0.1).tolist()[0] == [1, 1] and hmm.repeat_table(0.1)[5, 1] == 0.1
     assert hmm.emission_init(2).shape == (1, 18, 15)
-    l, r = hmm.border_factors(0.5)
-    assert l[hmm.TRIPLETS.index("ATG")] == 0.5 and l[-1] == 1 and r[hmm.TRIPLETS.index("TAA")] == 0.5
+    plain, scaled = (hmm.GeneModel.usual(border_factor=f).emissions("ccATGcatgtaacgtacag") for f in (None, 0.5))
+    ratio = np.divide(scaled, plain, out=np.ones_like(plain), where=plain > 0)
+    # Start codons count where they begin and stop codons where they end, in masked letters only.
+    assert ratio[2, 7] == 1 and ratio[6, 7] == 0.5 and ratio[11, 14] == 0.5 and ratio[13, 8] == 0.5 and ratio[18, 11] == 0.5
+    assert np.all(ratio[:, :7] == 1) and ratio.min() == 0.5 and ratio.max() == 1
 
 
 def test_decoding_against_all_paths():
@@ -192,6 +195,15 @@ def test_decoding_against_all_paths():
     assert np.isclose(p, best) and np.allclose(hmm.posterior(model, seq), at / total)
 
 
+def test_posteriors_of_a_table(spark):
+    model = hmm.GeneModel.usual(ir=3, intron=3, exon=3)
+    rows = spark.createDataFrame([("a", 0, "ATGTAACC--"), ("a", 1, "----------")], "name string, chunk_no long, chunk string")
+    got = hmm.posteriors(rows, model).orderBy("strand", "idx").collect()
+    assert [r.strand for r in got] == ["+"] * 8 + ["-"] * 8 and all(abs(sum(r[4:]) - 1) < 1e-9 for r in got)
+    assert np.allclose([r[4:] for r in got[:8]], hmm.posterior(model, "ATGTAACC"))
+    assert np.allclose([r[4:] for r in got[8:]], hmm.posterior(model, "GGTTACAT")[::-1])
+
+
 def test_a_planted_gene_is_found_on_both_strands(spark):
     gene = "ATG" + "CCA" * 40 + "TAA"
     text = "CCTTCA" * 20 + gene + "CCTTCA" * 20

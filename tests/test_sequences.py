@@ -101,33 +101,49 @@ def test_fetch_index_and_totals(spark):
     assert [r.evidence for r in sq.evidence_chunks(with_evidence, 1).orderBy("chunk_no").collect()] == [[1.0], [2.0]]
 
 
-def plain_groups(lengths, size, delta, factors, limit):
-    """The recurrence as plain loops: (length, group, chunk size) in order."""
-    least, out, group, k = (1 if factors is None else nt.rounded_up(1, factors)), [], 0, 0
-    while k < len(lengths):
-        used, began, full = 0, k, False
-        while k < len(lengths) and (lengths[k] >= delta * size or size <= least):
-            used += -(-lengths[k] // size) * size
-            out.append((lengths[k], group, size))
-            k += 1
-            if limit is not None and used > limit:
-                full = True
-                break
-        following = size
-        if not full and k < len(lengths):
-            following = lengths[k] if factors is None else nt.rounded_up(lengths[k], factors)
-            if following >= size:
-                following = size
-                out.append((lengths[k], group, size))
-                k += 1
-        group += k > began
-        size = following
-    return out
-
-
-@pytest.mark.parametrize("factors,limit", [(None, None), ([9], None), (None, 300), ([4, 6], 500)])
-def test_groups(spark, factors, limit):
-    lengths = [900, 400, 90, 88, 40, 39, 12, 9, 3, 2, 1, 1]
+def group_rows(spark, lengths, *options):
     rows = spark.createDataFrame([(f"s{k}", k, n) for k, n in enumerate(lengths)], "name string, seq_ord long, length long")
-    got = sorted(sq.grouped(rows, 100, 0.5, factors, limit).collect(), key=lambda r: (-r.length, int(r.name[1:])))
-    assert [(r.length, r.group_id, r.chunk_size) for r in got] == plain_groups(lengths, 100, 0.5, factors, limit)
+    return sorted(sq.grouped(rows, *options).collect(), key=lambda r: (-r.length, int(r.name[1:])))
+
+
+def test_groups_by_hand(spark):
+    # 100 and 60 fit chunks of 100; 40 is under half of that and sets chunks of 40, which 25 fits; 9 sets chunks of 9.
+    got = group_rows(spark, [100, 60, 40, 25, 9], 100, 0.5)
+    assert [(r.length, r.group_id, r.chunk_size) for r in got] == [(100, 0, 100), (60, 0, 100), (40, 1, 40), (25, 1, 40), (9, 2, 9)]
+    # A group closes with the contig that takes it beyond 150 padded letters: 100 + 100, then 100 + 100, then 100.
+    got = group_rows(spark, [100, 90, 90, 90, 80], 100, 0.5, None, 150)
+    assert [r.group_id for r in got] == [0, 0, 1, 1, 2]
+    # Rounded up to 32, a contig of 35 gives no smaller chunks than 40, so it joins and closes its group; so does the next one.
+    got = group_rows(spark, [40, 35, 35, 10], 40, 0.95, [32])
+    assert [(r.group_id, r.chunk_size) for r in got] == [(0, 40), (0, 40), (1, 40), (2, 32)]
+    # The first chunk size is larger than everything.
+    assert [(r.group_id, r.chunk_size) for r in group_rows(spark, [7, 7], 1000, 0.5)] == [(0, 7), (0, 7)]
+    assert group_rows(spark, [], 100) == []
+
+
+@pytest.mark.parametrize("factors,limit", [(None, None), ([9], None), (None, 300), ([4, 6], 500), ([50], 120)])
+def test_groups_keep_their_rules(spark, factors, limit):
+    """Many contigs of one length among them; every rule is checked on the result."""
+    delta, first = 0.5, 100
+    lengths = sorted([900, 400, 90, 88, 40, 39, 12, 9, 3, 2, 1, 1] + [40] * 25 + [7] * 30, reverse=True)
+    got = group_rows(spark, lengths, first, delta, factors, limit)
+    assert [r.length for r in got] == lengths
+    least = 1 if factors is None else nt.rounded_up(1, factors)
+    ids = [r.group_id for r in got]
+    assert ids == sorted(ids) and set(ids) == set(range(ids[-1] + 1))
+    for g in set(ids):
+        own = [r for r in got if r.group_id == g]
+        size = own[0].chunk_size
+        assert all(r.chunk_size == size for r in own)
+        padded = [-(-r.length // size) * size for r in own]
+        short = [r.length < delta * size and size > least for r in own]
+        assert not any(short[:-1]), "a short contig is the last of its group"
+        assert limit is None or sum(padded[:-1]) <= limit, "a group closes with the contig that takes it beyond the limit"
+        before = next((r for r in reversed(got) if r.group_id < g), None)
+        if before is None or before.chunk_size != size:
+            rounded = own[0].length if factors is None else nt.rounded_up(own[0].length, factors)
+            assert size == (first if rounded >= first or own[0].length >= delta * first else rounded), "a new size is the length of its first contig"
+        else:
+            last = [r for r in got if r.group_id == g - 1]
+            full = limit is not None and sum(-(-r.length // size) * size for r in last) > limit
+            assert full or last[-1].length < delta * size, "a group of one size ends for a reason"
