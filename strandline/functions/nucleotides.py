@@ -81,9 +81,9 @@ def kmer_codes(seq: Column, k: int = 3) -> Column:
 
 
 def chunk_array(seq: Column, size: int, drop_remainder: bool = False) -> Column:
-    """Chunks of ``size`` letters, the last padded with ``-`` or, if asked, left out."""
-    count = F.floor(F.length(seq) / size) if drop_remainder else F.ceil(F.length(seq) / size)
-    return F.transform(places(count), lambda i: F.rpad(F.substring(seq, i * size + 1, F.lit(size)), size, "-"))  # seq should be a plain column
+    """Chunks of ``size`` letters, the last padded with ``-`` or, if asked, left out.  One pass over the sequence."""
+    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{{size}}}" if drop_remainder else f"(?s).{{1,{size}}}"), F.lit(0))
+    return parts if drop_remainder else F.transform(parts, lambda x: F.rpad(x, size, "-"))
 
 
 def splice(seq: Column, cds: Column, strand: Column) -> Column:

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codons import stop_codons
-from ..functions.nucleotides import is_repeat_masked, kmers, splice
-from .transcripts import coding_length, end, introns, non_empty
+from ..functions.nucleotides import complement, is_repeat_masked, kmers
+from .sequences import CHUNK, lengths, put_together, with_letters
+from .transcripts import coding_length, end, exploded, introns, non_empty
 
 # The usual signals at block borders.
 STARTS, STOPS, INTRON_BEGINS, INTRON_ENDS = ("ATG",), ("TAG", "TAA", "TGA"), ("GT", "GC"), ("AG",)
 
 
-def on_sequences(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Transcripts with their ``sequence``; those of unknown sequences are left out."""
-    return transcripts.join(sequences.select(F.col("name").alias("seq"), "sequence"), "seq")
+KEY = ["seq", "strand", "tx"]
 
 
-def coding_sequences(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``coding``, the spliced and oriented blocks."""
-    return on_sequences(non_empty(transcripts), sequences).withColumn("coding", splice(F.col("sequence"), F.col("cds"), F.col("strand"))).drop("sequence")
+def coding_sequences(transcripts: DataFrame, sequences: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Adds ``coding``, the spliced and oriented blocks.
+
+    Blocks look their letters up in chunks of the sequences.  What lies beyond a sequence has no letters; transcripts without
+    blocks, or of unknown sequences, are left out.  (seq, strand, tx) names a transcript.
+    """
+    rows = non_empty(transcripts).join(lengths(sequences).select("seq"), "seq")
+    pieces = with_letters(exploded(rows.select(*KEY, "cds")), sequences, "cds_start", "cds_end", size)
+    joined = pieces.groupBy(*KEY).agg(put_together(F.collect_list(F.struct("from", "letters"))).alias("_coding"))
+    oriented = F.when(F.col("strand") == "-", complement(F.col("_coding"), reverse=True)).otherwise(F.col("_coding"))
+    return rows.join(joined, KEY).select(*rows.columns, oriented.alias("coding"))
 
 
 def short_coding(transcripts: DataFrame, length: int) -> DataFrame:
@@ -48,29 +55,28 @@ def boundary_faults(
 
     A wrong start hides the rest, a wrong stop hides introns.  On the minus strand introns begin at their right end.
     """
-    rows = on_sequences(non_empty(transcripts), sequences)
+    rows = non_empty(transcripts).join(lengths(sequences).select("seq"), "seq")
+    kind = lambda name, low, high: F.struct(F.lit(name).alias("kind"), low.alias("start"), high.alias("end"))
+    wanted = F.concat(
+        F.transform("cds", lambda c: kind("block", c["start"], c["end"])),
+        F.flatten(F.transform(introns(F.col("cds")), lambda i: F.array(kind("left", i["start"], i["start"] + 2), kind("right", i["end"] - 2, i["end"])))),
+    )
+    pieces = with_letters(rows.select(*KEY, F.inline(wanted)), sequences).withColumn("letters", F.upper("letters"))
     minus = F.col("strand") == "-"
-    coding = F.upper(splice(F.col("sequence"), F.col("cds"), F.col("strand")))
-
-    def piece(low: Column, size: int) -> Column:
-        return F.upper(F.substring("sequence", (low + 1).cast("int"), F.lit(size)))
-
-    def oriented(i: Column, first: bool) -> Column:
-        left, right = piece(i["start"], 2), piece(i["end"] - 2, 2)
-        return F.when(minus, F.reverse(F.translate(right if first else left, "ACGT", "TGCA"))).otherwise(left if first else right)
-
-    gaps = introns(F.col("cds"))
-    wrong = [_count_wrong(gaps, lambda i: oriented(i, True), intron_begins), _count_wrong(gaps, lambda i: oriented(i, False), intron_ends)]
+    signal = F.when(minus, F.reverse(F.translate("letters", "ACGT", "TGCA"))).otherwise(F.col("letters"))
+    begins = F.col("kind") == F.when(minus, "right").otherwise("left")
+    ends = F.col("kind") == F.when(minus, "left").otherwise("right")
+    judged = pieces.groupBy(*KEY).agg(
+        put_together(F.collect_list(F.when(F.col("kind") == "block", F.struct("from", "letters")))).alias("_coding"),
+        F.count_if(begins & ~signal.isin(*intron_begins)).alias("_b"),
+        F.count_if(ends & ~signal.isin(*intron_ends)).alias("_e"),
+    )
+    coding = F.when(minus, complement(F.col("_coding"), reverse=True)).otherwise(F.col("_coding"))
     fault = F.when(~F.substring(coding, F.lit(1), F.lit(3)).isin(*starts), "start").when(~F.right(coding, F.lit(3)).isin(*stops), "stop")
-    rows = rows.withColumns({"_b": wrong[0], "_e": wrong[1]}).withColumn("fault", F.coalesce(fault, F.when((F.col("_b") > 0) | (F.col("_e") > 0), F.lit("intron"))))
-    zero = F.lit(0).cast("long")
-    return rows.where("fault IS NOT NULL").withColumns(
-        {"bad_intron_begins": F.when(F.col("fault") == "intron", F.col("_b")).otherwise(zero), "bad_intron_ends": F.when(F.col("fault") == "intron", F.col("_e")).otherwise(zero)}
-    ).drop("_b", "_e", "sequence")
-
-
-def _count_wrong(gaps: Column, read, allowed: tuple[str, ...]) -> Column:
-    return F.size(F.filter(gaps, lambda i: ~read(i).isin(*allowed))).cast("long")
+    fault = F.coalesce(fault, F.when((F.col("_b") > 0) | (F.col("_e") > 0), F.lit("intron")))
+    faults = judged.select(*KEY, fault.alias("fault"), "_b", "_e").where("fault IS NOT NULL")
+    shown = [F.when(F.col("fault") == "intron", F.col(c)).otherwise(F.lit(0).cast("long")).alias(n) for c, n in (("_b", "bad_intron_begins"), ("_e", "bad_intron_ends"))]
+    return rows.join(faults, KEY).select(*rows.columns, "fault", *shown)
 
 
 def coding_repeats(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -80,4 +86,5 @@ def coding_repeats(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def out_of_bounds(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
     """Transcripts that end beyond their sequence."""
-    return on_sequences(non_empty(transcripts), sequences).where(end(F.col("cds")) > F.length("sequence")).drop("sequence")
+    rows = non_empty(transcripts).join(lengths(sequences), "seq")
+    return rows.where(end(F.col("cds")) > F.col("length")).select(*transcripts.columns)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .histograms import f1
-from .intervals import interval_overlap_join, merged
+from .intervals import interval_overlap_join, islands, merged
 from .transcripts import end, exploded, introns, non_empty, start
 
 PLACE = ["seq", "strand"]
@@ -92,10 +92,7 @@ def compare_bases(query: DataFrame, reference: DataFrame) -> DataFrame:
 def loci(transcripts: DataFrame, keys: list[str]) -> DataFrame:
     """Transcripts with the locus they belong to: its start within (keys, seq, strand)."""
     rows = non_empty(transcripts).select(*keys, *PLACE, "tx", start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high"))
-    order = Window.partitionBy(*keys, *PLACE).orderBy("low", "high")
-    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when((F.col("low") >= reach), F.col("low")).when(reach.isNull(), F.col("low")))
-    return marked.withColumn("locus", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return islands(rows, [*keys, *PLACE], "low", "high", False).withColumnRenamed("_island", "locus")
 
 
 def compare_loci(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:

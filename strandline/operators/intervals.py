@@ -6,6 +6,9 @@ that bin by an equi-join, with the exact test as residual.  A long sequence is t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,25 @@ from ..model import CDS, INTERGENIC, INTRON
 from .transcripts import end, exploded, non_empty, start
 
 BIN = 1024
+#: Width of bins in which intervals of a chromosome are put in order.
+WIDE = 65_536
+#: The largest pieces that spans are cut into have 4^TOP positions.
+TOP = 10
 
 
 def _bins(low: Column, high: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width)))
 
 
-def point_interval_join(points: DataFrame, intervals: DataFrame, pos: str, low: str, high: str, key: str = "seq", width: int = BIN) -> DataFrame:
-    """Pairs with ``low <= pos < high`` and equal ``key``; empty intervals hold nothing."""
+def point_interval_join(points: DataFrame, intervals: DataFrame, pos: str, low: str, high: str, keys: tuple[str, ...] = ("seq",), width: int = BIN, how: str = "inner") -> DataFrame:
+    """Pairs with ``low <= pos < high`` and equal ``keys``; empty intervals hold nothing."""
     placed = points.withColumn("_bin", F.floor(F.col(pos) / width))
     spread = intervals.where(F.col(high) > F.col(low)).withColumn("_bin", _bins(F.col(low), F.col(high), width))
-    return placed.join(spread, [key, "_bin"]).where((F.col(pos) >= F.col(low)) & (F.col(pos) < F.col(high))).drop("_bin")
+    on = reduce(and_, (placed[c] == spread[c] for c in (*keys, "_bin")))
+    pairs = placed.join(spread, on & (placed[pos] >= spread[low]) & (placed[pos] < spread[high]), how)
+    if how == "left_semi":
+        return pairs.drop("_bin")
+    return pairs.select(*points.columns, *(spread[c] for c in intervals.columns if c not in keys))
 
 
 def interval_overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], keys: tuple[str, ...] = ("seq",), width: int = BIN) -> DataFrame:
@@ -35,8 +46,40 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[s
     return pairs.where(F.col("_bin") == F.floor(F.greatest(F.col(a), F.col(c)) / width)).drop("_bin")
 
 
-def merged(blocks: DataFrame, keys: list[str], low: str = "low", high: str = "high") -> DataFrame:
+def running_reach(rows: DataFrame, keys: list[str], low: str, high: str, width: int = WIDE) -> DataFrame:
+    """Adds _reach, the greatest ``high`` of the rows before in order of ``low`` and ``high`` (null for the first), and _bin.
+
+    In two levels: within bins of ``width``, and over the bins, so that no window sees all rows of a chromosome.
+    """
+    placed = rows.withColumn("_bin", F.floor(F.col(low) / width))
+    bins = placed.groupBy(*keys, "_bin").agg(F.max(high).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", F.max("_top").over(earlier).alias("_carried"))
+    own = Window.partitionBy(*keys, "_bin").orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max(high).over(own), F.col("_carried"))  # nulls do not count
+    return placed.join(bins, [*keys, "_bin"]).withColumn("_reach", reach).drop("_carried")
+
+
+def islands(rows: DataFrame, keys: list[str], low: str, high: str, touching: bool, width: int = WIDE) -> DataFrame:
+    """Adds _island, where the union of intervals begins that a row belongs to; ``touching`` ones join or not."""
+    reached = running_reach(rows, keys, low, high, width)
+    apart = F.col("_reach").isNull() | ((F.col(low) > F.col("_reach")) if touching else (F.col(low) >= F.col("_reach")))
+    marked = reached.withColumn("_start", F.when(apart, F.col(low)))
+    bins = marked.groupBy(*keys, "_bin").agg(F.max("_start").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", F.max("_last").over(earlier).alias("_carried"))
+    own = Window.partitionBy(*keys, "_bin").orderBy(low, high).rowsBetween(Window.unboundedPreceding, 0)
+    joined = marked.join(bins, [*keys, "_bin"])
+    return joined.withColumn("_island", F.coalesce(F.max("_start").over(own), F.col("_carried"))).drop("_reach", "_start", "_carried", "_bin")
+
+
+def merged(blocks: DataFrame, keys: list[str], low: str = "low", high: str = "high", width: int = WIDE) -> DataFrame:
     """Unions of overlapping or touching intervals."""
+    return islands(blocks, keys, low, high, True, width).groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
+
+
+def _merged_within(blocks: DataFrame, keys: list[str], low: str = "low", high: str = "high") -> DataFrame:
+    """``merged`` for keys with few intervals each."""
     order = Window.partitionBy(*keys).orderBy(low, high)
     reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = blocks.withColumn("_new", F.coalesce((F.col(low) > reach).cast("int"), F.lit(1))).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -50,7 +93,43 @@ def gene_spans(transcripts: DataFrame) -> DataFrame:
     """(seq, strand, gene, gene_start, low, high): where a gene has an isoform, with the gene's start."""
     rows = non_empty(transcripts).select(*GENE, start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high"))
     starts = F.min("low").over(Window.partitionBy(*GENE))
-    return merged(rows, GENE).withColumn("gene_start", starts)
+    return _merged_within(rows, GENE).withColumn("gene_start", starts)
+
+
+def aligned_pieces(low: Column, high: Column) -> Column:
+    """Array of (level, node): an interval as few pieces of 4^level positions from node * 4^level, levels 0 to ``TOP``."""
+
+    def of_level(level: Column) -> Column:
+        def edges(shift: Column) -> tuple[Column, Column]:
+            up = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+            return F.call_function("shiftright", low + up, shift), F.call_function("shiftright", high, shift)
+
+        a, b = edges(2 * level)
+        c, d = edges(2 * level + 2)
+        whole = (level < TOP) & (c < d)  # what the next level has
+        left_end = F.when(whole, F.least(b, 4 * c)).otherwise(b)
+        right_begin = F.when(whole, F.greatest(4 * d, a)).otherwise(b)
+
+        def run(x: Column, y: Column) -> Column:
+            return F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        return F.transform(F.concat(run(a, left_end), run(right_begin, b)), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), of_level))
+
+
+def deciding_genes(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos") -> DataFrame:
+    """(pos_id, seq, pos, plus, minus): the deciding gene on each strand as (gene_start, gene), null where there is none.
+
+    Spans are cut into aligned pieces of powers of four, and of all genes over a piece only the first is kept; a position lies in
+    one piece of each level.  So a position meets ``TOP`` + 1 rows at most, however many genes lie over it.
+    """
+    pieces = gene_spans(transcripts).where("high > low").select("seq", "strand", F.struct("gene_start", "gene").alias("first"), F.inline(aligned_pieces(F.col("low"), F.col("high"))))
+    strands = [F.min(F.when(F.col("strand") == s, F.col("first"))).alias(name) for s, name in (("+", "plus"), ("-", "minus"))]
+    pieces = pieces.groupBy("seq", "level", "node").agg(*strands)
+    asked = positions.select(pos_id, "seq", pos, F.explode(F.sequence(F.lit(0), F.lit(TOP))).alias("level"))
+    asked = asked.withColumn("node", F.call_function("shiftright", F.col(pos).cast("long"), 2 * F.col("level")))
+    return asked.join(pieces, ["seq", "level", "node"], "left").groupBy(pos_id, "seq", pos).agg(F.min("plus").alias("plus"), F.min("minus").alias("minus"))
 
 
 def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos", width: int = BIN) -> DataFrame:
@@ -60,18 +139,19 @@ def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str
     position the one that starts first decides, ties by gene; without any it is intergenic.  Every row of ``positions`` gives
     one row, so pos_id must be unique.
     """
-    hits = point_interval_join(positions.select(pos_id, "seq", pos), gene_spans(transcripts), pos, "low", "high", width=width)
-    first = hits.groupBy(pos_id, "seq", pos, "strand").agg(F.min(F.struct("gene_start", "gene")).alias("first")).select(pos_id, "seq", pos, "strand", "first.gene")
-    # Only the deciding gene's blocks are looked at, by an equi-join on the gene.
+    first = deciding_genes(positions, transcripts, pos_id, pos)
+    sides = F.array(*(F.struct(F.lit(s).alias("strand"), F.col(name)["gene"].alias("gene")) for s, name in (("+", "plus"), ("-", "minus"))))
+    sides = first.select(pos_id, "seq", F.col(pos).alias("_pos"), F.inline(sides)).where("gene IS NOT NULL")
+    # Only the deciding gene's blocks are looked at.
     blocks = exploded(non_empty(transcripts)).select(*GENE, F.col("cds_start").alias("low"), F.col("cds_end").alias("high"))
-    coding = first.join(merged(blocks, GENE), GENE).where((F.col(pos) >= F.col("low")) & (F.col(pos) < F.col("high"))).select(pos_id, "strand", F.lit(1).alias("_coding"))
-    decided = first.select(pos_id, "strand").join(coding, [pos_id, "strand"], "left").withColumn("is_cds", F.coalesce("_coding", F.lit(0)))
-    first = decided.groupBy(pos_id).agg(*(F.max(F.when(F.col("strand") == s, F.col("is_cds"))).alias(name) for s, name in (("+", "fwd"), ("-", "rev"))))
+    coding = point_interval_join(sides, blocks, "_pos", "low", "high", tuple(GENE), width, "left_semi")
+    coding = coding.groupBy(pos_id).agg(*(F.bool_or(F.col("strand") == s).alias(f"_{name}") for s, name in (("+", "plus"), ("-", "minus"))))
+    joined = first.join(coding, pos_id, "left")
 
-    def label(c: str) -> Column:
-        return F.when(F.col(c) == 1, CDS).when(F.col(c) == 0, INTRON).otherwise(INTERGENIC).alias(c)
+    def label(name: str, out: str) -> Column:
+        return F.when(F.col(f"_{name}"), CDS).when(F.col(name).isNotNull(), INTRON).otherwise(INTERGENIC).alias(out)
 
-    return positions.select(pos_id, "seq", pos).join(first, pos_id, "left").select(pos_id, "seq", pos, label("fwd"), label("rev"))
+    return joined.select(pos_id, "seq", pos, label("plus", "fwd"), label("minus", "rev"))
 
 
 def classify_ranges(ranges: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:

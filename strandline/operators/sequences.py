@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nucleotides import chunk_array, composition, is_repeat_masked, rounded_up, slice_of
+from ..functions.nucleotides import chunk_array, composition, is_repeat_masked, rounded_up
 
 
 def index(sequences: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, min_size: int | None = None) -> DataFrame:
@@ -46,16 +46,61 @@ def evidence_chunks(sequences: DataFrame, size: int) -> DataFrame:
     return rows.select("name", F.posexplode(parts).alias("chunk_no", "evidence"))
 
 
-def fetch(sequences: DataFrame, ranges: DataFrame) -> DataFrame:
+#: Letters of the chunks that sequences are looked up in; each chunk also has the ``OVERLAP`` letters after it.
+CHUNK, OVERLAP = 16_384, 2
+
+
+def lengths(sequences: DataFrame) -> DataFrame:
+    """(seq, length): joins that need no letters go to this."""
+    return sequences.select(F.col("name").alias("seq"), F.length("sequence").cast("long").alias("length"))
+
+
+def chunk_table(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(seq, chunk_no, chunk): pieces of ``size`` letters with ``OVERLAP`` more, the table that letters are looked up in.
+
+    Written to disk sorted by seq and chunk_no (``write_chunks``) it is an index of the sequences: a lookup reads few row groups.
+    """
+    parts = F.transform(F.array(F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))), lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(xs, i + 1), 1, OVERLAP), F.lit("")))))
+    rows = sequences.select(F.col("name").alias("seq"), F.posexplode(F.get(parts, F.lit(0))).alias("chunk_no", "chunk"))
+    return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+def with_letters(ranges: DataFrame, sequences: DataFrame, start: str = "start", end: str = "end", size: int = CHUNK) -> DataFrame:
+    """Rows of ``ranges(seq, start, end, ...)``, one for each chunk that a range touches, with ``from`` (first position) and
+    ``letters`` of that part.  What lies beyond the sequence has no letters; unknown sequences give empty ones.
+
+    A range meets only the chunks it touches, so no row carries a whole sequence, and a long one is as many keys as chunks.
+    """
+    first = F.floor(F.greatest(F.col(start), F.lit(0)) / size)
+    last = F.greatest(first, F.floor((F.col(end) - 1) / size))
+    # A range no longer than the overlap lies in the chunk it begins in.
+    last = F.when(F.col(end) - F.col(start) <= OVERLAP, first).otherwise(last)
+    asked = ranges.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    found = asked.join(chunk_table(sequences, size).withColumnsRenamed({"chunk_no": "_chunk"}), ["seq", "_chunk"], "left")
+    begin = F.greatest(F.col(start), F.col("_chunk") * size)
+    stop = F.when(F.col(end) - F.col(start) <= OVERLAP, F.col(end)).otherwise(F.least(F.col(end), (F.col("_chunk") + 1) * size))
+    letters = F.substring("chunk", (begin - F.col("_chunk") * size + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
+    return found.select(*ranges.columns, begin.alias("from"), F.coalesce(letters, F.lit("")).alias("letters"))
+
+
+def put_together(parts: Column) -> Column:
+    """The letters of an array of (from, letters) in order."""
+    return F.array_join(F.transform(F.sort_array(parts), lambda p: p["letters"]), "")
+
+
+def fetch(sequences: DataFrame, ranges: DataFrame, size: int = CHUNK) -> DataFrame:
     """(fetch_id, name, sequence) for ``ranges(fetch_id, seq, part, start, end)``: parts put together in order.
 
     The name tells sequence and one-based ranges.  A range outside of its sequence fails the query; unknown names give no row.
     """
-    rows = ranges.join(sequences.select(F.col("name").alias("seq"), "sequence"), "seq")
-    rows = rows.select("fetch_id", "seq", F.struct("part", "start", "end", slice_of(F.col("sequence"), F.col("start"), F.col("end")).alias("piece")).alias("p"))
-    grouped = rows.groupBy("fetch_id", "seq").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    label = F.array_join(F.transform("ps", lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))), ",")
-    return grouped.select("fetch_id", F.concat("seq", F.lit(":"), label).alias("name"), F.array_join(F.transform("ps", lambda p: p["piece"]), "").alias("sequence"))
+    inside = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("length"))
+    known = ranges.select("fetch_id", "seq", "part", "start", "end").join(lengths(sequences), "seq")
+    known = known.withColumn("end", F.when(inside, F.col("end")).otherwise(F.raise_error(F.lit("range outside of the sequence")).cast("long"))).drop("length")
+    pieces = with_letters(known, sequences, size=size)
+    grouped = pieces.groupBy("fetch_id", "seq").agg(F.sort_array(F.collect_list(F.struct("part", "from", "start", "end", "letters"))).alias("ps"))
+    heads = F.filter("ps", lambda p: p["from"] == p["start"])
+    label = F.array_join(F.transform(heads, lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))), ",")
+    return grouped.select("fetch_id", F.concat("seq", F.lit(":"), label).alias("name"), F.array_join(F.transform("ps", lambda p: p["letters"]), "").alias("sequence"))
 
 
 def base_shares(sequences: DataFrame, separate_repeats: bool = False) -> DataFrame:
