@@ -1,15 +1,14 @@
 """Repair of chunk borders with a second prediction around them.
 
-Borders of a strand are repaired one after the other, since each may change the chunk that the next one starts from; that is
-sequential, so it runs in Python per (sequence, strand).  Sequences with many chunks are bounded by the number of their labels,
-one byte each.
+A second prediction changes half a chunk on both sides of its border and no more, so borders do not touch each other's letters and
+each is merged by itself, by a join of the two half chunks with it.  Where it does not fit, the gene across the border is cleared:
+the run of other than intergenic labels around the border, wherever that begins and ends.  Runs are found by windows over one
+small row a chunk, and clearing one never changes another, so the order of borders does not count.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import mismatches
@@ -27,63 +26,84 @@ def repair_windows(chunks: DataFrame, size: int, exon_at_boundary: int | None =
     return asked.select("seq", "boundary", tag.alias("asked"), (middle - half).alias("window_start"), (middle + half).alias("window_end"))
 
 
-def merge_at_border(left: np.ndarray, right: np.ndarray, center: np.ndarray) -> bool:
-    """Puts ``center`` between the outermost places where it agrees with ``left`` and with ``right``, in place.
+CHUNK = ["seq", "strand", "chunk_no"]
 
-    False, and no change, if it nowhere agrees with one of them.
+
+def _nth_agreeing(a: Column, b: Column, last: bool) -> Column:
+    """Place (from 1) of the first or last equal elements of two arrays of one length; 0 if there is none."""
+    same = F.zip_with(a, b, lambda x, y: x == y)
+    if not last:
+        return F.array_position(same, True).cast("int")
+    back = F.array_position(F.reverse(same), True).cast("int")
+    return F.when(back == 0, 0).otherwise(F.size(same) - back + 1)
+
+
+def border_merges(chunks: DataFrame, repredicted: DataFrame, size: int) -> DataFrame:
+    """(seq, strand, boundary, fits, left, right): the half chunks at each border after the merge.
+
+    The second prediction goes between the outermost places where it agrees with the left and with the right chunk; it does not
+    fit where it agrees with one of them nowhere.
     """
-    half = len(center) // 2
-    center = center[: half + min(half, len(right))]  # the last chunk of a sequence may be shorter than half a window
-    agree_left = np.flatnonzero(left[len(left) - half :] == center[:half])
-    agree_right = np.flatnonzero(right[: len(center) - half] == center[half:])
-    if not len(agree_left) or not len(agree_right):
-        return False
-    first, last = agree_left[0] + 1, agree_right[-1]
-    left[len(left) - half + first :] = center[first:half]
-    right[:last] = center[half : half + last]
-    return True
+    half = size // 2
+    wanted = repredicted.where(F.col("asked") != F.when(F.col("strand") == "+", MINUS_ONLY).otherwise(PLUS_ONLY))
+    wanted = wanted.select("seq", "strand", F.col("boundary").cast("long").alias("boundary"), F.col("states").alias("center"))
+    here = chunks.select("seq", "strand", F.col("chunk_no").cast("long").alias("boundary"), F.slice("states", F.greatest(F.size("states") - half + 1, F.lit(1)), F.lit(half)).alias("left"))
+    after = chunks.select("seq", "strand", (F.col("chunk_no").cast("long") - 1).alias("boundary"), F.slice("states", 1, half).alias("right"))
+    rows = wanted.join(here, ["seq", "strand", "boundary"]).join(after, ["seq", "strand", "boundary"])
+    n = F.size("right")  # the last chunk of a sequence may be shorter than half a window
+    rows = rows.withColumns({"_p": _nth_agreeing(F.col("left"), F.slice("center", 1, half), False), "_q": _nth_agreeing(F.col("right"), F.slice("center", F.lit(half + 1), n), True)})
+    p, q = F.col("_p"), F.col("_q")
+    left = F.concat(F.slice("left", F.lit(1), p), F.slice("center", p + 1, half - p))
+    right = F.concat(F.slice("center", F.lit(half + 1), F.greatest(q - 1, F.lit(0))), F.slice("right", F.greatest(q, F.lit(1)), n - q + 1))
+    fits = (p > 0) & (q > 0)
+    return rows.select("seq", "strand", "boundary", fits.alias("fits"), F.when(fits, left).otherwise(F.col("left")).alias("left"), F.when(fits, right).otherwise(F.col("right")).alias("right"))
+
+
+def _with_halves(chunks: DataFrame, merges: DataFrame, size: int) -> DataFrame:
+    """Chunks with the halves that merges give them."""
+    half = size // 2
+    sides = F.array(*(F.struct((F.col("boundary") + k).alias("chunk_no"), F.lit(k).alias("k"), F.col(c).alias("part")) for k, c in ((0, "left"), (1, "right"))))
+    parts = merges.where("fits").select("seq", "strand", F.inline(sides))
+    parts = parts.groupBy(*CHUNK).agg(F.max(F.when(F.col("k") == 1, F.col("part"))).alias("_head"), F.max(F.when(F.col("k") == 0, F.col("part"))).alias("_tail"))
+    n = F.size("states")
+    head, tail = F.least(n, F.lit(half)), F.least(F.greatest(n - half, F.lit(0)), F.lit(half))
+    whole = F.concat(F.coalesce("_head", F.slice("states", F.lit(1), head)), F.slice("states", head + 1, n - head - tail), F.coalesce("_tail", F.slice("states", n - tail + 1, tail)))
+    return chunks.join(parts, CHUNK, "left").select(*CHUNK, F.when(F.col("_head").isNull() & F.col("_tail").isNull(), F.col("states")).otherwise(whole).alias("states"))
 
 
-def clear_gene_at(labels: np.ndarray, pos: int) -> None:
-    """Makes everything between the intergenic labels around ``pos`` intergenic, in place; ``pos`` itself may be one."""
-    before, after = np.flatnonzero(labels[:pos] == 0), np.flatnonzero(labels[pos:] == 0)
-    labels[before[-1] if len(before) else 0 : pos + after[0] if len(after) else len(labels)] = 0
+def cleared(chunks: DataFrame, borders: DataFrame, size: int) -> DataFrame:
+    """Chunks with the genes across ``borders(seq, strand, boundary)`` cleared: the run of labels other than 0 around each."""
+    rows = chunks.select("seq", "strand", F.col("chunk_no").cast("long").alias("chunk_no"), "states")
+    zeros = F.transform(F.filter(F.transform("states", lambda x, i: F.when(x == 0, i)), lambda i: i.isNotNull()), lambda i: F.col("chunk_no") * size + i)
+    seen = rows.select(*CHUNK, (F.col("chunk_no") * size + F.size("states")).alias("_stop"), F.array_min(zeros).alias("_first"), F.array_max(zeros).alias("_last"))
+    order = Window.partitionBy("seq", "strand").orderBy("chunk_no")
+    around = seen.select(
+        "seq", "strand", F.col("chunk_no").alias("boundary"),
+        F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"),
+        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.max("_stop").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"),
+    )
+    gone = around.join(borders.select("seq", "strand", F.col("boundary").cast("long").alias("boundary")).distinct(), ["seq", "strand", "boundary"])
+    gone = gone.select("seq", "strand", F.coalesce("_before", F.lit(0).cast("long")).alias("low"), F.coalesce("_after", "_end").alias("high")).where("high > low").distinct()
+    touched = gone.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor((F.col("high") - 1) / size))))
+    # A chunk is touched by two such runs at most, or wholly within itself by one for each border, of which it has two.
+    touched = touched.groupBy(*CHUNK).agg(F.collect_set(F.struct("low", "high")).alias("_gone"))
+    joined = rows.join(touched, CHUNK, "left")
+
+    def label(x: Column, i: Column) -> Column:
+        at = F.col("chunk_no") * size + i
+        return F.when(F.exists("_gone", lambda g: (at >= g["low"]) & (at < g["high"])), 0).otherwise(x).cast("int")
+
+    return joined.select(*CHUNK, F.when(F.col("_gone").isNull(), F.col("states")).otherwise(F.transform("states", label)).alias("states"))
 
 
 def repaired(chunks: DataFrame, repredicted: DataFrame, size: int) -> DataFrame:
     """Chunks after the repair.  ``repredicted(seq, strand, boundary, asked, states)``; states of a strand that a border did not
     ask for are left aside.
 
-    Borders that one strand alone asked for come before those of both.  Where the second prediction does not fit, the gene
-    across the border is cleared, after all borders have been merged.
+    Where the second prediction does not fit, the gene across the border is cleared, after all borders have been merged.  All
+    chunks but a sequence's last have ``size`` labels, and a border is asked for once on a strand.
     """
-
-    def repair(own: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("chunk_no")
-        if own.empty:
-            return own
-        rows = [np.array(x, np.int64) for x in own["states"]]
-        place = {n: k for k, n in enumerate(own["chunk_no"])}
-        strand = own["strand"].iloc[0]
-        asked = again[again["asked"] != (MINUS_ONLY if strand == "+" else PLUS_ONLY)]
-        failed = []
-        for b, states in asked.sort_values(["asked", "boundary"])[["boundary", "states"]].itertuples(index=False):
-            if b in place and b + 1 in place and not merge_at_border(rows[place[b]], rows[place[b + 1]], np.array(states, np.int64)):
-                failed.append((b + 1) * size)
-        if failed:
-            flat = np.concatenate(rows)
-            for pos in failed:
-                clear_gene_at(flat, pos)
-            rows = np.split(flat, np.cumsum([len(r) for r in rows])[:-1])
-        return own.assign(states=[r.tolist() for r in rows])
-
-    schema = "seq string, strand string, chunk_no long, states array<int>"
     rows = chunks.select("seq", "strand", F.col("chunk_no").cast("long").alias("chunk_no"), "states")
-    again = repredicted.select(*(F.col(c).alias(c) for c in ("seq", "strand", "boundary", "asked", "states")))  # may stem from the same plan
-    return rows.groupBy("seq", "strand").cogroup(again.groupBy("seq", "strand")).applyInPandas(repair, schema)
-
-
-def cleared(chunks: DataFrame, borders: DataFrame, size: int) -> DataFrame:
-    """Chunks with the genes across ``borders(seq, strand, boundary)`` cleared."""
-    nothing = borders.withColumns({"asked": F.when(F.col("strand") == "+", PLUS_ONLY).otherwise(MINUS_ONLY), "states": F.array_repeat(F.lit(-1), 2 * (size // 2))})
-    return repaired(chunks, nothing.select("seq", "strand", "boundary", "asked", "states"), size)
+    merges = border_merges(rows, repredicted, size)
+    return cleared(_with_halves(rows, merges, size), merges.where("NOT fits"), size)

@@ -53,48 +53,66 @@ def test_strands_are_merged_by_start(spark):
     assert got == [(4, "a", "+", 1), (5, "a", "+", 3), (6, "a", "-", 3), (7, "b", "+", 5)]
 
 
-def plain_merge(left, right, center):
-    half = len(center) // 2
-    l = next((i for i in range(half, 0, -1) if left[-i] == center[half - i]), None)
-    r = next((i for i in range(half - 1, -1, -1) if right[i] == center[half + i]), None)
-    if l is None or r is None:
-        return left, right, False
-    return left[: len(left) - l + 1] + center[half - l + 1 : half], center[half : half + r] + right[r:], True
-
-
-def test_merge_at_border_matches_plain_lists():
-    rng = np.random.default_rng(1)
-    for _ in range(500):
-        left, right, center = (rng.integers(0, 4, 8).tolist() for _ in range(3))
-        a, b = np.array(left), np.array(right)
-        done = repair.merge_at_border(a, b, np.array(center))
-        want = plain_merge(left, right, center)
-        assert (a.tolist(), b.tolist(), done) == want
+def plain_clear(flat, pos):
+    """Everything between the 0 before ``pos`` and the one from ``pos`` on becomes 0, in place."""
+    low = next((i for i in range(pos - 1, -1, -1) if flat[i] == 0), 0)
+    high = next((i for i in range(pos, len(flat)) if flat[i] == 0), len(flat))
+    flat[low:high] = [0] * (high - low)
+
+
+def plain_repair(rows, again, size):
+    """Border after border: those of one strand first, then those of both; ``again`` maps a border to (asked, states)."""
+    rows, failed = [list(r) for r in rows], []
+    for b, (_, states) in sorted(again.items(), key=lambda x: (x[1][0], x[0])):
+        half = size // 2
+        center = states[: half + min(half, len(rows[b + 1]))]
+        left, right = rows[b], rows[b + 1]
+        l = next((i for i in range(half, 0, -1) if left[-i] == center[half - i]), None)
+        r = next((i for i in range(len(center) - half - 1, -1, -1) if right[i] == center[half + i]), None)
+        if l is None or r is None:
+            failed.append((b + 1) * size)
+        else:
+            rows[b], rows[b + 1] = left[: len(left) - l + 1] + center[half - l + 1 : half], center[half : half + r] + right[r:]
+    flat = sum(rows, [])
+    for pos in failed:
+        plain_clear(flat, pos)
+    bounds = np.cumsum([0] + [len(r) for r in rows])
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+@pytest.mark.parametrize("size,labels", [(8, 3), (8, 6), (5, 4), (2, 3)])
+def test_repairs_match_border_after_border(spark, size, labels):
+    rng = np.random.default_rng(size * 10 + labels)
+    chunk_rows_, again_rows, want = [], [], {}
+    for k in range(60):
+        strand = "+-"[k % 2]
+        rows = [np.where(rng.random(size) < 0.8, rng.integers(0, labels, size), 0).tolist() for _ in range(rng.integers(1, 9))]
+        rows.append(rng.integers(0, labels, rng.integers(1, size + 1)).tolist())
+        other, mine = (0, 1) if strand == "-" else (1, 0)
+        again = {b: (int(rng.choice([mine, 2, other])), rng.integers(0, labels, 2 * (size // 2)).tolist()) for b in range(len(rows) - 1) if rng.random() < 0.6}
+        chunk_rows_ += [(f"s{k}", strand, n, r) for n, r in enumerate(rows)]
+        again_rows += [(f"s{k}", strand, b, asked, states) for b, (asked, states) in again.items()]
+        want[f"s{k}"] = plain_repair(rows, {b: x for b, x in again.items() if x[0] != other}, size)
+    chunks = spark.createDataFrame(chunk_rows_, "seq string, strand string, chunk_no long, states array<int>")
+    again = spark.createDataFrame(again_rows, "seq string, strand string, boundary long, asked int, states array<int>")
+    got = {}
+    for r in repair.repaired(chunks, again, size).orderBy("seq", "chunk_no").collect():
+        got.setdefault(r.seq, []).append(r.states)
+    assert got == want
 
 
 def test_clearing(spark):
-    row = np.array([0, 4, 4, 0, 5, 5, 0, 6])
-    for pos, want in ((5, [0, 4, 4, 0, 0, 0, 0, 6]), (7, [0, 4, 4, 0, 5, 5, 0, 0]), (1, [0, 0, 0, 0, 5, 5, 0, 6]), (3, [0, 0, 0, 0, 5, 5, 0, 6])):
-        got = row.copy()
-        repair.clear_gene_at(got, pos)
-        assert got.tolist() == want
-    chunks = chunk_rows(spark, [[0, 4, 4, 4], [4, 4, 0, 0], [0, 0, 0, 0]])
-    borders = spark.createDataFrame([("s", "+", 0)], "seq string, strand string, boundary long")
+    row = [0, 4, 4, 0, 5, 5, 0, 6]
+    for pos, expected in ((5, [0, 4, 4, 0, 0, 0, 0, 6]), (7, [0, 4, 4, 0, 5, 5, 0, 0]), (1, [0, 0, 0, 0, 5, 5, 0, 6]), (3, [0, 0, 0, 0, 5, 5, 0, 6])):
+        flat = list(row)
+        plain_clear(flat, pos)
+        assert flat == expected
+    chunks = chunk_rows(spark, [[0, 4, 4, 4], [4, 4, 4, 4], [4, 0, 6, 6], [7, 7]])
+    borders = spark.createDataFrame([("s", "+", 0), ("s", "+", 1), ("s", "+", 2), ("s", "-", 0)], "seq string, strand string, boundary long")
     got = repair.cleared(chunks, borders, 4).orderBy("chunk_no").collect()
-    assert [r.states for r in got] == [[0] * 4] * 3
-
-
-def test_borders_are_repaired_in_order(spark):
-    chunks = chunk_rows(spark, [[0, 0, 1, 1], [2, 2, 3, 3], [1, 1, 0, 0]])
-    again = spark.createDataFrame([("s", "+", 0, 2, [1, 1, 1, 3]), ("s", "+", 1, 0, [3, 3, 3, 1]), ("s", "+", 1, 1, [9, 9, 9, 9])], "seq string, strand string, boundary long, asked int, states array<int>")
-    rows = [[0, 0, 1, 1], [2, 2, 3, 3], [1, 1, 0, 0]]
-    for b, states in ((1, [3, 3, 3, 1]), (0, [1, 1, 1, 3])):
-        rows[b], rows[b + 1], ok = plain_merge(rows[b], rows[b + 1], states)
-        if not ok:
-            flat = np.array(sum(rows, []))
-            repair.clear_gene_at(flat, (b + 1) * 4)
-            rows = flat.reshape(3, 4).tolist()
-    assert [r.states for r in repair.repaired(chunks, again, 4).orderBy("chunk_no").collect()] == rows
+    assert [r.states for r in got] == [[0] * 4, [0] * 4, [0] * 4, [0, 0]]
+    got = repair.cleared(chunks, borders.where("boundary = 2"), 4).orderBy("chunk_no").collect()
+    assert [r.states for r in got] == [[0, 4, 4, 4], [4, 4, 4, 4], [4, 0, 0, 0], [0, 0]]
 
 
 def predictor(states_of):
