@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codons import stop_codons
 from ..functions.nucleotides import complement, is_repeat_masked, kmers
-from .sequences import CHUNK, lengths, put_together, with_letters
+from .sequences import CHUNK, chunk_table, lengths, put_together, with_letters
 from .transcripts import coding_length, end, exploded, introns, non_empty
 
 # The usual signals at block borders.
@@ -24,7 +24,7 @@ def coding_sequences(transcripts: DataFrame, sequences: DataFrame, size: int = C
     blocks, or of unknown sequences, are left out.  (seq, strand, tx) names a transcript.
     """
     rows = non_empty(transcripts).join(lengths(sequences).select("seq"), "seq")
-    pieces = with_letters(exploded(rows.select(*KEY, "cds")), sequences, "cds_start", "cds_end", size)
+    pieces = with_letters(exploded(rows.select(*KEY, "cds")), chunk_table(sequences, size), "cds_start", "cds_end", size)
     joined = pieces.groupBy(*KEY).agg(put_together(F.collect_list(F.struct("from", "letters"))).alias("_coding"))
     oriented = F.when(F.col("strand") == "-", complement(F.col("_coding"), reverse=True)).otherwise(F.col("_coding"))
     return rows.join(joined, KEY).select(*rows.columns, oriented.alias("coding"))
@@ -61,7 +61,7 @@ def boundary_faults(
         F.transform("cds", lambda c: kind("block", c["start"], c["end"])),
         F.flatten(F.transform(introns(F.col("cds")), lambda i: F.array(kind("left", i["start"], i["start"] + 2), kind("right", i["end"] - 2, i["end"])))),
     )
-    pieces = with_letters(rows.select(*KEY, F.inline(wanted)), sequences).withColumn("letters", F.upper("letters"))
+    pieces = with_letters(rows.select(*KEY, F.inline(wanted)), chunk_table(sequences)).withColumn("letters", F.upper("letters"))
     minus = F.col("strand") == "-"
     signal = F.when(minus, F.reverse(F.translate("letters", "ACGT", "TGCA"))).otherwise(F.col("letters"))
     begins = F.col("kind") == F.when(minus, "right").otherwise("left")

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .histograms import f1
 from .intervals import interval_overlap_join, islands, merged
-from .transcripts import end, exploded, introns, non_empty, start
+from .transcripts import coding_length, end, exploded, introns, longest, non_empty, start
 
 PLACE = ["seq", "strand"]
 
@@ -110,10 +110,84 @@ def compare(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataF
     return reduce(DataFrame.unionByName, [*parts, compare_transcripts(query, reference, tolerance), compare_loci(query, reference, tolerance)])
 
 
-def missed_and_novel(query: DataFrame, reference: DataFrame) -> DataFrame:
+# Class codes from the best to the last, and what they say of a query and a reference transcript.
+CLASS_CODES = (
+    ("=", "the same blocks, outer ends within the tolerance"),
+    ("c", "contained in the reference, with its introns there"),
+    ("k", "contains the reference, with the query's introns there"),
+    ("j", "an intron in common"),
+    ("e", "one block that reaches from a block of the reference ten bases into an intron"),
+    ("o", "blocks overlap"),
+    ("s", "an intron in common, on the other strand"),
+    ("x", "blocks overlap, on the other strand"),
+    ("i", "within an intron of the reference"),
+    ("y", "the reference lies within an intron of the query"),
+    ("p", "no more than 2,000 bases from the reference, on its strand"),
+    ("u", "none of these"),
+)
+#: Bases that a block must reach into an intron for code e, and the distance for code p.
+INTO_INTRON, NEAR_BY = 10, 2000
+
+
+def _introns_within(c: str, low: str, high: str) -> Column:
+    return F.filter(c, lambda i: (i["start"] < F.col(high)) & (F.col(low) < i["end"]))
+
+
+def _some(a: str, b: str, test) -> Column:
+    return F.exists(a, lambda x: F.exists(b, lambda y: test(x, y)))
+
+
+def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
+    """(ref_gene_id, ref_id, class_code, qry_gene_id, qry_id, num_exons, FPKM, TPM, cov, len, major_iso_id, ref_match_len): one row
+    a query transcript, with its best reference transcript.
+
+    Of several references of one code the one with most overlap of spans counts, then the least ref_id.  The major isoform of a
+    gene is its longest transcript.  Expression values are not known and are 0.
+    """
+    cut = [introns(F.col("cds")).alias("gaps"), start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high")]
+    q = non_empty(query).select("seq", "strand", "tx", "gene", "cds", *cut)
+    r = non_empty(reference).select("seq", "strand", "tx", "gene", "cds", *cut).select("seq", *(F.col(c).alias(f"ref_{c}") for c in ("strand", "tx", "gene", "cds", "gaps", "low", "high")))
+    near = r.withColumns({"_a": F.col("ref_low") - NEAR_BY, "_b": F.col("ref_high") + NEAR_BY})
+    pairs = interval_overlap_join(q, near, ("low", "high"), ("_a", "_b"), ("seq",), width=NEAR_BY)
+    common = F.least("high", "ref_high") - F.greatest("low", "ref_low")
+    own = F.col("strand") == F.col("ref_strand")
+    over = _some("cds", "ref_cds", lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    junction = F.arrays_overlap("gaps", "ref_gaps")
+    same_outer = (F.abs(F.col("low") - F.col("ref_low")) <= tolerance) & (F.abs(F.col("high") - F.col("ref_high")) <= tolerance)
+    into = _some("cds", "ref_gaps", lambda x, y: F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) >= INTO_INTRON)
+    tests = {
+        "=": own & (F.col("gaps") == F.col("ref_gaps")) & same_outer,
+        "c": own & (F.col("low") >= F.col("ref_low")) & (F.col("high") <= F.col("ref_high")) & (_introns_within("ref_gaps", "low", "high") == F.col("gaps")),
+        "k": own & (F.col("low") <= F.col("ref_low")) & (F.col("high") >= F.col("ref_high")) & (_introns_within("gaps", "ref_low", "ref_high") == F.col("ref_gaps")),
+        "j": own & junction,
+        "e": own & (F.size("gaps") == 0) & over & into,
+        "o": own & over,
+        "s": ~own & junction,
+        "x": ~own & over,
+        "i": F.exists("ref_gaps", lambda g: (g["start"] <= F.col("low")) & (F.col("high") <= g["end"])),
+        "y": F.exists("gaps", lambda g: (g["start"] <= F.col("ref_low")) & (F.col("ref_high") <= g["end"])),
+        "p": own & (common <= 0),
+    }
+    rank = F.coalesce(*(F.when(tests[code], F.lit(k)) for k, (code, _) in enumerate(CLASS_CODES) if code in tests), F.lit(len(CLASS_CODES) - 1))
+    ref = F.struct(F.col("ref_tx").alias("ref_id"), F.col("ref_gene").alias("ref_gene_id"), coding_length(F.col("ref_cds")).alias("ref_match_len"))
+    best = pairs.groupBy("tx").agg(F.min(F.struct(rank.alias("rank"), (-common).alias("_c"), ref.alias("ref"))).alias("best"))
+    major = longest(non_empty(query)).select("gene", F.col("tx").alias("major_iso_id"))
+    rows = q.join(best, "tx", "left").join(major, "gene")
+    code = F.element_at(F.array(*(F.lit(c) for c, _ in CLASS_CODES)), F.coalesce(F.col("best.rank"), F.lit(len(CLASS_CODES) - 1)) + 1)
+    matched = F.col("best.rank") < len(CLASS_CODES) - 1
+    zero = F.lit(0.0)
+    return rows.select(
+        F.when(matched, F.col("best.ref.ref_gene_id")).alias("ref_gene_id"), F.when(matched, F.col("best.ref.ref_id")).alias("ref_id"), code.alias("class_code"), F.col("gene").alias("qry_gene_id"), F.col("tx").alias("qry_id"),
+        F.size("cds").cast("long").alias("num_exons"), zero.alias("FPKM"), zero.alias("TPM"), zero.alias("cov"), coding_length(F.col("cds")).alias("len"), "major_iso_id", F.when(matched, F.col("best.ref.ref_match_len")).alias("ref_match_len"),
+    )
+
+
+def missed_and_novel(query: DataFrame, reference: DataFrame, levels: tuple[str, ...] = ("exon", "locus")) -> DataFrame:
     """(annotation, level, missed, novel) for exons and loci: shares of features of one side that overlap none of the other."""
     out = []
     for level, features in (("exon", _exon_spans), ("locus", _locus_spans)):
+        if level not in levels:
+            continue
         q, r = features(query, ["annotation"]), features(reference, []).withColumnsRenamed({"low": "ref_low", "high": "ref_high"})
         pairs = interval_overlap_join(q, r, ("low", "high"), ("ref_low", "ref_high"), tuple(PLACE))
         found = pairs.groupBy("annotation").agg(F.count_distinct(F.struct(*PLACE, "ref_low", "ref_high")).alias("seen"), F.count_distinct(F.struct(*PLACE, "low", "high")).alias("known"))

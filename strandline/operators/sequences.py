@@ -56,18 +56,25 @@ def lengths(sequences: DataFrame) -> DataFrame:
 
 
 def chunk_table(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(seq, chunk_no, chunk): pieces of ``size`` letters with ``OVERLAP`` more, the table that letters are looked up in.
-
-    Written to disk sorted by seq and chunk_no (``write_chunks``) it is an index of the sequences: a lookup reads few row groups.
-    """
+    """(seq, chunk_no, chunk): pieces of ``size`` letters with ``OVERLAP`` more, the table that letters are looked up in."""
     parts = F.transform(F.array(F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))), lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(xs, i + 1), 1, OVERLAP), F.lit("")))))
     rows = sequences.select(F.col("name").alias("seq"), F.posexplode(F.get(parts, F.lit(0))).alias("chunk_no", "chunk"))
     return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-def with_letters(ranges: DataFrame, sequences: DataFrame, start: str = "start", end: str = "end", size: int = CHUNK) -> DataFrame:
+def write_chunks(sequences: DataFrame, path: str, size: int = CHUNK) -> None:
+    """An index of the sequences on disk: their chunks in order, so that a lookup reads few row groups."""
+    chunk_table(sequences, size).repartitionByRange("seq", "chunk_no").sortWithinPartitions("seq", "chunk_no").write.parquet(path)
+
+
+def lengths_of_chunks(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(seq, length) from a chunk table."""
+    return chunks.groupBy("seq").agg(F.max(F.col("chunk_no") * size + F.least(F.length("chunk"), F.lit(size))).cast("long").alias("length"))
+
+
+def with_letters(ranges: DataFrame, chunks: DataFrame, start: str = "start", end: str = "end", size: int = CHUNK) -> DataFrame:
     """Rows of ``ranges(seq, start, end, ...)``, one for each chunk that a range touches, with ``from`` (first position) and
-    ``letters`` of that part.  What lies beyond the sequence has no letters; unknown sequences give empty ones.
+    ``letters`` of that part, from a ``chunk_table``.  What lies beyond the sequence has no letters; unknown sequences give empty ones.
 
     A range meets only the chunks it touches, so no row carries a whole sequence, and a long one is as many keys as chunks.
     """
@@ -76,7 +83,7 @@ def with_letters(ranges: DataFrame, sequences: DataFrame, start: str = "start",
     # A range no longer than the overlap lies in the chunk it begins in.
     last = F.when(F.col(end) - F.col(start) <= OVERLAP, first).otherwise(last)
     asked = ranges.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    found = asked.join(chunk_table(sequences, size).withColumnsRenamed({"chunk_no": "_chunk"}), ["seq", "_chunk"], "left")
+    found = asked.join(chunks.select("seq", F.col("chunk_no").alias("_chunk"), "chunk"), ["seq", "_chunk"], "left")
     begin = F.greatest(F.col(start), F.col("_chunk") * size)
     stop = F.when(F.col(end) - F.col(start) <= OVERLAP, F.col(end)).otherwise(F.least(F.col(end), (F.col("_chunk") + 1) * size))
     letters = F.substring("chunk", (begin - F.col("_chunk") * size + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
@@ -93,10 +100,19 @@ def fetch(sequences: DataFrame, ranges: DataFrame, size: int = CHUNK) -> DataFra
 
     The name tells sequence and one-based ranges.  A range outside of its sequence fails the query; unknown names give no row.
     """
+    return _fetch(chunk_table(sequences, size), lengths(sequences), ranges, size)
+
+
+def fetch_indexed(chunks: DataFrame, ranges: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``fetch`` from a chunk table, such as one that ``write_chunks`` wrote."""
+    return _fetch(chunks, lengths_of_chunks(chunks, size), ranges, size)
+
+
+def _fetch(chunks: DataFrame, known_lengths: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
     inside = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("length"))
-    known = ranges.select("fetch_id", "seq", "part", "start", "end").join(lengths(sequences), "seq")
+    known = ranges.select("fetch_id", "seq", "part", "start", "end").join(known_lengths, "seq")
     known = known.withColumn("end", F.when(inside, F.col("end")).otherwise(F.raise_error(F.lit("range outside of the sequence")).cast("long"))).drop("length")
-    pieces = with_letters(known, sequences, size=size)
+    pieces = with_letters(known, chunks, size=size)
     grouped = pieces.groupBy("fetch_id", "seq").agg(F.sort_array(F.collect_list(F.struct("part", "from", "start", "end", "letters"))).alias("ps"))
     heads = F.filter("ps", lambda p: p["from"] == p["start"])
     label = F.array_join(F.transform(heads, lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))), ",")

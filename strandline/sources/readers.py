@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import name_of
+from ..operators.histograms import histogram
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], include: list[str] | None = None, exclude: list[str] | None = None, split_name: bool = True) -> DataFrame:
@@ -67,12 +70,15 @@ def _nine_columns(lines: DataFrame) -> DataFrame:
 
 
 def _from_features(rows: DataFrame, parts: tuple[str, ...]) -> DataFrame:
-    """Transcripts from feature rows with tx_name and gene_name; of ``parts`` the first kind that a transcript has gives its blocks."""
-    blocks = rows.where(F.col("feature").isin(*parts) & F.col("tx_name").isNotNull())
+    """Transcripts from feature rows with tx_name and gene_name; of ``parts`` the first kind that a transcript has gives its blocks.
+
+    Rows of other features may tell a transcript's gene; transcripts without parts are left out.
+    """
+    blocks = rows.where(F.col("tx_name").isNotNull())
     per_part = [F.array_sort(F.collect_set(F.when(F.col("feature") == p, F.struct("start", "end")))).alias(f"_{k}") for k, p in enumerate(parts)]
-    grouped = blocks.groupBy("seq", "strand", "tx_name").agg(F.min("line").alias("tx"), F.first("gene_name", ignorenulls=True).alias("gene_name"), *per_part)
+    grouped = blocks.groupBy("seq", "strand", "tx_name").agg(F.min(F.when(F.col("feature").isin(*parts), F.col("line"))).alias("tx"), F.first("gene_name", ignorenulls=True).alias("gene_name"), *per_part)
     chosen = F.coalesce(*(F.when(F.size(f"_{k}") > 0, F.col(f"_{k}")) for k in range(len(parts))))
-    grouped = grouped.withColumn("cds", chosen).drop(*(f"_{k}" for k in range(len(parts))))
+    grouped = grouped.where("tx IS NOT NULL").withColumn("cds", chosen).drop(*(f"_{k}" for k in range(len(parts))))
     genes = grouped.groupBy("seq", "strand", "gene_name").agg(F.min("tx").alias("gene"))
     known = grouped.join(genes, ["seq", "strand", "gene_name"], "left")
     return known.select("seq", F.coalesce("gene", "tx").alias("gene_ord"), "tx", F.coalesce("gene", "tx").alias("gene"), "gene_name", "tx_name", "strand", "cds")
@@ -84,7 +90,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
         return F.when(found != "", found)
 
     rows = _nine_columns(lines).withColumns({"tx_name": attribute("transcript_id"), "gene_name": attribute("gene_id")})
-    return _from_features(rows, ("CDS", "exon"))
+    return _from_features(rows.where("feature IN ('CDS', 'exon')"), ("CDS", "exon"))
 
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -98,9 +104,12 @@ def parse_gff3(lines: DataFrame) -> DataFrame:
         return F.when(found != "", found)
 
     rows = _nine_columns(lines).withColumns({"id": attribute("ID"), "parent": attribute("Parent")})
-    parts = rows.where("feature IN ('CDS', 'exon')").withColumn("tx_name", F.explode(F.split("parent", ",")))
-    owners = rows.where("feature IN ('mRNA', 'transcript')").select(F.col("id").alias("tx_name"), F.col("parent").alias("gene_name"), "seq")
-    return _from_features(parts.join(owners, ["seq", "tx_name"], "left"), ("CDS", "exon"))
+    # Parts name their transcripts, transcripts their gene; one grouping brings both together.
+    owner = F.col("feature").isin("mRNA", "transcript")
+    named = rows.where(owner | F.col("feature").isin("CDS", "exon")).select(
+        "*", F.when(owner, F.col("parent")).alias("gene_name"), F.explode(F.when(owner, F.array("id")).otherwise(F.split("parent", ","))).alias("tx_name")
+    )
+    return _from_features(named, ("CDS", "exon"))
 
 
 def read_gff3(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -111,11 +120,25 @@ def read_gff3(spark: SparkSession, path: str | list[str]) -> DataFrame:
 TMAP_NAMES = {"Length": "len", "Exons": "num_exons", "FPKM": "FPKM", "TPM": "TPM", "Coverage": "cov", "Reference length": "ref_match_len"}
 
 
+def tmap_column(name: str, columns: list[str]) -> str:
+    """The column that a friendly name or a column's own name means; an unknown one is refused."""
+    found = TMAP_NAMES.get(name, name)
+    if found not in columns:
+        raise ValueError(f"no column {name}: one of {', '.join([*TMAP_NAMES, *columns])} is needed")
+    return found
+
+
 def read_tmap(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Tab-separated class codes with a header; columns of numbers are left as text until they are used."""
     return spark.read.option("sep", "\t").option("header", True).csv(path)
 
 
+def tmap_histograms(tmap: DataFrame, names: list[str], bins: int) -> DataFrame:
+    """Histograms for each class code over columns named as ``tmap_column`` allows; ``column`` has the names as they were given."""
+    parts = [histogram(tmap, tmap_column(n, tmap.columns), bins).withColumn("column", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parse_stats(lines: DataFrame) -> DataFrame:
     """(level, sensitivity, precision, missed, novel) from lines ``(value)`` of a comparison report.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotides import protein
 from ..operators.checks import coding_sequences
-from ..operators.transcripts import codon_positions, coding_length, end, non_empty, start
+from ..operators.transcripts import codon_positions, coding_length, end, longest, non_empty, start
 
 ORDER = ("gene_id", "transcript_id", "rank")
 
@@ -108,19 +108,46 @@ def gff3_lines(transcripts: DataFrame, source: str = "strandline", header: bool
     return out
 
 
-def record_lines(transcripts: DataFrame, sequences: DataFrame, target: str = "coding", width: int = 60, header: Column | None = None, table: int = 1) -> DataFrame:
-    """Coding or protein records; the header tells gene, transcript and zero-based range unless another one is given."""
+def record_lines(transcripts: DataFrame, sequences: DataFrame, target: str = "coding", width: int = 60, header: Column | None = None, table: int = 1, skip_empty: bool = True) -> DataFrame:
+    """Coding or protein records; the header tells gene, transcript and zero-based range unless another one is given.
+
+    Transcripts without blocks are skipped or, if asked, give records without letters.
+    """
     rows = coding_sequences(transcripts, sequences)
     rows = rows.withColumn("sequence", protein(F.col("coding"), table) if target == "protein" else F.col("coding"))
-    usual = F.format_string("%s|%s|%s:%d-%d(%s)", "gene_name", "tx_name", "seq", start(F.col("cds")), end(F.col("cds")), "strand")
+    if not skip_empty:
+        rows = rows.unionByName(transcripts.where(F.size("cds") == 0).withColumns({"coding": F.lit(""), "sequence": F.lit("")}))
+    low, high = (F.coalesce(x, F.lit(0).cast("long")) for x in (start(F.col("cds")), end(F.col("cds"))))
+    usual = F.format_string("%s|%s|%s:%d-%d(%s)", "gene_name", "tx_name", "seq", low, high, "strand")
     return fasta_lines(rows.withColumn("name", usual if header is None else header), width)
 
 
-def write_index(transcripts: DataFrame, path: str) -> None:
-    """Transcripts sorted by sequence and start in partitions of their sequence: row-group statistics then act as range index."""
-    rows = non_empty(transcripts).withColumns({"tx_start": start(F.col("cds")), "tx_end": end(F.col("cds"))})
-    rows.repartitionByRange("seq", "tx_start").sortWithinPartitions("seq", "tx_start").write.partitionBy("seq").parquet(path)
+def write_records(transcripts: DataFrame, sequences: DataFrame, path: str, target: str = "coding", gzip: bool = False, append: bool = False, **options) -> None:
+    """Records of numbered transcripts, in their order."""
+    write_lines(record_lines(transcripts, sequences, target, **options), path, ("gene_id", "transcript_id"), append=append, gzip=gzip)
+
+
+def index_rows(transcripts: DataFrame, single_cover: bool = False) -> DataFrame:
+    """Transcripts with tx_start and tx_end, in order of sequence and start; with ``single_cover`` each gene's longest one only."""
+    rows = non_empty(transcripts)
+    rows = (longest(rows) if single_cover else rows).withColumns({"tx_start": start(F.col("cds")), "tx_end": end(F.col("cds"))})
+    return rows.repartitionByRange("seq", "tx_start", "tx").sortWithinPartitions("seq", "tx_start", "tx")
+
+
+def write_index(transcripts: DataFrame, path: str, single_cover: bool = False) -> None:
+    """``index_rows`` in partitions of their sequence: row-group statistics then act as range index."""
+    index_rows(transcripts, single_cover).write.partitionBy("seq").parquet(path)
 
 
 def write_tmap(rows: DataFrame, path: str) -> None:
-    rows.write.option("sep", "\t").option("header", True).csv(path)
+    """Class codes as a table; ``path`` should differ for each annotation (see ``tmap_paths``)."""
+    rows.na.fill("-").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def tmap_paths(path: str | list[str], n: int) -> list[str]:
+    """A path for each of ``n`` annotations: one path gets the suffix _0, _1, ...; a list must have as many."""
+    if isinstance(path, str):
+        return [path] if n == 1 else [f"{path}_{k}" for k in range(n)]
+    if len(path) != n:
+        raise ValueError(f"{len(path)} paths for {n} annotations")
+    return path

@@ -20,4 +20,5 @@ def test_every_transcript_within_its_contig_is_fetched(spark):
 def test_all_codes_are_registered(spark):
     assert len(AMINO_ACIDS) == 27
     assert QUERIES["codon_table_whole"](spark, DATA).count() == 27 * 64
-    assert QUERIES["codon_distributions_valid_whole"](spark, DATA).where("valid").count() == 54
+    assert QUERIES["codon_distributions_valid"](spark, DATA).where("valid").count() == 54
+    assert QUERIES["codon_distributions_valid_whole"](spark, DATA).where("NOT valid").count() == 54
