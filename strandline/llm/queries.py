@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,9 +15,11 @@ from .line_chunks import line_dedup
 from .near_dups import near_dup_components
 from .oracles import LOWER, UPPER, secrets_sql, url_sql
 from .pseudonyms import pseudonymise
-from .quality_rules import RULES, STOP_WORDS, compiled, quality_rules
+from .quality_rules import RULES as QUALITY_RULES
+from .quality_rules import STOP_WORDS, compiled, quality_rules
 from .quality_votes import quality_scores
-from .secret_ledger import scan_secrets, secret_digests
+from .secret_ledger import BASE_RULES, RULES, scan_secrets, secret_digests
+from .storage import shared_dir
 from .token_counts import token_counts, vocabulary_of
 from .url_filter import url_verdicts
 
@@ -55,7 +58,10 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digests(scan_secrets(_table(spark, sf_dir, "documents")))
+    """Two runs over one ledger: the second finds every blob scanned for the base rules and scans it for the others only."""
+    docs, ledger = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    scan_secrets(docs, rules=BASE_RULES, ledger=ledger)
+    return secret_digests(scan_secrets(docs, rules=RULES, ledger=ledger))
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {compiled(RULES)} AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {compiled(QUALITY_RULES)} AS kept FROM b
 """,
     "op8_url_filter": url_sql(),
     "op10_secret_ledger": secrets_sql(),

@@ -63,6 +63,19 @@ def test_an_empty_table_gives_no_rows(spark, name):
     assert OPERATORS[name](spark, docs(spark).limit(0)).collect() == []
 
 
+RUNS = [("x" * 10**6,), ("日" * 10**6,), ("0123456789abcdef" * 62_500,), ("ab " * 333_333,), ("a\n" * 20_000,), ("-" * 10**6,), (" " * 10**6,), ("http://h/" + "p" * 10**6,)]
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, "leaks"])
+def test_very_long_texts(spark, name):
+    """A million characters of one kind: with and without blanks, in one line and in many."""
+    given = docs(spark, [(k, t) for k, (t,) in enumerate(RUNS)]).repartition(8)
+    if name == "leaks":
+        assert benchmark_leaks(given, benchmark(spark, ((1, "ab ab ab ab ab ab"),))).select("doc_id").collect() == [(3,)]
+    else:
+        assert len(OPERATORS[name](spark, given).collect()) == len(RUNS)
+
+
 def test_leaks(spark):
     found = benchmark_leaks(docs(spark), benchmark(spark)).collect()
     assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (1, 1), (1, 1)]

@@ -23,7 +23,7 @@ from strandline.llm.quality_rules import quality_rules
 from strandline.llm.quality_votes import learn_voters, quality_scores
 from strandline.llm.secret_ledger import BASE_RULES, SecretRule, scan_secrets, secret_digests
 from strandline.llm.token_counts import UnigramCounter, token_counts, vocabulary_of
-from strandline.llm.url_filter import LABELLED, RULES, buckets_of, train, url_verdicts
+from strandline.llm.url_filter import LABELLED, RULES, buckets_of, held_out_accuracy, labelled_table, train, url_verdicts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -425,6 +425,20 @@ def test_url_rules_and_model(spark):
     assert got[8][3] == "block"
 
 
+def test_url_model_on_held_out_urls():
+    right, prior = held_out_accuracy()
+    assert right >= 0.9 and prior < 0.7
+
+
+def test_a_labelled_table_of_urls(spark, monkeypatch):
+    rows = spark.createDataFrame([*LABELLED[:50], (None, 1), ("http://x/", None)], "url string, label int")
+    assert labelled_table(rows) == tuple(sorted(LABELLED[:50]))
+    assert url_verdicts(spark.createDataFrame([(1, "http://free-casino.example.com/")], "page_id long, url string"), labelled=labelled_table(rows)).first().verdict == "block"
+    monkeypatch.setattr("strandline.llm.url_filter.MAX_LABELLED", 10)
+    with pytest.raises(ValueError):
+        labelled_table(rows)
+
+
 def test_url_model_holds_on_unseen_hosts():
     unseen = [("http://casino-gold.example.com/en/9", 1), ("https://cheap-pills-shop.example.com/x", 1), ("http://free-bets-24.example.com/", 1), ("https://news.cityweekly.example.com/en/1", 0), ("http://www.library-archive.example.org/de/3", 0), ("https://blog.teacher.example.com/es/7", 0)]
     weights, intercept = train(LABELLED)
