@@ -6,10 +6,12 @@ need 864 minhashes where 72 are computed.  A pair of similarity s meets in a tab
 just 0.85 is missed with probability 2.2e-5, one of 0.9 with 3.1e-7.  The threshold is a parameter and sets the number of half
 keys: for 0.8 there are 16 in each collection, 256 tables, and a pair of just 0.8 is missed with probability 2.1e-5.
 
-Nothing is capped.  Texts with equal sets form one class.  In each table's bucket every class is compared with a hub.  The
-Jaccard distance is a metric, so two classes within d of each other are both within 0.45 + d of the hub, or both beyond 0.45:
-the first are compared with each other in blocks (hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after
-``ROUNDS`` hubs are compared in blocks as they are.
+Nothing is capped.  Texts with equal sets form one class.  The straight tables, those of half keys of one number, come first: in
+each bucket every class is compared with a hub, and what links so is known.  The other tables then matter only where a bucket holds
+classes that are not linked yet; there, too, every class is compared with a hub.  The Jaccard distance is a metric, so two classes
+within d of each other are both within 0.45 + d of the hub, or both beyond 0.45: the first are compared with each other in blocks
+(hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after ``ROUNDS`` hubs are
+compared in blocks as they are.
 """
 
 from __future__ import annotations
@@ -192,36 +194,52 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     # Half keys that two classes share, then tables over those: a class with none in either collection meets nobody.
     halves = classes.select("cls", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    halves = halves.join(shared, "half").groupBy("cls").agg(
-        F.sum("n").alias("met"),
-        F.collect_set(F.when(F.col("at") < n_halves, F.col("half"))).alias("a"), F.collect_set(F.when(F.col("at") >= n_halves, F.col("half"))).alias("b")
-    )
-    tables = halves.where("size(a) > 0 AND size(b) > 0").select("met", "cls", "b", F.explode("a").alias("a")).select("met", "cls", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "met", "cls")
-    tables = space.keep(tables)
+    side = lambda low: F.collect_set(F.when((F.col("at") >= low) & (F.col("at") < low + n_halves), F.struct((F.col("at") - low).alias("at"), "half")))
+    halves = halves.join(shared, "half").groupBy("cls").agg(F.sum("n").alias("met"), side(0).alias("a"), side(n_halves).alias("b"))
+    halves = space.keep(halves.where("size(a) > 0 AND size(b) > 0"))
+
+    def tables_of(rows: DataFrame, straight: bool) -> DataFrame:
+        """(key, met, cls, root) of all tables, or of the straight ones, whose two half keys have the same number."""
+        pairs = rows.select("met", "cls", "root", "b", F.explode("a").alias("x")).select("met", "cls", "root", "x", F.explode("b").alias("y"))
+        pairs = pairs.where("x.at = y.at") if straight else pairs
+        return pairs.select(F.xxhash64("x.half", "y.half").alias("key"), "met", "cls", "root")
 
     def met(rows: DataFrame) -> DataFrame:
+        """(key, met, cls, root, hub), without the hub's own row, of the buckets in which two roots meet."""
         # The class with the most common half keys is the hub: near copies then share few hubs.
         # Of tables whose buckets hold the same classes one is enough.
         marks = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")]
-        hubs = rows.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("hub"), F.count("*").alias("n"), *marks).where("n > 1")
+        hubs = rows.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *marks).where("low <> high")
         hubs = hubs.groupBy("n", "x", "y").agg(F.min(F.struct("key", F.col("hub.cls").alias("hub"))).alias("one")).select("one.key", "one.hub")
         return rows.join(hubs, "key").where("cls <> hub")
 
-    buckets = space.keep(met(tables))  # (key, met, cls, hub), without the hub's own row
-    space.drop(tables)
-    ids = buckets.select("cls").unionByName(buckets.select(F.col("hub").alias("cls"))).distinct()
-    texts = classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id"), "cls")
-    # The first row of a class may repeat its id with other texts, so the class is computed anew and checked.
-    found = source.join(texts.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
-    sets = space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
-
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(cls, n, shingles).  The first row of a class may repeat its id with other texts, so the class is computed anew and checked."""
+        texts = classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct()
+        found = source.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
+        return space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
+
+    def classes_in(rows: DataFrame) -> DataFrame:
+        return rows.select("cls").unionByName(rows.select(F.col("hub").alias("cls"))).distinct()
+
+    # What the straight tables link need not meet again in the others.
+    first = space.keep(met(tables_of(halves.withColumn("root", F.col("cls")), True)))
+    first_ids = space.keep(classes_in(first))
+    first_sets = sets_of(first_ids)
+    seen = space.keep(_compare_with_hubs(first.select("hub", "cls").distinct(), first_sets))
+    first_links = space.keep(seen.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
+    known = space.keep(connected_components(first_links, space))
+
+    rooted = halves.join(known.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    buckets = space.keep(met(tables_of(rooted, False)))
+    sets = first_sets.unionByName(sets_of(space.keep(classes_in(buckets).join(first_ids, "cls", "left_anti"))))
     compared = []
     for _ in range(ROUNDS):
         edges = buckets.select("hub", "cls").distinct()
         seen = space.keep(_compare_with_hubs(edges, sets))
         compared.append(seen)
         far = seen.where(f"100 * common < {FAR} * whole").select("hub", "cls")
-        rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls")))
+        rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls", "root")))
         space.drop(buckets)
         buckets = rest
         if buckets.isEmpty():
@@ -230,7 +248,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     for more in compared[1:]:
         every = every.unionByName(more)
     links = every.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
-    roots = space.keep(connected_components(links, space))
+    roots = space.keep(connected_components(links.unionByName(first_links), space))
 
     # Balls around hubs of one component overlap much, so they are one group.
     root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
