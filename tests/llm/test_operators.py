@@ -83,7 +83,7 @@ def test_token_counts_of_long_texts_without_blanks():
     assert peak < 2_000_000 and n == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def brute_components(texts):
+def brute_components(texts, link=85):
     sets = []
     for t in texts:
         ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -97,7 +97,7 @@ def brute_components(texts):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= link * len(a | sets[j]):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {k: (len(s), root(k)) for k, s in enumerate(sets)}
