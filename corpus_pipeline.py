@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage is written as Parquet and reread as the documents of the next."""
+"""The corpus pipeline: each stage is written as Parquet and reread as the documents of the next.
+
+All stages take any rows: a null text is an empty one, ids may be null or repeat, further columns are kept (but by the last stage),
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -16,29 +20,35 @@ NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose neighbours vote them good."""
+    """Documents whose neighbours vote them good; texts without words are judged by the mean of the labels, 0.5 if there are none."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks and passages that an earlier one has; a document of which nothing is left goes."""
+    """Documents without chunks and passages that an earlier one has; a document of which nothing is left goes.
+
+    Texts that were empty before stay, since nothing was removed of them; n_chars is counted anew.
+    """
     done = line_dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
     kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     return done.select(*kept, F.col("text"), F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; sets link that share NEAR per cent of their union."""
+    """One document of each near-duplicate group; sets link that share NEAR per cent of their union.
+
+    Of equal texts the least id stays, rows without id last; each row without words stays, for it is like no other.
+    """
     return keep_one_each(docs, link=NEAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; empty texts hold none, and items without id or words are held by none."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded text."""
+    """doc_id, number of tokens, and digests of the ids and of the decoded text; an empty text has no tokens."""
     return bpe_digests(docs)
 
 
