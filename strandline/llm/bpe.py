@@ -261,8 +261,9 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
         ranks_file = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # Plans over files know their size, others give the largest number there is; a set of buckets then is as large as can be.
-    wanted = max(8, size // BUCKET_BYTES) if size < 2**53 else BUCKETS
+    if size >= 2**53:  # plans over files know their size, others give the largest number there is and are measured
+        size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    wanted = max(8, size // BUCKET_BYTES)
     n_buckets, n_sets = min(BUCKETS, wanted), -(-wanted // BUCKETS)
     blocks = source.mapInArrow(_cutter(pattern, spark.sparkContext.broadcast(stand_ins(pattern)), n_buckets), CUT).repartition("block")
     words = blocks.groupBy("block").applyInArrow(_lister(n_sets), "block binary, set int, bucket int, words binary")
