@@ -166,7 +166,8 @@ def grouped(contigs: DataFrame, chunk_size: int, delta: float = 0.1, factors: li
 
     A group takes contigs while they are at least ``delta`` of its chunk size long, or that size cannot shrink; beyond
     ``limit`` padded nucleotides it closes after the contig that passed it.  A much shorter contig sets a new chunk size, its
-    own length (rounded up to ``factors``), unless that would not be smaller; then it joins its group and closes it.
+    own length (rounded up to ``factors``, an empty one counting as 1), unless that would not be smaller; then it joins its group
+    and closes it.
 
     Each decision depends on the last, but contigs of one length only on how many there are: the fold sees a row for each
     length, and the places of contigs within their length are counted in Spark.
@@ -178,7 +179,7 @@ def grouped(contigs: DataFrame, chunk_size: int, delta: float = 0.1, factors: li
         out = []
         for n, count in rows.sort_values("length", ascending=False)[["length", "n"]].itertuples(index=False):
             fits = n >= delta * size or size <= least
-            smaller = n if factors is None else rounded_up(n, factors)
+            smaller = max(n, 1) if factors is None else rounded_up(max(n, 1), factors)
             if not fits and smaller < size:
                 size, group, used, members, fits = smaller, group + (members > 0), 0, 0, True
             padded = -(-n // size) * size

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .fixtures import with_views
+from .fixtures import SQL, with_views
 from .functions import nucleotides as nt
 from .functions.codons import STARTS, STOPS, codon_frame, is_codon_distribution
 from .operators import checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
@@ -300,9 +300,18 @@ def _adder(k: int):
     return lambda a, x: a + F.get(x, F.lit(k)).cast("double")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SQL['docs']}, ordered AS (SELECT name, length(sequence) AS n, row_number() OVER (ORDER BY length(sequence) DESC, seq_ord) AS k FROM docs), "
+    "fold AS (SELECT 0::BIGINT AS k, 5000::BIGINT AS size, 0::BIGINT AS id, 5000::BIGINT AS next_size, 0::BIGINT AS next_id, 0::BIGINT AS used, 0::BIGINT AS members UNION ALL "
+    "SELECT k, size, id, size, CASE WHEN closes THEN id + 1 ELSE id END, CASE WHEN closes THEN 0 ELSE total END, CASE WHEN closes THEN 0 ELSE members + 1 END FROM ("
+    "SELECT *, used + CAST(ceil(n / size) AS BIGINT) * size AS total, (NOT fits AND NOT shrinks) OR used + CAST(ceil(n / size) AS BIGINT) * size > 200000 AS closes FROM ("
+    "SELECT k, n, fits, shrinks, CASE WHEN shrinks THEN rounded ELSE next_size END AS size, CASE WHEN shrinks AND members > 0 THEN next_id + 1 ELSE next_id END AS id, "
+    "CASE WHEN shrinks THEN 0 ELSE used END AS used, CASE WHEN shrinks THEN 0 ELSE members END AS members FROM ("
+    "SELECT *, NOT fits AND rounded < next_size AS shrinks FROM (SELECT o.k, n, next_size, next_id, used, members, n >= 0.1 * next_size OR next_size <= 9 AS fits, "
+    "CAST(ceil(greatest(n, 1) / 9) AS BIGINT) * 9 AS rounded FROM fold f JOIN ordered o ON o.k = f.k + 1))))) "
+    "SELECT name, n AS length, id AS group_id, size AS chunk_size FROM fold JOIN ordered USING (k)"
+)
 def group_sequences(spark, d):
-    """A fold over contigs in order of length, which no window expresses; tests hold it against plain Python."""
     return sequences.grouped(sequences.index(fx.document_sequences(spark, d)), 5_000, 0.1, [9], 200_000)
 
 
@@ -425,9 +434,14 @@ def clear_crossing_gene(spark, d):
     return labels.unchunked(repair.cleared(chunks, labels.mismatches(chunks), 8), 8)
 
 
-@query()
+LETTERS = """places AS (SELECT name, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM genome), labels AS (
+  SELECT name AS seq, strand, i - 1 AS idx, CASE WHEN substr(sequence, i, 1) IN ('A', 'a') THEN 0 WHEN substr(sequence, i, 1) IN ('C', 'c', 'N') THEN 4 ELSE 1 END AS state
+  FROM places, (VALUES ('+'), ('-')) s(strand))"""
+
+
+@query(f"{with_views('genome')}, {LETTERS}, {REGIONS}, {FOUND} SELECT seq, strand, row_number() OVER (ORDER BY seq, tx_start, strand) AS tx, blocks FROM found")
 def annotate_pipeline(spark, d):
-    """The whole pipeline with a stub predictor; tests hold it against worked examples."""
+    """The whole pipeline with a predictor that labels letters; its second predictions agree, so borders leave no trace."""
     base = fx.genome(spark)
 
     def predict(chunks: DataFrame) -> DataFrame:
