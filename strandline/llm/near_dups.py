@@ -39,6 +39,8 @@ MISSED = 1.1e-5
 FAR = 55
 #: Shingles of all the sets in one block of a group.
 BLOCK_SHINGLES = 400_000
+#: Ids of texts that are broadcast at most, a few megabytes.
+FEW_IDS = 200_000
 #: Members of a hub that one task compares with it.
 HUB_SHARE = 500
 _U = np.uint64
@@ -215,7 +217,9 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(cls, n, shingles).  The first row of a class may repeat its id with other texts, so the class is computed anew and checked."""
-        texts = classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct()
+        texts = space.keep(classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct())
+        # Few ids go to the texts, many meet them by a shuffle.
+        texts = F.broadcast(texts) if texts.count() <= FEW_IDS else texts
         found = source.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
         return space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
 
