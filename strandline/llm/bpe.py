@@ -76,24 +76,26 @@ def stand_ins(pattern: str) -> dict[int, str]:
     import regex
     import tiktoken
 
-    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
-    chars = [chr(c) for c in points.tolist()]
-    together = "".join(chars)
-    sizes = np.array([len(c.encode()) for c in chars]) + 2
-    places = np.cumsum(sizes) - sizes
-    out = {}
-    settled = np.zeros(len(chars), bool)
+    encoders = []
     for lead, kind, stand_in in (("a", r"\p{L}", "é"), ("1", r"\p{N}", "½"), ("!", r"[^\s\p{L}\p{N}]", "¤"), ("", r"\s", "\u2003")):
-        ours = np.zeros(len(chars), bool)
-        ours[[m.start() for m in regex.finditer(kind, together)]] = True
-        theirs = ~settled
-        if lead:
-            ranks = {bytes([b]): b for b in range(256)} | {lead.encode() + bytes([b]): 256 + b for b in range(256)}
-            ids = np.array(tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary("\n".join(lead + c for c in chars)))
-            lengths = np.where(ids >= 256, 2, 1)
-            theirs = ids[np.searchsorted(np.cumsum(lengths) - lengths, places)] >= 256
-        settled |= theirs
-        out |= {int(c): stand_in for c in points[theirs & ~ours]}
+        ranks = {bytes([b]): b for b in range(256)} | ({lead.encode() + bytes([b]): 256 + b for b in range(256)} if lead else {})
+        encoders.append((lead, regex.compile(kind), stand_in, tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})))
+    out = {}
+    for begin in range(0, 0x110000, 0x4000):
+        points = np.array([c for c in range(begin, begin + 0x4000) if not 0xD800 <= c < 0xE000], np.int64)
+        chars = [chr(c) for c in points.tolist()]
+        sizes = np.array([len(c.encode()) for c in chars], np.int64) + 2
+        places = np.cumsum(sizes) - sizes
+        settled = np.zeros(len(chars), bool)
+        for lead, kind, stand_in, pairs in encoders:
+            ours = np.array([kind.match(c) is not None for c in chars], bool)
+            theirs = ~settled
+            if lead and chars:
+                ids = np.array(pairs.encode_ordinary("\n".join(lead + c for c in chars)))
+                lengths = np.where(ids >= 256, 2, 1)
+                theirs = ids[np.searchsorted(np.cumsum(lengths) - lengths, places)] >= 256
+            settled |= theirs
+            out |= {int(c): stand_in for c in points[theirs & ~ours]}
     return out
 
 

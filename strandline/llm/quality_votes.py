@@ -161,10 +161,15 @@ def learn_voters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = rows.select("label", "text").mapInArrow(_terms, "label double, terms array<int>, shares array<float>")
     got = rows.toArrow()  # a row for each id, so ``LABELLED`` at most
-    pairs = [(np.array(t, np.int64), np.array(s, np.float32)) for t, s in zip(got["terms"].to_pylist(), got["shares"].to_pylist())]
-    order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), got["label"][k].as_py()))
+    # Slices of the table's own buffers, for as Python numbers the terms would take a hundred megabytes.
+    terms, shares, known = (got[c].combine_chunks() for c in ("terms", "shares", "label"))
+    known = known.to_numpy(zero_copy_only=False)
+    flat, roots, bounds = terms.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy(), terms.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    pairs = [(flat[a:b], roots[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), known[k]))
     order = [order[k] for k in np.random.default_rng(7).permutation(len(order))]  # independent of the order of rows
-    return fit([pairs[k] for k in order], np.array([got["label"][k].as_py() for k in order], float))
+    return fit([pairs[k] for k in order], known[order].astype(float) if order else np.zeros(0))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
