@@ -160,16 +160,30 @@ def learn_voters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = rows.select("label", "text").mapInArrow(_terms, "label double, terms array<int>, shares array<float>")
-    got = rows.toArrow()  # a row for each id, so ``LABELLED`` at most
-    # Slices of the table's own buffers, for as Python numbers the terms would take a hundred megabytes.
-    terms, shares, known = (got[c].combine_chunks() for c in ("terms", "shares", "label"))
-    known = known.to_numpy(zero_copy_only=False)
-    flat, roots, bounds = terms.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy(), terms.offsets.to_numpy()
-    bounds = bounds - bounds[0]
-    pairs = [(flat[a:b], roots[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    # A row for each id, so ``LABELLED`` at most: one task fits them, and the driver gets no more than the model.
+    models = rows.repartition(1).mapInArrow(_fitted, "projection binary, vectors binary, labels binary, prior double").collect()
+    if not models:
+        return fit([], np.zeros(0))
+    projection, vectors, prior = np.frombuffer(models[0].projection, np.float32).reshape(TERMS, -1), np.frombuffer(models[0].vectors, np.float32), models[0].prior
+    return Voters(projection, vectors.reshape(-1, projection.shape[1]), np.frombuffer(models[0].labels, np.float64), prior)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the arrays of the voters that all rows (label, terms, shares) make."""
+    lean_memory()
+    pairs, known = [], []
+    for batch in batches:
+        label, terms, shares = (batch.column(c) for c in ("label", "terms", "shares"))
+        known += label.to_pylist()
+        flat, roots, bounds = terms.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy(), terms.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        pairs += [(flat[a:b], roots[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), known[k]))
     order = [order[k] for k in np.random.default_rng(7).permutation(len(order))]  # independent of the order of rows
-    return fit([pairs[k] for k in order], known[order].astype(float) if order else np.zeros(0))
+    voters = fit([pairs[k] for k in order], np.array([known[k] for k in order], float))
+    arrays = [voters.projection.astype(np.float32), voters.vectors.astype(np.float32), voters.labels.astype(np.float64)]
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in arrays] + [pa.array([voters.prior])]
+    yield pa.RecordBatch.from_arrays(columns, names=["projection", "vectors", "labels", "prior"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
