@@ -163,7 +163,7 @@ def _in_block(table: pa.Table, link: int) -> pa.Table:
     return pa.table({"u": pa.array([names[i] for i, _ in pairs], pa.binary()), "v": pa.array([names[j] for _, j in pairs], pa.binary())})
 
 
-def _compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """(hub, cls, common, whole) for ``edges(hub, cls)``.  A hub with many members is dealt to several tasks."""
     shares = edges.groupBy("hub").agg((F.count("*") / HUB_SHARE).cast("long").alias("shares"))
     members = edges.join(shares, "hub").withColumn("salt", F.expr("pmod(xxhash64(cls), shares + 1)")).join(sets.select("cls", "shingles"), "cls")
@@ -173,6 +173,18 @@ def _compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("hub", "cls", "shingles").mapInArrow(_against_hub, "hub binary, cls binary, common long, whole long")
 
 
+def sets_of_classes(source: DataFrame, classes: DataFrame, ids: DataFrame, space: Workspace) -> DataFrame:
+    """(cls, n, shingles) of the classes in ``ids(cls)``, from ``source(doc_id, text)`` and ``classes(cls, first_id)``.
+
+    The first row of a class may repeat its id with other texts, so the class is computed anew and checked.
+    """
+    texts = space.keep(classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct())
+    # Few ids go to the texts, many meet them by a shuffle.
+    texts = F.broadcast(texts) if texts.count() <= FEW_IDS else texts
+    found = source.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
+    return space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
+
+
 def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
 
@@ -216,12 +228,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
         return rows.join(hubs, "key").where("cls <> hub")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """(cls, n, shingles).  The first row of a class may repeat its id with other texts, so the class is computed anew and checked."""
-        texts = space.keep(classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct())
-        # Few ids go to the texts, many meet them by a shuffle.
-        texts = F.broadcast(texts) if texts.count() <= FEW_IDS else texts
-        found = source.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
-        return space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
+        return sets_of_classes(source, classes, ids, space)
 
     def classes_in(rows: DataFrame) -> DataFrame:
         return rows.select("cls").unionByName(rows.select(F.col("hub").alias("cls"))).distinct()
@@ -230,7 +237,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     first = space.keep(met(tables_of(halves.withColumn("root", F.col("cls")), True)))
     first_ids = space.keep(classes_in(first))
     first_sets = sets_of(first_ids)
-    seen = space.keep(_compare_with_hubs(first.select("hub", "cls").distinct(), first_sets))
+    seen = space.keep(compare_with_hubs(first.select("hub", "cls").distinct(), first_sets))
     first_links = space.keep(seen.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
     known = space.keep(connected_components(first_links, space))
 
@@ -240,7 +247,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     compared = []
     for _ in range(ROUNDS):
         edges = buckets.select("hub", "cls").distinct()
-        seen = space.keep(_compare_with_hubs(edges, sets))
+        seen = space.keep(compare_with_hubs(edges, sets))
         compared.append(seen)
         far = seen.where(f"100 * common < {FAR} * whole").select("hub", "cls")
         rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls", "root")))

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_leaks
+from .jaccard_join import jaccard_components
 from .line_chunks import line_dedup
 from .near_dups import near_dup_components
-from .oracles import LOWER, UPPER, secrets_sql, url_sql
+from .oracles import divergence_sql, secrets_sql, similar_sql, url_sql
 from .pseudonyms import pseudonymise
 from .quality_rules import RULES as QUALITY_RULES
 from .quality_rules import STOP_WORDS, compiled, quality_rules
 from .quality_votes import quality_scores
 from .secret_ledger import BASE_RULES, RULES, scan_secrets, secret_digests
+from .source_divergence import source_divergence
 from .storage import shared_dir
 from .token_counts import token_counts, vocabulary_of
 from .url_filter import url_verdicts
@@ -83,6 +85,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_lines")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -94,29 +104,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_votes": op9_quality_votes,
     "op10_secret_ledger": op10_secret_ledger,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
-    "op2_minhash_near_dedup": rf"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
-), s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
-    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
-), e AS (
-  SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
-), links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
-), both_ways AS (
-  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
-), reach(doc_id, r) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON reach.r = x
-), least AS (
-  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
-)
-SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
-""",
+    "op2_minhash_near_dedup": similar_sql(85, ", doc_id = component_id AS kept"),
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
@@ -178,4 +171,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """,
     "op8_url_filter": url_sql(),
     "op10_secret_ledger": secrets_sql(),
+    "op11_source_divergence": divergence_sql(),
+    "op13_jaccard_join": similar_sql(80, ""),
 }
