@@ -22,6 +22,7 @@ from .quality_votes import quality_scores
 from .secret_ledger import BASE_RULES, RULES, scan_secrets, secret_digests
 from .source_divergence import source_divergence
 from .storage import shared_dir
+from .token_alignment import token_alignment
 from .token_counts import token_counts, vocabulary_of
 from .url_filter import url_verdicts
 
@@ -89,6 +90,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_alignment(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_votes": op9_quality_votes,
     "op10_secret_ledger": op10_secret_ledger,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_alignment": op12_token_alignment,
     "op13_jaccard_join": op13_jaccard_join,
 }
 

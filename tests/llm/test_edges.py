@@ -8,12 +8,15 @@ import corpus_pipeline
 from strandline.llm import queries
 from strandline.llm.bpe import bpe_encode
 from strandline.llm.decontaminate import benchmark_leaks
+from strandline.llm.jaccard_join import jaccard_components
 from strandline.llm.line_chunks import line_dedup
 from strandline.llm.near_dups import near_dup_components
 from strandline.llm.pseudonyms import pseudonymise
 from strandline.llm.quality_rules import quality_rules
 from strandline.llm.quality_votes import quality_scores
 from strandline.llm.secret_ledger import scan_secrets
+from strandline.llm.source_divergence import source_divergence
+from strandline.llm.token_alignment import token_alignment
 from strandline.llm.token_counts import token_counts, vocabulary_of
 from strandline.llm.url_filter import url_verdicts
 
@@ -47,6 +50,8 @@ OPERATORS = {
     "votes": lambda s, d: quality_scores(d, labels(s)),
     "votes_without_labels": lambda s, d: quality_scores(d, labels(s).limit(0)),
     "secrets": lambda s, d: scan_secrets(d),
+    "alignment": lambda s, d: token_alignment(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN),
+    "jaccard": lambda s, d: jaccard_components(d),
 }
 
 
@@ -134,5 +139,13 @@ def test_the_pipeline_on_real_tables(spark):
 
 
 def test_registered_names():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert [k for k in range(len(corpus_pipeline.STAGES))] == [0, 1, 2, 3, 4]
+
+
+def test_divergence_of_odd_rows(spark):
+    """Each (lang, source) group has its pairs, whatever its texts are; no rows give none."""
+    rows = docs(spark).withColumn("source", F.when(F.col("doc_id") > 2, F.lit("s")))
+    got = source_divergence(rows).collect()
+    assert [(r.lang, r.source, r.part, r["item"], r.value, r["rank"]) for r in sorted(got)] == [("en", "", "pair", "s", 0, 1), ("en", "s", "pair", "", 0, 1)]
+    assert source_divergence(rows.limit(0)).count() == 0
