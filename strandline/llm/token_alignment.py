@@ -38,6 +38,7 @@ _PAIR = 2**32
 
 #: Characters that all tables of letters, numbers and blanks agree on.  Texts of these are encoded by the faster library, whose
 #: ranks are the same vocabulary; texts with others by the tokenizer file's own.
+_LONG_BLANK = re.compile(r"\s{1000}")  # too deep for the faster library
 _AGREED = re.compile("[\x00-ɏ‐-‧€]*")
 
 
@@ -74,11 +75,9 @@ class Tokenizers:
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text by both; none where the bytes of either differ from a space and the text."""
         bs = self.b.encode(texts, num_threads=1)
-        odd = [k for k, t in enumerate(texts) if t and not _AGREED.fullmatch(t)]
-        as_ = [self.fast.encode_ordinary(" " + t) if t else [] for t in texts] if not odd else None
-        if odd:
-            slow = dict(zip(odd, self.a.encode_batch_fast([" " + texts[k] for k in odd], add_special_tokens=False)))
-            as_ = [(slow[k].ids if k in slow else self.fast.encode_ordinary(" " + t)) if t else [] for k, t in enumerate(texts)]
+        odd = [k for k, t in enumerate(texts) if t and (_LONG_BLANK.search(t) or not _AGREED.fullmatch(t))]
+        slow = dict(zip(odd, self.a.encode_batch_fast([" " + texts[k] for k in odd], add_special_tokens=False)))
+        as_ = [(slow[k].ids if k in slow else self.fast.encode_ordinary(" " + t)) if t else [] for k, t in enumerate(texts)]
         out = []
         for t, a, b in zip(texts, as_, bs):
             want = b" " + t.encode()
