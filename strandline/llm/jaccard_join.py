@@ -38,7 +38,7 @@ LINK = 80
 #: Pieces for each shingle that linked sets of a band may differ in.
 SLACK = 1.3
 #: Keys that a task gathers before it deals them out, and keys of one bucket of the join; a byte of text makes a tenth of a key.
-GATHERED, BUCKET_KEYS, KEYS_A_BYTE = 2_000_000, 2_000_000, 0.1
+GATHERED, BUCKET_KEYS, KEYS_A_BYTE = 500_000, 1_000_000, 0.1
 #: Members of a bucket that are compared with each other in one task at a time.
 ROOM = 1024
 _U = np.uint64
