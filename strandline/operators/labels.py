@@ -37,6 +37,41 @@ def regions(labels: DataFrame, offset: int = 0) -> DataFrame:
     return _islands(runs.drop("_part"), ["seq", "strand"], "name", "start", "end").select("seq", "strand", "name", "start", "end")
 
 
+def _chunk_runs(states: Column, offset: Column) -> Column:
+    """Runs of one region in an array of states, as (name, start, end)."""
+    kind = lambda x: F.when(x == 0, 0).when(x.between(1, 3), 1).when(x.between(4, len(STATES) - 1), 2).otherwise(F.raise_error(F.lit("unknown state")).cast("int"))
+    names = F.array(*map(F.lit, REGIONS))
+
+    def cut(ks: Column) -> Column:
+        # One-element arrays bind what is used several times.
+        places = F.when(F.size(ks) > 0, F.sequence(F.lit(0), F.size(ks) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ks, i) != F.get(ks, i - 1)))
+
+        def run(ss: Column) -> Column:
+            return F.transform(ss, lambda s, k: F.struct(F.get(names, F.get(ks, s)).alias("name"), (offset + s).cast("long").alias("start"), (offset + F.coalesce(F.get(ss, k + 1), F.size(ks))).cast("long").alias("end")))
+
+        return F.flatten(F.transform(F.array(starts), run))
+
+    return F.flatten(F.transform(F.array(F.transform(states, kind)), cut))
+
+
+def chunk_regions(chunks: DataFrame, size: int, lengths: DataFrame | None = None) -> DataFrame:
+    """(seq, strand, name, start, end) from ``chunks(seq, strand, chunk_no, states)`` of ``size`` states, without a row for any single one.
+
+    Runs are found within each chunk's array; rows are runs from there on, and those that meet at a border become one.  With
+    ``lengths(seq, length)`` what lies beyond the end of a sequence (the padding of its last chunk) is left out.
+    """
+    rows = chunks.select("seq", "strand", F.col("chunk_no").cast("long").alias("chunk_no"), _chunk_runs(F.col("states"), F.col("chunk_no") * size).alias("runs"))
+    if lengths is not None:
+        # Only last chunks have padding, so no key is a whole sequence's.
+        last = lengths.where("length > 0").select("seq", F.floor((F.col("length") - 1) / size).alias("chunk_no"), F.col("length").alias("_stop"))
+        rows = rows.join(last, ["seq", "chunk_no"], "left")
+        inside = F.transform(F.filter("runs", lambda r: r["start"] < F.col("_stop")), lambda r: F.struct(r["name"].alias("name"), r["start"].alias("start"), F.least(r["end"], F.col("_stop")).alias("end")))
+        rows = rows.withColumn("runs", F.when(F.col("_stop").isNull(), F.col("runs")).otherwise(inside))
+    runs = rows.select("seq", "strand", F.inline("runs"))
+    return _islands(runs, ["seq", "strand"], "name", "start", "end").select("seq", "strand", "name", "start", "end")
+
+
 def region_transcripts(found: DataFrame) -> DataFrame:
     """(seq, strand, tx_start, tx_end, cds) for maximal runs of regions between two intergenic ones.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from .functions.codons import STARTS, STOPS, codon_frame, is_codon_distribution
 from .operators import checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
 from .plans import hmm
 from .plans.annotate import annotate
-from .sources import readers, writers
+from .sources import fasta_scan, readers, writers
+from .tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,10 +157,10 @@ def gene_numbering(spark, d):
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = fx.transcripts(spark, d)
-    return rows.where("tx % 3 <> 0"), rows.where("tx % 5 <> 0")
+    return rows.where("tx % 3 <> 0"), rows.where("tx % 3 <> 1")
 
 
-KEYED = ", a AS (SELECT * FROM tx WHERE tx % 3 <> 0), b AS (SELECT * FROM tx WHERE tx % 5 <> 0)"
+KEYED = ", a AS (SELECT * FROM tx WHERE tx % 3 <> 0), b AS (SELECT * FROM tx WHERE tx % 3 <> 1)"
 
 
 @query(f"{with_views('cds', 'tx')}{KEYED} SELECT tx, blocks FROM a WHERE EXISTS (SELECT 1 FROM b WHERE (b.seq, b.strand, b.blocks) = (a.seq, a.strand, a.blocks))")
@@ -190,9 +192,35 @@ def equal_genes(spark, d):
 # Sequences
 
 
-@query(f"{with_views('genome')} SELECT name, seq_ord, length(sequence) AS length FROM genome WHERE name IN ('chr1', 'chr2', 'chr5', 'chr6') AND name NOT IN ('chr2') AND length(sequence) >= 53000")
+SOME = [str(k) for k in range(0, 100, 3)]
+
+
+@query(f"{with_views('docs')} SELECT name, seq_ord, length(sequence) AS length FROM docs WHERE name NOT IN ({', '.join(f"'{n}'" for n in SOME)}) AND length(sequence) >= 1000")
 def contig_index(spark, d):
-    return sequences.index(fx.genome(spark), ["chr1", "chr2", "chr5", "chr6"], ["chr2"], 53_000)
+    """Sequences of a thousand letters, but for some names."""
+    return sequences.index(fx.document_sequences(spark, d), None, SOME, 1_000)
+
+
+@query(f"{with_views('docs')} SELECT name, seq_ord, length(sequence) AS length FROM docs WHERE name IN ({', '.join(f"'{n}'" for n in SOME)}) AND name NOT IN ('3', '6')")
+def contig_index_included(spark, d):
+    return sequences.index(fx.document_sequences(spark, d), SOME, ["3", "6"])
+
+
+def _scanned(spark, d) -> fasta_scan.FastaScan:
+    """The documents' sequences as FASTA files in the shared folder, read by lines again."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}.fa"
+    writers.write_fasta(fx.document_sequences(spark, d).where("sequence IS NOT NULL"), path, width=60)
+    return fasta_scan.scan_fasta(spark, path, size=700)
+
+
+@query(f"{with_views('docs')} SELECT name, row_number() OVER (ORDER BY seq_ord) - 1 AS seq_ord, length(sequence) AS length FROM docs WHERE sequence IS NOT NULL")
+def fasta_scan_index(spark, d):
+    return _scanned(spark, d).index.select("name", "seq_ord", "length")
+
+
+@query(f"{with_views('docs')} SELECT name AS seq, k AS chunk_no, md5(substr(sequence, CAST(k * 700 + 1 AS BIGINT), 702)) AS digest FROM (SELECT *, unnest(range(0, CAST(ceil(length(sequence) / 700.0) AS BIGINT))) AS k FROM docs)")
+def fasta_scan_chunks(spark, d):
+    return _scanned(spark, d).chunks.select("seq", "chunk_no", F.md5("chunk").alias("digest"))
 
 
 FETCHED = (
@@ -269,9 +297,9 @@ def base_composition(spark, d):
     return rows.select("name", *(F.round(c, 9).alias(c) for c in rows.columns[1:]))
 
 
-@query(f"{with_views('genome')} SELECT " + ", ".join(f"round(CAST(sum({COUNT.format(c, c if c == 'N' else c.lower())}) AS DOUBLE) / sum(length(sequence)), 9) AS share_{c.lower()}" for c in "ACGTN") + " FROM genome")
+@query(f"{with_views('docs')} SELECT " + ", ".join(f"round(CAST(sum({COUNT.format(c, c if c == 'N' else c.lower())}) AS DOUBLE) / sum(length(sequence)), 9) AS share_{c.lower()}" for c in "ACGTN") + " FROM docs")
 def genome_composition(spark, d):
-    rows = sequences.genome_shares(fx.genome(spark))
+    rows = sequences.genome_shares(fx.document_sequences(spark, d))
     return rows.select(*(F.round(c, 9).alias(c) for c in rows.columns))
 
 
@@ -372,6 +400,12 @@ def split_regions(spark, d):
     return labels.regions(fx.labels(spark, d))
 
 
+@query(f"{with_views('labels')}, {REGIONS} SELECT * FROM regions")
+def region_runs(spark, d):
+    """The same regions from chunks of states, as predictors give them."""
+    return labels.chunk_regions(labels.chunked(fx.labels(spark, d), 8), 8)
+
+
 @query(f"{with_views('labels')}, {REGIONS}, {FOUND} SELECT * FROM found")
 def transcripts_from_regions(spark, d):
     found = labels.region_transcripts(labels.regions(fx.labels(spark, d)))
@@ -434,15 +468,15 @@ def clear_crossing_gene(spark, d):
     return labels.unchunked(repair.cleared(chunks, labels.mismatches(chunks), 8), 8)
 
 
-LETTERS = """places AS (SELECT name, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM genome), labels AS (
+LETTERS = """places AS (SELECT name, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM docs), labels AS (
   SELECT name AS seq, strand, i - 1 AS idx, CASE WHEN substr(sequence, i, 1) IN ('A', 'a') THEN 0 WHEN substr(sequence, i, 1) IN ('C', 'c', 'N') THEN 4 ELSE 1 END AS state
   FROM places, (VALUES ('+'), ('-')) s(strand))"""
 
 
-@query(f"{with_views('genome')}, {LETTERS}, {REGIONS}, {FOUND} SELECT seq, strand, row_number() OVER (ORDER BY seq, tx_start, strand) AS tx, blocks FROM found")
+@query(f"{with_views('docs')}, {LETTERS}, {REGIONS}, {FOUND} SELECT seq, strand, row_number() OVER (ORDER BY seq, tx_start, strand) AS tx, blocks FROM found")
 def annotate_pipeline(spark, d):
     """The whole pipeline with a predictor that labels letters; its second predictions agree, so borders leave no trace."""
-    base = fx.genome(spark)
+    base = fx.document_sequences(spark, d)
 
     def predict(chunks: DataFrame) -> DataFrame:
         letters = F.filter(F.split("chunk", ""), lambda c: c != "")
@@ -478,10 +512,10 @@ def _compared(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = fx.transcripts(spark, d)
     last = F.size("cds") - 1
     moved = F.transform("cds", lambda c, i: F.struct(c["start"].alias("start"), (c["end"] + F.when((i == last) & (F.col("tx") % 11 == 0), 3).otherwise(0)).alias("end")))
-    return rows.where("tx % 5 <> 0").withColumn("cds", moved).withColumn("annotation", F.lit("query")), rows.where("tx % 3 <> 0")
+    return rows.where("tx % 3 <> 1").withColumn("cds", moved).withColumn("annotation", F.lit("query")), rows.where("tx % 3 <> 0")
 
 
-PAIR = """ref AS (SELECT * FROM cds WHERE tx % 3 <> 0), qry AS (SELECT seq, strand, tx, cds_start, cds_end + CASE WHEN tx % 11 = 0 AND cds_start = max(cds_start) OVER (PARTITION BY tx) THEN 3 ELSE 0 END AS cds_end FROM cds WHERE tx % 5 <> 0)"""
+PAIR = """ref AS (SELECT * FROM cds WHERE tx % 3 <> 0), qry AS (SELECT seq, strand, tx, cds_start, cds_end + CASE WHEN tx % 11 = 0 AND cds_start = max(cds_start) OVER (PARTITION BY tx) THEN 3 ELSE 0 END AS cds_end FROM cds WHERE tx % 3 <> 1)"""
 SCORE = """scored AS (SELECT 'query' AS annotation, '{level}' AS level, round(hr / CAST(r AS DOUBLE), 3) AS sensitivity, round(hq / CAST(q AS DOUBLE), 3) AS precision FROM counts)
 SELECT *, CASE WHEN sensitivity = 0 OR precision = 0 THEN 0.0 ELSE round(2 * sensitivity * precision / (sensitivity + precision), 3) END AS f1 FROM scored"""
 SETS = """counts AS (SELECT (SELECT count(*) FROM a JOIN b USING ({keys})) AS hr, (SELECT count(*) FROM a JOIN b USING ({keys})) AS hq, (SELECT count(*) FROM b) AS r, (SELECT count(*) FROM a) AS q)"""
@@ -664,9 +698,9 @@ def gff3_roundtrip(spark, d):
     return readers.parse_gff3(lines.select(F.col("line").alias("value"), (F.col("gene_id") * 1000 + F.col("transcript_id")).alias("line"))).select("tx_name", "gene_name", "seq", "strand", block_text().alias("blocks"))
 
 
-@query(f"{with_views('genome')} SELECT name, length(sequence) AS length, md5(concat('>', name, chr(10), rtrim(regexp_replace(sequence, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)))) AS digest FROM genome")
+@query(f"{with_views('docs')} SELECT name, length(sequence) AS length, md5(concat('>', name, CASE WHEN length(sequence) > 0 THEN chr(10) ELSE '' END, rtrim(regexp_replace(sequence, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)))) AS digest FROM docs")
 def fasta_rows(spark, d):
-    return writers.fasta_lines(fx.genome(spark)).select("name", long(F.length("sequence")).alias("length"), F.md5("line").alias("digest"))
+    return writers.fasta_lines(fx.document_sequences(spark, d)).select("name", long(F.length("sequence")).alias("length"), F.md5("line").alias("digest"))
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -723,17 +757,6 @@ def codon_distributions_valid(spark, d):
     return is_codon_distribution(_distributions(spark), by=("translation_table", "kind"))
 
 
-@query(CODES)
-def codon_table_whole(spark, d):
-    return codon_table(spark, d)
-
-
-@query(VALID.format(rows=f"SELECT kind, translation_table, codon, prob / 2 AS prob FROM ({WEIGHTED})"))
-def codon_distributions_valid_whole(spark, d):
-    """Halved probabilities, none of which sums to one."""
-    return is_codon_distribution(_distributions(spark).withColumn("prob", F.col("prob") / 2), by=("translation_table", "kind"))
-
-
 @query()
 def viterbi_path(spark, d):
     """Decoding is a recurrence along each chunk; tests hold it against enumeration of all paths."""
