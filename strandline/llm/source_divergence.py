@@ -29,7 +29,7 @@ PRIOR, UNIT = 5, 1_000_000_000
 #: Terms that are reported of each source.
 TOP = 50
 #: Counts (sources times terms) of one chunk.
-CELLS = 2_000_000
+CELLS = 50_000
 #: Pairs of (group, term) or (text, term) that a task gathers before it sums them up, and sums before it hands them on.
 GATHERED, HELD = 4_000_000, 1_000_000
 
