@@ -20,6 +20,8 @@ BIN = 1024
 WIDE = 65_536
 #: The largest pieces that spans are cut into have 4^TOP positions.
 TOP = 10
+#: The same for ranges that are cut at edges: 4^15 positions, so a range of a whole chromosome is fewer than 100 pieces.
+RANGE_TOP = 15
 
 
 def _bins(low: Column, high: Column, width: int) -> Column:
@@ -96,8 +98,8 @@ def gene_spans(transcripts: DataFrame) -> DataFrame:
     return _merged_within(rows, GENE).withColumn("gene_start", starts)
 
 
-def aligned_pieces(low: Column, high: Column) -> Column:
-    """Array of (level, node): an interval as few pieces of 4^level positions from node * 4^level, levels 0 to ``TOP``."""
+def aligned_pieces(low: Column, high: Column, top: int = TOP) -> Column:
+    """Array of (level, node): an interval as few pieces of 4^level positions from node * 4^level, levels 0 to ``top``."""
 
     def of_level(level: Column) -> Column:
         def edges(shift: Column) -> tuple[Column, Column]:
@@ -106,7 +108,7 @@ def aligned_pieces(low: Column, high: Column) -> Column:
 
         a, b = edges(2 * level)
         c, d = edges(2 * level + 2)
-        whole = (level < TOP) & (c < d)  # what the next level has
+        whole = (level < top) & (c < d)  # what the next level has
         left_end = F.when(whole, F.least(b, 4 * c)).otherwise(b)
         right_begin = F.when(whole, F.greatest(4 * d, a)).otherwise(b)
 
@@ -115,7 +117,7 @@ def aligned_pieces(low: Column, high: Column) -> Column:
 
         return F.transform(F.concat(run(a, left_end), run(right_begin, b)), lambda n: F.struct(level.alias("level"), n.alias("node")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), of_level))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), of_level))
 
 
 def deciding_genes(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos") -> DataFrame:
@@ -132,26 +134,36 @@ def deciding_genes(positions: DataFrame, transcripts: DataFrame, pos_id: str = "
     return asked.join(pieces, ["seq", "level", "node"], "left").groupBy(pos_id, "seq", pos).agg(F.min("plus").alias("plus"), F.min("minus").alias("minus"))
 
 
-def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos", width: int = BIN) -> DataFrame:
-    """(pos_id, seq, pos, fwd, rev): the label of each position on both strands.
-
-    Coding in any isoform makes a position cds for its gene, else within an isoform it is intron.  Of several genes that hold a
-    position the one that starts first decides, ties by gene; without any it is intergenic.  Every row of ``positions`` gives
-    one row, so pos_id must be unique.
-    """
-    first = deciding_genes(positions, transcripts, pos_id, pos)
+def classified_points(points: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:
+    """(seq, pos, fwd, rev) for distinct ``points(seq, pos)``, as ``classify_positions`` labels them."""
+    keyed = points.select(F.struct("seq", "pos").alias("_id"), "seq", "pos")
+    first = deciding_genes(keyed, transcripts, "_id", "pos")
     sides = F.array(*(F.struct(F.lit(s).alias("strand"), F.col(name)["gene"].alias("gene")) for s, name in (("+", "plus"), ("-", "minus"))))
-    sides = first.select(pos_id, "seq", F.col(pos).alias("_pos"), F.inline(sides)).where("gene IS NOT NULL")
+    sides = first.select("_id", "seq", F.col("pos").alias("_pos"), F.inline(sides)).where("gene IS NOT NULL")
     # Only the deciding gene's blocks are looked at.
     blocks = exploded(non_empty(transcripts)).select(*GENE, F.col("cds_start").alias("low"), F.col("cds_end").alias("high"))
     coding = point_interval_join(sides, blocks, "_pos", "low", "high", tuple(GENE), width, "left_semi")
-    coding = coding.groupBy(pos_id).agg(*(F.bool_or(F.col("strand") == s).alias(f"_{name}") for s, name in (("+", "plus"), ("-", "minus"))))
-    joined = first.join(coding, pos_id, "left")
+    coding = coding.groupBy("_id").agg(*(F.bool_or(F.col("strand") == s).alias(f"_{name}") for s, name in (("+", "plus"), ("-", "minus"))))
+    joined = first.join(coding, "_id", "left")
 
     def label(name: str, out: str) -> Column:
         return F.when(F.col(f"_{name}"), CDS).when(F.col(name).isNotNull(), INTRON).otherwise(INTERGENIC).alias(out)
 
-    return joined.select(pos_id, "seq", pos, label("plus", "fwd"), label("minus", "rev"))
+    return joined.select("seq", "pos", label("plus", "fwd"), label("minus", "rev"))
+
+
+def classify_positions(positions: DataFrame, transcripts: DataFrame, pos_id: str = "pos_id", pos: str = "pos", width: int = BIN) -> DataFrame:
+    """(pos_id, seq, pos, fwd, rev): the label of each position on both strands.
+
+    Coding in any isoform makes a position cds for its gene, else within an isoform it is intron.  Of several genes that hold a
+    position the one that starts first decides, ties by gene; without any, or without a sequence or position, it is intergenic.
+    Each row of ``positions`` gives one row, repeated ones too; what is shared by them is worked out once.
+    """
+    points = positions.where(F.col("seq").isNotNull() & F.col(pos).isNotNull()).select("seq", F.col(pos).alias("pos")).distinct()
+    labels = classified_points(points, transcripts, width).withColumnRenamed("pos", "_pos")
+    rows = positions.select(pos_id, "seq", pos)
+    joined = rows.join(labels.withColumnRenamed("seq", "_seq"), (rows["seq"] == F.col("_seq")) & (rows[pos] == F.col("_pos")), "left")
+    return joined.select(pos_id, "seq", pos, *(F.coalesce(c, F.lit(INTERGENIC)).alias(c) for c in ("fwd", "rev")))
 
 
 def classify_ranges(ranges: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:
@@ -163,14 +175,17 @@ def classify_ranges(ranges: DataFrame, transcripts: DataFrame, width: int = BIN)
     asked = ranges.where("range_end > range_start").select("range_id", "seq", "range_start", "range_end")
     both = asked.select("*", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"))
     edges = exploded(non_empty(transcripts)).select("seq", "strand", F.explode(F.array("cds_start", "cds_end")).alias("edge")).distinct()
-    spread = both.withColumn("_bin", _bins(F.col("range_start"), F.col("range_end"), width))
-    inner = edges.withColumn("_bin", F.floor(F.col("edge") / width)).join(spread, ["seq", "strand", "_bin"]).where("edge > range_start AND edge < range_end")
+    # Edges strictly inside lie in one of the aligned pieces of the range, of which there are few however long it is.
+    inside = asked.where("range_end > range_start + 1").select("range_id", "seq", F.inline(aligned_pieces(F.col("range_start") + 1, F.col("range_end"), RANGE_TOP)))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(RANGE_TOP))).alias("level")
+    placed = edges.select("seq", "strand", "edge", levels).withColumn("node", F.call_function("shiftright", F.col("edge").cast("long"), 2 * F.col("level")))
+    inner = placed.join(inside, ["seq", "level", "node"])
     ends = both.select("range_id", "seq", "strand", F.explode(F.array("range_start", "range_end")).alias("edge"))
     cuts = inner.select("range_id", "seq", "strand", "edge").unionByName(ends).distinct()
     follow = Window.partitionBy("range_id", "seq", "strand").orderBy("edge")
     pieces = cuts.withColumn("seg_end", F.lead("edge").over(follow)).where("seg_end IS NOT NULL").withColumnRenamed("edge", "seg_start")
-    points = pieces.select("seq", F.col("seg_start").alias("pos")).distinct().withColumn("pos_id", F.struct("seq", "pos"))
-    labels = classify_positions(points, transcripts, width=width).select("seq", F.col("pos").alias("seg_start"), "fwd", "rev")
+    points = pieces.select("seq", F.col("seg_start").alias("pos")).distinct()
+    labels = classified_points(points, transcripts, width).withColumnRenamed("pos", "seg_start")
     return pieces.join(labels, ["seq", "seg_start"]).select("range_id", "seq", "strand", F.when(F.col("strand") == "+", F.col("fwd")).otherwise(F.col("rev")).alias("label"), "seg_start", "seg_end")
 
 

@@ -12,7 +12,7 @@ from . import fixtures as fx
 from .fixtures import SQL, with_views
 from .functions import nucleotides as nt
 from .functions.codons import STARTS, STOPS, codon_frame, is_codon_distribution
-from .operators import checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
+from .operators import bins, checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
 from .plans import hmm
 from .plans.annotate import annotate
 from .sources import fasta_scan, readers, writers
@@ -89,7 +89,10 @@ def classify_range_segments(spark, d):
 
 @query(f"{with_views('cds', 'tx')} SELECT tx, s AS tx_start, e AS tx_end FROM tx WHERE seq = 'chr3' AND s < 20000 AND e > 15000")
 def tabix_query(spark, d):
-    return intervals.overlapping(transcripts.extents(fx.transcripts(spark, d)), "chr3", 15_000, 20_000).select("tx", "tx_start", "tx_end")
+    """One range of an index written for this query, whose smallest bins suit sequences of some ten thousand positions."""
+    path = f"{shared_dir(spark)}/binned-{uuid.uuid4().hex}"
+    bins.write_binned(transcripts.extents(fx.transcripts(spark, d)).select("seq", "tx", "tx_start", "tx_end"), path, shift=7)
+    return bins.overlapping_binned(spark.read.parquet(path), "chr3", 15_000, 20_000, shift=7).select("tx", "tx_start", "tx_end")
 
 
 # Transcripts and genes

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.intervals import classify_positions
+from ..operators.transcripts import numbered
+from ..sources.appends import Commit, commit, last_commit
 
 
 def classified_stream(positions: DataFrame, transcripts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -29,6 +31,26 @@ def annotated_stream(sequences: DataFrame, annotate: Callable[[DataFrame], DataF
     return sequences.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered_stream(sequences: DataFrame, annotate: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, first_gene_id: int = 1) -> StreamingQuery:
+    """Transcripts of streamed sequences with gene ids that run on over batches, as Parquet in a folder for each batch.
+
+    After a batch has been written its manifest keeps the next id, and the next batch counts from there.  A batch that runs again,
+    after a failure for instance, begins where it began before and overwrites its own folder; so each gene has one id, whatever
+    happens in between.  Batches in order of their sequences get the ids of one run over all.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = last_commit(spark, target, before=number + 1)
+        first = last.next_gene_id if last else first_gene_id
+        folder = f"{target}/batch={number}"
+        numbered(annotate(batch), first).write.mode("overwrite").parquet(folder)
+        most = spark.read.parquet(folder).agg(F.max("gene_id")).first()[0]
+        commit(spark, target, Commit(number + 1, first if most is None else most + 1))
+
+    return sequences.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def label_counts(labelled: DataFrame, time: str = "ts", width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Counts of labels by window of event time; rows later than ``lateness`` are left out by the watermark."""
     return labelled.withWatermark(time, lateness).groupBy(F.window(time, width), "fwd", "rev").agg(F.count("*").alias("n"))
