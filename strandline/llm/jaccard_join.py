@@ -80,8 +80,8 @@ def piece_keys(shingles: np.ndarray, band: int, link: int) -> tuple[np.ndarray,
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits, 4 to 8 for each shingle, as bytes."""
-    bits = max(8, 1 << int(4 * len(shingles) - 1).bit_length())
+    """Parity bits, 16 to 32 for each shingle, as bytes: so many that few shingles of the difference fall together."""
+    bits = 1 << int(16 * len(shingles) - 1).bit_length()
     at = (shingles >> _U(65 - bits.bit_length())).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
 
