@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .histograms import f1
 from .intervals import interval_overlap_join, islands, merged
+from .sequences import chunk_table, with_letters
 from .transcripts import coding_length, end, exploded, introns, longest, non_empty, start
 
 PLACE = ["seq", "strand"]
@@ -112,9 +113,11 @@ def compare(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataF
 
 # Class codes from the best to the last, and what they say of a query and a reference transcript.
 CLASS_CODES = (
-    ("=", "the same blocks, outer ends within the tolerance"),
+    ("=", "the same introns, outer ends within the tolerance"),
     ("c", "contained in the reference, with its introns there"),
     ("k", "contains the reference, with the query's introns there"),
+    ("m", "blocks over whole introns of the reference, whose other introns are the query's"),
+    ("n", "blocks over whole introns of the reference, not all of the others are the query's"),
     ("j", "an intron in common"),
     ("e", "one block that reaches from a block of the reference ten bases into an intron"),
     ("o", "blocks overlap"),
@@ -123,10 +126,12 @@ CLASS_CODES = (
     ("i", "within an intron of the reference"),
     ("y", "the reference lies within an intron of the query"),
     ("p", "no more than 2,000 bases from the reference, on its strand"),
+    ("r", "none of these, and half of the query's bases are masked as repeats"),
     ("u", "none of these"),
 )
-#: Bases that a block must reach into an intron for code e, and the distance for code p.
-INTO_INTRON, NEAR_BY = 10, 2000
+#: Bases that a block must reach into an intron for code e, the distance for code p, and the share of masked bases for code r.
+INTO_INTRON, NEAR_BY, MASKED = 10, 2000, 0.5
+CODES = [code for code, _ in CLASS_CODES]
 
 
 def _introns_within(c: str, low: str, high: str) -> Column:
@@ -137,28 +142,23 @@ def _some(a: str, b: str, test) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: test(x, y)))
 
 
-def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
-    """(ref_gene_id, ref_id, class_code, qry_gene_id, qry_id, num_exons, FPKM, TPM, cov, len, major_iso_id, ref_match_len): one row
-    a query transcript, with its best reference transcript.
-
-    Of several references of one code the one with most overlap of spans counts, then the least ref_id.  The major isoform of a
-    gene is its longest transcript.  Expression values are not known and are 0.
-    """
-    cut = [introns(F.col("cds")).alias("gaps"), start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high")]
-    q = non_empty(query).select("seq", "strand", "tx", "gene", "cds", *cut)
-    r = non_empty(reference).select("seq", "strand", "tx", "gene", "cds", *cut).select("seq", *(F.col(c).alias(f"ref_{c}") for c in ("strand", "tx", "gene", "cds", "gaps", "low", "high")))
-    near = r.withColumns({"_a": F.col("ref_low") - NEAR_BY, "_b": F.col("ref_high") + NEAR_BY})
-    pairs = interval_overlap_join(q, near, ("low", "high"), ("_a", "_b"), ("seq",), width=NEAR_BY)
+def _pair_codes(pairs: DataFrame, tolerance: int) -> Column:
+    """Rank of the code of a query (low, high, cds, gaps, strand) and a reference (the same names with ref_)."""
     common = F.least("high", "ref_high") - F.greatest("low", "ref_low")
     own = F.col("strand") == F.col("ref_strand")
     over = _some("cds", "ref_cds", lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     junction = F.arrays_overlap("gaps", "ref_gaps")
     same_outer = (F.abs(F.col("low") - F.col("ref_low")) <= tolerance) & (F.abs(F.col("high") - F.col("ref_high")) <= tolerance)
     into = _some("cds", "ref_gaps", lambda x, y: F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) >= INTO_INTRON)
+    spanned = lambda g: F.exists("cds", lambda x: (x["start"] <= g["start"]) & (g["end"] <= x["end"]))
+    retained = F.exists("ref_gaps", spanned)
+    settled = F.forall("ref_gaps", lambda g: F.array_contains("gaps", g) | spanned(g)) & F.forall("gaps", lambda g: F.array_contains("ref_gaps", g))
     tests = {
         "=": own & (F.col("gaps") == F.col("ref_gaps")) & same_outer,
         "c": own & (F.col("low") >= F.col("ref_low")) & (F.col("high") <= F.col("ref_high")) & (_introns_within("ref_gaps", "low", "high") == F.col("gaps")),
         "k": own & (F.col("low") <= F.col("ref_low")) & (F.col("high") >= F.col("ref_high")) & (_introns_within("gaps", "ref_low", "ref_high") == F.col("ref_gaps")),
+        "m": own & retained & settled,
+        "n": own & retained,
         "j": own & junction,
         "e": own & (F.size("gaps") == 0) & over & into,
         "o": own & over,
@@ -168,13 +168,57 @@ def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> D
         "y": F.exists("gaps", lambda g: (g["start"] <= F.col("ref_low")) & (F.col("ref_high") <= g["end"])),
         "p": own & (common <= 0),
     }
-    rank = F.coalesce(*(F.when(tests[code], F.lit(k)) for k, (code, _) in enumerate(CLASS_CODES) if code in tests), F.lit(len(CLASS_CODES) - 1))
-    ref = F.struct(F.col("ref_tx").alias("ref_id"), F.col("ref_gene").alias("ref_gene_id"), coding_length(F.col("ref_cds")).alias("ref_match_len"))
-    best = pairs.groupBy("tx").agg(F.min(F.struct(rank.alias("rank"), (-common).alias("_c"), ref.alias("ref"))).alias("best"))
+    return F.coalesce(*(F.when(tests[code], F.lit(k)) for k, code in enumerate(CODES) if code in tests), F.lit(len(CODES) - 1))
+
+
+def masked_bases(transcripts: DataFrame, sequences: DataFrame, key: str = "tx") -> DataFrame:
+    """(key, masked): coding bases in lower case; what lies beyond its sequence is not masked.  Letters come from chunks."""
+    ranges = exploded(transcripts).select("seq", key, F.col("cds_start").alias("start"), F.col("cds_end").alias("end"))
+    pieces = with_letters(ranges, chunk_table(sequences))
+    return pieces.groupBy(key).agg(F.sum(F.length(F.regexp_replace("letters", "[^a-z]", ""))).cast("long").alias("masked"))
+
+
+def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0, sequences: DataFrame | None = None) -> DataFrame:
+    """(ref_gene_id, ref_id, class_code, qry_gene_id, qry_id, num_exons, FPKM, TPM, cov, len, major_iso_id, ref_match_len): one row
+    a query transcript, with its best reference transcript.
+
+    Of several references of one code the one with most overlap of spans counts, then the least ref_id.  The major isoform of a
+    gene is its longest transcript.  Code r needs ``sequences``.  Expression values are not known and are 0.
+
+    Transcripts of one structure are compared once.  The best code is found by a join on introns and outer ends, and those who have
+    it are taken out, so only the others meet what overlaps or is near them.
+    """
+    cut = [introns(F.col("cds")).alias("gaps"), start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high")]
+    q = non_empty(query).select("seq", "strand", "tx", "gene", "cds", *cut)
+    named = ["strand", "cds", "gaps", "low", "high"]
+    r = non_empty(reference).groupBy("seq", "strand", "cds").agg(F.min(F.struct(F.col("tx").alias("ref_id"), F.col("gene").alias("ref_gene_id"), coding_length(F.col("cds")).alias("ref_match_len"))).alias("ref"))
+    r = r.select("seq", "ref", "strand", "cds", *cut).select("seq", "ref", *(F.col(c).alias(f"ref_{c}") for c in named))
+    shapes = q.select("seq", "strand", "cds", "gaps", "low", "high").distinct()
+    common = F.least("high", "ref_high") - F.greatest("low", "ref_low")
+    best = lambda rank: F.min(F.struct(rank.alias("rank"), (-common).alias("_c"), "ref")).alias("best")
+    shape = ["seq", "strand", "cds"]
+
+    # Equal starts, or starts of neighbouring steps of the tolerance, make this an equi-join.
+    step = 2 * tolerance + 1
+    ends = r.select("*", F.explode(F.array_distinct(F.array(*(F.floor((F.col("ref_low") + d) / step) for d in (-tolerance, tolerance))))).alias("_at"))
+    chains = shapes.withColumn("_at", F.floor(F.col("low") / step)).join(ends.withColumnsRenamed({"ref_strand": "strand", "ref_gaps": "gaps"}), ["seq", "strand", "gaps", "_at"])
+    near_ends = (F.abs(F.col("low") - F.col("ref_low")) <= tolerance) & (F.abs(F.col("high") - F.col("ref_high")) <= tolerance)
+    equal = chains.where(near_ends).groupBy(*shape).agg(best(F.lit(0)))
+
+    rest = shapes.join(equal.select(*shape), shape, "left_anti")
+    near = r.withColumns({"_a": F.col("ref_low") - NEAR_BY, "_b": F.col("ref_high") + NEAR_BY})
+    pairs = interval_overlap_join(rest, near, ("low", "high"), ("_a", "_b"), ("seq",), width=NEAR_BY)
+    other = pairs.groupBy(*shape).agg(best(_pair_codes(pairs, tolerance)))
+
     major = longest(non_empty(query)).select("gene", F.col("tx").alias("major_iso_id"))
-    rows = q.join(best, "tx", "left").join(major, "gene")
-    code = F.element_at(F.array(*(F.lit(c) for c, _ in CLASS_CODES)), F.coalesce(F.col("best.rank"), F.lit(len(CLASS_CODES) - 1)) + 1)
-    matched = F.col("best.rank") < len(CLASS_CODES) - 1
+    rows = q.join(equal.unionByName(other), shape, "left").join(major, "gene")
+    rank = F.coalesce(F.col("best.rank"), F.lit(CODES.index("u")))
+    if sequences is not None:
+        alone = masked_bases(rows.where(rank == CODES.index("u")).select("seq", "tx", "cds"), sequences)
+        rows = rows.join(alone, "tx", "left")
+        rank = F.when((rank == CODES.index("u")) & (F.col("masked") >= MASKED * coding_length(F.col("cds"))), CODES.index("r")).otherwise(rank)
+    code = F.element_at(F.array(*map(F.lit, CODES)), rank + 1)
+    matched = rank < CODES.index("r")
     zero = F.lit(0.0)
     return rows.select(
         F.when(matched, F.col("best.ref.ref_gene_id")).alias("ref_gene_id"), F.when(matched, F.col("best.ref.ref_id")).alias("ref_id"), code.alias("class_code"), F.col("gene").alias("qry_gene_id"), F.col("tx").alias("qry_id"),

@@ -606,23 +606,29 @@ GAPPED = "SELECT *, list_transform(range(1, len(blocks)), lambda i: {{'s': block
 TESTS = """CASE WHEN own AND q.gaps = r.gaps AND abs(q.low - r.low) <= 2 AND abs(q.high - r.high) <= 2 THEN 0
     WHEN own AND q.low >= r.low AND q.high <= r.high AND list_filter(r.gaps, lambda i: i.s < q.high AND q.low < i.e) = q.gaps THEN 1
     WHEN own AND q.low <= r.low AND q.high >= r.high AND list_filter(q.gaps, lambda i: i.s < r.high AND r.low < i.e) = r.gaps THEN 2
-    WHEN own AND len(list_intersect(q.gaps, r.gaps)) > 0 THEN 3
-    WHEN own AND len(q.gaps) = 0 AND touch AND len(list_filter(r.gaps, lambda g: least(q.high, g.e) - greatest(q.low, g.s) >= 10)) > 0 THEN 4
-    WHEN own AND touch THEN 5 WHEN NOT own AND len(list_intersect(q.gaps, r.gaps)) > 0 THEN 6 WHEN NOT own AND touch THEN 7
-    WHEN len(list_filter(r.gaps, lambda g: g.s <= q.low AND q.high <= g.e)) > 0 THEN 8 WHEN len(list_filter(q.gaps, lambda g: g.s <= r.low AND r.high <= g.e)) > 0 THEN 9
-    WHEN own AND common <= 0 THEN 10 ELSE 11 END"""
+    WHEN own AND kept > 0 AND len(list_filter(q.gaps, lambda g: NOT list_contains(r.gaps, g))) = 0 AND loose = 0 THEN 3 WHEN own AND kept > 0 THEN 4
+    WHEN own AND len(list_intersect(q.gaps, r.gaps)) > 0 THEN 5
+    WHEN own AND len(q.gaps) = 0 AND touch AND len(list_filter(r.gaps, lambda g: least(q.high, g.e) - greatest(q.low, g.s) >= 10)) > 0 THEN 6
+    WHEN own AND touch THEN 7 WHEN NOT own AND len(list_intersect(q.gaps, r.gaps)) > 0 THEN 8 WHEN NOT own AND touch THEN 9
+    WHEN len(list_filter(r.gaps, lambda g: g.s <= q.low AND q.high <= g.e)) > 0 THEN 10 WHEN len(list_filter(q.gaps, lambda g: g.s <= r.low AND r.high <= g.e)) > 0 THEN 11
+    WHEN own AND common <= 0 THEN 12 ELSE 14 END"""
+SPANNED = "(SELECT x.tx AS sq, t.tx AS sr, unnest(t.gaps) AS g, x.cds_start AS s, x.cds_end AS e FROM qry x JOIN rn t ON x.seq = t.seq AND x.strand = t.strand AND x.cds_start < t.high AND t.low < x.cds_end)"
 
 
 @query(
-    f"{with_views('cds')}, {PAIR}, q0 AS ({NESTED.format(t='qry')}), r0 AS ({NESTED.format(t='ref')}), qn AS ({GAPPED.format(t='q0')}), rn AS ({GAPPED.format(t='r0')}), touching AS (SELECT DISTINCT a.tx AS q, b.tx AS r FROM qry a JOIN ref b ON a.seq = b.seq AND a.cds_start < b.cds_end AND b.cds_start < a.cds_end), "
-    "near AS (SELECT q, r, q.strand = r.strand AS own, least(q.high, r.high) - greatest(q.low, r.low) AS common, EXISTS (SELECT 1 FROM touching t WHERE t.q = q.tx AND t.r = r.tx) AS touch FROM qn q JOIN rn r ON q.seq = r.seq AND q.low < r.high + 2000 AND r.low - 2000 < q.high), "
+    f"{with_views('cds', 'genome')}, {PAIR}, q0 AS ({NESTED.format(t='qry')}), r0 AS ({NESTED.format(t='ref')}), qn AS ({GAPPED.format(t='q0')}), rn AS ({GAPPED.format(t='r0')}), touching AS (SELECT DISTINCT a.tx AS q, b.tx AS r FROM qry a JOIN ref b ON a.seq = b.seq AND a.cds_start < b.cds_end AND b.cds_start < a.cds_end), "
+    f"spans AS (SELECT sq, sr, list(DISTINCT g) AS gs FROM {SPANNED} WHERE s <= g.s AND g.e <= e GROUP BY sq, sr), "
+    "near AS (SELECT q, r, q.strand = r.strand AS own, least(q.high, r.high) - greatest(q.low, r.low) AS common, EXISTS (SELECT 1 FROM touching t WHERE t.q = q.tx AND t.r = r.tx) AS touch, coalesce(len(gs), 0) AS kept, "
+    "len(list_filter(r.gaps, lambda g: NOT list_contains(q.gaps, g) AND NOT coalesce(list_contains(gs, g), false))) AS loose FROM qn q JOIN rn r ON q.seq = r.seq AND q.low < r.high + 2000 AND r.low - 2000 < q.high LEFT JOIN spans ON sq = q.tx AND sr = r.tx), "
     f"ranked AS (SELECT q.tx AS tx, r, common, {TESTS} AS k FROM near), best AS (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY k, common DESC, r.tx) AS place FROM ranked), "
+    "masked AS (SELECT tx, sum(length(regexp_replace(substr(sequence, cds_start + 1, cds_end - cds_start), '[^a-z]', '', 'g'))) AS m FROM qry JOIN genome ON name = seq GROUP BY tx), "
+    "coded AS (SELECT qn.*, CASE WHEN coalesce(k, 14) = 14 AND coalesce(m, 0) >= 0.5 * len THEN 13 ELSE coalesce(k, 14) END AS k, r FROM qn LEFT JOIN (SELECT * FROM best WHERE place = 1) b ON b.tx = qn.tx LEFT JOIN masked ON masked.tx = qn.tx), "
     "major AS (SELECT gene, arg_max(tx, len * 100000000 - tx) AS major_iso_id FROM qn GROUP BY gene) "
-    "SELECT CASE WHEN k < 11 THEN r.gene END AS ref_gene_id, CASE WHEN k < 11 THEN r.tx END AS ref_id, (['=', 'c', 'k', 'j', 'e', 'o', 's', 'x', 'i', 'y', 'p', 'u'])[coalesce(k, 11) + 1] AS class_code, qn.gene AS qry_gene_id, qn.tx AS qry_id, "
-    "len(qn.blocks) AS num_exons, 0.0::DOUBLE AS FPKM, 0.0::DOUBLE AS TPM, 0.0::DOUBLE AS cov, qn.len, major_iso_id, CASE WHEN k < 11 THEN r.len END AS ref_match_len FROM qn LEFT JOIN (SELECT * FROM best WHERE place = 1) b ON b.tx = qn.tx JOIN major ON major.gene = qn.gene"
+    "SELECT CASE WHEN k < 13 THEN r.gene END AS ref_gene_id, CASE WHEN k < 13 THEN r.tx END AS ref_id, (['=', 'c', 'k', 'm', 'n', 'j', 'e', 'o', 's', 'x', 'i', 'y', 'p', 'r', 'u'])[k + 1] AS class_code, c.gene AS qry_gene_id, c.tx AS qry_id, "
+    "len(c.blocks) AS num_exons, 0.0::DOUBLE AS FPKM, 0.0::DOUBLE AS TPM, 0.0::DOUBLE AS cov, c.len, major_iso_id, CASE WHEN k < 13 THEN r.len END AS ref_match_len FROM coded c JOIN major ON major.gene = c.gene"
 )
 def class_code_table(spark, d):
-    return comparison.class_codes(*_compared(spark, d), tolerance=2)
+    return comparison.class_codes(*_compared(spark, d), tolerance=2, sequences=fx.genome(spark))
 
 
 LEVELS = ("compare_base", "compare_exon", "compare_intron", "compare_chain", "compare_transcript", "compare_locus")

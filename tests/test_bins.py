@@ -58,4 +58,4 @@ def test_a_lookup_reads_few_row_groups(spark, tmp_path):
     while "FileSourceScanExec" not in scan.getClass().getName():
         scan = scan.children().head() if scan.children().size() else scan.inputPlan()
     read = scan.metrics().apply("numOutputRows").value()
-    assert 0 < read < n // 20
+    assert 0 < read < n // 10

@@ -135,6 +135,30 @@ def test_class_codes_by_hand(spark):
     assert got[0].len == got[0].ref_match_len == 300 and got[11].ref_id is None and got[4].num_exons == 1
 
 
+def test_class_codes_of_retained_introns_and_repeats(spark):
+    reference = spark.createDataFrame([("c", "+", 1, 1, [(1000, 1100), (1200, 1300), (1400, 1500)]), ("c", "+", 7, 7, [(1000, 1100), (1200, 1300), (1400, 1500)])], TX)
+    cases = [
+        ("m", "+", [(1050, 1300), (1400, 1450)]), ("m", "+", [(950, 1600)]), ("n", "+", [(1050, 1350)]), ("n", "+", [(1050, 1100), (1210, 1450)]), ("x", "-", [(1050, 1350)]),
+        ("r", "+", [(9000, 9010)]), ("u", "+", [(9005, 9013)]), ("r", "-", [(9000, 9004), (9008, 9012)]), ("u", "+", [(20_000, 20_010)]),
+    ]
+    rows = [("c", strand, k, k, cds) for k, (_, strand, cds) in enumerate(cases)]
+    genome = spark.createDataFrame([("c", 0, "A" * 9000 + "acgta" + "A" * 5 + "acgt" * 2 + "A" * 100)], "name string, seq_ord long, sequence string")
+    made = {r.qry_id: r for r in comparison.class_codes(spark.createDataFrame(rows, TX), reference, sequences=genome).collect()}
+    assert [made[k].class_code for k in range(len(cases))] == [c for c, _, _ in cases]
+    assert made[0].ref_id == 1 and made[5].ref_id is None
+    without = {r.class_code for r in comparison.class_codes(spark.createDataFrame(rows[5:], TX), reference).collect()}
+    assert without == {"u"}
+
+
+def test_equal_transcripts_of_one_locus_meet_by_their_introns(spark):
+    """Many transcripts over one place: those with an equal reference, and repeated ones, make no pair for each two."""
+    n = 3000
+    rows = spark.range(n).select(F.lit("c").alias("seq"), F.lit("+").alias("strand"), F.col("id").alias("tx"), F.lit(1).cast("long").alias("gene"), F.expr("array(struct(1000L AS start, 1100L + id AS end), struct(9000L AS start, 9100L AS end))").alias("cds"))
+    found = comparison.class_codes(rows.unionByName(rows.withColumn("tx", F.col("tx") + n)), rows)
+    assert [tuple(r) for r in found.groupBy("class_code").count().collect()] == [("=", 2 * n)]
+    assert found.where("qry_id % 3000 <> ref_id").count() == 0
+
+
 def test_tmap_names_and_paths(spark):
     rows = spark.createDataFrame([("=", "10", "1"), ("c", "20", "3")], "class_code string, len string, num_exons string")
     got = readers.tmap_histograms(rows, ["Length", "num_exons"], 2).collect()
