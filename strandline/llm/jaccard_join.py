@@ -13,8 +13,8 @@ done.  A passage that many documents share makes common pieces, which all but it
 
 Nothing is capped, and no step has a chance of missing a link.  Texts with equal sets form one class.  In each bucket (piece and value) every class
 is compared with one hub on full sets; what links is joined into components.  In buckets that hold several components still, parity
-sketches of one bit for each shingle are compared: their Hamming distance is a lower bound of the symmetric difference, so pairs
-beyond D are out, and the others are compared on full sets.  Sets are compared as 64-bit fingerprints of shingles.
+sketches, in which each shingle turns one bit, are compared: their Hamming distance is a lower bound of the symmetric difference, so
+pairs beyond D are out, and the others are compared on full sets.  Sets are compared as 64-bit fingerprints of shingles.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SLACK = 1.3
 GATHERED, BUCKET_KEYS, KEYS_A_BYTE = 500_000, 1_000_000, 0.1
 #: Members of a bucket that are compared with each other in one task at a time.
 ROOM = 1024
+#: Rounds in which each class of a bucket is tried with one other only.
+NEAREST_ROUNDS = 2
 _U = np.uint64
 
 
@@ -188,8 +190,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(bits, pa.binary())], names=["cls", "n", "bits"])
 
 
-def _room(link: int):
-    """Pairs (hub, cls) of the classes of a room that no component joins and whose sketches allow a link; side 0 meets side 1, if there is one."""
+def _room(link: int, nearest: bool):
+    """Pairs (hub, cls) of the classes of a room that no component joins and whose sketches allow a link: all of them, or for each
+    class the nearest one only.  Side 0 meets side 1, if there is one."""
 
     def near(table: pa.Table) -> pa.Table:
         lean_memory()
@@ -210,13 +213,27 @@ def _room(link: int):
             both = sizes[others] + sizes[i]
             ok = apart * (100 + link) <= both * (100 - link)
             ok &= 100 * np.minimum(sizes[others], sizes[i]) >= link * np.maximum(sizes[others], sizes[i])
-            pairs += [(min(names[i], names[j]), max(names[i], names[j])) for j in others[ok].tolist()]
+            others = others[ok]
+            if nearest and len(others):
+                others = others[np.argmin(apart[ok])][None]
+            pairs += [(min(names[i], names[j]), max(names[i], names[j])) for j in others.tolist()]
         pairs = sorted(set(pairs))
         return pa.table({"hub": pa.array([a for a, _ in pairs], pa.binary()), "cls": pa.array([b for _, b in pairs], pa.binary())})
 
     return near
 
 
+def _rooms(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, i, j, cls, root, side): classes of the buckets with several components, in blocks of about ``ROOM`` that meet in pairs."""
+    rooted = buckets.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    marks = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count("*").alias("n")]
+    mixed = rooted.groupBy("key").agg(*marks, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # of those with the same classes one is enough
+    rooms = rooted.join(mixed.select("key", F.floor(F.col("n") / ROOM).cast("int").alias("more")), "key")
+    rooms = rooms.withColumn("own", F.expr("cast(pmod(xxhash64(cls), more + 1) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), "more")))
+    return rooms.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (size of its set) and component_id (least doc_id that links reach).
 
@@ -253,19 +270,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = seen.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
     roots = space.keep(connected_components(links, space))
 
-    # Buckets with several components; of those with the same classes one is enough.
-    rooted = buckets.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    marks = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count("*").alias("n")]
-    mixed = rooted.groupBy("key").agg(*marks, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    rooms = rooted.join(mixed.select("key", F.floor(F.col("n") / ROOM).cast("int").alias("more")), "key")
-    rooms = rooms.withColumn("own", F.expr("cast(pmod(xxhash64(cls), more + 1) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), "more")))
-    rooms = rooms.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # In buckets with several components each class is first tried with the nearest one of another, which leaves few components; then
+    # all that are left are tried.
     sketches = space.keep(sets.mapInArrow(_sketches, "cls binary, n long, bits binary"))
-    near = rooms.join(sketches, "cls").groupBy("key", "i", "j").applyInArrow(_room(link), "hub binary, cls binary").distinct()
-    more = space.keep(compare_with_hubs(space.keep(near), sets))
-    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
-    roots = connected_components(joined, space)
+    for nearest in [True] * NEAREST_ROUNDS + [False]:
+        rooms = _rooms(buckets, roots).join(sketches, "cls")
+        near = rooms.groupBy("key", "i", "j").applyInArrow(_room(link, nearest), "hub binary, cls binary").distinct()
+        near = space.keep(near)
+        if near.isEmpty():
+            break
+        more = space.keep(compare_with_hubs(near, sets)).where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+        roots = space.keep(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), space))
 
     found = classes.select("cls", "first_id", "n_docs").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     least = found.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
