@@ -297,6 +297,8 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     with nothing, so each such row stays.  An empty table gives no rows.
     """
     key = "_near_dup_key"
+    while key in docs.columns:
+        key += "_"
     words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # Binary keys in the order of ids, with the text's digest.
     place = F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")

@@ -2,7 +2,8 @@
 
 Every version of a text is named by its SHA-256.  The ledger has a row for each (blob, kind, version) that was ever scanned,
 with the spans found; only pairs of blob and rule version without a row are scanned, each blob once however many paths hold
-it.  Findings are joined back to all paths.
+it.  Whether there is such a row is asked by digests, so the texts of known blobs do not travel.  Findings are joined back to all
+paths.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MORE_RULES = (
     SecretRule("url_password", 1, r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Digests that are broadcast at most, some 20 MB.
+FEW_BLOBS = 200_000
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -73,22 +76,32 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     spark = docs.sparkSession
     space = Workspace(spark, "secrets")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    blobs = rows.select("blob", "text").dropDuplicates(["blob"])
     names = F.array(*(F.lit(r.name) for r in rules))
     past = _read_ledger(spark, ledger)
+    digests = rows.select("blob").distinct()
     if past is None:
-        pending = blobs.withColumn("pending", names)
+        pending = rows.select("blob", "text").dropDuplicates(["blob"]).withColumn("pending", names)
     else:
-        seen = past.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("seen"))
-        pending = blobs.join(seen, "blob", "left").withColumn("pending", F.when(F.col("seen").isNull(), names).otherwise(F.array_except(names, "seen")))
-        pending = pending.where(F.size("pending") > 0)
+        # The ledger is asked by digests.  A bounded number of those that it lacks go to the texts, so no other text travels; where
+        # there are more, copies are put aside within tasks before texts meet them.
+        digests = space.keep(digests)
+        seen = past.join(digests, "blob", "left_semi").groupBy("blob").agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("seen"))
+        lacking = digests.join(seen, "blob", "left").withColumn("pending", F.when(F.col("seen").isNull(), names).otherwise(F.array_except(names, "seen")))
+        lacking = space.keep(lacking.where(F.size("pending") > 0).select("blob", "pending"))
+        n_lacking = lacking.count()
+        if n_lacking > FEW_BLOBS:
+            pending = rows.select("blob", "text").dropDuplicates(["blob"]).join(lacking, "blob")
+        else:
+            pending = rows.select("blob", "text").join(F.broadcast(lacking), "blob").dropDuplicates(["blob"]) if n_lacking else None
     scans = [
         F.when(F.array_contains("pending", r.name), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans"))) for r in rules
     ]
-    new = pending.select("blob", F.inline(F.filter(F.array(*scans), lambda x: x.isNotNull())))
+    new = pending.select("blob", F.inline(F.filter(F.array(*scans), lambda x: x.isNotNull()))) if pending is not None else None
     if ledger:
-        new.write.mode("append").parquet(ledger)
+        if new is not None:
+            new.write.mode("append").parquet(ledger)
         known = _read_ledger(spark, ledger)
+        known = known.join(digests, "blob", "left_semi") if past is not None else known
     else:
         known = space.keep(new)
     order = {r.kind: k for k, r in enumerate(rules)}

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import quality_votes
+from strandline.llm import quality_votes, secret_ledger
 from strandline.llm.bpe import bpe_decode, bpe_encode, splitter, stand_ins
 from strandline.llm.decontaminate import benchmark_leaks, normal, question_and_answer, shingles, words_of
 from strandline.llm.line_chunks import line_dedup
@@ -542,7 +542,9 @@ def test_secrets_match_plain_python(spark):
         assert set(base) <= set(r.spans.split(","))
 
 
-def test_the_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_the_ledger_scans_only_what_it_has_not_seen(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(secret_ledger, "FEW_BLOBS", few)
     ledger = f"file://{tmp_path}/ledger"
     first = scan_secrets(table(spark, SECRETS), rules=BASE_RULES, ledger=ledger).collect()
     n = spark.read.parquet(ledger).count()
