@@ -20,7 +20,10 @@ NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose neighbours vote them good; texts without words are judged by the mean of the labels, 0.5 if there are none."""
+    """Documents whose neighbours vote them good; texts without words are judged by the mean of the labels, 0.5 if there are none.
+
+    A row's id finds its label, if it has one; rows with null or repeated ids are judged by their texts like any other.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that were empty before stay, since nothing was removed of them; n_chars is counted anew.
     """
     done = line_dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
-    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    return done.select(*kept, F.col("text"), F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
