@@ -46,3 +46,11 @@ def f1_curve(spark, level: float, points: int = 100) -> DataFrame:
     p = F.lit(level / 2) + F.col("id") * ((1 - level / 2) / (points - 1))
     rows = spark.range(points).select(p.alias("precision")).where(F.col("precision") * 2 > level)
     return rows.withColumn("recall", level * F.col("precision") / (2 * F.col("precision") - level)).where("recall BETWEEN 0 AND 1")
+
+
+def f1_curves(metrics: DataFrame, by: tuple[str, ...] = ("level",), points: int = 100) -> DataFrame:
+    """``f1_curve`` through the F1 of each row of ``metrics(by, f1)``; an F1 of 0 or none has no curve."""
+    rows = metrics.where("f1 > 0").select(*by, "f1", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"))
+    half = F.col("f1") / 2
+    rows = rows.withColumn("precision", half + F.col("_k") * ((1 - half) / (points - 1))).where(F.col("precision") * 2 > F.col("f1"))
+    return rows.withColumn("recall", F.col("f1") * F.col("precision") / (2 * F.col("precision") - F.col("f1"))).where("recall BETWEEN 0 AND 1").drop("_k")

@@ -643,9 +643,14 @@ def metric_bounds(spark, d):
     return histograms.metric_bounds(comparison.compare(*_compared(spark, d), tolerance=2), ("level",))
 
 
-@query("SELECT 0.3 + i * 0.7 / 99 AS precision, 0.6 * (0.3 + i * 0.7 / 99) / (2 * (0.3 + i * 0.7 / 99) - 0.6) AS recall FROM range(100) t(i) WHERE 2 * (0.3 + i * 0.7 / 99) > 0.6 AND 0.6 * (0.3 + i * 0.7 / 99) / (2 * (0.3 + i * 0.7 / 99) - 0.6) BETWEEN 0 AND 1")
+@query(
+    "WITH m AS (" + " UNION ALL ".join(f"SELECT level, f1 FROM ({ORACLES[n]})" for n in LEVELS) + "), c AS (SELECT level, f1, f1 / 2 + i * ((1 - f1 / 2) / 99) AS p FROM m, range(100) t(i) WHERE f1 > 0), "
+    "r AS (SELECT level, f1, p, f1 * p / (2 * p - f1) AS q FROM c WHERE 2 * p > f1) SELECT level, f1, round(p, 9) AS precision, round(q, 9) AS recall FROM r WHERE q BETWEEN 0 AND 1"
+)
 def f1_isocurve(spark, d):
-    return histograms.f1_curve(spark, 0.6)
+    """Curves through the F1 of each level of a comparison."""
+    rows = histograms.f1_curves(comparison.compare(*_compared(spark, d), tolerance=2))
+    return rows.select("level", "f1", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 # Formats
@@ -742,28 +747,42 @@ CODES = (
 )
 
 
-@query(CODES)
+CODONS = "codons_of AS (SELECT name, k AS codon, count(*) AS n FROM (SELECT name, unnest(list_transform(range(0, length(sequence) // 3), lambda i: substr(upper(sequence), 3 * i + 1, 3))) AS k FROM docs) GROUP BY ALL)"
+
+
+def _codons(spark, d) -> DataFrame:
+    """(name, codon, n): the codons of each document's sequence."""
+    rows = fx.document_sequences(spark, d).select("name", F.explode(nt.kmers(F.col("sequence"))).alias("codon"))
+    return rows.groupBy("name", "codon").agg(F.count("*").alias("n"))
+
+
+@query(f"{with_views('docs')}, {CODONS} SELECT translation_table, aa, CAST(sum(n) AS BIGINT) AS n FROM codons_of JOIN ({CODES}) c USING (codon) GROUP BY ALL")
 def codon_table(spark, d):
-    return codon_frame(spark).select("translation_table", "codon", "aa")
+    """Amino acids that the codons of all documents stand for, by each code."""
+    return _codons(spark, d).join(F.broadcast(codon_frame(spark)), "codon").groupBy("translation_table", "aa").agg(F.sum("n").alias("n"))
+
+
+@query(f"{with_views('docs')}, {CODONS} SELECT name, abs(sum(p) - 1) <= 1e-9 AS valid FROM (SELECT name, n / sum(n) OVER (PARTITION BY name) / CASE WHEN CAST(name AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS p FROM codons_of) GROUP BY name")
+def codon_distributions_valid(spark, d):
+    """Shares of codons in each document; those of odd ones are halved, so they sum to a half."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("name")) / F.when(F.col("name").cast("long") % 2 == 0, 1).otherwise(2)
+    return is_codon_distribution(_codons(spark, d).select("name", "codon", share.alias("prob")), by=("name",))
 
 
 def _weights(values: dict) -> str:
     return ", ".join(f"({t}, '{c}', {p!r})" for t, pairs in values.items() for c, p in pairs)
 
 
-VALID = "SELECT translation_table, kind, abs(sum(prob) - 1) <= 1e-9 AND bool_and(length(codon) = 3 AND prob BETWEEN 0 AND 1) AS valid FROM ({rows}) GROUP BY translation_table, kind"
 WEIGHTED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM (VALUES {_weights(values)}) v(translation_table, codon, prob)" for kind, values in (("start", STARTS), ("stop", STOPS)))
 
 
-def _distributions(spark) -> DataFrame:
-    codons = codon_frame(spark)
-    both = [codons.where(f"{kind}_prob > 0").select("translation_table", F.lit(kind).alias("kind"), "codon", F.col(f"{kind}_prob").alias("prob")) for kind in ("start", "stop")]
-    return both[0].unionByName(both[1])
-
-
-@query(VALID.format(rows=WEIGHTED))
-def codon_distributions_valid(spark, d):
-    return is_codon_distribution(_distributions(spark), by=("translation_table", "kind"))
+@query(f"{with_views('docs')}, {CODONS} SELECT translation_table, kind, CAST(sum(n) AS BIGINT) AS n, round(sum(n * prob), 6) AS weight FROM codons_of JOIN ({WEIGHTED}) w USING (codon) WHERE prob > 0 GROUP BY ALL")
+def start_and_stop_codons(spark, d):
+    """How often the documents have codons that a code starts or stops with, and the same weighted by their probabilities."""
+    codes = codon_frame(spark)
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_prob").alias("prob")) for k in ("start", "stop")))
+    ends = codes.select("translation_table", "codon", F.inline(kinds)).where("prob > 0")
+    return _codons(spark, d).join(F.broadcast(ends), "codon").groupBy("translation_table", "kind").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("prob")), 6).alias("weight"))
 
 
 @query()
