@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers, from the contents of their files, and the bytes of their tokens.  a_bytes and b_bytes hold them in order of ids."""
+    """Both tokenizers, from the contents of their files, and the bytes of their tokens (a_bytes and b_bytes, by id)."""
 
     def __init__(self, bpe_json: bytes, piece_model: bytes, pattern: str):
         import tiktoken
@@ -64,26 +65,34 @@ class Tokenizers:
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         # Special tokens are not of the alphabet's making and never come out.
         as_bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocabulary.items() if all(c in alphabet for c in t)}
-        self.a_bytes = [as_bytes.get(i, b"") for i in range(max(vocabulary.values()) + 1)]
+        self.a_bytes = Strings([as_bytes.get(i, b"") for i in range(max(vocabulary.values()) + 1)])
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
         ranks = {as_bytes[i]: i for t, i in vocabulary.items() if i in as_bytes and t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         pieces = [(self.b.is_byte(i), self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode() for byte, p in pieces]
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.b_bytes = Strings([bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode() for byte, p in pieces])
+        # Each id in decimal with room for what stands behind it.
+        self.decimal = Strings([f"{i},".encode() for i in range(max(len(self.a_bytes.sizes), len(pieces)))])
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of each text by both; none where the bytes of either differ from a space and the text."""
-        bs = self.b.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text by both; empty texts have none."""
         odd = [k for k, t in enumerate(texts) if t and (_LONG_BLANK.search(t) or not _AGREED.fullmatch(t))]
         slow = dict(zip(odd, self.a.encode_batch_fast([" " + texts[k] for k in odd], add_special_tokens=False)))
-        as_ = [(slow[k].ids if k in slow else self.fast.encode_ordinary(" " + t)) if t else [] for k, t in enumerate(texts)]
-        out = []
-        for t, a, b in zip(texts, as_, bs):
-            want = b" " + t.encode()
-            whole = t and b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-            out.append((a, b) if whole else ([], []))
-        return out
+        a = [(slow[k].ids if k in slow else self.fast.encode_ordinary(" " + t)) if t else [] for k, t in enumerate(texts)]
+        return a, self.b.encode(texts, num_threads=1)
+
+
+class Strings:
+    """Byte strings by number, which are gathered for many numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        return self.flat[np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def groups_of(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -116,15 +125,18 @@ def linked_pairs(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.
         at = stop
 
 
-def alignment_text(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: int) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    xs, ys = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    stops = zip(np.searchsorted(group_a, np.arange(n_groups), "right").tolist(), np.searchsorted(group_b, np.arange(n_groups), "right").tolist())
-    out, i, j = [], 0, 0
-    for x, y in stops:
-        out.append((xs[i] if x == i + 1 else ",".join(xs[i:x])) + "|" + (ys[j] if y == j + 1 else ",".join(ys[j:y])))
-        i, j = x, y
-    return ";".join(out)
+def alignment_texts(decimal: Strings, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: int) -> tuple[bytes, np.ndarray]:
+    """All groups as ``a1,a2|b1;a3|b2,b3;``, and where each group ends."""
+    until_a, until_b = np.searchsorted(group_a, np.arange(n_groups), "right"), np.searchsorted(group_b, np.arange(n_groups), "right")
+    place_a = np.arange(len(a)) + np.append(0, until_b)[group_a]  # after the B tokens of the groups before
+    place_b = np.arange(len(b)) + until_a[group_b]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[place_a], ids[place_b] = a, b
+    last_a, last_b = place_a[until_a - 1], place_b[until_b - 1]
+    mark[last_a], mark[last_b] = ord("|"), ord(";")
+    text, ends = decimal.joined(ids), np.cumsum(decimal.sizes[ids])
+    text[ends - 1] = mark
+    return text.tobytes(), ends[last_b]
 
 
 def _packed(x: np.ndarray, kind: str = "<u4") -> bytes:
@@ -182,22 +194,34 @@ def _aligner(files, pattern: str):
     return align
 
 
+def _whole(strings: Strings, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For each text whether the bytes of its tokens are those of the text."""
+    ends = np.cumsum(strings.sizes[ids])
+    stops = np.append(0, ends)[np.cumsum(counts)].tolist()
+    data = memoryview(strings.joined(ids).tobytes())
+    return np.array([data[x:y] == t for x, y, t in zip([0, *stops[:-1]], stops, texts)], bool)
+
+
 def aligned(both: Tokenizers, doc_ids: list, texts: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     """For each text its row, its distinct id pairs and how often each is linked."""
-    encoded = both.encode(texts)
-    n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-    a = np.fromiter((i for e in encoded for i in e[0]), np.int64, n_a.sum())
-    b = np.fromiter((i for e in encoded for i in e[1]), np.int64, n_b.sum())
+    sides, kept = [], np.array([bool(t) for t in texts], bool)
+    wanted = [b" " + t.encode() if t else b"" for t in texts]
+    for encoded, strings in zip(both.encode(texts), (both.a_bytes, both.b_bytes)):
+        counts = np.array([len(e) for e in encoded], np.int64)
+        ids = np.fromiter(chain.from_iterable(encoded), np.int64, counts.sum())
+        kept &= _whole(strings, ids, counts, wanted)
+        sides.append((ids, counts))
+    (a, n_a), (b, n_b) = ((ids[np.repeat(kept, counts)], np.where(kept, counts, 0)) for ids, counts in sides)
     # Texts end where tokens of both do, so no group reaches over two texts.
-    group_a, group_b, n_groups = groups_of(both.a_sizes[a], both.b_sizes[b])
-    at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-    last = np.append(group_a + 1, 0)[at_a[1:] - 1]  # groups up to the end of each text with tokens
+    group_a, group_b, n_groups = groups_of(both.a_bytes.sizes[a], both.b_bytes.sizes[b])
+    last = np.append(group_a + 1, 0)[np.cumsum(n_a) - 1]  # groups up to the end of each text with tokens
     first = np.concatenate([[0], np.maximum.accumulate(np.where(n_a > 0, last, 0))])
     pairs, links = _by_text(first, group_a, a, group_b, b, n_groups)
+    data, ends = alignment_texts(both.decimal, a, b, group_a, group_b, n_groups)
+    stops = np.append(0, ends)[first].tolist()
     for k, doc_id in enumerate(doc_ids):
-        own_a, own_b = slice(at_a[k], at_a[k + 1]), slice(at_b[k], at_b[k + 1])
         groups = int(first[k + 1] - first[k])
-        sha = hashlib.sha256(alignment_text(a[own_a], b[own_b], group_a[own_a] - first[k], group_b[own_b] - first[k], groups).encode()).hexdigest() if groups else ""
+        sha = hashlib.sha256(data[stops[k] : stops[k + 1] - 1]).hexdigest() if groups else ""
         row = {"doc_id": doc_id, "n_a": int(n_a[k]), "n_b": int(n_b[k]), "n_groups": groups, "n_links": int(links[k].sum()), "sha": sha}
         yield row, pairs[k], links[k]
 
