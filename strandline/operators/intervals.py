@@ -16,6 +16,8 @@ from ..model import CDS, INTERGENIC, INTRON
 from .transcripts import end, exploded, non_empty, start
 
 BIN = 1024
+#: How much wider the bins of each of the levels 1 and 2 are.
+FAN = 256
 #: Width of bins in which intervals of a chromosome are put in order.
 WIDE = 65_536
 #: The largest pieces that spans are cut into have 4^TOP positions.
@@ -39,13 +41,36 @@ def point_interval_join(points: DataFrame, intervals: DataFrame, pos: str, low:
     return pairs.select(*points.columns, *(spread[c] for c in intervals.columns if c not in keys))
 
 
+def _level(low: Column, high: Column, width: int) -> Column:
+    """The level on which an interval is at most FAN + 1 bins, if there is one."""
+    return F.when(high - low <= width * FAN, 0).when(high - low <= width * FAN**2, 1).otherwise(2)
+
+
+def _on_levels(rows: DataFrame, low: str, high: str, top: DataFrame, width: int, own_roles: list[int], up_role: int) -> DataFrame:
+    """Rows in the bins of their own level (with ``own_roles``) and of the levels above, up to ``top``, that intervals of the other side have."""
+    low, high = F.col(low), F.col(high)
+    bins = lambda level: F.sequence(F.floor(low / width / F.pow(F.lit(FAN), level)), F.floor((high - 1) / width / F.pow(F.lit(FAN), level)))
+    cells = lambda level, role: F.transform(bins(level), lambda b: F.struct(level.cast("int").alias("_level"), b.cast("long").alias("_bin"), F.lit(role).alias("_role")))
+    higher = F.when(F.col("_own") < F.col("_top"), F.sequence(F.col("_own") + 1, "_top")).otherwise(F.array().cast("array<int>"))
+    own = F.concat(*(cells(F.col("_own"), role) for role in own_roles))
+    placed = rows.withColumn("_own", _level(low, high, width)).crossJoin(F.broadcast(top))
+    return placed.select(*rows.columns, F.inline(F.concat(own, F.flatten(F.transform(higher, lambda level: cells(level, up_role))))))
+
+
 def interval_overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], keys: tuple[str, ...] = ("seq",), width: int = BIN) -> DataFrame:
-    """Pairs of overlapping intervals with equal ``keys``, each once: a pair counts in the bin where its overlap begins."""
+    """Pairs of overlapping intervals with equal ``keys``, each once: a pair counts in the bin where its overlap begins.
+
+    Long intervals lie in the wider bins of higher levels, so none is many rows; two intervals meet on the level of the longer one.
+    Where the other side has no long intervals, short ones are rows of their own level only.
+    """
     (a, b), (c, d) = left_range, right_range
-    x = left.where(F.col(b) > F.col(a)).withColumn("_bin", _bins(F.col(a), F.col(b), width))
-    y = right.where(F.col(d) > F.col(c)).withColumn("_bin", _bins(F.col(c), F.col(d), width))
-    pairs = x.join(y, [*keys, "_bin"]).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)))
-    return pairs.where(F.col("_bin") == F.floor(F.greatest(F.col(a), F.col(c)) / width)).drop("_bin")
+    x, y = left.where(F.col(b) > F.col(a)), right.where(F.col(d) > F.col(c))
+    tops = [rows.agg(F.coalesce(F.max(_level(F.col(low), F.col(high), width)), F.lit(0)).alias("_top")) for rows, low, high in ((y, c, d), (x, a, b))]
+    x = _on_levels(x, a, b, tops[0], width, [0], 1)
+    y = _on_levels(y, c, d, tops[1], width, [0, 1], 0)
+    pairs = x.join(y, [*keys, "_level", "_bin", "_role"]).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)))
+    begins = F.floor(F.greatest(F.col(a), F.col(c)) / width / F.pow(F.lit(FAN), F.col("_level")))
+    return pairs.where(F.col("_bin") == begins).drop("_level", "_bin", "_role")
 
 
 def running_reach(rows: DataFrame, keys: list[str], low: str, high: str, width: int = WIDE) -> DataFrame:
