@@ -74,8 +74,9 @@ def _with_halves(chunks: DataFrame, merges: DataFrame, size: int) -> DataFrame:
 def cleared(chunks: DataFrame, borders: DataFrame, size: int) -> DataFrame:
     """Chunks with the genes across ``borders(seq, strand, boundary)`` cleared: the run of labels other than 0 around each."""
     rows = chunks.select("seq", "strand", F.col("chunk_no").cast("long").alias("chunk_no"), "states")
-    zeros = F.transform(F.filter(F.transform("states", lambda x, i: F.when(x == 0, i)), lambda i: i.isNotNull()), lambda i: F.col("chunk_no") * size + i)
-    seen = rows.select(*CHUNK, (F.col("chunk_no") * size + F.size("states")).alias("_stop"), F.array_min(zeros).alias("_first"), F.array_max(zeros).alias("_last"))
+    begin, n = F.col("chunk_no") * size, F.size("states")
+    first, back = F.array_position("states", 0), F.array_position(F.reverse("states"), 0)  # from 1, 0 if there is none
+    seen = rows.select(*CHUNK, (begin + n).alias("_stop"), F.when(first > 0, begin + first - 1).alias("_first"), F.when(back > 0, begin + n - back).alias("_last"))
     order = Window.partitionBy("seq", "strand").orderBy("chunk_no")
     around = seen.select(
         "seq", "strand", F.col("chunk_no").alias("boundary"),

@@ -487,7 +487,7 @@ def annotate_pipeline(spark, d):
         rows = chunks.select(F.col("name").alias("seq"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "chunk_no", state.alias("states"))
         return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
-    return annotate(base, predict, 5_000).select("seq", "strand", "tx", block_text().alias("blocks"))
+    return annotate(base, predict, 2_000).select("seq", "strand", "tx", block_text().alias("blocks"))
 
 
 # Histograms and comparison
