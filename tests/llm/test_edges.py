@@ -23,7 +23,7 @@ from strandline.llm.url_filter import url_verdicts
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = "word token=abcdef123 " * 60_000
 ROWS = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "a b c d e f"), (None, None), (3, ""), (4, LONG), (5, "line one\nline two\nline one\nline two"), (5, "other")]
-CLASH = ("cls", "key", "row", "place", "score", "spans", "blob", "n", "hub", "w", "t", "block", "predicted", "n_tokens", "label", "row_key")
+CLASH = ("cls", "key", "row", "place", "score", "spans", "blob", "n", "hub", "w", "t", "block", "predicted", "n_tokens", "label", "row_key", "a.dot", "`quoted`", "_near_dup_key", "chunk", "owner", "spare", "bits", "root")
 
 
 def docs(spark, rows=ROWS):
