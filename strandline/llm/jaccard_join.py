@@ -11,8 +11,8 @@ order by frequency for all sets, the first D + 1 pieces of two linked sets have
 handed on only by sets with fewer other ones than D + 1.  Most documents have more than D pieces that no other set has, and are
 done.  A passage that many documents share makes common pieces, which all but its copies leave out.
 
-Nothing is capped, and no step has a chance of missing a link.  Texts with equal sets form one class.  In each bucket (piece and value) every class
-is compared with one hub on full sets; what links is joined into components.  In buckets that hold several components still, parity
+Nothing is capped, and no step has a chance of missing a link.  Texts with equal sets form one class.  In each bucket (piece and
+value) every class is compared with one hub on full sets; what links is joined into components.  In buckets that hold several components still, parity
 sketches, in which each shingle turns one bit, are compared: their Hamming distance is a lower bound of the symmetric difference, so
 pairs beyond D are out, and the others are compared on full sets.  Sets are compared as 64-bit fingerprints of shingles.
 """
@@ -104,7 +104,7 @@ CUT = "bucket int, keys binary, owners binary, runs binary, docs array<struct<do
 def _cutter(n_buckets: int, link: int):
     """Documents with the digests of their sets, and the keys of all pieces, dealt to buckets.
 
-    An owner is the first half of a class digest, doubled, plus one for the next band: the two bands of a class are counted apart.
+    An owner is half of a class digest whose last bit tells the next band: the two bands of a class are counted apart.
     """
 
     def dealt(keys: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:

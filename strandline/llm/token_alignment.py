@@ -4,11 +4,11 @@
    batch; offsets at which tokens of both end (``intersect1d``) cut the tokens into groups, and ``searchsorted`` gives each token its
    group.  Every A token of a group is linked with every B token; repeats of ids within a group are counted before pairs are made
    by ``repeat``, so that a long group of few ids makes few pairs.
-2. A block is what a task gathers up to ``BLOCK_LINKS`` distinct pairs of ids and texts.  It keeps for each text the pairs (as numbers in the block's
-   list of distinct pairs) and how often each is linked.
+2. A block is what a task gathers up to ``BLOCK_LINKS`` distinct pairs of ids and texts.  It keeps for each text the pairs (as
+   numbers in the block's list of distinct pairs) and how often each is linked.
 3. Each block hands on its distinct pairs with the number of its texts that hold them.  They are summed in two steps, by pair and
-   salt and then by pair, so the commonest pairs make no large task; the best count of each A id is found likewise.  Counts then go back to the blocks,
-   where a pair crosses the network once a block however many texts hold it, and texts sum theirs up.
+   salt and then by pair, so the commonest pairs make no large task.  Counts then go back to the blocks, where a pair crosses the
+   network once a block however many texts hold it, and texts sum theirs up.
 
 Blocks are named by what they hold and written as a table, so a task that runs again makes the same ones.
 """
