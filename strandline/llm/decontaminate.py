@@ -214,7 +214,7 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     frequent = terms.groupBy("word").agg(F.count("*").alias("n"))
     counted = terms.join(frequent, "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("frequency"))
     n_slices = -(-n_items // INDEX_ITEMS)
-    dealt = space.keep(items.join(counted, "row").select("item_id", "text", "frequency", F.pmod(F.xxhash64("item_id"), F.lit(n_slices)).alias("slice")))
+    dealt = space.keep(items.join(counted, "row").select("item_id", "text", "frequency", F.pmod(F.xxhash64("row"), F.lit(n_slices)).alias("slice")))
     for k in range(n_slices):
         index = build_index([(r.item_id, r.text, r.frequency) for r in dealt.where(F.col("slice") == k).collect()], n_items, mean, stride)
         if index:
