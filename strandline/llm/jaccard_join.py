@@ -41,8 +41,6 @@ SLACK = 1.3
 GATHERED, BUCKET_KEYS, KEYS_A_BYTE = 500_000, 1_000_000, 0.1
 #: Members of a bucket that are compared with each other in one task at a time.
 ROOM = 1024
-#: Rounds in which each class of a bucket is tried with one other only.
-NEAREST_ROUNDS = 2
 _U = np.uint64
 
 
@@ -82,8 +80,8 @@ def piece_keys(shingles: np.ndarray, band: int, link: int) -> tuple[np.ndarray,
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits, 16 to 32 for each shingle, as bytes: so many that few shingles of the difference fall together."""
-    bits = 1 << int(16 * len(shingles) - 1).bit_length()
+    """Parity bits, 4 to 8 for each shingle, as bytes."""
+    bits = max(8, 1 << int(4 * len(shingles) - 1).bit_length())
     at = (shingles >> _U(65 - bits.bit_length())).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
 
@@ -190,9 +188,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(bits, pa.binary())], names=["cls", "n", "bits"])
 
 
-def _room(link: int, nearest: bool):
-    """Pairs (hub, cls) of the classes of a room that no component joins and whose sketches allow a link: all of them, or for each
-    class the nearest one only.  Side 0 meets side 1, if there is one."""
+def _room(link: int, every: bool):
+    """Pairs (hub, cls) of the classes of a room that no component joins and whose sketches allow a link.  Side 0 meets side 1, if there
+    is one.  A room with more pairs than classes gives, unless ``every`` one is asked for, the nearest of each class, and a row with
+    its key alone."""
 
     def near(table: pa.Table) -> pa.Table:
         lean_memory()
@@ -203,22 +202,25 @@ def _room(link: int, nearest: bool):
         least = min(map(len, raw))
         bits = np.stack([folded(b, least) for b in raw])
         two = side.min() != side.max()
-        pairs = []
+        found, nearest, n_pairs = [], [], 0
         for i in range(len(names)):
-            others = np.flatnonzero(side == 1) if two else np.arange(i + 1, len(names))
             if two and side[i]:
                 continue
-            others = others[(roots[others] != roots[i])]
+            others = np.flatnonzero(side == 1) if two else np.arange(i + 1, len(names))
+            others = others[roots[others] != roots[i]]
             apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            both = sizes[others] + sizes[i]
-            ok = apart * (100 + link) <= both * (100 - link)
+            ok = apart * (100 + link) <= (sizes[others] + sizes[i]) * (100 - link)
             ok &= 100 * np.minimum(sizes[others], sizes[i]) >= link * np.maximum(sizes[others], sizes[i])
-            others = others[ok]
-            if nearest and len(others):
-                others = others[np.argmin(apart[ok])][None]
-            pairs += [(min(names[i], names[j]), max(names[i], names[j])) for j in others.tolist()]
-        pairs = sorted(set(pairs))
-        return pa.table({"hub": pa.array([a for a, _ in pairs], pa.binary()), "cls": pa.array([b for _, b in pairs], pa.binary())})
+            if not ok.any():
+                continue
+            n_pairs += int(ok.sum())
+            nearest.append((i, int(others[ok][np.argmin(apart[ok])])))
+            if every or n_pairs <= len(names):
+                found += [(i, j) for j in others[ok].tolist()]
+        again = not every and n_pairs > len(names)
+        pairs = sorted({(min(names[i], names[j]), max(names[i], names[j])) for i, j in (nearest if again else found)})
+        columns = [[a for a, _ in pairs] + [None] * again, [b for _, b in pairs] + [None] * again, [None] * len(pairs) + [table["key"][0].as_py()] * again]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()))], names=["hub", "cls", "again"])
 
     return near
 
@@ -270,17 +272,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = seen.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
     roots = space.keep(connected_components(links, space))
 
-    # In buckets with several components each class is first tried with the nearest one of another, which leaves few components; then
-    # all that are left are tried.
+    # Buckets with several components.  In those with many pairs each class is first tried with the nearest one of another component,
+    # which leaves few components, then all pairs of these are tried.
     sketches = space.keep(sets.mapInArrow(_sketches, "cls binary, n long, bits binary"))
-    for nearest in [True] * NEAREST_ROUNDS + [False]:
+    for every in (False, True):
         rooms = _rooms(buckets, roots).join(sketches, "cls")
-        near = rooms.groupBy("key", "i", "j").applyInArrow(_room(link, nearest), "hub binary, cls binary").distinct()
-        near = space.keep(near)
-        if near.isEmpty():
+        near = space.keep(rooms.groupBy("key", "i", "j").applyInArrow(_room(link, every), "hub binary, cls binary, again long").distinct())
+        more = space.keep(compare_with_hubs(near.where("hub IS NOT NULL").select("hub", "cls"), sets)).where(f"100 * common >= {link} * whole")
+        roots = space.keep(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("hub").alias("u"), F.col("cls").alias("v"))), space))
+        many = near.where("again IS NOT NULL").select(F.col("again").alias("key")).distinct()
+        if many.isEmpty():
             break
-        more = space.keep(compare_with_hubs(near, sets)).where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
-        roots = space.keep(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), space))
+        buckets = space.keep(buckets.join(many, "key", "left_semi"))
 
     found = classes.select("cls", "first_id", "n_docs").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     least = found.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
