@@ -108,17 +108,25 @@ def fetch_indexed(chunks: DataFrame, ranges: DataFrame, size: int = CHUNK) -> Da
     return _fetch(chunks, lengths_of_chunks(chunks, size), ranges, size)
 
 
-def _fetch(chunks: DataFrame, known_lengths: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+def checked_ranges(ranges: DataFrame, known_lengths: DataFrame) -> DataFrame:
+    """(fetch_id, seq, part, start, end) of known sequences; a range outside of its sequence fails the query."""
     inside = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("length"))
     known = ranges.select("fetch_id", "seq", "part", "start", "end").join(known_lengths, "seq")
-    known = known.withColumn("end", F.when(inside, F.col("end")).otherwise(F.raise_error(F.lit("range outside of the sequence")).cast("long"))).drop("length")
-    pieces = with_letters(known, chunks, size=size)
+    return known.withColumn("end", F.when(inside, F.col("end")).otherwise(F.raise_error(F.lit("range outside of the sequence")).cast("long"))).drop("length")
+
+
+def assembled(pieces: DataFrame) -> DataFrame:
+    """(fetch_id, name, sequence) of ranges with ``from`` and ``letters``, as lookups give them."""
     grouped = pieces.groupBy("fetch_id", "seq").agg(F.sort_array(F.collect_list(F.struct("part", "from", "start", "end", "letters"))).alias("ps"))
     heads = F.filter("ps", lambda p: p["from"] == p["start"])
     label = F.array_join(F.transform(heads, lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))), ",")
     return grouped.select("fetch_id", F.concat("seq", F.lit(":"), label).alias("name"), F.array_join(F.transform("ps", lambda p: p["letters"]), "").alias("sequence"))
 
 
+def _fetch(chunks: DataFrame, known_lengths: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+    return assembled(with_letters(checked_ranges(ranges, known_lengths), chunks, size=size))
+
+
 def base_shares(sequences: DataFrame, separate_repeats: bool = False) -> DataFrame:
     """Each sequence's base composition as shares; null for an empty one."""
     counts = composition(F.col("sequence"), separate_repeats)

@@ -15,7 +15,7 @@ from .functions.codons import STARTS, STOPS, codon_frame, is_codon_distribution
 from .operators import bins, checks, comparison, histograms, intervals, labels, repair, sequences, setops, transcripts
 from .plans import hmm
 from .plans.annotate import annotate
-from .sources import fasta_scan, readers, writers
+from .sources import block_gzip, fasta_scan, readers, writers
 from .tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,30 @@ def fasta_scan_chunks(spark, d):
     return _scanned(spark, d).chunks.select("seq", "chunk_no", F.md5("chunk").alias("digest"))
 
 
+def _packed(spark, d) -> str:
+    """The documents' sequences as block gzip in the shared folder."""
+    target = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    block_gzip.compress_sequences(fx.document_sequences(spark, d).where("sequence IS NOT NULL"), target, width=60)
+    return target
+
+
+@query(
+    f"{with_views('docs')} SELECT seq_ord AS fetch_id, concat(name, ':', n // 3 + 1, '-', n // 2, ',1-', n // 5) AS name, md5(concat(substr(sequence, n // 3 + 1, n // 2 - n // 3), substr(sequence, 1, n // 5))) AS digest "
+    "FROM (SELECT *, length(sequence) AS n FROM docs WHERE sequence IS NOT NULL)"
+)
+def block_gzip_fetch(spark, d):
+    """Two ranges of each sequence, read from the blocks that they touch."""
+    target = _packed(spark, d)
+    parts = F.expr("inline(array(named_struct('part', 0, 'start', length div 3, 'end', length div 2), named_struct('part', 1, 'start', 0L, 'end', length div 5)))")
+    ranges = block_gzip.block_lengths(spark, target).select(F.col("seq").cast("long").alias("fetch_id"), "seq", parts)
+    return block_gzip.fetch_blocks(spark, target, ranges).select("fetch_id", "name", F.md5("sequence").alias("digest"))
+
+
+@query(f"{with_views('docs')} SELECT name AS seq, k AS chunk_no, md5(substr(sequence, CAST(k * 700 + 1 AS BIGINT), 702)) AS digest FROM (SELECT *, unnest(range(0, CAST(ceil(length(sequence) / 700.0) AS BIGINT))) AS k FROM docs)")
+def block_gzip_chunks(spark, d):
+    return block_gzip.block_chunks(spark, _packed(spark, d), 700).select("seq", "chunk_no", F.md5("chunk").alias("digest"))
+
+
 FETCHED = (
     f"{with_views('genome', 'cds')}, f AS (SELECT tx, c.seq, cds_start, substr(sequence, cds_start + 1, cds_end - cds_start) AS piece, cds_end FROM cds c JOIN genome ON name = c.seq WHERE cds_end <= length(sequence)) "
     "SELECT tx AS fetch_id, concat(seq, ':', string_agg(concat(cds_start + 1, '-', cds_end), ',' ORDER BY cds_start)) AS name, md5(string_agg(piece, '' ORDER BY cds_start)) AS digest FROM f GROUP BY tx, seq"
