@@ -151,7 +151,7 @@ def deciding_genes(positions: DataFrame, transcripts: DataFrame, pos_id: str = "
     Spans are cut into aligned pieces of powers of four, and of all genes over a piece only the first is kept; a position lies in
     one piece of each level.  So a position meets ``TOP`` + 1 rows at most, however many genes lie over it.
     """
-    pieces = gene_spans(transcripts).where("high > low").select("seq", "strand", F.struct("gene_start", "gene").alias("first"), F.inline(aligned_pieces(F.col("low"), F.col("high"))))
+    pieces = gene_spans(transcripts).where("high > low").select("seq", "strand", F.struct("gene_start", "gene").alias("first"), F.inline(aligned_pieces(F.col("low"), F.col("high"), TOP)))
     strands = [F.min(F.when(F.col("strand") == s, F.col("first"))).alias(name) for s, name in (("+", "plus"), ("-", "minus"))]
     pieces = pieces.groupBy("seq", "level", "node").agg(*strands)
     asked = positions.select(pos_id, "seq", pos, F.explode(F.sequence(F.lit(0), F.lit(TOP))).alias("level"))

@@ -52,6 +52,15 @@ def test_classification_matches_brute_force(spark, monkeypatch, top):
     assert {r.pos_id: (r.fwd, r.rev) for r in got.collect()} == {k: brute_labels(rows, s, p) for k, s, p in points}
 
 
+def test_spans_are_cut_to_the_levels_that_positions_ask_for(spark, monkeypatch):
+    """A span of 64 positions is one piece of level 3, which no position asks for when levels end at 1."""
+    monkeypatch.setattr(intervals, "TOP", 1)
+    transcripts = spark.createDataFrame([("c", "+", 1, 1, [(64, 128)])], TX)
+    points = spark.createDataFrame([(0, "c", 63), (1, "c", 64), (2, "c", 127), (3, "c", 128)], "pos_id long, seq string, pos long")
+    got = intervals.deciding_genes(points, transcripts).where("plus IS NOT NULL").collect()
+    assert sorted(r.pos_id for r in got) == [1, 2]
+
+
 def test_pieces_cover_an_interval_once(spark):
     rng = random.Random(3)
     spans = [(a, a + rng.choice([1, 2, 5, 63, 64, 65, 1000, 5 * 10**6])) for a in (rng.randrange(10**6) for _ in range(60))]
