@@ -6,9 +6,10 @@ need 864 minhashes where 72 are computed.  A pair of similarity s meets in a tab
 just 0.85 is missed with probability 2.2e-5, one of 0.9 with 3.1e-7.  The threshold is a parameter and sets the number of half
 keys: for 0.8 there are 16 in each collection, 256 tables, and a pair of just 0.8 is missed with probability 2.1e-5.
 
-Nothing is capped.  Texts with equal sets form one class.  The straight tables, those of half keys of one number, come first: in
-each bucket every class is compared with a hub, and what links so is known.  The other tables then matter only where a bucket holds
-classes that are not linked yet; there, too, every class is compared with a hub.  The Jaccard distance is a metric, so two classes
+Nothing is capped.  Texts with equal sets form one class.  A quarter of the tables, those of half keys whose numbers are the same or
+follow each other closely, come first: in each bucket every class is compared with a hub, and what links so is known.  The other
+tables then matter only where a bucket holds classes that are not linked yet; there, too, every class is compared with a hub.  Each
+table is looked at once and no class is compared twice with one hub.  The Jaccard distance is a metric, so two classes
 within d of each other are both within 0.45 + d of the hub, or both beyond 0.45: the first are compared with each other in blocks
 (hubs of one component share theirs), the second stay in the bucket for another hub.  Buckets left after ``ROUNDS`` hubs are
 compared in blocks as they are.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .shingles import shingle_sets
 from .storage import Workspace, lean_memory, small_batches
 
 ROWS, ROUNDS = 3, 3
+#: Share of the tables that come first.
+FIRST = 0.25
 #: Per cent of the union that linked sets share, unless given.
 LINK = 85
 #: A pair at the threshold has no common half key in one collection with this probability at most.
@@ -39,6 +42,8 @@ MISSED = 1.1e-5
 FAR = 55
 #: Shingles of all the sets in one block of a group.
 BLOCK_SHINGLES = 400_000
+#: Shingles of all the sets of a cluster that is compared as a whole: three blocks, with themselves and each other.
+CLUSTER_SHINGLES = 1_200_000
 #: Ids of texts that are broadcast at most, a few megabytes.
 FEW_IDS = 200_000
 #: Members of a hub that one task compares with it.
@@ -212,10 +217,10 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     halves = halves.join(shared, "half").groupBy("cls").agg(F.sum("n").alias("met"), side(0).alias("a"), side(n_halves).alias("b"))
     halves = space.keep(halves.where("size(a) > 0 AND size(b) > 0"))
 
-    def tables_of(rows: DataFrame, straight: bool) -> DataFrame:
-        """(key, met, cls, root) of all tables, or of the straight ones, whose two half keys have the same number."""
+    def tables_of(rows: DataFrame, low: int, high: int) -> DataFrame:
+        """(key, met, cls, root) of the tables whose second half key has a number ``low`` to ``high`` - 1 places after the first's, around the end."""
         pairs = rows.select("met", "cls", "root", "b", F.explode("a").alias("x")).select("met", "cls", "root", "x", F.explode("b").alias("y"))
-        pairs = pairs.where("x.at = y.at") if straight else pairs
+        pairs = pairs.where(F.expr(f"pmod(y.at - x.at, {n_halves})").between(low, high - 1))
         return pairs.select(F.xxhash64("x.half", "y.half").alias("key"), "met", "cls", "root")
 
     def met(rows: DataFrame) -> DataFrame:
@@ -233,40 +238,60 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     def classes_in(rows: DataFrame) -> DataFrame:
         return rows.select("cls").unionByName(rows.select(F.col("hub").alias("cls"))).distinct()
 
-    # What the straight tables link need not meet again in the others.
-    first = space.keep(met(tables_of(halves.withColumn("root", F.col("cls")), True)))
+    def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    def compare(rows: DataFrame, sets: DataFrame, seen: list[DataFrame]) -> DataFrame:
+        """Compares what was not compared before, adds it to ``seen``; gives (key, met, cls) of the rows that are far from their hub."""
+        edges = rows.select("hub", "cls").distinct()
+        for before in seen:
+            edges = edges.join(before.select("hub", "cls"), ["hub", "cls"], "left_anti")
+        edges = space.keep(edges)
+        seen.append(space.keep(compare_with_hubs(edges, sets)))
+        far = reduce(DataFrame.unionByName, seen).where(f"100 * common < {FAR} * whole").select("hub", "cls")
+        rest = space.keep(rows.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls"))
+        space.drop(rows)
+        return rest
+
+    def linked(seen: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, seen).where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+
+    # Each table is looked at once, and what the first ones link need not meet again in the others.
+    first_tables, seen = math.ceil(n_halves * FIRST), []
+    first = space.keep(met(tables_of(halves.withColumn("root", F.col("cls")), 0, first_tables)))
     first_ids = space.keep(classes_in(first))
     first_sets = sets_of(first_ids)
-    seen = space.keep(compare_with_hubs(first.select("hub", "cls").distinct(), first_sets))
-    first_links = space.keep(seen.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
-    known = space.keep(connected_components(first_links, space))
+    first_rest = compare(first, first_sets, seen)
 
-    rooted = halves.join(known.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    buckets = space.keep(met(tables_of(rooted, False)))
+    # Classes that are near each other through hubs are one cluster; a small one is a group that is compared as a whole in the end, so
+    # buckets within it are done.  In larger ones only what is linked is.
+    near = connected_components(reduce(DataFrame.unionByName, seen).where(f"100 * common >= {FAR} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")), space)
+    clusters = near.join(first_sets.select(F.col("cls").alias("node"), "n"), "node")
+    small = clusters.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") <= CLUSTER_SHINGLES)
+    clusters = space.keep(clusters.join(small, "root").select("node", "root"))
+
+    def settled(roots: DataFrame) -> DataFrame:
+        """(node, root): the cluster of a class, or the component of links if it is in no small cluster."""
+        return clusters.unionByName(roots.select("node", "root").join(clusters.select("node"), "node", "left_anti"))
+
+    roots = space.keep(connected_components(linked(seen), space))
+    buckets = space.keep(met(tables_of(with_roots(halves, settled(roots)), first_tables, n_halves)))
     sets = first_sets.unionByName(sets_of(space.keep(classes_in(buckets).join(first_ids, "cls", "left_anti"))))
-    compared = []
-    for _ in range(ROUNDS):
-        edges = buckets.select("hub", "cls").distinct()
-        seen = space.keep(compare_with_hubs(edges, sets))
-        compared.append(seen)
-        far = seen.where(f"100 * common < {FAR} * whole").select("hub", "cls")
-        rest = space.keep(met(buckets.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls", "root")))
-        space.drop(buckets)
-        buckets = rest
-        if buckets.isEmpty():
+    rest = first_rest.unionByName(compare(buckets, sets, seen))
+    for turn in range(ROUNDS):
+        roots = space.keep(connected_components(linked(seen), space))
+        buckets = space.keep(met(with_roots(rest, settled(roots))))
+        if turn == ROUNDS - 1 or buckets.isEmpty():
             break
-    every = compared[0]
-    for more in compared[1:]:
-        every = every.unionByName(more)
-    links = every.where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
-    roots = space.keep(connected_components(links.unionByName(first_links), space))
+        rest = compare(buckets, sets, seen)
+    every = reduce(DataFrame.unionByName, seen)
 
     # Balls around hubs of one component overlap much, so they are one group.
     root_of = roots.select(F.col("node").alias("hub"), F.col("root").alias("gid"))
     groups = every.where(f"100 * common >= {FAR - (100 - link)} * whole").join(root_of, "hub", "left").select(F.coalesce("gid", "hub").alias("gid"), "cls").distinct()
     left = buckets.select("key", "cls").unionByName(buckets.select("key", F.col("hub").alias("cls")).distinct())
     left = left.select(F.col("key").cast("string").cast("binary").alias("gid"), "cls")
-    groups = groups.unionByName(left).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    groups = groups.unionByName(left).unionByName(clusters.select(F.col("root").alias("gid"), F.col("node").alias("cls"))).distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     groups = space.keep(groups.join(sets.select("cls", "n"), "cls"))
     spread = groups.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.sum("n") / BLOCK_SHINGLES).cast("int").alias("more")).where("low <> high")
     members = groups.join(spread.select("gid", "more"), "gid").withColumn("own", F.expr("cast(pmod(xxhash64(cls), more + 1) as int)"))
@@ -275,8 +300,8 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     )
     blocks = placed.join(sets.select("cls", "shingles"), "cls")
     more = space.keep(blocks.groupBy("gid", "i", "j").applyInArrow(lambda table: _in_block(table, link), "u binary, v binary"))
-    linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-    roots = connected_components(linked, space)
+    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+    roots = connected_components(joined, space)
 
     named = classes.select("cls", "first_id", "n_docs").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
