@@ -168,11 +168,16 @@ def _in_block(table: pa.Table, link: int) -> pa.Table:
     return pa.table({"u": pa.array([names[i] for i, _ in pairs], pa.binary()), "v": pa.array([names[j] for _, j in pairs], pa.binary())})
 
 
-def compare_with_hubs(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, cls, common, whole) for ``edges(hub, cls)``.  A hub with many members is dealt to several tasks."""
+def compare_with_hubs(edges: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
+    """(hub, cls, common, whole) for ``edges(hub, cls)``.  A hub with many members is dealt to several tasks.
+
+    ``few`` edges go to the sets by broadcast, so that only the sets compared are dealt out, and those once for each comparison.
+    """
+    small = F.broadcast if few else lambda rows: rows
     shares = edges.groupBy("hub").agg((F.count("*") / HUB_SHARE).cast("long").alias("shares"))
-    members = edges.join(shares, "hub").withColumn("salt", F.expr("pmod(xxhash64(cls), shares + 1)")).join(sets.select("cls", "shingles"), "cls")
-    hubs = shares.join(sets.select(F.col("cls").alias("hub"), "shingles"), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "shares")))
+    asked = edges.join(shares, "hub").withColumn("salt", F.expr("pmod(xxhash64(cls), shares + 1)"))
+    members = small(asked.select("hub", "salt", "cls")).join(sets.select("cls", "shingles"), "cls")
+    hubs = small(shares).join(sets.select(F.col("cls").alias("hub"), "shingles"), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "shares")))
     rows = members.select("hub", "salt", "cls", "shingles").unionByName(hubs.select("hub", "salt", F.lit(None).cast("binary").alias("cls"), "shingles"))
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls").asc_nulls_first())
     return rows.select("hub", "cls", "shingles").mapInArrow(_against_hub, "hub binary, cls binary, common long, whole long")
@@ -247,7 +252,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
         for before in seen:
             edges = edges.join(before.select("hub", "cls"), ["hub", "cls"], "left_anti")
         edges = space.keep(edges)
-        seen.append(space.keep(compare_with_hubs(edges, sets)))
+        seen.append(space.keep(compare_with_hubs(edges, sets, edges.count() <= FEW_IDS)))
         far = reduce(DataFrame.unionByName, seen).where(f"100 * common < {FAR} * whole").select("hub", "cls")
         rest = space.keep(rows.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls"))
         space.drop(rows)

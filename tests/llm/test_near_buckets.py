@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from strandline.llm import near_dups
 from strandline.llm.near_dups import near_dup_components
 
@@ -48,3 +50,13 @@ def test_buckets_of_a_small_cluster_are_done_early(spark, monkeypatch):
     got, rows, pairs = kept_tables(spark, monkeypatch, texts)
     assert got == expected
     assert rows < 60 * len(texts)
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_no_pair_is_compared_twice(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dups, "FEW_IDS", few)
+    monkeypatch.setattr(near_dups, "CLUSTER_SHINGLES", 0, raising=False)  # no cluster is small: all goes by hubs
+    texts, expected = loose_group(100)
+    got, _, pairs = kept_tables(spark, monkeypatch, texts)
+    assert got == expected
+    assert len(pairs) == len(set(pairs))
