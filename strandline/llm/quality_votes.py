@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ SHAPE_TERMS, WORD_TERMS = 4096, 4096
 TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = SHAPE_TERMS + WORD_TERMS, 64, 15, 4
 #: Bounds of the sample of labelled rows, and of those that the decomposition is computed from.
 LABELLED, DECOMPOSED = 6000, 2048
-BLOCK_ROWS = 500
+#: Rows that are dense, or compared with all voters, at a time: a worker holds few MB of either.
+BLOCK_ROWS, GRAM_ROWS = 100, 256
 _REPEATS = 3
 
 
@@ -69,6 +71,13 @@ def term_rows(texts: pa.Array, cache: dict[bytes, tuple[int, int]]) -> Iterator[
         yield terms, np.sqrt(counts / max(1, len(s))).astype(np.float32)
 
 
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray | None = None) -> np.ndarray:
+    dense = np.zeros((len(rows), TERMS), np.float32)
+    for k, (terms, shares) in enumerate(rows):
+        dense[k, terms] = shares if weight is None else shares * weight[terms]
+    return dense
+
+
 @dataclass
 class Voters:
     """Labelled vectors and the projection of terms; ``prior`` is the score of texts without words or of no labels."""
@@ -79,10 +88,7 @@ class Voters:
     prior: float
 
     def embed(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        dense = np.zeros((len(rows), TERMS), np.float32)
-        for k, (terms, shares) in enumerate(rows):
-            dense[k, terms] = shares
-        out = dense @ self.projection
+        out = _dense(rows) @ self.projection
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -92,10 +98,15 @@ class Voters:
         k = min(NEIGHBOURS, len(self.vectors))
         for at in range(0, len(rows), BLOCK_ROWS):
             block = rows[at : at + BLOCK_ROWS]
-            # Whole numbers that hold the rounded cosine and the place, so no two are equal.
+            # Whole numbers that hold the rounded cosine, negated, and the place, so no two are equal.
             n = len(self.vectors)
-            ranked = np.rint((self.embed(block) @ self.vectors.T) * 1e6).astype(np.int64) * n - np.arange(n)
-            best = -np.partition(-ranked, k - 1, axis=1)[:, :k]
+            cosines = self.embed(block) @ self.vectors.T
+            cosines *= 1e6
+            ranked = np.rint(cosines, out=cosines).astype(np.int64)
+            ranked *= -n
+            ranked += np.arange(n)
+            ranked.partition(k - 1, axis=1)
+            best = -ranked[:, :k]
             nearest = -best % n
             weights = np.clip((best + nearest) // n / 1e6, 0, 1) ** SHARPNESS
             total = weights.sum(axis=1)
@@ -104,21 +115,50 @@ class Voters:
         return np.clip(out, 0, 1)
 
 
+def _leading(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of a symmetric matrix, the ``DIMENSIONS`` largest among them.
+
+    Small ones are decomposed whole.  For larger ones that takes eleven times their size (the library works in double precision),
+    so three times as many vectors as wanted are multiplied by the matrix until their values stand still.
+    """
+    n = 3 * DIMENSIONS
+    if len(gram) <= 2 * n:
+        return np.linalg.eigh(gram)
+    basis = np.random.default_rng(3).standard_normal((len(gram), n)).astype(np.float32)
+    before = np.zeros(DIMENSIONS)
+    for _ in range(60):
+        basis = np.linalg.qr(gram @ np.linalg.qr(gram @ basis)[0])[0].astype(np.float32)
+        values, turn = np.linalg.eigh(basis.T @ (gram @ basis))
+        now = values[::-1][:DIMENSIONS]
+        if np.abs(now - before).max() <= 1e-6 * now.max():
+            break
+        before = now
+    return values, basis @ turn.astype(np.float32)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Voters:
     full = [k for k, (t, _) in enumerate(rows) if len(t)]
     prior = float(labels.mean()) if len(labels) else 0.5
     if not full:
         return Voters(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     rows, labels = [rows[k] for k in full], labels[full]
-    frequency = np.bincount(np.concatenate([t for t, _ in rows]), minlength=TERMS)
+    frequency = np.zeros(TERMS, np.int64)
+    for terms, _ in rows:
+        frequency[terms] += 1  # a row has each term once
     weight = np.log((1 + len(rows)) / (1 + frequency)).astype(np.float32) + 0.1
-    some = np.zeros((min(len(rows), DECOMPOSED), TERMS), np.float32)
-    for k, (terms, shares) in enumerate(rows[: len(some)]):
-        some[k, terms] = shares * weight[terms]
-    values, left = np.linalg.eigh(some @ some.T)  # left singular vectors and squared singular values
+    some = rows[:DECOMPOSED]
+    begins = range(0, len(some), GRAM_ROWS)
+    gram = np.zeros((len(some), len(some)), np.float32)
+    for a in begins:
+        one = _dense(some[a : a + GRAM_ROWS], weight)
+        for b in range(0, a + 1, GRAM_ROWS):
+            products = one @ _dense(some[b : b + GRAM_ROWS], weight).T
+            gram[a : a + GRAM_ROWS, b : b + GRAM_ROWS], gram[b : b + GRAM_ROWS, a : a + GRAM_ROWS] = products, products.T
+    values, left = _leading(gram)  # left singular vectors and squared singular values
     top = np.argsort(values)[::-1][:DIMENSIONS]
     top = top[values[top] > 1e-6 * max(values.max(), 1e-30)]
-    right = some.T @ left[:, top] / np.sqrt(values[top])
+    left = left[:, top]
+    right = sum(_dense(some[a : a + GRAM_ROWS], weight).T @ left[a : a + GRAM_ROWS] for a in begins) / np.sqrt(values[top])
     voters = Voters(np.ascontiguousarray(weight[:, None] * right).astype(np.float32), np.zeros((0, 1), np.float32), labels.astype(float), prior)
     voters.vectors = np.concatenate([voters.embed(rows[at : at + BLOCK_ROWS]) for at in range(0, len(rows), BLOCK_ROWS)])
     return voters
@@ -175,10 +215,15 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label, terms, shares = (batch.column(c) for c in ("label", "terms", "shares"))
         known += label.to_pylist()
-        flat, roots, bounds = terms.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy(), terms.offsets.to_numpy()
+        flat, roots, bounds = terms.flatten().to_numpy(), shares.flatten().to_numpy(), terms.offsets.to_numpy()
         bounds = bounds - bounds[0]
         pairs += [(flat[a:b], roots[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), known[k]))
+
+    def compared(a: int, b: int) -> int:  # bytes of two rows at a time, not of all
+        x, y = ((pairs[k][0].tobytes(), pairs[k][1].tobytes(), known[k]) for k in (a, b))
+        return (x > y) - (x < y)
+
+    order = sorted(range(len(pairs)), key=cmp_to_key(compared))
     order = [order[k] for k in np.random.default_rng(7).permutation(len(order))]  # independent of the order of rows
     voters = fit([pairs[k] for k in order], np.array([known[k] for k in order], float))
     arrays = [voters.projection.astype(np.float32), voters.vectors.astype(np.float32), voters.labels.astype(np.float64)]
