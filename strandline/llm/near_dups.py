@@ -188,13 +188,23 @@ def sets_of_classes(source: DataFrame, classes: DataFrame, ids: DataFrame, space
 
     The first row of a class may repeat its id with other texts, so the class is computed anew and checked.
     """
-    texts = space.keep(classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct())
+    texts, seen = space.keep_seen(classes.join(ids, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct(), F.count(F.lit(1)).alias("n"))
     # Few ids go to the texts, many meet them by a shuffle.
-    texts = F.broadcast(texts) if texts.count() <= FEW_IDS else texts
+    texts = F.broadcast(texts) if seen["n"] <= FEW_IDS else texts
     found = source.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_sets, "cls binary, n long, shingles binary")
     return space.keep(found.join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
+def components_of_both(one: DataFrame, two: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of two tables of links (u, v), each by itself, found in the same rounds: a byte before the names keeps them apart."""
+    marks = [F.lit(bytes([k])) for k in range(2)]
+    edges = [rows.select(F.concat(mark, "u").alias("u"), F.concat(mark, "v").alias("v")) for mark, rows in zip(marks, (one, two))]
+    every = space.keep(connected_components(edges[0].unionByName(edges[1]), space))
+    name = lambda c: F.expr(f"substring({c}, 2)").alias(c)
+    found = [every.where(F.substring("node", 1, 1) == mark).select(name("node"), name("root")) for mark in marks]
+    return found[0], found[1]
+
+
 def near_dup_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
 
@@ -251,15 +261,20 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
         edges = rows.select("hub", "cls").distinct()
         for before in seen:
             edges = edges.join(before.select("hub", "cls"), ["hub", "cls"], "left_anti")
-        edges = space.keep(edges)
-        seen.append(space.keep(compare_with_hubs(edges, sets, edges.count() <= FEW_IDS)))
+        edges, kept = space.keep_seen(edges, F.count(F.lit(1)).alias("n"))
+        seen.append(space.keep(compare_with_hubs(edges, sets, kept["n"] <= FEW_IDS)))
         far = reduce(DataFrame.unionByName, seen).where(f"100 * common < {FAR} * whole").select("hub", "cls")
         rest = space.keep(rows.join(far, ["hub", "cls"], "left_semi").select("key", "met", "cls"))
         space.drop(rows)
         return rest
 
-    def linked(seen: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, seen).where(f"100 * common >= {link} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    def alike(compared: DataFrame, least: int) -> DataFrame:
+        """(u, v): hubs and classes that share ``least`` per cent of their union."""
+        return compared.where(f"100 * common >= {least} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The components of ``roots``, whose links need not be looked at again, as more links join them."""
+        return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), space)
 
     # Each table is looked at once, and what the first ones link need not meet again in the others.
     first_tables, seen = math.ceil(n_halves * FIRST), []
@@ -270,7 +285,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
 
     # Classes that are near each other through hubs are one cluster; a small one is a group that is compared as a whole in the end, so
     # buckets within it are done.  In larger ones only what is linked is.
-    near = connected_components(reduce(DataFrame.unionByName, seen).where(f"100 * common >= {FAR} * whole").select(F.col("hub").alias("u"), F.col("cls").alias("v")), space)
+    near, roots = components_of_both(alike(seen[0], FAR), alike(seen[0], link), space)
     clusters = near.join(first_sets.select(F.col("cls").alias("node"), "n"), "node")
     small = clusters.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") <= CLUSTER_SHINGLES)
     clusters = space.keep(clusters.join(small, "root").select("node", "root"))
@@ -279,12 +294,11 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
         """(node, root): the cluster of a class, or the component of links if it is in no small cluster."""
         return clusters.unionByName(roots.select("node", "root").join(clusters.select("node"), "node", "left_anti"))
 
-    roots = space.keep(connected_components(linked(seen), space))
     buckets = space.keep(met(tables_of(with_roots(halves, settled(roots)), first_tables, n_halves)))
     sets = first_sets.unionByName(sets_of(space.keep(classes_in(buckets).join(first_ids, "cls", "left_anti"))))
     rest = first_rest.unionByName(compare(buckets, sets, seen))
     for turn in range(ROUNDS):
-        roots = space.keep(connected_components(linked(seen), space))
+        roots = space.keep(joined(roots, alike(seen[-1], link)))
         buckets = space.keep(met(with_roots(rest, settled(roots))))
         if turn == ROUNDS - 1 or buckets.isEmpty():
             break
@@ -305,8 +319,7 @@ def _components(source: DataFrame, id_type: str, link: int) -> DataFrame:
     )
     blocks = placed.join(sets.select("cls", "shingles"), "cls")
     more = space.keep(blocks.groupBy("gid", "i", "j").applyInArrow(lambda table: _in_block(table, link), "u binary, v binary"))
-    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-    roots = connected_components(joined, space)
+    roots = joined(roots, more)
 
     named = classes.select("cls", "first_id", "n_docs").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))

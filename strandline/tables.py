@@ -6,7 +6,7 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,11 @@ class Workspace:
         self.tables.append((back, path))
         return back
 
+    def keep_seen(self, df: DataFrame, *figures: Column) -> tuple[DataFrame, dict]:
+        """``keep``, and aggregates of the rows, named by their aliases, that are taken as they are written."""
+        seen = Observation()
+        return self.keep(df.observe(seen, *figures)), seen.get
+
     def drop(self, *tables: DataFrame) -> None:
         self._delete([t for t in self.tables if any(t[0] is x for x in tables)])
 
