@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .shingles import WIDTH, WORDS_KEPT, word_lists
+from .shingles import WIDTH
 from .storage import Workspace, lean_memory, small_batches
 
 K1, B = 1.2, 0.75
@@ -33,7 +34,13 @@ MIN_SHINGLES, MIN_PART = 0.8, 0.6
 BLOCK_ITEMS = 16
 #: Items of one index; the postings of a larger benchmark are dealt to several.
 INDEX_ITEMS = 2048
+#: Terms of windows whose postings are looked up at once.
+LOOKED_UP = 200_000
 LEAKS = "array<struct<item_id:bigint,score:double,overlap:double>>"
+#: What a byte of a text in UTF-8 is to its word.
+BLANK, LEFT_OUT, PART, BEYOND_ASCII = range(4)
+_KIND = np.array([BEYOND_ASCII if b > 127 else BLANK if b in b" \t\n\v\f\r" else PART if re.match(r"\w", chr(b)) else LEFT_OUT for b in range(256)], np.uint8)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)  # A-Z only
 
 
 def normal(word: str) -> str:
@@ -63,7 +70,7 @@ class Index:
     """Inverted index of a bounded number of items; ``bounds`` are the maxima of each term's weights in each block."""
 
     items: list[int]
-    vocabulary: dict[str, int]
+    words: pa.Array
     bounds: np.ndarray
     pointers: np.ndarray
     posting_items: np.ndarray
@@ -106,54 +113,106 @@ def build_index(rows: list[tuple[int, str, dict[str, int]]], n_items: int, mean:
     terms = np.array([p[0] for p in postings], np.int64)
     at = np.array([p[1] for p in postings], np.int64)
     pointers = np.searchsorted(terms * (n_blocks * BLOCK_ITEMS) + at, np.arange(len(vocabulary) * n_blocks + 1) * BLOCK_ITEMS)
-    return Index([r[0] for r in rows], vocabulary, bounds, pointers, at, np.array([p[2] for p in postings]), checks, stride)
+    return Index([r[0] for r in rows], pa.array(list(vocabulary), pa.large_string()).cast(pa.large_binary()), bounds, pointers, at, np.array([p[2] for p in postings]), checks, stride)
 
 
-def _leaks_of(index: Index, terms: np.ndarray, doc_of: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
-    """(text, item, score, overlap) for each window that holds an item.  terms: codes of all words of a batch, -1 if in no item."""
+def word_codes(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``known`` (UTF-8) of all words of a batch in order, -1 if not there, and for each text where its words begin (n+1 bounds).
+
+    Words are those of ``words_of``.  They are cut and looked up by array operations over the bytes of the whole batch; those
+    with characters beyond ASCII are lower-cased and stripped as one string, a word a line.
+    """
+    whole = [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
+    data = np.frombuffer(b"\n".join([b"", *whole, b""]), np.uint8)
+    first = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in whole], dtype=np.int64)])
+    kind = _KIND[data]
+    blank = kind == BLANK
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(len(first), np.int64)
+    part = kind >= PART
+    sizes = np.add.reduceat(part, starts, dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[part]])])
+    codes = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    beyond = np.maximum.reduceat(kind, starts) == BEYOND_ASCII
+    if beyond.any():
+        inside = np.zeros(len(data), bool)
+        inside[starts[0] :] = np.repeat(beyond, np.diff(starts, append=len(data)))
+        inside[1:] &= ~(blank[1:] & blank[:-1])  # a word and the blank after it
+        lines = np.where(blank[inside], np.uint8(10), data[inside]).tobytes().decode().lower()
+        others = pa.array(re.sub(r"[^\w\n]+", "", lines).split("\n")[:-1], pa.large_string()).cast(pa.large_binary())
+        codes[beyond] = pc.fill_null(pc.index_in(others, value_set=known), -1).to_numpy()
+        sizes[beyond] = pc.binary_length(others).to_numpy()
+    real = sizes > 0
+    return codes[real], np.concatenate([[0], np.cumsum(real)])[np.searchsorted(starts, first)]
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _leaks_of(index: Index, terms: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
+    """(text, item, score, overlap) for each window that holds an item.  terms: codes of all words of a batch, -1 if in no item;
+    begins: where those of each text begin (n+1 bounds)."""
     stride, n_blocks = index.stride, index.bounds.shape[1]
     known = np.flatnonzero(terms >= 0)
     if not len(known):
         return
-    place = known - begins[doc_of[known]]
-    sizes = np.diff(np.append(begins, len(terms)))
+    sizes = np.diff(begins)
     first_window = np.concatenate([[0], np.cumsum(sizes // stride + 1)])
-    own = first_window[doc_of[known]] + place // stride
-    back = place >= stride
-    window, term = np.concatenate([own, own[back] - 1]), np.concatenate([terms[known], terms[known[back]]])
+    doc_of = np.repeat(np.arange(len(sizes)), sizes)[known]
+    term, place = terms[known], known - begins[doc_of]
+    own = first_window[doc_of] + place // stride
     high = index.bounds.max(axis=1)
-    keep = (np.bincount(window, weights=high[term], minlength=first_window[-1]) >= 1)[window]
-    pairs = np.unique(window[keep] * len(high) + term[keep])
+    # A window is a stride and the next one of its text.
+    sums = np.bincount(own, weights=high[term], minlength=first_window[-1])
+    following = np.append(sums[1:], 0)
+    following[first_window[1:] - 1] = 0
+    kept = sums + following >= 1
+    here, before = kept[own], (place >= stride) & kept[own - 1]
+    pairs = np.concatenate([own[here] * len(high) + term[here], (own[before] - 1) * len(high) + term[before]])
     if not len(pairs):
         return
+    pairs.sort()
+    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
     window, term = pairs // len(high), pairs % len(high)
     starts = np.flatnonzero(np.diff(window, prepend=-1))
+    lengths = np.diff(starts, append=len(window))
     alive = np.add.reduceat(high[term], starts) >= 1
-    ends = np.append(starts[1:], len(window))
-    starts, ends = starts[alive], ends[alive]
+    starts, lengths = starts[alive], lengths[alive]
     for at in range(0, len(starts), 2000):
-        some, stops = starts[at : at + 2000], ends[at : at + 2000]
-        lengths = stops - some
-        rows = np.repeat(some - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        sums = np.add.reduceat(index.bounds[term[rows]], np.cumsum(lengths) - lengths, axis=0)
-        for w, block in np.argwhere(sums >= 1).tolist():
-            own_terms = term[some[w] : stops[w]]
-            a, b = index.pointers[own_terms * n_blocks + block], index.pointers[own_terms * n_blocks + block + 1]
-            n = b - a
-            rows = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            scores = np.bincount(index.posting_items[rows] - block * BLOCK_ITEMS, weights=index.posting_weights[rows], minlength=BLOCK_ITEMS)
-            for k in np.flatnonzero(scores >= 1).tolist():
-                item = block * BLOCK_ITEMS + k
-                number = int(window[some[w]])
+        some, n_terms = starts[at : at + 2000], lengths[at : at + 2000]
+        bounds = np.add.reduceat(index.bounds[term[_ranges(some, n_terms)]], np.cumsum(n_terms) - n_terms, axis=0)
+        rows, blocks = np.nonzero(bounds >= 1)
+        step = max(1, LOOKED_UP // (2 * stride))
+        for k in range(0, len(rows), step):
+            row, block = rows[k : k + step], blocks[k : k + step]
+            for pair, place, score in _scored(index, term, some[row], n_terms[row], block):
+                item, number = int(block[pair]) * BLOCK_ITEMS + place, int(window[some[row[pair]]])
                 doc = int(np.searchsorted(first_window, number, "right")) - 1
                 begin = int(begins[doc]) + (number - int(first_window[doc])) * stride
-                inside = terms[begin : min(begin + 2 * stride, int(begins[doc] + sizes[doc]))].tolist()
+                inside = terms[begin : min(begin + 2 * stride, int(begins[doc + 1]))].tolist()
                 whole, question, answer = index.checks[item]
                 width = min(WIDTH, len(next(iter(whole))))
                 seen = {tuple(inside[i : i + width]) for i in range(len(inside) - width + 1)}
-                overlap, here = len(whole & seen) / len(whole), set(inside)
-                if overlap >= MIN_SHINGLES and all(len(part & here) >= MIN_PART * len(part) for part in (question, answer)):
-                    yield doc, item, float(scores[k]), overlap
+                overlap, held = len(whole & seen) / len(whole), set(inside)
+                if overlap >= MIN_SHINGLES and all(len(p & held) >= MIN_PART * len(p) for p in (question, answer)):
+                    yield doc, item, score, overlap
+
+
+def _scored(index: Index, term: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(pair, place in its block, score) of the items that reach their threshold, for pairs of a window's terms and a block."""
+    pair = np.repeat(np.arange(len(block)), lengths)
+    cell = term[_ranges(starts, lengths)] * index.bounds.shape[1] + block[pair]
+    begins = index.pointers[cell]
+    n = index.pointers[cell + 1] - begins
+    rows = _ranges(begins, n)
+    at = np.repeat(pair, n) * BLOCK_ITEMS + index.posting_items[rows] % BLOCK_ITEMS
+    scores = np.bincount(at, weights=index.posting_weights[rows], minlength=len(block) * BLOCK_ITEMS)
+    for k in np.flatnonzero(scores >= 1).tolist():
+        yield k // BLOCK_ITEMS, k % BLOCK_ITEMS, float(scores[k])
 
 
 def leak_column(index: Index, text: Column, spark: SparkSession) -> Column:
@@ -163,35 +222,17 @@ def leak_column(index: Index, text: Column, spark: SparkSession) -> Column:
     @F.arrow_udf(LEAKS)
     def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lean_memory()
-        code: dict[bytes, int] = {}
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
         for some in texts:
-            yield pa.array(_search(shared.value, some, code), kind)
+            yield pa.array(_search(shared.value, some), kind)
 
     return search(text)
 
 
-def _search(index: Index, texts: pa.Array, code: dict[bytes, int]) -> list[list[dict]]:
-    """code: what is known of words so far: their number in the vocabulary, -1 if in no item, -2 if no word."""
-    lists = word_lists(texts)
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-    coded = flat.dictionary_encode()
-    if len(code) > WORDS_KEPT:
-        code.clear()
-    table = []
-    for w in coded.dictionary.cast(pa.large_binary()).to_pylist():
-        got = code.get(w)
-        if got is None:
-            n = normal(w.decode())
-            got = code[w] = index.vocabulary.get(n, -1) if n else -2
-        table.append(got)
-    terms = np.array(table, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-    real = terms > -2
-    begins = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-    terms = terms[real]
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(begins))
+def _search(index: Index, texts: pa.Array) -> list[list[dict]]:
+    terms, begins = word_codes(texts, index.words)
     best: list[dict[int, tuple[float, float]]] = [{} for _ in range(len(texts))]
-    for doc, item, score, overlap in _leaks_of(index, terms, doc_of, begins[:-1]):
+    for doc, item, score, overlap in _leaks_of(index, terms, begins):
         best[doc][item] = max(best[doc].get(item, (0.0, 0.0)), (score, overlap))
     return [[{"item_id": index.items[i], "score": s, "overlap": o} for i, (s, o) in sorted(found.items())] for found in best]
 
