@@ -222,6 +222,27 @@ def test_posteriors_of_a_table(spark):
     assert np.allclose([r[4:] for r in got[8:]], hmm.posterior(model, "GGTTACAT")[::-1])
 
 
+def test_chunks_are_decoded_together_as_alone():
+    import random
+    import time
+
+    rng = random.Random(5)
+    for options in ({}, {"chain": 2}, {"repeat_factor": 0.1, "border_factor": 0.5}, {"ir": 3, "intron": 3, "exon": 3}):
+        model = hmm.GeneModel.usual(**options)
+        texts = ["".join(rng.choices("ACGTacgtN-\u00e9", k=rng.choice([0, 1, 2, 40, 41]))) for _ in range(60)]
+        got = hmm.viterbi_together(model, texts)
+        assert all(np.array_equal(a, hmm.viterbi(model, t)) for a, t in zip(got, texts))
+    nowhere = replace(model, transitions=np.eye(15)[np.r_[1:15, 0]], start=np.eye(15)[7])  # no path of more than few letters
+    assert all(np.array_equal(a, hmm.viterbi(nowhere, t)) for a, t in zip(hmm.viterbi_together(nowhere, texts), texts))
+    texts = ["".join(rng.choices("ACGT", k=300)) for _ in range(1000)]
+    began = time.process_time()
+    hmm.viterbi_together(model, texts)
+    together = time.process_time() - began
+    for t in texts[:250]:
+        hmm.viterbi(model, t)
+    assert time.process_time() - began - together > together  # four times as many took no longer
+
+
 def test_a_planted_gene_is_found_on_both_strands(spark):
     gene = "ATG" + "CCA" * 40 + "TAA"
     text = "CCTTCA" * 20 + gene + "CCTTCA" * 20
