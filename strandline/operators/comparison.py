@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import Workspace
 from .histograms import f1
-from .intervals import interval_overlap_join, islands, merged
+from .intervals import interval_overlap_join, islands, merged, overlap_semi_join
 from .sequences import chunk_table, with_letters
 from .transcripts import coding_length, end, exploded, introns, longest, non_empty, start
 
@@ -228,14 +229,15 @@ def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0, sequ
 
 def missed_and_novel(query: DataFrame, reference: DataFrame, levels: tuple[str, ...] = ("exon", "locus")) -> DataFrame:
     """(annotation, level, missed, novel) for exons and loci: shares of features of one side that overlap none of the other."""
-    out = []
+    space, out = Workspace(query.sparkSession, "missed-and-novel"), []
     for level, features in (("exon", _exon_spans), ("locus", _locus_spans)):
         if level not in levels:
             continue
-        q, r = features(query, ["annotation"]), features(reference, []).withColumnsRenamed({"low": "ref_low", "high": "ref_high"})
-        pairs = interval_overlap_join(q, r, ("low", "high"), ("ref_low", "ref_high"), tuple(PLACE))
-        found = pairs.groupBy("annotation").agg(F.count_distinct(F.struct(*PLACE, "ref_low", "ref_high")).alias("seen"), F.count_distinct(F.struct(*PLACE, "low", "high")).alias("known"))
-        rows = q.groupBy("annotation").agg(F.count("*").alias("n")).join(found, "annotation", "left").crossJoin(F.broadcast(r.agg(F.count("*").alias("m"))))
+        q, r = space.keep(features(query, ["annotation"])), space.keep(features(reference, []))
+        totals = q.groupBy("annotation").agg(F.count("*").alias("n"))
+        known = overlap_semi_join(q, r, PLACE).groupBy("annotation").agg(F.count("*").alias("known"))
+        seen = overlap_semi_join(r.crossJoin(F.broadcast(totals.select("annotation"))), q, ["annotation", *PLACE]).groupBy("annotation").agg(F.count("*").alias("seen"))
+        rows = totals.join(known, "annotation", "left").join(seen, "annotation", "left").crossJoin(F.broadcast(r.agg(F.count("*").alias("m"))))
         share = lambda a, b: F.round(F.when(F.col(b) > 0, 1 - F.coalesce(a, F.lit(0)) / F.col(b)).otherwise(0.0), 3)
         out.append(rows.select("annotation", F.lit(level).alias("level"), share("seen", "m").alias("missed"), share("known", "n").alias("novel")))
     return reduce(DataFrame.unionByName, out)

@@ -73,6 +73,26 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[s
     return pairs.where(F.col("_bin") == begins).drop("_level", "_bin", "_role")
 
 
+def overlap_semi_join(rows: DataFrame, others: DataFrame, keys: list[str], low: str = "low", high: str = "high", width: int = BIN) -> DataFrame:
+    """Rows that overlap any of ``others`` with equal ``keys``, each once; empty intervals overlap nothing.
+
+    No pairs are formed: of the others that begin before a row ends, the furthest end decides.  It is found by a running maximum
+    within bins of ``width``, and over the bins.
+    """
+    known = reduce(and_, (F.col(c).isNotNull() for c in keys))
+    starts = others.where(known & (F.col(high) > F.col(low))).groupBy(*keys, F.col(low).alias("_at")).agg(F.max(high).alias("_reach"))
+    asked = rows.where(F.col(high) > F.col(low)).withColumns({"_at": F.col(high), "_reach": F.lit(None).cast(starts.schema["_reach"].dataType)})
+    bin_ = F.floor(F.col("_at") / width).alias("_bin")
+    tops = starts.select(*keys, bin_, "_reach").unionByName(asked.select(*keys, bin_, "_reach")).groupBy(*keys, "_bin").agg(F.max("_reach").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_bin", F.max("_top").over(earlier).alias("_carried"))
+    # At one position rows come first: what begins where a row ends does not overlap it.
+    both = asked.select("*", F.lit(0).alias("_kind")).unionByName(starts.select("*", F.lit(1).alias("_kind")), allowMissingColumns=True).select("*", bin_)
+    own = Window.partitionBy(*keys, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = both.withColumn("_reach", F.max("_reach").over(own)).where("_kind = 0").join(carried, [*keys, "_bin"])
+    return reached.where(F.greatest("_reach", "_carried") > F.col(low)).select(*rows.columns)  # nulls do not count
+
+
 def running_reach(rows: DataFrame, keys: list[str], low: str, high: str, width: int = WIDE) -> DataFrame:
     """Adds _reach, the greatest ``high`` of the rows before in order of ``low`` and ``high`` (null for the first), and _bin.
 

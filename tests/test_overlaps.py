@@ -2,7 +2,7 @@
 
 import random
 
-from strandline.operators.intervals import interval_overlap_join
+from strandline.operators.intervals import interval_overlap_join, overlap_semi_join
 
 
 def test_long_intervals_meet_on_their_level(spark):
@@ -24,3 +24,19 @@ def test_long_intervals_meet_on_their_level(spark):
         assert sorted((r.x, r.y) for r in made.collect()) == [p for p in want if p[0] in some[0] and p[1] in some[1]]
         assert made.columns == ["seq", "x", "a", "b", "y", "c", "d"]
     assert interval_overlap_join(left.limit(0), right, ("a", "b"), ("c", "d")).collect() == []
+
+
+def test_rows_that_overlap_any_are_found_without_pairs(spark):
+    rng = random.Random(3)
+    sides = []
+    for side in range(2):
+        lows = [(rng.choice(["a", "b", None]), rng.randrange(2_000), rng.choice([0, 1, 3, 40, 700])) for _ in range(60)]
+        sides.append([(s, side * 1000 + k, low, low + size) for k, (s, low, size) in enumerate(lows)])
+    left, right = (spark.createDataFrame(rows, "seq string, x long, low long, high long") for rows in sides)
+    for one, two, frame, other in ((*sides, left, right), (sides[1], sides[0], right, left)):
+        want = sorted(p[1] for p in one if any(p[0] == q[0] and p[2] < q[3] and q[2] < p[3] and p[2] < p[3] and q[2] < q[3] for q in two if q[0]))
+        made = overlap_semi_join(frame, other, ["seq"], width=16)
+        assert sorted(r.x for r in made.collect()) == want and made.columns == frame.columns
+    # Every one of 40,000 overlaps every one of the others: 1.6 thousand million pairs.
+    deep = spark.range(40_000).selectExpr("'a' AS seq", "id AS x", "id % 10 AS low", "1000 + id AS high")
+    assert overlap_semi_join(deep, deep, ["seq"]).count() == 40_000
