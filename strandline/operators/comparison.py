@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
 from .histograms import f1
 from .intervals import interval_overlap_join, islands, merged, overlap_semi_join
 from .sequences import chunk_table, with_letters
-from .transcripts import coding_length, end, exploded, introns, longest, non_empty, start
+from .transcripts import coding_length, end, exploded, introns, non_empty, start
 
 PLACE = ["seq", "strand"]
 
@@ -186,47 +186,116 @@ def class_codes(query: DataFrame, reference: DataFrame, tolerance: int = 0, sequ
     Of several references of one code the one with most overlap of spans counts, then the least ref_id.  The major isoform of a
     gene is its longest transcript.  Code r needs ``sequences``.  Expression values are not known and are 0.
 
-    Transcripts of one structure are compared once.  The best code is found by a join on introns and outer ends, and those who have
-    it are taken out, so only the others meet what overlaps or is near them.
+    Transcripts of one structure are compared once, under the least of their ids.  The best codes are found without forming all
+    pairs: = by introns and outer ends, the others down to j by common introns, blocks within blocks and introns within blocks.
+    Who has one of these is taken out; of the others only those without any touching block on their strand meet all that is near.
     """
+    space = Workspace(query.sparkSession, "class-codes")
     cut = [introns(F.col("cds")).alias("gaps"), start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high")]
-    q = non_empty(query).select("seq", "strand", "tx", "gene", "cds", *cut)
+    same = Window.partitionBy("seq", "strand", "cds")
+    q = space.keep(non_empty(query).select("seq", "strand", "tx", "gene", "cds", F.min("tx").over(same).alias("shape")))
     named = ["strand", "cds", "gaps", "low", "high"]
-    r = non_empty(reference).groupBy("seq", "strand", "cds").agg(F.min(F.struct(F.col("tx").alias("ref_id"), F.col("gene").alias("ref_gene_id"), coding_length(F.col("cds")).alias("ref_match_len"))).alias("ref"))
-    r = r.select("seq", "ref", "strand", "cds", *cut).select("seq", "ref", *(F.col(c).alias(f"ref_{c}") for c in named))
-    shapes = q.select("seq", "strand", "cds", "gaps", "low", "high").distinct()
-    common = F.least("high", "ref_high") - F.greatest("low", "ref_low")
-    best = lambda rank: F.min(F.struct(rank.alias("rank"), (-common).alias("_c"), "ref")).alias("best")
-    shape = ["seq", "strand", "cds"]
+    r = non_empty(reference).groupBy("seq", "strand", "cds").agg(F.min(F.struct(F.col("tx").alias("ref_id"), F.col("gene").alias("ref_gene_id"))).alias("ref"))
+    r = space.keep(r.select("seq", "ref.*", *named[:2]))
+    known = r.select("ref_id", "ref_gene_id", coding_length(F.col("cds")).alias("ref_match_len"))
+    r = r.select("seq", "ref_id", "strand", "cds", *cut).select("seq", "ref_id", *(F.col(c).alias(f"ref_{c}") for c in named))
+    shapes = q.where("tx = shape").select("shape", "seq", "strand", "cds", *cut)
 
     # Equal starts, or starts of neighbouring steps of the tolerance, make this an equi-join.
     step = 2 * tolerance + 1
-    ends = r.select("*", F.explode(F.array_distinct(F.array(*(F.floor((F.col("ref_low") + d) / step) for d in (-tolerance, tolerance))))).alias("_at"))
-    chains = shapes.withColumn("_at", F.floor(F.col("low") / step)).join(ends.withColumnsRenamed({"ref_strand": "strand", "ref_gaps": "gaps"}), ["seq", "strand", "gaps", "_at"])
+    ends = r.drop("ref_cds").select("*", F.explode(F.array_distinct(F.array(*(F.floor((F.col("ref_low") + d) / step) for d in (-tolerance, tolerance))))).alias("_at"))
+    chains = shapes.drop("cds").withColumn("_at", F.floor(F.col("low") / step)).join(ends.withColumnsRenamed({"ref_strand": "strand", "ref_gaps": "gaps"}), ["seq", "strand", "gaps", "_at"])
     near_ends = (F.abs(F.col("low") - F.col("ref_low")) <= tolerance) & (F.abs(F.col("high") - F.col("ref_high")) <= tolerance)
-    equal = chains.where(near_ends).groupBy(*shape).agg(best(F.lit(0)))
+    equal = space.keep(chains.where(near_ends).groupBy("shape").agg(_best(F.lit(0))))
 
-    rest = shapes.join(equal.select(*shape), shape, "left_anti")
+    rest = space.keep(shapes.where("high > low").join(equal.select("shape"), "shape", "left_anti"))
+    settled = space.keep(_settled(rest, r, tolerance, space))
+    rest = space.keep(rest.join(settled.select("shape"), "shape", "left_anti"))
+    touching = space.keep(_touching(rest, r))
+    rest = space.keep(rest.join(touching.select("shape"), "shape", "left_anti"))
     near = r.withColumns({"_a": F.col("ref_low") - NEAR_BY, "_b": F.col("ref_high") + NEAR_BY})
     pairs = interval_overlap_join(rest, near, ("low", "high"), ("_a", "_b"), ("seq",), width=NEAR_BY)
-    other = pairs.groupBy(*shape).agg(best(_pair_codes(pairs, tolerance)))
+    other = pairs.groupBy("shape").agg(_best(_pair_codes(pairs, tolerance)))
 
-    major = longest(non_empty(query)).select("gene", F.col("tx").alias("major_iso_id"))
-    rows = q.join(equal.unionByName(other), shape, "left").join(major, "gene")
-    rank = F.coalesce(F.col("best.rank"), F.lit(CODES.index("u")))
+    best = reduce(DataFrame.unionByName, [equal, settled, touching, other]).select("shape", "best.rank", "best.ref_id")
+    major = q.groupBy("gene").agg(F.max_by("tx", F.struct(coding_length(F.col("cds")), -F.col("tx"))).alias("major_iso_id"))
+    rows = q.select("tx", "gene", "shape", F.size("cds").cast("long").alias("num_exons"), coding_length(F.col("cds")).alias("len")).join(best, "shape", "left")
+    rows = space.keep(rows.withColumn("rank", F.coalesce("rank", F.lit(CODES.index("u")))))
+    rank = F.col("rank")
     if sequences is not None:
-        alone = masked_bases(rows.where(rank == CODES.index("u")).select("seq", "tx", "cds"), sequences)
+        alone = masked_bases(q.join(rows.where(rank == CODES.index("u")).select("tx"), "tx", "left_semi").select("seq", "tx", "cds"), sequences)
         rows = rows.join(alone, "tx", "left")
-        rank = F.when((rank == CODES.index("u")) & (F.col("masked") >= MASKED * coding_length(F.col("cds"))), CODES.index("r")).otherwise(rank)
+        rank = F.when((rank == CODES.index("u")) & (F.col("masked") >= MASKED * F.col("len")), CODES.index("r")).otherwise(rank)
     code = F.element_at(F.array(*map(F.lit, CODES)), rank + 1)
     matched = rank < CODES.index("r")
+    rows = rows.withColumns({"class_code": code, "ref_id": F.when(matched, F.col("ref_id"))}).join(known, "ref_id", "left").join(major, "gene")
     zero = F.lit(0.0)
     return rows.select(
-        F.when(matched, F.col("best.ref.ref_gene_id")).alias("ref_gene_id"), F.when(matched, F.col("best.ref.ref_id")).alias("ref_id"), code.alias("class_code"), F.col("gene").alias("qry_gene_id"), F.col("tx").alias("qry_id"),
-        F.size("cds").cast("long").alias("num_exons"), zero.alias("FPKM"), zero.alias("TPM"), zero.alias("cov"), coding_length(F.col("cds")).alias("len"), "major_iso_id", F.when(matched, F.col("best.ref.ref_match_len")).alias("ref_match_len"),
+        "ref_gene_id", "ref_id", "class_code", F.col("gene").alias("qry_gene_id"), F.col("tx").alias("qry_id"),
+        "num_exons", zero.alias("FPKM"), zero.alias("TPM"), zero.alias("cov"), "len", "major_iso_id", "ref_match_len",
     )
 
 
+def _best(rank: Column, common: Column | None = None) -> Column:
+    """The best rank, of equal ones most in common, then the least reference."""
+    common = F.least("high", "ref_high") - F.greatest("low", "ref_low") if common is None else common
+    return F.min(F.struct(rank.alias("rank"), (-common).cast("long").alias("_c"), "ref_id")).alias("best")
+
+
+#: Bins in which blocks meet.
+BLOCK_BIN = 128
+
+
+def _settled(shapes: DataFrame, references: DataFrame, tolerance: int, space: Workspace) -> DataFrame:
+    """(shape, best) of those with a code from c to j.
+
+    A query of several blocks has c, and a reference of several blocks gives k, only by introns that both have; j is one such, and
+    m and n need an intron of the reference within a block.  These pairs are looked at whole.  What is left of c and k is a query
+    within a block of the reference, and a reference of one block within a block of the query.
+    """
+    place = ["seq", "strand"]
+    gaps = references.select("seq", F.col("ref_strand").alias("strand"), "ref_id", F.explode("ref_gaps").alias("g")).select(*place, "ref_id", "g.*")
+    blocks = shapes.select(*place, "shape", F.explode("cds").alias("b")).select(*place, "shape", F.col("b.start").alias("low"), F.col("b.end").alias("high"))
+    common = shapes.select(*place, "shape", F.explode("gaps").alias("g")).select(*place, "shape", "g.*").join(gaps, [*place, "start", "end"]).select("shape", "ref_id")
+    # An intron is no longer than a block that it lies in: both go by powers of two, blocks to all that introns have up to their own.
+    power = lambda size: F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+    sized = gaps.withColumn("_size", power(F.col("end") - F.col("start")))
+    least = sized.agg(F.min("_size").alias("_least"))
+    asked = blocks.withColumn("_size", power(F.col("high") - F.col("low"))).crossJoin(F.broadcast(least)).where("_size >= _least")
+    asked = asked.select(*place, "shape", "low", "high", F.explode(F.sequence("_least", "_size")).alias("_size"))
+    asked = asked.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / BLOCK_BIN), F.floor(F.col("high") / BLOCK_BIN))))
+    held = sized.withColumn("_bin", F.floor(F.col("start") / BLOCK_BIN)).join(asked, [*place, "_size", "_bin"]).where("low <= start AND end <= high").select("shape", "ref_id")
+    ids = space.keep(common.unionByName(held).distinct())
+    pairs = ids.join(shapes, "shape").join(references.drop("seq"), "ref_id")
+    whole = pairs.groupBy("shape").agg(_best(_pair_codes(pairs, tolerance)))
+
+    one = space.keep(shapes.where(F.size("cds") == 1).select(*place, "shape", "low", "high"))
+    ref_blocks = references.select("seq", F.col("ref_strand").alias("strand"), "ref_id", F.explode("ref_cds").alias("b")).select(*place, "ref_id", F.col("b.start").alias("ref_low"), F.col("b.end").alias("ref_high"))
+    within = interval_overlap_join(one, ref_blocks, ("low", "high"), ("ref_low", "ref_high"), (*place,), BLOCK_BIN).where("ref_low <= low AND high <= ref_high")
+    within = within.groupBy("shape").agg(_best(F.lit(CODES.index("c"))))
+
+    ref_one = space.keep(references.where(F.size("ref_cds") == 1).select("seq", F.col("ref_strand").alias("strand"), "ref_id", "ref_low", "ref_high", (F.col("ref_high") + 1).alias("_to")))
+    holding = interval_overlap_join(blocks.withColumn("_stop", F.col("high") + 1), ref_one, ("low", "_stop"), ("ref_low", "_to"), (*place,), BLOCK_BIN).where("low <= ref_low AND ref_high <= high")
+    holding = holding.groupBy("shape").agg(_best(F.lit(CODES.index("k"))))
+    return whole.unionByName(within).unionByName(holding).groupBy("shape").agg(F.min("best").alias("best"))
+
+
+def _touching(shapes: DataFrame, references: DataFrame) -> DataFrame:
+    """(shape, best) of those with a block over one of a reference on their strand, code e or o, if no better code is known.
+
+    One block that reaches from any block into any intron also reaches from the block beside that intron.
+    """
+    place = ["seq", "strand"]
+    blocks = shapes.select(*place, "shape", "low", "high", (F.size("cds") == 1).alias("_one"), F.explode("cds").alias("b")).select("*", "b.start", "b.end").drop("b")
+    rows = references.select("seq", F.col("ref_strand").alias("strand"), "ref_id", "ref_low", "ref_high", "ref_cds", F.posexplode("ref_cds").alias("_k", "b"))
+    rows = rows.select(*place, "ref_id", "ref_low", "ref_high", F.col("b.start").alias("_from"), F.col("b.end").alias("_to"), *(F.get("ref_cds", F.col("_k") + k)[c].alias(n) for k, c, n in ((-1, "end", "_before"), (1, "start", "_after"))))
+    pairs = interval_overlap_join(blocks, rows, ("start", "end"), ("_from", "_to"), (*place,), BLOCK_BIN)
+    reach = lambda a, b: F.coalesce(F.least("end", b) - F.greatest("start", a) >= INTO_INTRON, F.lit(False))
+    left = F.col("_before").isNotNull() & reach("_before", "_from")
+    right = F.col("_after").isNotNull() & reach("_to", "_after")
+    return pairs.groupBy("shape").agg(_best(F.when(F.col("_one") & (left | right), CODES.index("e")).otherwise(CODES.index("o"))))
+
+
 def missed_and_novel(query: DataFrame, reference: DataFrame, levels: tuple[str, ...] = ("exon", "locus")) -> DataFrame:
     """(annotation, level, missed, novel) for exons and loci: shares of features of one side that overlap none of the other."""
     space, out = Workspace(query.sparkSession, "missed-and-novel"), []
