@@ -37,8 +37,11 @@ def _counted(ref: DataFrame, query: DataFrame, keys: list[str], level: str) -> D
 
 
 def compare_exons(query: DataFrame, reference: DataFrame) -> DataFrame:
-    keys = [*PLACE, "cds_start", "cds_end"]
-    return _counted(exploded(reference).select(*keys).distinct(), exploded(query).select("annotation", *keys).distinct(), keys, "exon")
+    return _exon_level(_exon_spans(query, ["annotation"]), _exon_spans(reference, []))
+
+
+def _exon_level(query: DataFrame, reference: DataFrame) -> DataFrame:
+    return _counted(reference, query, [*PLACE, "low", "high"], "exon")
 
 
 def _intron_rows(rows: DataFrame, more: list[str]) -> DataFrame:
@@ -60,28 +63,48 @@ def compare_chains(query: DataFrame, reference: DataFrame) -> DataFrame:
     return _counted(_chains(reference).where(several).select(*keys).distinct(), _chains(query).where(several).select("annotation", *keys).distinct(), keys, "intron_chain")
 
 
-def transcript_matches(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
-    """(annotation, tx, ref_tx) of transcripts with the same chain and outer ends within the tolerance."""
-    q = _chains(non_empty(query)).select("annotation", "tx", *PLACE, "chain", start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high"))
-    r = _chains(non_empty(reference)).select(F.col("tx").alias("ref_tx"), *PLACE, "chain", start(F.col("cds")).alias("ref_low"), end(F.col("cds")).alias("ref_high"))
+def _structures(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, strand, chain, low, high, tx, n): transcripts of one chain and outer ends as one row, with the least tx and their number."""
+    cut = [introns(F.col("cds")).alias("chain"), start(F.col("cds")).alias("low"), end(F.col("cds")).alias("high")]
+    return non_empty(rows).select(*keys, *PLACE, "tx", *cut).groupBy(*keys, *PLACE, "chain", "low", "high").agg(F.min("tx").alias("tx"), F.count("*").alias("n"))
+
+
+def _structure_matches(q: DataFrame, r: DataFrame, tolerance: int) -> DataFrame:
+    """(annotation, seq, strand, tx, low, n, ref_tx, ref_low, ref_n) of structures with the same chain and outer ends within the tolerance."""
+    r = r.withColumnsRenamed({c: f"ref_{c}" for c in ("tx", "low", "high", "n")})
     # Equal starts, or starts of neighbouring steps of the tolerance: an equi-join also for single blocks, whose chains are all empty.
     step = 2 * tolerance + 1
     q = q.withColumn("_at", F.floor(F.col("low") / step))
     r = r.withColumn("_at", F.explode(F.array_distinct(F.array(*(F.floor((F.col("ref_low") + d) / step) for d in (-tolerance, tolerance))))))
     near = (F.abs(F.col("low") - F.col("ref_low")) <= tolerance) & (F.abs(F.col("high") - F.col("ref_high")) <= tolerance)
-    return q.join(r, [*PLACE, "chain", "_at"]).where(near).select("annotation", "tx", "ref_tx")
+    return q.join(r, [*PLACE, "chain", "_at"]).where(near).select("annotation", *PLACE, "tx", "low", "n", "ref_tx", "ref_low", "ref_n")
+
+
+def _matched(query: DataFrame, reference: DataFrame, tolerance: int, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, r = space.keep(_structures(query, ["annotation"])), space.keep(_structures(reference, []))
+    return q, r, space.keep(_structure_matches(q, r, tolerance))
 
 
 def compare_transcripts(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
-    pairs = transcript_matches(query, reference, tolerance)
-    hits = pairs.groupBy("annotation").agg(F.count_distinct("tx").alias("query_hit"), F.count_distinct("ref_tx").alias("ref_hit"))
-    totals = non_empty(query).groupBy("annotation").agg(F.count("*").alias("query_total"))
-    return _tally(non_empty(reference).agg(F.count("*").alias("ref_total")), totals, hits.select("annotation", "ref_hit"), hits.select("annotation", "query_hit"), "transcript")
+    return _transcript_level(*_matched(query, reference, tolerance, Workspace(query.sparkSession, "compare")))
+
+
+def _transcript_level(q: DataFrame, r: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each transcript counts, those of one structure together."""
+    hit = lambda tx, n, name: pairs.select("annotation", tx, n).distinct().groupBy("annotation").agg(F.sum(n).alias(name))
+    return _tally(r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ref_total")), q.groupBy("annotation").agg(F.sum("n").alias("query_total")), hit("ref_tx", "ref_n", "ref_hit"), hit("tx", "n", "query_hit"), "transcript")
 
 
 def compare_bases(query: DataFrame, reference: DataFrame) -> DataFrame:
-    r = merged(exploded(reference).select(*PLACE, F.col("cds_start").alias("ref_low"), F.col("cds_end").alias("ref_high")), PLACE, "ref_low", "ref_high")
-    q = merged(exploded(query).select("annotation", *PLACE, F.col("cds_start").alias("low"), F.col("cds_end").alias("high")), ["annotation", *PLACE])
+    return _base_level(_exon_spans(query, ["annotation"]), _exon_spans(reference, []))
+
+
+def _base_level(query: DataFrame, reference: DataFrame) -> DataFrame:
+    """Of blocks that begin together only the longest counts for their union."""
+    space = Workspace(query.sparkSession, "compare")
+    longest = lambda rows, keys: rows.groupBy(*keys, "low").agg(F.max("high").alias("high"))
+    q, r = (merged(space.keep(longest(rows, keys)), keys) for rows, keys in ((query, ["annotation", *PLACE]), (reference, PLACE)))
+    q, r = space.keep(q), space.keep(r.withColumnsRenamed({"low": "ref_low", "high": "ref_high"}))
     common = interval_overlap_join(q, r, ("low", "high"), ("ref_low", "ref_high"), tuple(PLACE))
     size = F.sum(F.least("high", "ref_high") - F.greatest("low", "ref_low"))
     hits = common.groupBy("annotation").agg(size.alias("query_hit"), size.alias("ref_hit"))
@@ -98,18 +121,31 @@ def loci(transcripts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_loci(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
-    pairs = transcript_matches(query, reference, tolerance)
-    q, r = loci(query, ["annotation"]), loci(reference, [])
-    q_hits = q.join(pairs.select("annotation", "tx").distinct(), ["annotation", "tx"]).groupBy("annotation").agg(F.count_distinct(F.struct(*PLACE, "locus")).alias("query_hit"))
-    r_hits = r.withColumnRenamed("tx", "ref_tx").join(pairs.select("annotation", "ref_tx").distinct(), "ref_tx").groupBy("annotation").agg(F.count_distinct(F.struct(*PLACE, "locus")).alias("ref_hit"))
-    total = F.count_distinct(F.struct(*PLACE, "locus"))
+    return _locus_level(*_matched(query, reference, tolerance, Workspace(query.sparkSession, "compare")))
+
+
+def _locus_level(q: DataFrame, r: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Transcripts that begin together are of one locus, so their starts stand for them."""
+    space, total = Workspace(q.sparkSession, "compare"), F.count_distinct(F.struct(*PLACE, "locus"))
+
+    def starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+        reach = space.keep(rows.groupBy(*keys, "low").agg(F.max("high").alias("high")))
+        return space.keep(islands(reach, keys, "low", "high", False).withColumnRenamed("_island", "locus").select(*keys, "low", "locus"))
+
+    q, r = starts(q, ["annotation", *PLACE]), starts(r, PLACE)
+    hit = lambda rows, low, keys, name: rows.join(pairs.select("annotation", *PLACE, F.col(low).alias("low")).distinct(), keys).groupBy("annotation").agg(total.alias(name))
+    q_hits, r_hits = hit(q, "low", ["annotation", *PLACE, "low"], "query_hit"), hit(r, "ref_low", [*PLACE, "low"], "ref_hit")
     return _tally(r.agg(total.alias("ref_total")), q.groupBy("annotation").agg(total.alias("query_total")), r_hits, q_hits, "locus")
 
 
 def compare(query: DataFrame, reference: DataFrame, tolerance: int = 0) -> DataFrame:
-    """(annotation, level, sensitivity, precision, f1) at all six levels."""
-    parts = [compare_bases(query, reference), compare_exons(query, reference), compare_introns(query, reference), compare_chains(query, reference)]
-    return reduce(DataFrame.unionByName, [*parts, compare_transcripts(query, reference, tolerance), compare_loci(query, reference, tolerance)])
+    """(annotation, level, sensitivity, precision, f1) at all six levels.  Both sides are written once and reread by the levels."""
+    space = Workspace(query.sparkSession, "compare")
+    query, reference = space.keep(query.select("annotation", *PLACE, "tx", "cds")), space.keep(reference.select(*PLACE, "tx", "cds"))
+    exons = space.keep(_exon_spans(query, ["annotation"])), space.keep(_exon_spans(reference, []))
+    matched = _matched(query, reference, tolerance, space)
+    parts = [_base_level(*exons), _exon_level(*exons), compare_introns(query, reference), compare_chains(query, reference)]
+    return reduce(DataFrame.unionByName, [*parts, _transcript_level(*matched), _locus_level(*matched)])
 
 
 # Class codes from the best to the last, and what they say of a query and a reference transcript.
